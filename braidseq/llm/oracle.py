@@ -31,6 +31,20 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN middle < wanted THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
+OP7 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), g AS (
+  SELECT h, max(page_id) AS last FROM p GROUP BY h
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(p.h, (5 * (k // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN g USING (h)
+"""
+
 OP8 = f"""
 WITH b AS (
   SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
@@ -72,4 +86,4 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLE_SQL = {"op6_mixing": OP6, "op8_decontaminate": OP8, "op10_url_cascade": OP10}
+ORACLE_SQL = {"op6_mixing": OP6, "op7_zip_warc": OP7, "op8_decontaminate": OP8, "op10_url_cascade": OP10}

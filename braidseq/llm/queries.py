@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination, with_verdict
+from .gif import read_payload, store_as_gif
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
 from .simhash import hexadecimal, near_components
+from .tokens import count_tokens
 from .url_cascade import Rule, judge_urls
+from .zip_warc import archive_pages, read_packages
 
 URL_RULES = [
     Rule("block", "net", "/"),
@@ -25,6 +28,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal(F.col("simhash")).alias("fingerprint"), "component_id")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,6 +45,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_verdict(find_contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -44,9 +59,19 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_as_gif(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    read = read_payload(stored).drop("media")
+    feature = F.concat_ws(";", F.format_string("frames=%d", "n_frames"), F.format_string("ms=%d", "duration_ms"), F.concat(F.lit("levels="), F.array_join("histogram", ",")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_sharding, op6_mixing, op8_decontaminate, op10_url_cascade)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_simhash, op3_tokens, op4_sharding, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade)
+}
