@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import find_contamination, with_verdict
 from .gif import read_payload, store_as_gif
 from .mixing import mix_sources
+from .pii import KINDS, find_pii
 from .sharding import shard_by_bytes
 from .simhash import hexadecimal, near_components
 from .tokens import count_tokens
@@ -23,6 +24,14 @@ URL_RULES = [
 ]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_<kind>`` count the base spans, which ``base_sha256`` digests; ``spans`` holds the added ones too."""
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hexadecimal(F.col("simhash")).alias("fingerprint"), "component_id")
@@ -73,5 +82,5 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_simhash, op3_tokens, op4_sharding, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade)
+    for f in (op1_pii, op2_simhash, op3_tokens, op4_sharding, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade)
 }
