@@ -8,20 +8,24 @@ which each is clamped (cap / weight), the final level follows from prefix sums.
 Sampling: a source whose target is ``r`` times its size takes every document
 ``floor(r)`` times, and a seeded sample of its documents once more: those first
 in the order of a seeded hash, up to the fraction left.  Documents fall into
-buckets of the hash; the words of all buckets of a source are summed before
-the shuffle, so the order inside a bucket matters only in the one bucket where
-the sample ends.  A source with a third of all rows never meets in one task.
+buckets of the hash; the words of all buckets of a source are summed before the
+shuffle, and only the one bucket in which the sample ends is put in order.  So
+a source with a third of all rows never meets in one task.  What comes out is
+one row a source, its last document in that order included, and every document
+is decided by itself against it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED_WORD, pin
 
 #: Hexadecimal digits of a bucket of the sampling order; of a source's 16 ** 3 buckets one is sorted.
 BUCKET_DIGITS = 3
+#: Up to so many sources the plan is broadcast; more are joined over salted keys.
+BROADCAST_SOURCES = 20_000
 _SALTS = 16
 _HASH_DIGITS = 15
 
@@ -52,6 +56,53 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     )
 
 
+def _place(id_col: Column, size: Column, seed: int) -> Column:
+    """Where a document stands in the sampling order."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")), size.cast("string")), 256)
+    return F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long")
+
+
+def _words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
+
+
+def mixing_plan(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, max_epochs: float, seed: int, bucket_digits: int
+) -> DataFrame:
+    """One row a source: ``source, source_size, target, whole`` and ``cut``, the last place that is taken once more (null: none)."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _words(F.col(text_col)).alias("size"))
+    bucket = F.shiftright("at", 4 * (_HASH_DIGITS - bucket_digits)).cast("int")
+    rows = pin(sized.withColumn("at", _place(F.col("id"), F.col("size"), seed)).withColumn("bucket", bucket))
+
+    by_bucket = pin(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
+    by_source = by_bucket.groupBy("source").agg(F.sum("words").alias("source_size"))
+    ranked = by_source.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("source_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    targets = water_fill(ranked.withColumn("weight", weight), share, max_epochs)
+    whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    wanted = F.least(F.col("source_size"), F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    plan = targets.withColumn("whole", whole).withColumn("wanted", wanted)
+
+    # The bucket in which each source's sample ends: the first whose running sum reaches what is wanted.
+    through = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
+    sums = by_bucket.withColumn("through", through).alias("b")
+    ends = pin(
+        sums.join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("through") >= F.col("wanted")))
+        .groupBy("p.source", "source_size", "target", "whole", "wanted")
+        .agg(F.min(F.struct("bucket", (F.col("through") - F.col("words")).alias("before"))).alias("end"))
+        .select("source", "source_size", "target", "whole", "wanted", F.col("end.bucket").alias("last"), "end.before")
+    )
+    edge = rows.alias("r").join(ends.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.bucket") == F.col("e.last")))
+    inside = Window.partitionBy("source").orderBy("at", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
+    taken = edge.select("e.source", "at", "id", "size", "before", "wanted").withColumn("middle", middle).where("middle < wanted")
+    cuts = taken.groupBy("source").agg(F.max(F.struct("at", "id", "size")).alias("cut"))
+    return pin(
+        ends.alias("e").join(cuts.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source")), "left")
+        .select("e.source", "source_size", "target", "whole", "last", "cut")
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -63,53 +114,29 @@ def mix_sources(
     seed: int = 17,
     bucket_digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``<id>, size, source, source_size, target, taken``; nothing else of ``docs`` is kept.
-
-    ``size`` counts the words of a text (null: none).  Sources in order of
-    code points, null last and a source of its own, have the ``weights`` in
-    turn.  ``taken`` is the size times the repetitions.  Null ids are sampled
-    like any other id; rows with equal id and size share a hash and are
-    interchangeable, so reruns agree on their multiset.  An empty table gives
-    an empty result.
-    """
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string")), 256)
-    rank = F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long")
-    sized = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACED_WORD)), F.lit(0)).cast("long").alias("size"),
-    )
-    bucket = F.shiftright("at", 4 * (_HASH_DIGITS - bucket_digits)).cast("int")
-    rows = pin(sized.withColumn("at", rank).withColumn("bucket", bucket))
-
-    by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    by_source = by_bucket.groupBy("source").agg(F.sum("words").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    ranked = by_source.withColumn("source_rank", turn)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("source_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    targets = water_fill(ranked.withColumn("weight", weight), share, max_epochs)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets.withColumn("whole", F.floor(rate)).withColumn("wanted", F.least(F.col("source_size"), F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
-
-    # The bucket in which each source's sample ends, and the words before it: the first whose sum reaches what is wanted.
-    upto = Window.partitionBy("source").orderBy("bucket")
-    sums = by_bucket.withColumn("through", F.sum("words").over(upto))
-    ends = (
-        sums.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-        .where(F.col("b.through") >= F.col("p.wanted"))
-        .groupBy(F.col("p.source"), F.col("p.source_rank"), F.col("p.source_size"), F.col("p.target"), F.col("p.whole"), F.col("p.wanted"))
-        .agg(F.min(F.struct("b.bucket", (F.col("b.through") - F.col("b.words")).alias("before"))).alias("end"))
-    )
-    salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    met = rows.alias("r").join(
-        salted.alias("e"),
-        F.col("r.source").eqNullSafe(F.col("e.source")) & (F.pmod(F.col("r.at"), F.lit(_SALTS)).cast("int") == F.col("e.salt")),
-    )
-    kept = met.select("r.id", "r.source", "r.size", "r.at", "r.bucket", "e.source_size", "e.target", "e.whole", "e.wanted", F.col("e.end.bucket").alias("last"), "e.end.before")
+    """``docs`` with ``size`` (words; null texts: 0), ``source_size``, ``target`` and ``repetitions``.
 
-    inside = Window.partitionBy("source").orderBy("at", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    sure = kept.where(F.col("bucket") != F.col("last")).withColumn("more", (F.col("bucket") < F.col("last")).cast("int"))
-    edge = kept.where(F.col("bucket") == F.col("last")).withColumn("more", (middle < F.col("wanted")).cast("int"))
-    taken = F.col("size") * (F.col("whole") + F.col("more"))
-    return sure.unionByName(edge).select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.cast("long").alias("taken"))
+    Sources in order of code points, null last and a source of its own, have
+    the ``weights`` in turn.  A source's taken words miss its target by one
+    document at most, and repeated rows: rows with equal id and size stand in
+    one place and are taken alike.  Null ids are ids like any other.  Columns
+    of ``docs`` named like results are replaced.  Empty tables give empty
+    results.
+    """
+    plan = mixing_plan(docs, id_col, text_col, source_col, weights, share, max_epochs, seed, bucket_digits)
+    named = plan.select(F.col("source").alias("_source"), F.struct("source_size", "target", "whole", "last", "cut").alias("_plan"))
+    own = docs.drop("size", "source_size", "target", "repetitions").withColumn("size", _words(F.col(text_col)))
+    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    if plan.count() <= BROADCAST_SOURCES:
+        met = own.join(F.broadcast(named), same)
+    else:
+        salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salt = F.pmod(F.xxhash64(F.col(id_col), F.col("size")), F.lit(_SALTS)).cast("int")
+        met = own.join(salted, same & (salt == F.col("_salt"))).drop("_salt")
+    at = _place(F.col(id_col), F.col("size"), seed)
+    place = F.struct(at.alias("at"), F.col(id_col).alias("id"), F.col("size").alias("size"))
+    bucket = F.shiftright(at, 4 * (_HASH_DIGITS - bucket_digits)).cast("int")
+    more = (bucket < F.col("_plan.last")) | ((bucket == F.col("_plan.last")) & F.coalesce(place <= F.col("_plan.cut"), F.lit(False)))
+    return met.withColumns(
+        {"source_size": F.col("_plan.source_size"), "target": F.col("_plan.target"), "repetitions": (F.col("_plan.whole") + more.cast("int")).cast("int")}
+    ).drop("_source", "_plan")

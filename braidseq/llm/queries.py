@@ -13,6 +13,7 @@ from .pii import KINDS, find_pii
 from .sharding import shard_by_bytes
 from .simhash import hexadecimal, near_components
 from .tokens import count_tokens
+from .toxicity import THRESHOLD, remainder, score_toxicity, train_toxicity
 from .url_cascade import Rule, judge_urls
 from .zip_warc import archive_pages, read_packages
 
@@ -50,9 +51,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repetitions")).alias("taken"))
 
 
 def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +91,5 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_simhash, op3_tokens, op4_sharding, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade)
+    for f in (op1_pii, op2_simhash, op3_tokens, op4_sharding, op5_toxicity, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade)
 }

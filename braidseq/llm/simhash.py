@@ -149,3 +149,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = members.join(smallest, "component").select(F.col("fp").alias("of"), "least")
     named = nodes.join(moved, nodes["fp"] == moved["of"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("simhash"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, segments: int = 3, shingle: int = 4) -> DataFrame:
+    """``docs`` without all but one document of each component: that with the smallest id (null ids last), then the smallest text hash.
+
+    Of rows with equal id and text one stays.  All columns stay as they are.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+    found = near_components(docs.select(key.alias("key"), text_col), "key", text_col, radius, segments, shingle)
+    kept = pin(found.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("_rows")))
+    named = kept.select(F.col("key.id").alias("_id"), F.col("key.hash").alias("_hash"), "_rows")
+    met = docs.join(named, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")))
+    single = met.where("_rows = 1").select(*docs.columns)
+    if not kept.where("_rows > 1").limit(1).count():
+        return single
+    repeated = met.where("_rows > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return single.unionByName(repeated)
