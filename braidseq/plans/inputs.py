@@ -63,7 +63,7 @@ HITS_SQL = """
 SELECT query_id, target_id, ql AS query_length, qs AS query_start, qe AS query_end, orientation, tl AS target_length, ts AS target_start, te AS target_end,
        m AS matching_bases, b AS alignment_block_length, mapq AS mapping_quality
 FROM (
-  SELECT *, CASE WHEN kind = 7 THEN sp - CAST(sp / 40 AS INT) - 1 WHEN kind IN (0, 6) THEN sp ELSE sp - x % 12 END AS m,
+  SELECT *, CASE WHEN kind = 7 THEN sp - CAST((sp - sp % 40) / 40 AS INT) - 1 WHEN kind IN (0, 6) THEN sp ELSE sp - x % 12 END AS m,
          CASE WHEN qe - qs > te - ts THEN qe - qs ELSE te - ts END AS b
   FROM (
     SELECT *, CASE WHEN qe - qs < te - ts THEN qe - qs ELSE te - ts END AS sp

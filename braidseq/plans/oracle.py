@@ -139,6 +139,16 @@ _ONE_WAY_EDGES = """edges AS (
         FROM decided WHERE relationship_type NOT IN ('EXACT_MATCH', 'NO_RELATIONSHIP'))
 )"""
 
+_READS = """reads AS (
+  SELECT 'r' || event_id % 4000 AS name, 'ref' || user_id % 40 AS reference, (event_id * 37 % 900)::INT AS pos, (event_id % 61)::INT AS mapq, event_id % 5 AS shape FROM events
+), shapes(shape, lo, hi) AS (VALUES (0, 0, 120), (1, 0, 40), (1, 50, 110), (2, 0, 110), (3, 0, 90), (4, 0, 50), (4, 250, 300)
+), blocks AS (SELECT reads.*, pos + lo AS start, pos + hi AS stop FROM reads JOIN shapes USING (shape))"""
+
+_SPANNING = """spanning AS (
+  SELECT case_id, count(DISTINCT name) AS remapped_reads, count(DISTINCT CASE WHEN start <= 430 AND stop >= 470 THEN name END) AS spanning_reads
+  FROM (SELECT 'case' || i AS case_id, 'ref' || i AS reference FROM range(40) t(i)) j LEFT JOIN (SELECT * FROM blocks WHERE mapq >= 20) b USING (reference) GROUP BY case_id
+), rated AS (SELECT *, CASE WHEN remapped_reads > 0 THEN spanning_reads / remapped_reads ELSE 0 END AS fraction FROM spanning)"""
+
 
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ", ".join(parts)
@@ -175,7 +185,9 @@ ORACLE_SQL = {
         CASE WHEN target_start < 0 OR target_end < target_start OR target_end > target_length THEN 'target interval' END,
         CASE WHEN matching_bases < 0 OR matching_bases > least(query_end - query_start, target_end - target_start) THEN 'matching bases' END,
         CASE WHEN alignment_block_length < greatest(query_end - query_start, target_end - target_start) OR alignment_block_length > query_end - query_start + target_end - target_start THEN 'block length' END,
-        CASE WHEN mapping_quality < 0 OR mapping_quality > 255 THEN 'mapping quality' END], lambda x: x IS NOT NULL), ',') AS violations FROM hits) WHERE violations <> '' GROUP BY 1""",
+        CASE WHEN mapping_quality < 0 OR mapping_quality > 255 THEN 'mapping quality' END], lambda x: x IS NOT NULL), ',') AS violations
+        FROM (SELECT * REPLACE (CASE WHEN mapping_quality = 56 THEN query_length + 1 ELSE query_end END AS query_end,
+                                CASE WHEN mapping_quality = 48 THEN alignment_block_length + 1 ELSE matching_bases END AS matching_bases) FROM hits)) WHERE violations <> '' GROUP BY 1""",
     "classify_hits": _with(_LINE_HITS, _CLASSIFIED) + " SELECT relationship_type, status, reason, count(*) AS hits FROM classified GROUP BY ALL",
     "classify_pairs": _with(_LINE_HITS, _CLASSIFIED, _DECIDED)
     + " SELECT query_id, target_id, relationship_type, orientation, identity, aligned_length, status, reasons, accepted_hits, rejected_hits FROM decided",
@@ -191,6 +203,24 @@ ORACLE_SQL = {
         labels AS (SELECT n, min(r) AS root FROM reach GROUP BY n),
         named AS (SELECT root, count(*) AS members, 'component_' || substr(sha256(string_agg(n, chr(0) ORDER BY n)), 1, 20) AS component_id FROM labels GROUP BY root)""",
     ) + " SELECT n AS node, component_id, members FROM labels JOIN named USING (root)",
+    "cigar_blocks": _with(_READS)
+    + " SELECT reference, count(*) AS blocks, sum(stop - start)::BIGINT AS aligned, min(start)::INT AS first, max(stop)::INT AS last FROM blocks GROUP BY reference",
+    "junction_spanning": _with(_READS, _SPANNING) + " SELECT case_id, remapped_reads, spanning_reads FROM spanning",
+    "junction_support": _with(_READS, _SPANNING)
+    + """ SELECT case_id, remapped_reads, spanning_reads, CASE WHEN length(case_id) = 5 THEN 'deferred' WHEN spanning_reads >= 3 AND fraction >= 0.1 THEN 'supported' ELSE 'unsupported' END AS status,
+        CASE WHEN length(case_id) = 5 THEN 'technology or preset differs from the policy' WHEN spanning_reads >= 3 AND fraction >= 0.1 THEN 'reads and fraction reach the policy'
+             ELSE 'reads or fraction below the policy' END AS reason FROM rated""",
+    "policy_threshold_sweep": _with(_READS, _SPANNING)
+    + """ SELECT minimum_reads, minimum_fraction, count(*) FILTER (good) AS supported, count(*) FILTER (is_true AND NOT good) AS missed, count(*) FILTER (NOT is_true AND good) AS false_support
+        FROM (SELECT *, length(case_id) = 6 AS is_true, spanning_reads >= minimum_reads AND fraction >= minimum_fraction AS good
+              FROM rated CROSS JOIN (VALUES (1::INT, 0.0::DOUBLE), (3, 0.1::DOUBLE), (5, 0.5::DOUBLE)) v(minimum_reads, minimum_fraction)) GROUP BY ALL""",
+    "benchmark_summary": _with(_LINE_HITS, _CLASSIFIED, _DECIDED, """scored AS (
+        SELECT *, NOT query_id LIKE '%1' AS allowed, target_id LIKE '%3' AS put_off, relationship_type IN ('EXACT_MATCH','QUERY_CONTAINED_IN_TARGET','TARGET_CONTAINED_IN_QUERY','QUERY_SUFFIX_TO_TARGET_PREFIX','TARGET_SUFFIX_TO_QUERY_PREFIX') AS merges,
+               relationship_type = 'AMBIGUOUS_OVERLAP' AS vague, relationship_type = 'NO_RELATIONSHIP' AS none, NOT target_id LIKE '%2' OR orientation = '+' AS strand_ok FROM decided
+      ), judged AS (SELECT *, allowed OR none AS same, NOT put_off AND (allowed OR none) AND (NOT allowed OR none OR strand_ok) AS correct FROM scored)""")
+    + """ SELECT count(*) AS cases, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT put_off AND NOT allowed AND merges) AS false_merge, 0::BIGINT AS missed,
+        count(*) FILTER (NOT put_off AND NOT vague AND NOT same) AS wrong_type, count(*) FILTER (NOT put_off AND NOT vague AND allowed AND NOT none AND NOT strand_ok) AS wrong_orientation,
+        count(*) FILTER (put_off) AS deferred, count(*) FILTER (NOT correct AND NOT put_off) AS boundary_failure FROM judged""",
     "diagonal_hits": _with(*_TILE_HITS)
     + " SELECT query_id, target_id, query_length, query_start, query_end, orientation, target_length, target_start, target_end, matching_bases, alignment_block_length FROM hits",
     "aligned_relationships": _with(*_TILE_HITS, _CLASSIFIED, _DECIDED) + " SELECT relationship_type, status, count(*) AS pairs FROM decided GROUP BY ALL",

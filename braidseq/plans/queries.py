@@ -117,7 +117,13 @@ def hit_metrics(spark, sf_dir):
 
 @query
 def hit_violations(spark, sf_dir):
-    return hits.violations(inputs.hits(spark, sf_dir)).groupBy("violations").agg(F.count("*").alias("hits"))
+    damaged = inputs.hits(spark, sf_dir).withColumns(
+        {
+            "query_end": F.when(F.col("mapping_quality") == 56, F.col("query_length") + 1).otherwise(F.col("query_end")),
+            "matching_bases": F.when(F.col("mapping_quality") == 48, F.col("alignment_block_length") + 1).otherwise(F.col("matching_bases")),
+        }
+    )
+    return hits.violations(damaged).groupBy("violations").agg(F.count("*").alias("hits"))
 
 
 @query
@@ -140,7 +146,7 @@ def relationship_histogram(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir) -> DataFrame:
-    return pin(hits.classify_pairs(inputs.hits(spark, sf_dir).where("(length(query_id) + length(target_id)) > 0"), CONFIG))
+    return pin(hits.classify_pairs(inputs.hits(spark, sf_dir), CONFIG))
 
 
 @query
@@ -224,3 +230,68 @@ def ambiguity_report(spark, sf_dir):
 def merge_stats(spark, sf_dir):
     run = _tile_run(spark, sf_dir)
     return reconcile.merge_stats(run, run["sequences"], run["members"])
+
+
+# --- evidence and scoring
+
+
+def _reads(spark, sf_dir) -> DataFrame:
+    """Events as reads: a reference for each of 40 users, and one of five CIGARs."""
+    shapes = F.array(*[F.lit(x) for x in ("120M", "40M10D60M", "30M5I80M", "10S90M", "50M200N50M")])
+    rows = inputs.table(spark, sf_dir, "events")
+    return rows.select(
+        F.concat(F.lit("r"), (F.col("event_id") % 4000).cast("string")).alias("name"), F.concat(F.lit("ref"), (F.col("user_id") % 40).cast("string")).alias("reference"),
+        (F.col("event_id") * 37 % 900).cast("int").alias("position"), (F.col("event_id") % 61).cast("int").alias("mapping_quality"),
+        F.element_at(shapes, (F.col("event_id") % 5 + 1).cast("int")).alias("cigar"),
+    )
+
+
+@query
+def cigar_blocks(spark, sf_dir):
+    from ..operators.evidence import cigar_blocks as blocks
+
+    rows = blocks(_reads(spark, sf_dir)).select("reference", F.explode("blocks").alias("b"))
+    return rows.groupBy("reference").agg(F.count("*").alias("blocks"), F.sum(F.col("b.end") - F.col("b.start")).alias("aligned"), F.min("b.start").alias("first"), F.max("b.end").alias("last"))
+
+
+@query
+def junction_spanning(spark, sf_dir):
+    from ..operators import evidence
+
+    junctions = spark.range(40).select(F.concat(F.lit("case"), "id").alias("case_id"), F.concat(F.lit("ref"), "id").alias("reference"), F.lit(450).alias("junction"))
+    return evidence.spanning_reads(evidence.cigar_blocks(_reads(spark, sf_dir)), junctions, 20, 20)
+
+
+@query
+def junction_support(spark, sf_dir):
+    from ..operators import evidence
+
+    policy = {"technology": "ont", "preset": "map-ont", "reviewed": True, "minimum_flank": 20, "minimum_mapping_quality": 20, "minimum_reads": 3, "minimum_fraction": 0.1}
+    rows = junction_spanning(spark, sf_dir).withColumns(
+        {"technology": F.lit("ont"), "preset": F.when(F.length("case_id") == 5, "map-hifi").otherwise("map-ont"), "samples": F.lit(1), "minimum_flank": F.lit(20), "minimum_mapping_quality": F.lit(20)}
+    )
+    return evidence.junction_support(rows, policy).select("case_id", "remapped_reads", "spanning_reads", "status", "reason")
+
+
+@query
+def policy_threshold_sweep(spark, sf_dir):
+    from ..operators import evidence
+
+    rows = junction_spanning(spark, sf_dir).withColumn("is_true", F.length("case_id") == 6)
+    thresholds = spark.createDataFrame([(1, 0.0), (3, 0.1), (5, 0.5)], "minimum_reads int, minimum_fraction double")
+    return evidence.threshold_sweep(rows, thresholds)
+
+
+@query
+def benchmark_summary(spark, sf_dir):
+    from ..operators import scoring
+
+    decisions = pin(hits.classify_pairs(inputs.hits(spark, sf_dir), CONFIG))
+    truth = decisions.select(
+        "query_id", "target_id", F.concat(F.lit("identity_"), "query_id").alias("case_id"),
+        F.when(F.col("query_id").endswith("1"), "NO_RELATIONSHIP").otherwise(F.col("relationship_type")).alias("expected_relationship"),
+        F.when(F.col("target_id").endswith("2"), "+").otherwise(F.col("orientation")).alias("expected_orientation"), F.lit("VALID").alias("expected_status"),
+        (~F.col("query_id").endswith("1")).alias("merge_allowed"),
+        F.when(F.col("target_id").endswith("3"), "group").otherwise("").alias("ambiguity_group"),
+    )
+    return scoring.score_summary(scoring.score_cases(truth, decisions))
