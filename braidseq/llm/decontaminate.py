@@ -184,14 +184,9 @@ def _matcher(text_col: str, block):
         def work(batch):
             texts = batch.column(text_col).to_pylist()
             ids, starts, n = _sequences(texts, own.vocabulary)
-            hits: list = [[] for _ in texts]
-            items: list = [set() for _ in texts]
-            for name, into in (("hits", hits), ("items", items)):
-                if name in batch.schema.names:  # what earlier blocks found
-                    for k, old in enumerate(batch.column(name).to_pylist()):
-                        into[k] += old or [] if name == "hits" else ()
-                        if name == "items":
-                            into[k].update(old or ())
+            earlier = {x: batch.column(x).to_pylist() if x in batch.schema.names else [None] * len(texts) for x in ("hits", "items")}
+            hits = [list(old or []) for old in earlier["hits"]]
+            items = [set(old or []) for old in earlier["items"]]
             begin, end, window, doc = spans(ids, starts, n)
             for k in np.unique(doc).tolist():
                 mine = doc == k
@@ -233,7 +228,6 @@ def find_contamination(
         count = F.coalesce(F.regexp_count(ascii_lower(F.col(text_col)), F.lit(WORD)), F.lit(0)).cast("long")
         return out.withColumns({"n_words": count, "hits": none[0], "items": none[1]})
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
-    carried = None
     for k in range(blocks):
         rows = numbered.where(F.col("block") == k).select("words", "items").collect()
         if not rows:
@@ -248,11 +242,8 @@ def find_contamination(
         counting.unpersist()
         block.keep_rarest(frequency)
         ready = spark.sparkContext.broadcast(block)
-        if carried is not None:  # results so far under their own names, replaced by the next block's
-            out = _carry(out, text_col, ready)
-        else:
-            out = append_columns(out, _NEW, text_col, _matcher(text_col, ready))
-        carried = True
+        # The first block's results are columns; each further block takes them in and gives them anew.
+        out = _carry(out, text_col, ready) if "hits" in out.columns else append_columns(out, _NEW, text_col, _matcher(text_col, ready))
     return out
 
 
