@@ -185,17 +185,14 @@ def _fresh(n_words: int, n_grams: int, rng: np.random.Generator) -> dict[str, np
     }
 
 
-def _frequent(docs: list[set], least: int, most: int) -> list:
-    count: dict = {}
-    for own in docs:
-        for x in own:
-            count[x] = count.get(x, 0) + 1
-    kept = sorted((x for x, n in count.items() if n >= least), key=lambda x: (-count[x], x))
-    return sorted(kept[:most])
+def _most(count: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The numbers counted ``least`` times or more, ``most`` of them at most, the frequent first; in order."""
+    kept = np.flatnonzero(count >= least)
+    return np.sort(kept[np.argsort(-count[kept], kind="stable")][:most])
 
 
-def train(windows: list[list[list[bytes]]], labels: list[int], seed: int = 5) -> Model:
-    """A model from documents, each a list of windows of words, with labels 0 and 1.
+def train(windows: list[list[bytes]], labels: list[int], seed: int = 5) -> Model:
+    """A model from documents, each a list of windows (words joined by spaces), with labels 0 and 1.
 
     The first epochs take windows at random under their document's label; the
     others take each document's highest window.  Without documents of both
@@ -203,14 +200,27 @@ def train(windows: list[list[list[bytes]]], labels: list[int], seed: int = 5) ->
     """
     rng = np.random.default_rng(seed)
     label = np.array(labels, dtype=np.float32)
-    vocabulary = _frequent([{w for window in doc for w in window} for doc in windows], _LEAST_DOCS, _MOST_WORDS)
-    words = {w: i + 2 for i, w in enumerate(vocabulary)}
-    everything = sorted({w for doc in windows for window in doc for w in window})
+    number = {w: i for i, w in enumerate(sorted({w for doc in windows for window in doc for w in window.split()}))}
+    everything = list(number)
+    ids = np.zeros((sum(map(len, windows)), WINDOW), dtype=np.int32)
+    owner = np.repeat(np.arange(len(windows)), [len(doc) for doc in windows])
+    for k, window in enumerate(window for doc in windows for window in doc):
+        own = [number[w] + 1 for w in window.split()]
+        ids[k, : len(own)] = own
     gram, of = _grams(everything) if everything else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+    distinct, gram_number = np.unique(gram, return_inverse=True)
     bounds = np.searchsorted(of, np.arange(len(everything) + 1))
-    number = {w: i for i, w in enumerate(everything)}
-    own_grams = [set(gram[bounds[i] : bounds[i + 1]].tolist()) for i in range(len(everything))]
-    frequent = _frequent([set().union(*[own_grams[number[w]] for window in doc for w in window]) for doc in windows], _LEAST_DOCS, _MOST_GRAMS)
+    in_docs, grams_in_docs = np.zeros(len(everything), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+    firsts = np.searchsorted(owner, np.arange(len(windows) + 1))
+    for k in range(len(windows)):
+        own = np.unique(ids[firsts[k] : firsts[k + 1]])
+        own = own[own > 0] - 1
+        in_docs[own] += 1
+        if len(own):
+            grams_in_docs[np.unique(np.concatenate([gram_number[bounds[i] : bounds[i + 1]] for i in own.tolist()]))] += 1
+    words = {everything[i]: k + 2 for k, i in enumerate(_most(in_docs, _LEAST_DOCS, _MOST_WORDS).tolist())}
+    frequent = distinct[_most(grams_in_docs, _LEAST_DOCS, _MOST_GRAMS)]
+    del gram, of, gram_number, bounds
     model = Model(words, np.array(frequent, dtype=np.uint32), _fresh(len(words) + 2, len(frequent), rng))
     if not len(label) or label.min() == label.max():
         model.weights["out"][:] = 0
@@ -219,12 +229,6 @@ def train(windows: list[list[list[bytes]]], labels: list[int], seed: int = 5) ->
 
     wid, gid, gof = model.features(everything)
     gram_first = np.searchsorted(gof, np.arange(len(everything) + 1))
-    rows, owner = [], []
-    for k, doc in enumerate(windows):
-        for window in doc:
-            rows.append([number[w] + 1 for w in window] + [_PAD] * (WINDOW - len(window)))
-            owner.append(k)
-    ids, owner = np.array(rows, dtype=np.int64), np.array(owner)
     balance = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())).astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
@@ -342,7 +346,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if seen[r["label"]] < limit[r["label"]]:
             seen[r["label"]] += 1
             kept.append(r)
-    return train([[bytes(w).split() for w in r["windows"]] for r in kept], [r["label"] for r in kept], seed)
+    return train([[bytes(w) for w in r["windows"]] for r in kept], [r["label"] for r in kept], seed)
 
 
 class Scorer:
