@@ -233,6 +233,8 @@ _DOTS = re.compile(_DOT, re.I)
 _LABEL = "[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*"
 _TOP = re.compile("[A-Za-z]{2,24}")
 _LABELS = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
+#: Last labels that make "x at y dot z" an address where both signs are plain words.
+_TOPS = frozenset("com net org edu gov mil int info biz name pro io ai app dev me tv cc co us uk ca au nz ie de at ch fr be nl lu es pt it eu se no dk fi pl cz ru in cn jp kr br mx ar cl za test example invalid local".split())
 _NAME = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})*[A-Za-z0-9_%+-]+$", re.I)
 _NUMBER = r"[0-9](?:[ ]?[0-9]){0,2}"
 _ADDRESS = re.compile(rf"(?<![0-9.]){_NUMBER}(?:{_DOT}{_NUMBER}){{3}}(?![0-9])", re.I)
@@ -266,6 +268,8 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
             end = dots.pop().start()
         if not dots:
             continue
+        if bare and all(d.group().strip().isalpha() or d.group() == "." for d in dots) and text[dots[-1].end() : end].lower() not in _TOPS:
+            continue
         name = _NAME.search(text, max(0, at.start() - _LOOK_BACK), at.start())
         if name is None:
             continue
