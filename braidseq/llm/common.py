@@ -81,9 +81,9 @@ def append_columns(df: DataFrame, ddl: str, column: str, start, most_bytes: int
     the batch size.  Columns of ``df`` whose names clash with new ones go.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.types import DataType, StructType
 
-    new = _parse_datatype_string(ddl)
+    new = DataType.fromDDL(ddl)
     taken = {f.name.lower() for f in new.fields}
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
     schema = StructType([*kept.schema.fields, *new.fields])

@@ -124,19 +124,19 @@ def mix_sources(
     results.
     """
     plan = mixing_plan(docs, id_col, text_col, source_col, weights, share, max_epochs, seed, bucket_digits)
-    named = plan.select(F.col("source").alias("_source"), F.struct("source_size", "target", "whole", "last", "cut").alias("_plan"))
+    named = plan.select(F.col("source").alias("__mix_source"), F.struct("source_size", "target", "whole", "last", "cut").alias("__mix_plan"))
     own = docs.drop("size", "source_size", "target", "repetitions").withColumn("size", _words(F.col(text_col)))
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    same = F.col(source_col).eqNullSafe(F.col("__mix_source"))
     if plan.count() <= BROADCAST_SOURCES:
         met = own.join(F.broadcast(named), same)
     else:
-        salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = named.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         salt = F.pmod(F.xxhash64(F.col(id_col), F.col("size")), F.lit(_SALTS)).cast("int")
-        met = own.join(salted, same & (salt == F.col("_salt"))).drop("_salt")
+        met = own.join(salted, same & (salt == F.col("__mix_salt"))).drop("__mix_salt")
     at = _place(F.col(id_col), F.col("size"), seed)
     place = F.struct(at.alias("at"), F.col(id_col).alias("id"), F.col("size").alias("size"))
     bucket = F.shiftright(at, 4 * (_HASH_DIGITS - bucket_digits)).cast("int")
-    more = (bucket < F.col("_plan.last")) | ((bucket == F.col("_plan.last")) & F.coalesce(place <= F.col("_plan.cut"), F.lit(False)))
+    more = (bucket < F.col("__mix_plan.last")) | ((bucket == F.col("__mix_plan.last")) & F.coalesce(place <= F.col("__mix_plan.cut"), F.lit(False)))
     return met.withColumns(
-        {"source_size": F.col("_plan.source_size"), "target": F.col("_plan.target"), "repetitions": (F.col("_plan.whole") + more.cast("int")).cast("int")}
-    ).drop("_source", "_plan")
+        {"source_size": F.col("__mix_plan.source_size"), "target": F.col("__mix_plan.target"), "repetitions": (F.col("__mix_plan.whole") + more.cast("int")).cast("int")}
+    ).drop("__mix_source", "__mix_plan")

@@ -107,19 +107,19 @@ def near_links(fingerprints: DataFrame, radius: int = 4, segments: int = 3) -> D
     """``left, right``: the pairs of different values of the column ``fp`` within ``radius`` bits; a pair may repeat.
 
     ``fp`` must hold no value twice and no null.  More segments mean shorter
-    segments, so fewer probes a fingerprint (25, 47, ... rows at 3 and 2
-    segments' lengths) but longer table lists; 3 suit up to about 10^8 values,
-    2 more than that.
+    segments, so fewer probes a fingerprint but longer lists in the table: for
+    4 bits 3 segments (25 probes) suit up to about 10^8 values, 2 (some 300)
+    more than that.
     """
-    if not 0 < radius < BITS or not 0 < segments <= 16:
-        raise ValueError("radius from 1 to 63, segments from 1 to 16")
+    if not 0 < radius < BITS or not 2 <= segments <= 16:
+        raise ValueError("radius from 1 to 63, segments from 2 to 16")
     fp = F.col("fp")
     stored, probes, places = [], [], list(zip(_segments(segments), ball_radii(radius, segments)))
     for i, ((shift, width), reach) in enumerate(places):
         if reach < 0:
             continue
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
-        tag = i << 56 if width <= 56 else 0
+        tag = i << 56
         stored.append(value.bitwiseOR(F.lit(tag)))
         probes.append(F.struct(value.bitwiseOR(F.lit(tag)).alias("key"), F.lit(False).alias("moved")))
         for size in range(1, reach + 1):
@@ -160,9 +160,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = near_components(docs.select(key.alias("key"), text_col), "key", text_col, radius, segments, shingle)
     kept = pin(found.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("_rows")))
     named = kept.select(F.col("key.id").alias("_id"), F.col("key.hash").alias("_hash"), "_rows")
-    met = docs.join(named, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")))
-    single = met.where("_rows = 1").select(*docs.columns)
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("k._hash"))
+    met = docs.alias("d").join(named.alias("k"), same)
+    single = met.where(F.col("k._rows") == 1).select("d.*")
     if not kept.where("_rows > 1").limit(1).count():
         return single
-    repeated = met.where("_rows > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    repeated = met.where(F.col("k._rows") > 1).select(F.struct("d.*").alias("doc"), F.col("k._id").alias("id"), F.col("k._hash").alias("hash"))
+    return single.unionByName(repeated.dropDuplicates(["id", "hash"]).select("doc.*"))

@@ -339,9 +339,9 @@ def read_records(ranges: DataFrame) -> DataFrame:
     ddl = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import DataType
 
-    schema = to_arrow_schema(_parse_datatype_string(ddl))
+    schema = to_arrow_schema(DataType.fromDDL(ddl))
 
     def run(batches):
         import pyarrow as pa
