@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import pin, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -18,30 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local master may leave it unset; then a folder under the machine's
-    temporary one serves, since driver and executors are one process.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read from there: lineage ends, and lost executors cost nothing."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new folder's name in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
