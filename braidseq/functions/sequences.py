@@ -35,6 +35,18 @@ def oriented_slice(sequence: Column, start: Column, end: Column, orientation: Co
     return F.when(orientation == "+", part).otherwise(reverse_complement(part))
 
 
+def circular_slice(sequence: Column, start: Column, end: Column, orientation: Column) -> Column:
+    """As ``oriented_slice`` on a ring: where ``end`` is not beyond ``start``, the slice runs over the origin."""
+    over = F.when(end > start, end).otherwise(end + F.length(sequence))
+    return oriented_slice(F.concat(sequence, sequence), start, over, orientation)
+
+
+def read_partition(name: Column, seed: str, parts: int = 3) -> Column:
+    """The part, from 0, of a read: the first 8 bytes of SHA-256 of the seed, NUL and the name, as a number modulo ``parts``."""
+    digest = F.sha2(F.concat(F.lit(seed), F.lit("\0"), name), 256)
+    return F.pmod(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(parts).cast("decimal(20,0)")).cast("int")
+
+
 def illegal_symbols(sequence: Column) -> Column:
     """What is left when all legal symbols go; empty for a legal sequence."""
     return F.translate(F.upper(sequence), SYMBOLS, "")

@@ -224,4 +224,28 @@ ORACLE_SQL = {
     "diagonal_hits": _with(*_TILE_HITS)
     + " SELECT query_id, target_id, query_length, query_start, query_end, orientation, target_length, target_start, target_end, matching_bases, alignment_block_length FROM hits",
     "aligned_relationships": _with(*_TILE_HITS, _CLASSIFIED, _DECIDED) + " SELECT relationship_type, status, count(*) AS pairs FROM decided GROUP BY ALL",
+    "circular_slices": _with(CONTIGS_SQL)
+    + f""", cut AS (SELECT identifier, length(sequence) AS n, (2 * length(sequence)) // 3 AS a, length(sequence) // 4 AS e, sequence || sequence AS twice FROM contigs WHERE length(sequence) > 0
+      ), part AS (SELECT identifier, n, substr(twice, a + 1, CASE WHEN e > a THEN e ELSE e + n END - a) AS p FROM cut)
+      SELECT identifier, md5(CASE WHEN n % 2 = 0 THEN p ELSE {_RC.format('p')} END) AS slice_md5, length(p)::INT AS slice_length FROM part""",
+    "read_partitions": _with(_READS) + " SELECT DISTINCT name, (('0x' || substr(sha256('17' || chr(0) || name), 1, 16))::UBIGINT % 3)::INT AS part FROM reads",
+    "alignment_batches": _with(_LINE_HITS)
+    + """ SELECT query_id, target_id, 0::BIGINT AS part, ((row_number() OVER (PARTITION BY target_id ORDER BY query_id) - 1) // 20)::BIGINT AS batch
+        FROM (SELECT DISTINCT query_id, target_id FROM hits)""",
+    "unplanned_hits": _with(_LINE_HITS)
+    + """ SELECT query_id, count(*) AS hits FROM hits h
+        WHERE NOT EXISTS (SELECT 1 FROM hits p WHERE p.mapping_quality >= 16 AND p.query_id = h.query_id AND p.target_id = h.target_id) GROUP BY query_id""",
+    "pileup_decode": """WITH shown(k, seen) AS (VALUES (0, 'rrrA'), (1, 'G*rr'), (2, 'T'), (3, 'rrN'), (4, '')
+      ), places AS (SELECT substr('ACGT', (event_id % 4 + 1)::INT, 1) AS ref, replace(seen, 'r', substr('ACGT', (event_id % 4 + 1)::INT, 1)) AS seen,
+           CASE WHEN event_id % 2 = 0 THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END AS q FROM events JOIN shown ON k = event_id % 5
+      ), told AS (SELECT *, length(seen)::BIGINT AS depth,
+           array_to_string(list_filter(list_transform(['*', 'A', 'C', 'G', 'N', 'T'], lambda a: a || ':' || (length(seen) - length(replace(seen, a, '')))), lambda x: NOT ends_with(x, ':0')), ',') AS alleles
+           FROM places)
+      SELECT ref, depth, alleles, count(*) AS places, sum(CASE WHEN depth > 0 THEN q END) AS quality FROM told GROUP BY ALL""",
+    "extracted_reads": _with(_READS) + " SELECT reference, count(*) AS records FROM reads WHERE name IN (SELECT name FROM reads WHERE pos < 30) GROUP BY reference",
+    "junction_scores": _with(_READS, _SPANNING)
+    + """, told AS (SELECT case_id, CASE WHEN length(case_id) = 5 THEN 'deferred' WHEN spanning_reads >= 3 AND fraction >= 0.1 THEN 'supported' ELSE 'unsupported' END AS status FROM rated
+      ), met AS (SELECT i % 3 > 0 AS ok, coalesce(status, 'deferred') AS status FROM range(45) t(i) LEFT JOIN told ON case_id = 'case' || i)
+      SELECT count(*) AS cases, count(*) FILTER (ok AND status = 'supported') AS true_supported, count(*) FILTER (NOT ok AND status = 'supported') AS false_supported,
+        count(*) FILTER (ok AND status = 'unsupported') AS true_missed, count(*) FILTER (NOT ok AND status = 'unsupported') AS false_rejected, count(*) FILTER (status = 'deferred') AS deferred FROM met""",
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..functions.sequences import canonical, reverse_complement, strand
-from ..operators import aligner, catalogue, graph, hits, minimisers, reconcile
+from ..functions.sequences import canonical, circular_slice, read_partition, reverse_complement, strand
+from ..operators import aligner, catalogue, graph, hits, minimisers, planning, reconcile
 from ..session import pin
 from . import inputs
 
@@ -295,3 +295,57 @@ def benchmark_summary(spark, sf_dir):
         F.when(F.col("target_id").endswith("3"), "group").otherwise("").alias("ambiguity_group"),
     )
     return scoring.score_summary(scoring.score_cases(truth, decisions))
+
+
+@query
+def circular_slices(spark, sf_dir):
+    rows = inputs.contigs(spark, sf_dir).where(F.length("sequence") > 0)
+    start, end = F.lit(2) * F.length("sequence") / 3, F.length("sequence") / 4
+    part = circular_slice(F.col("sequence"), F.floor(start).cast("int"), F.floor(end).cast("int"), F.when(F.length("sequence") % 2 == 0, "+").otherwise("-"))
+    return rows.select("identifier", F.md5(part).alias("slice_md5"), F.length(part).alias("slice_length"))
+
+
+@query
+def read_partitions(spark, sf_dir):
+    return _reads(spark, sf_dir).select("name").distinct().select("name", read_partition(F.col("name"), "17").alias("part"))
+
+
+@query
+def alignment_batches(spark, sf_dir):
+    return planning.alignment_batches(inputs.hits(spark, sf_dir), 20)
+
+
+@query
+def unplanned_hits(spark, sf_dir):
+    found = inputs.hits(spark, sf_dir)
+    planned = found.where("mapping_quality >= 16").select("query_id", "target_id").distinct()
+    return planning.unplanned_hits(found, planned).groupBy("query_id").agg(F.count("*").alias("hits"))
+
+
+@query
+def pileup_decode(spark, sf_dir):
+    from ..operators import evidence
+
+    shapes = F.array(*[F.lit(x) for x in (".,^I.A", "g$*,-2AC.", "+11ACGTACGTACGt<>", "^+.^-,N", "")])
+    rows = inputs.table(spark, sf_dir, "events").select(
+        "event_id", F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), (F.col("event_id") % 4 + 1).cast("int")).alias("ref"),
+        F.element_at(shapes, (F.col("event_id") % 5 + 1).cast("int")).alias("bases"), F.element_at(F.array(F.lit("IIII"), F.lit("!5I")), (F.col("event_id") % 2 + 1).cast("int")).alias("qualities"),
+    )
+    return evidence.decode_pileup(rows).groupBy("ref", "depth", "alleles").agg(F.count("*").alias("places"), F.sum("mean_base_quality").alias("quality"))
+
+
+@query
+def extracted_reads(spark, sf_dir):
+    from ..operators import evidence
+
+    records = _reads(spark, sf_dir)
+    near = records.where("position < 30").select("name")
+    return evidence.extract_reads(records, near).groupBy("reference").agg(F.count("*").alias("records"))
+
+
+@query
+def junction_scores(spark, sf_dir):
+    from ..operators import evidence
+
+    truth = spark.range(45).select(F.concat(F.lit("case"), "id").alias("case_id"), (F.col("id") % 3 > 0).alias("junction_is_true"))
+    return evidence.junction_scores(truth, junction_support(spark, sf_dir))

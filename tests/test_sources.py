@@ -6,7 +6,8 @@ import pytest
 
 from braidseq.config import InputError
 from braidseq.operators.catalogue import catalogue_sequences
-from braidseq.sources import alignments, sequences, sinks
+from braidseq.operators import evidence, planning
+from braidseq.sources import alignments, sequences, sinks, truth
 from braidseq.streaming.catalogue import read_catalogue, stream_sources
 
 FASTA = ">one first > contig\nacgt\r\nAC GT\n>two\nNNRY\n"
@@ -82,3 +83,37 @@ def test_scale_sequences_have_the_published_counters(spark):
 
     for i in range(3):
         assert got[f"contig-{i}"] == "".join("ACGT"[b % 4] * 4 for b in hashlib.sha256(f"contig-{i}".encode()).digest())[:100]
+
+
+def test_truth_tables(spark, tmp_path):
+    path = tmp_path / "t.tsv"
+    row = lambda q, status="VALID", start="0": "\t".join([q, "t", "EXACT_MATCH", ".", status, "true", "10", "100.0", start, "10", "0", "10", "", f"case_{q}", "why"])
+    path.write_text("\n".join(["\t".join(truth.RELATIONSHIP_COLUMNS), row("a"), row("b", "ODD"), row("c", start="x"), row("d"), row("d"), row("e", start="11")]) + "\n")
+    rows = truth.read_relationship_truth(spark, str(path)).collect()
+    assert sorted((r["query_id"], r["error"]) for r in rows if r["error"]) == [("b", "status"), ("c", "a value is malformed"), ("d", "repeated pair"), ("d", "repeated pair"), ("e", "interval")]
+    assert next(r for r in rows if r["query_id"] == "a")["expected_orientation"] is None
+    path.write_text("\n".join(["\t".join(truth.JUNCTION_COLUMNS), "c1\ta\tb\ttrue\t5\tfalse\t3\t2\tyes\twhy", "c2\ta\tc\ttrue\t-5\tfalse\t3\t2\tyes\twhy"]) + "\n")
+    assert [(r["case_id"], r["error"]) for r in truth.read_junction_truth(spark, str(path)).orderBy("case_id").collect()] == [("c1", None), ("c2", "a number is negative")]
+    path.write_text("case_id\n")
+    with pytest.raises(InputError, match="expected"):
+        truth.read_junction_truth(spark, str(path))
+
+
+def test_paf_as_evidence(spark, tmp_path):
+    path = tmp_path / "e.paf"
+    line = lambda name, end, *tags: "\t".join([name, "10", "0", "10", "+", "t", "90", "5", str(end), "10", "10", "60", *tags])
+    path.write_text("\n".join([line("a", 15, "tp:A:P", "cg:Z:10M"), line("b", 15, "tp:A:S", "cg:Z:10M"), line("c", 16, "tp:A:P", "cg:Z:10M"), line("d", 15, "tp:A:P")]) + "\n")
+    rows = {r["name"]: r for r in evidence.paf_evidence(alignments.read_paf(spark, str(path))).collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {"a": None, "c": "CIGAR and coordinates differ", "d": "no CIGAR"}
+    assert [tuple(b) for b in rows["a"]["blocks"]] == [(5, 15)]
+
+
+def test_plan_errors_and_batches(spark, monkeypatch):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "b"), ("b", "z")], "query_id string, target_id string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "sequence_id string")
+    assert sorted(r["error"] for r in planning.plan_errors(pairs, known).collect()) == ["not in order", "repeated pair", "unknown target_id"]
+    monkeypatch.setattr(planning, "NUMBERED_TOGETHER", 10)
+    many = spark.range(45).selectExpr("concat('q', id) AS query_id", "'t' AS target_id")
+    sizes = planning.alignment_batches(many, 4).groupBy("target_id", "part", "batch").count().collect()
+    assert sum(r["count"] for r in sizes) == 45 and max(r["count"] for r in sizes) <= 4
+    assert planning.alignment_batches(many.limit(0), 4).count() == 0
