@@ -24,7 +24,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long documents in overlapping tiles, every other one on the other strand; of every third document a prefix and a slice inside it instead."""
+    """A fixture, for the queries whose SQL is on it: long documents in overlapping tiles, every other one on the other strand; of every third document a prefix and a slice inside it instead."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", text_as_sequence(F.col("text")).alias("s")).where(F.length("s") >= TILED_FROM)
     last = F.expr(f"(length(s) - {TILE_LENGTH}) div {TILE_STRIDE}")
     cut = rows.where("doc_id % 3 <> 0").select("doc_id", "source", "s", F.explode(F.sequence(F.lit(0), last)).alias("i"))
@@ -39,6 +39,20 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every letter of every document: overlapping tiles, the last one to the document's end; every other one on the other strand."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", text_as_sequence(F.col("text")).alias("s"))
+    rows = rows.withColumn("last", F.expr(f"greatest(0, cast((length(s) - {TILE_LENGTH}) div {TILE_STRIDE} as int))"))
+    cut = rows.select("doc_id", "source", "s", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    piece = F.expr(f"substring(s, i * {TILE_STRIDE} + 1, if(i = last, length(s), {TILE_LENGTH}))")
+    cut = cut.select("doc_id", "source", "i", piece.alias("piece"))
+    return cut.select(
+        F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("identifier"), F.col("source").alias("source_sample"),
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("original_identifier"),
+        F.when(F.col("i") % 2 == 1, reverse_complement(F.col("piece"))).otherwise(F.col("piece")).alias("sequence"), F.col("i").alias("source_ordinal"),
+    )
+
+
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _S0 = "translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 

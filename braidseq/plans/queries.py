@@ -163,11 +163,11 @@ def graph_components(spark, sf_dir):
     return graph.node_components(nodes, edges).select("node", "component_id", F.col("members").cast("long").alias("members"))
 
 
-# --- the whole reconciliation, on tiles
+# --- the whole reconciliation, on tiles of every document
 
 
 def _tile_run(spark, sf_dir) -> dict[str, DataFrame]:
-    sources = inputs.tiles(spark, sf_dir)
+    sources = inputs.document_tiles(spark, sf_dir)
     sequences = pin(_sequences(sources))
     pairs = pin(minimisers.seed_pairs(_seeds(sequences)))
     candidates = pin(minimisers.candidate_pairs(pairs, sequences.select("sequence_id", "length"), CONFIG))
@@ -177,19 +177,35 @@ def _tile_run(spark, sf_dir) -> dict[str, DataFrame]:
     return {"sequences": sequences, "members": members, "decisions": decisions, "candidates": candidates} | reconcile.reconcile(sequences, members, decisions, CONFIG)
 
 
-@query
-def diagonal_hits(spark, sf_dir):
-    sequences = pin(_sequences(inputs.tiles(spark, sf_dir)))
+def _aligned(sources: DataFrame) -> DataFrame:
+    sequences = pin(_sequences(sources))
     pairs = pin(minimisers.seed_pairs(_seeds(sequences)))
     candidates = minimisers.candidate_pairs(pairs, sequences.select("sequence_id", "length"), CONFIG)
     return aligner.diagonal_hits(candidates, pairs, sequences, CONFIG)
 
 
+@query
+def diagonal_hits(spark, sf_dir):
+    """On the fixture that its SQL has; ``document_hits`` takes every document."""
+    return _aligned(inputs.tiles(spark, sf_dir))
+
+
 @query
 def aligned_relationships(spark, sf_dir):
+    """On the fixture that its SQL has; ``document_relationships`` takes every document."""
     return hits.relationship_histogram(hits.classify_pairs(diagonal_hits(spark, sf_dir), CONFIG))
 
 
+@query
+def document_hits(spark, sf_dir):
+    return _aligned(inputs.document_tiles(spark, sf_dir))
+
+
+@query
+def document_relationships(spark, sf_dir):
+    return hits.relationship_histogram(hits.classify_pairs(document_hits(spark, sf_dir), CONFIG))
+
+
 @query
 def component_ambiguity(spark, sf_dir):
     return _tile_run(spark, sf_dir)["components"]
