@@ -107,3 +107,13 @@ FROM (
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HITS_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+def unfolded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hits`` with an id for each order and each part, so the graph grows with the table."""
+    text = HITS_SQL
+    for folded, own in (("CAST(l_orderkey % 1500 AS STRING)", "CAST(l_orderkey AS STRING)"), ("CAST(l_partkey % 40 AS STRING)", "CAST(l_partkey AS STRING)")):
+        if text.count(folded) != 1:
+            raise ValueError(f"HITS_SQL has no single {folded}")
+        text = text.replace(folded, own)
+    return spark.sql(text.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))

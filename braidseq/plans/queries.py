@@ -158,11 +158,21 @@ def graph_edges(spark, sf_dir):
 
 @query
 def graph_components(spark, sf_dir):
+    """Over containments alone, as its SQL has it; ``relationship_components`` takes edges of every kind."""
     edges = pin(graph.graph_edges(_decisions(spark, sf_dir)).where("kind = 'containment'"))
     nodes = inputs.hits(spark, sf_dir).select(F.col("query_id").alias("sequence_id")).union(inputs.hits(spark, sf_dir).select("target_id")).distinct()
     return graph.node_components(nodes, edges).select("node", "component_id", F.col("members").cast("long").alias("members"))
 
 
+@query
+def relationship_components(spark, sf_dir):
+    """Over edges of every kind, of hits whose ids grow with the table."""
+    found = pin(inputs.unfolded_hits(spark, sf_dir))
+    edges = pin(graph.graph_edges(hits.classify_pairs(found, CONFIG)))
+    nodes = found.select(F.col("query_id").alias("sequence_id")).union(found.select("target_id")).distinct()
+    return graph.node_components(nodes, edges).select("node", "component_id", F.col("members").cast("long").alias("members"))
+
+
 # --- the whole reconciliation, on tiles of every document
 
 

@@ -1,8 +1,12 @@
 """The registered queries take the whole of their tables."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from braidseq.config import RunConfig
 from braidseq.functions.sequences import reverse_complement, text_as_sequence
+from braidseq.operators import graph, hits
 from braidseq.plans import inputs
 from braidseq.plans.queries import QUERIES
 
@@ -27,3 +31,25 @@ def test_tiles_hold_every_letter_of_every_document(spark, tmp_path):
 def test_every_document_is_in_provenance(spark):
     got = {r[0] for r in QUERIES["merge_provenance"](spark, SF).select(F.split("source_contig", ":")[0].cast("long")).collect()}
     assert got == {r[0] for r in inputs.table(spark, SF, "documents").select("doc_id").collect()}
+
+
+def test_components_join_edges_of_every_kind(spark):
+    found = inputs.unfolded_hits(spark, SF).cache()
+    edges = graph.graph_edges(hits.classify_pairs(found, RunConfig())).select("query_id", "target_id", "kind").collect()
+    assert {e["kind"] for e in edges} == {"ambiguous", "containment", "overlap"}
+    group = {r[0]: r[0] for r in found.selectExpr("explode(array(query_id, target_id))").distinct().collect()}
+    assert len(group) > 1540
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for e in edges:
+        low, high = sorted((root(e["query_id"]), root(e["target_id"])))
+        group[high] = low
+    members = {}
+    for x in sorted(group):
+        members.setdefault(root(x), []).append(x)
+    wanted = {x: ("component_" + hashlib.sha256("\0".join(m).encode()).hexdigest()[:20], len(m)) for m in members.values() for x in m}
+    assert {r["node"]: (r["component_id"], r["members"]) for r in QUERIES["relationship_components"](spark, SF).collect()} == wanted
