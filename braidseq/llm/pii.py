@@ -20,6 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from .common import append_columns
+from .top_labels import TOP_LABELS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -233,62 +234,111 @@ _DOTS = re.compile(_DOT, re.I)
 _LABEL = "[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*"
 _TOP = re.compile("[A-Za-z]{2,24}")
 _LABELS = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
-#: Last labels that make "x at y dot z" an address where both signs are plain words.
+#: Last labels that make "x at y dot z" an address, where both signs are plain words.
 _TOPS = frozenset("com net org edu gov mil int info biz name pro io ai app dev me tv cc co us uk ca au nz ie de at ch fr be nl lu es pt it eu se no dk fi pl cz ru in cn jp kr br mx ar cl za test example invalid local".split())
-_NAME = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})*[A-Za-z0-9_%+-]+$", re.I)
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_DOT_ENDS, _LONGEST_DOT = re.compile(rf"{_DOT}\Z", re.I), 19
 _NUMBER = r"[0-9](?:[ ]?[0-9]){0,2}"
+#: A number of three digits one by one; fewer may be another number before an address.
+_SPACED = re.compile(r"(?<![0-9])[0-9] [0-9] [0-9](?![0-9])")
 _ADDRESS = re.compile(rf"(?<![0-9.]){_NUMBER}(?:{_DOT}{_NUMBER}){{3}}(?![0-9])", re.I)
-_HINT = re.compile(r"dot|punkt|point|punto|[(\[{<][ ]{0,3}(?:@|\.|at|ar|ät)|&#|[ ]@|@[ ]|_at_|[0-9._%+][ ]{1,3}(?:at|arroba|arobase)[ ]", re.I)
+#: Lies in every match of _AT, which reaches at most so many characters farther; quicker to look for.
+_AT_CORE = re.compile(rf"(?<=[ (\[{{<]){_AT_WORD}(?=[ )\]}}>])|@|_at_|&#64;", re.I)
+_AT_MARGIN = 7
 _LOOK_BACK = 128
 
 
+def _at_signs(text: str):
+    """The matches of _AT, one after the other."""
+    done = 0
+    for core in _AT_CORE.finditer(text):
+        at = _AT.search(text, max(done, core.start() - _AT_MARGIN), core.end() + _AT_MARGIN) if core.end() > done else None
+        if at is not None:
+            done = at.end()
+            yield at
+
+
+def _full_stop(dot: str) -> bool:
+    """A full stop with spaces, which may end a sentence."""
+    return dot != "." and dot.strip(" ") == "."
+
+
+def _name_start(text: str, floor: int, end: int) -> int:
+    """Where the name that ends at ``end`` begins: runs of its characters with dots, plain or disguised, between them."""
+    start = end
+    while True:
+        at = start
+        while at > floor and text[at - 1] in _NAME_CHARS:
+            at -= 1
+        if at == start:
+            return found if start < end else end
+        found = start = at
+        dot = _DOT_ENDS.search(text, max(floor, at - _LONGEST_DOT), at)
+        if dot is None or dot.start() == floor or text[dot.start() - 1] not in _NAME_CHARS:
+            return found
+        start = dot.start()
+
+
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits of addresses with a disguised sign: mail addresses, and IP addresses with disguised dots."""
-    if not _HINT.search(text):
-        return []
     edits: dict[int, tuple[int, int, str]] = {}
 
     def put(start: int, end: int, new: str) -> None:
         if text[start:end] != new:
             edits[start] = (start, end, new)
 
-    for at in _AT.finditer(text):
+    floor = 0  # a name doesn't reach over a sign that has a domain, so no name is read twice
+    for at in _at_signs(text):
         site = _LABELS.match(text, at.end())
         if site is None:
             continue
+        low, floor = floor, at.end()
+        start = _name_start(text, max(low, at.start() - _LOOK_BACK), at.start())
+        if start == at.start():
+            continue
+        before = list(_DOTS.finditer(text, start, at.start()))
+        # Spaced full stops before the name end sentences; only what is after the last of them counts.
+        for k in range(len(before) - 1, -1, -1):
+            if _full_stop(before[k].group()):
+                start = before[k].end()
+                before = before[k + 1 :]
+                break
         dots = list(_DOTS.finditer(text, site.start(), site.end()))
         bare = at.group().strip().isalpha()
-        if bare and all(d.group() == "." for d in dots):  # "at" may be a word here
-            name = _NAME.search(text, max(0, at.start() - _LOOK_BACK), at.start())
-            if name is None or not re.search(r"[0-9._%+]", name.group()):
-                continue
-        # Words may follow the address: its last label is of letters.
+        dotted = any(d.group() != "." for d in before)
+        signed = re.search(r"[0-9._%+]", text[start : at.start()]) is not None
+        if bare and not signed and all(d.group() == "." for d in dots):  # "at" may be a word here
+            continue
+        # So do those after a whole domain that has other dots.
         end = site.end()
+        for k in range(1, len(dots)):
+            whole = text[dots[k - 1].end() : dots[k].start()].lower() in TOP_LABELS
+            if whole and _full_stop(dots[k].group()) and not all(_full_stop(d.group()) for d in dots[:k]):
+                end = dots[k].start()
+                dots = dots[:k]
+                break
+        # Words may follow the address: its last label is of letters.
         while dots and not _TOP.fullmatch(text, dots[-1].end(), end):
             end = dots.pop().start()
         if not dots:
             continue
-        if bare and all(d.group().strip().isalpha() or d.group() == "." for d in dots) and text[dots[-1].end() : end].lower() not in _TOPS:
-            continue
-        name = _NAME.search(text, max(0, at.start() - _LOOK_BACK), at.start())
-        if name is None:
-            continue
-        before = list(_DOTS.finditer(text, name.start(), name.end()))
+        top = text[dots[-1].end() : end].lower()
+        if bare and all(d.group().strip().isalpha() or d.group() == "." for d in dots):
+            if top not in _TOPS:
+                continue
         if at.group() == "@" and all(d.group() == "." for d in [*before, *dots]):
             continue  # a plain address
-        # Spaced full stops before the name end sentences; only those after the last of them count.
-        for k in range(len(before) - 1, -1, -1):
-            if before[k].group() != "." and not re.search(r"[a-z(\[{<&]", before[k].group(), re.I):
-                before = before[k + 1 :]
-                break
+        if at.group() == "@" and not dotted and all(d.group() == "." or _full_stop(d.group()) for d in dots) and top not in TOP_LABELS:
+            continue  # a sentence ends behind the sign
         put(at.start(), at.end(), "@")
         for d in [*before, *dots]:
             put(d.start(), d.end(), ".")
-    for m in _ADDRESS.finditer(text):
-        if re.fullmatch(r"[0-9.]+", m.group()):
+    for m in _ADDRESS.finditer(text) if _DIGIT.search(text) else ():
+        inner = list(_DOTS.finditer(text, m.start(), m.end()))
+        if all(d.group() == "." for d in inner) and not _SPACED.search(m.group()):
             continue
         at = m.start()
-        for d in _DOTS.finditer(text, m.start(), m.end()):
+        for d in inner:
             if " " in text[at : d.start()]:
                 put(at, d.start(), text[at : d.start()].replace(" ", ""))
             put(d.start(), d.end(), ".")
