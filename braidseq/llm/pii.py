@@ -234,7 +234,7 @@ _DOTS = re.compile(_DOT, re.I)
 _LABEL = "[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*"
 _TOP = re.compile("[A-Za-z]{2,24}")
 _LABELS = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
-#: Last labels that make "x at y dot z" an address, where both signs are plain words.
+#: Last labels that make "x at y point z" an address, where all signs are words of plain prose too.
 _TOPS = frozenset("com net org edu gov mil int info biz name pro io ai app dev me tv cc co us uk ca au nz ie de at ch fr be nl lu es pt it eu se no dk fi pl cz ru in cn jp kr br mx ar cl za test example invalid local".split())
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 _DOT_ENDS, _LONGEST_DOT = re.compile(rf"{_DOT}\Z", re.I), 19
@@ -245,7 +245,6 @@ _ADDRESS = re.compile(rf"(?<![0-9.]){_NUMBER}(?:{_DOT}{_NUMBER}){{3}}(?![0-9])",
 #: Lies in every match of _AT, which reaches at most so many characters farther; quicker to look for.
 _AT_CORE = re.compile(rf"(?<=[ (\[{{<]){_AT_WORD}(?=[ )\]}}>])|@|_at_|&#64;", re.I)
 _AT_MARGIN = 7
-_LOOK_BACK = 128
 
 
 def _at_signs(text: str):
@@ -293,7 +292,7 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
         if site is None:
             continue
         low, floor = floor, at.end()
-        start = _name_start(text, max(low, at.start() - _LOOK_BACK), at.start())
+        start = _name_start(text, low, at.start())
         if start == at.start():
             continue
         before = list(_DOTS.finditer(text, start, at.start()))
@@ -306,7 +305,7 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
         dots = list(_DOTS.finditer(text, site.start(), site.end()))
         bare = at.group().strip().isalpha()
         dotted = any(d.group() != "." for d in before)
-        signed = re.search(r"[0-9._%+]", text[start : at.start()]) is not None
+        signed = dotted or re.search(r"[0-9._%+]", text[start : at.start()]) is not None
         if bare and not signed and all(d.group() == "." for d in dots):  # "at" may be a word here
             continue
         # So do those after a whole domain that has other dots.
@@ -324,8 +323,12 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
             continue
         top = text[dots[-1].end() : end].lower()
         if bare and all(d.group().strip().isalpha() or d.group() == "." for d in dots):
-            if top not in _TOPS:
-                continue
+            words = {d.group().strip().lower() for d in dots} - {"."}
+            if at.group().strip().lower() == "at" and not dotted:
+                # "at this point it" is prose; "dot", or a sign in the name, is not.
+                prose = not signed and "dot" not in words
+                if top not in (_TOPS if prose else TOP_LABELS):
+                    continue
         if at.group() == "@" and all(d.group() == "." for d in [*before, *dots]):
             continue  # a plain address
         if at.group() == "@" and not dotted and all(d.group() == "." or _full_stop(d.group()) for d in dots) and top not in TOP_LABELS:

@@ -1,4 +1,4 @@
-"""Disguised signs: nothing far away decides."""
+"""Disguised signs: nothing far away decides, and no label or length is left out."""
 
 import time
 
@@ -17,6 +17,11 @@ FOUND = [
     ("mail john@example . com", "email", "john@example . com"),
     ("host 10 . 0 . 0 . 7 up", "ip", "10 . 0 . 0 . 7"),
     ("an max.m ät firma.de", "email", "max.m ät firma.de"),
+    ("mail jane dot doe at example.com", "email", "jane dot doe at example.com"),
+    *[(f"mail john at example dot {top} now", "email", f"john at example dot {top}") for top in ("hu", "gr", "tr", "ua", "xyz", "online", "museum")],
+    ("mail john arroba example punto nowhere", "email", "john arroba example punto nowhere"),
+    ("a_b at example.hu", "email", "a_b at example.hu"),
+    ("mail " + "part dot " * 40 + "end at example dot com", "email", "part dot " * 40 + "end at example dot com"),
 ]
 NOTHING = ["look at example.com", "we stopped . He looked at example.com", "mail a@b.co . Then go", "see john@example . He said", "at this point we go", "he sat at the dot of noon", "arrived at that point is", "server 2 10.0.0.7 up"]
 
