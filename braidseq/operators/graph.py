@@ -6,6 +6,8 @@ without a relationship make no edge.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,14 +90,48 @@ def with_children(containments: DataFrame) -> DataFrame:
 def node_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component_id, members``: over edges of every kind; a node without one is a component of its own.
 
-    A component is named by the digest of its sorted members, so the members of
-    one component are gathered to a row: the answer holds them anyway.
+    A component is named by the digest of its sorted members, whose names run
+    through one hash; they are never in one row.
     """
     found = connected_components(edges, "query_id", "target_id", pin)
-    labels = nodes.select(F.col("sequence_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
-    named = labels.groupBy("root").agg(F.array_sort(F.collect_list("node")).alias("members"))
-    named = named.select("root", "members", F.concat(F.lit("component_"), F.substring(F.sha2(F.array_join("members", "\0"), 256), 1, 20)).alias("component_id"))
-    return labels.join(named, "root").select("node", "component_id", F.size("members").alias("members"))
+    labels = pin(nodes.select(F.col("sequence_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root")))
+    named = digest_of_each(labels.select("root", "node", F.col("node").alias("value")), "root", ["node"], "component_")
+    return labels.join(named, "root").select("node", F.col("digest").alias("component_id"), F.col("rows").alias("members"))
+
+
+def digest_of_each(rows: DataFrame, key: str, order: list[str], prefix: str) -> DataFrame:
+    """``<key>, digest, rows``: the content id of a key's ``value`` strings in the order given, and their count.
+
+    The rows are sorted on disk and run through one hash, so a key of any size
+    takes no more memory than a batch; a key's rows pass one task.
+    """
+
+    def work(batches):
+        import pyarrow as pa
+
+        now, digest, count = None, None, 0
+
+        def done():
+            return pa.RecordBatch.from_pydict({key: [now], "digest": [prefix + digest.hexdigest()[:20]], "rows": pa.array([count], pa.int32())})
+
+        for batch in batches:
+            ended = []
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or k != now:
+                    if digest is not None:
+                        ended.append(done())
+                    now, digest, count = k, sha256(), 0
+                if count:
+                    digest.update(b"\0")
+                digest.update(value.encode())
+                count += 1
+            if ended:
+                yield pa.Table.from_batches(ended).combine_chunks().to_batches()[0]
+        if digest is not None:
+            yield done()
+
+    dealt = rows.where(F.col(key).isNotNull() & F.col("value").isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+    return dealt.select(key, "value").mapInArrow(work, f"{key} string, digest string, rows int")
 
 
 def component_ambiguity(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -53,3 +53,23 @@ def test_components_join_edges_of_every_kind(spark):
         members.setdefault(root(x), []).append(x)
     wanted = {x: ("component_" + hashlib.sha256("\0".join(m).encode()).hexdigest()[:20], len(m)) for m in members.values() for x in m}
     assert {r["node"]: (r["component_id"], r["members"]) for r in QUERIES["relationship_components"](spark, SF).collect()} == wanted
+
+
+def test_names_of_components_and_paths_gather_no_rows(spark):
+    nodes = spark.range(3000).selectExpr("concat('n', id) as sequence_id")
+    edges = spark.range(2000).selectExpr("concat('n', id) as query_id", "concat('n', id + 1) as target_id")
+    named = graph.node_components(nodes, edges)
+    assert "collect_list" not in named._jdf.queryExecution().toString()
+    got = {r["node"]: (r["component_id"], r["members"]) for r in named.collect()}
+    one = "component_" + hashlib.sha256("\0".join(sorted(f"n{i}" for i in range(2001))).encode()).hexdigest()[:20]
+    assert len(got) == 3000 and all(got[f"n{i}"] == (one, 2001) for i in range(2001))
+    assert got["n2500"] == ("component_" + hashlib.sha256(b"n2500").hexdigest()[:20], 1)
+    paths = QUERIES["linear_paths"](spark, SF)
+    assert "collect_list" not in paths._jdf.queryExecution().toString()
+    walks = {}
+    for r in sorted(paths.collect(), key=lambda r: r["step"]):
+        walks.setdefault((r["path_id"], r["component_id"]), []).append(r)
+    assert max(map(len, walks.values())) > 2
+    for (path, component), walk in walks.items():
+        parts = [component, *[f"{r['sequence_id']}:{r['strand']}" for r in walk], *[r["edge_id"] for r in walk if r["edge_id"]]]
+        assert path == "path_" + hashlib.sha256("\0".join(parts).encode()).hexdigest()[:20]
