@@ -135,8 +135,10 @@ _LOOKALIKE = {
     **dict(zip("аеіјорсѕухԁѡһӏԛ", "aeijopcsyxdwhlq", strict=True)),
     **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX", strict=True)),
     **dict(zip("ανορικχγ", "avopikxy", strict=True)),
-    **dict(zip("ɑɡıℓ", "agil", strict=True)),
+    **dict(zip("ɑɡıℓİſK", "agilIsK", strict=True)),
 }
+# Ligatures stand for several letters.
+_LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
 _SIGNS = {
     " ": " ", " ": " ", " ": " ", " ": " ", " ": " ", "　": " ",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", "⁃": "-",
@@ -159,6 +161,7 @@ def _glyphs() -> tuple[dict[str, str], re.Pattern]:
                 plain = str(digit)
             if len(plain) == 1 and plain.isascii() and c not in table:
                 table[c] = plain
+    table |= {c: unicodedata.normalize("NFKC", c) for c in _LIGATURES}
     return table, re.compile("[" + "".join(map(re.escape, sorted(table))) + "]+")
 
 
@@ -192,11 +195,18 @@ _NUMERAL = rf"(?:(?:(?:double|triple)[ -])?{_WORD}(?![^\W_])|[0-9]+)"
 _BREAK = r"[ ,/-]{1,3}"
 _DOT_BEFORE, _DOT_AFTER = re.compile(r"(?:dot|punkt|point|punto)[ ]$", re.I), re.compile(r"[ ](?:dot|punkt|point|punto)[ ]", re.I)
 _SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD}|double|triple|plus)(?![^\W_])", re.I)
+#: Characters that patterns without regard to case take for ASCII letters, though lower() does not give those.
+_CASE_FOLDS = str.maketrans("ıİſK", "iisk")
 #: From a spelled digit on: the rest of a run of numerals.
 _RUN = re.compile(rf"(?:plus[ ])?{_NUMERAL}(?:{_BREAK}{_NUMERAL})*", re.I)
 _PART = re.compile(rf"(plus)[ ]|(?:(double|triple)[ -])?({_WORD})(?![^\W_])|([0-9]+)|({_BREAK})", re.I)
 
 
+def _folded(word: str) -> str:
+    """``word`` as the tables have it, for every spelling that the patterns let through."""
+    return word.translate(_CASE_FOLDS).lower()
+
+
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     """Runs with at least two numerals, one of them spelled, or one spelled next to digits or a spelled dot."""
     edits, done = [], 0
@@ -217,7 +227,7 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
             if p[1]:
                 edits.append((p.start(), p.end(), "+"))
             elif p[3]:
-                edits.append((p.start(), p.end(), _DIGIT_WORDS[p[3].lower()] * _TIMES.get((p[2] or "").lower(), 1)))
+                edits.append((p.start(), p.end(), _DIGIT_WORDS[_folded(p[3])] * _TIMES.get(_folded(p[2] or ""), 1)))
             elif p[5] and p[5] not in (" ", "-"):
                 edits.append((p.start(), p.end(), " "))
         done = run.end()
@@ -323,8 +333,8 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
             continue
         top = text[dots[-1].end() : end].lower()
         if bare and all(d.group().strip().isalpha() or d.group() == "." for d in dots):
-            words = {d.group().strip().lower() for d in dots} - {"."}
-            if at.group().strip().lower() == "at" and not dotted:
+            words = {_folded(d.group().strip()) for d in dots} - {"."}
+            if _folded(at.group().strip()) == "at" and not dotted:
                 # "at this point it" is prose; "dot", or a sign in the name, is not.
                 prose = not signed and "dot" not in words
                 if top not in (_TOPS if prose else TOP_LABELS):
@@ -385,7 +395,10 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans`` (base and added): arrays of kind, start, end, by kind and start.
 
-    Offsets are code points, ends exclusive.  Null and empty texts have none.
+    Offsets are code points, ends exclusive.  Null and empty texts have none;
+    texts of any length are read whole.  Repeated rows are rows of their own,
+    other columns pass through, columns of ``docs`` named like a result are
+    replaced, and an empty table gives an empty result.
     """
     ddl = "base_spans array<struct<kind: string, start: int, end: int>>, spans array<struct<kind: string, start: int, end: int>>"
 

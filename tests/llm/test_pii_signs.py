@@ -1,5 +1,6 @@
 """Disguised signs: nothing far away decides, and no label or length is left out."""
 
+import random
 import time
 
 import pytest
@@ -50,3 +51,41 @@ def test_time_is_linear_in_the_text():
         disguised_spans(text * (400_000 // len(text)), [])
         took.append(time.perf_counter() - began)
     assert max(took) < 20, took
+
+
+def test_every_case_variant_of_a_digit_word_is_read():
+    """Patterns without regard to case match more characters than lower() maps; none of them may end a job."""
+    from braidseq.llm.pii import _DIGIT_WORDS, _TIMES, spelled_edits
+
+    others = {"i": "iIıİ", "s": "sSſ", "k": "kKK"}
+    for word in [*_DIGIT_WORDS, *_TIMES]:
+        variants = {word, word.upper(), word.title()}
+        for k, c in enumerate(word):
+            variants |= {word[:k] + x + word[k + 1 :] for x in others.get(c, c + c.upper())}
+        for v in variants:
+            text = f"call {v} two three 4"
+            spelled_edits(text)
+            plain = word in _TIMES
+            assert [e[2] for e in spelled_edits(text)][0] == ("2" * _TIMES[word] if plain else _DIGIT_WORDS[word]), v
+            disguised_spans(text, plain_spans(text))
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("ask x (at) exaſmple (dot) com", "x (at) exaſmple (dot) com"),
+        ("ask x (at) oﬃce (dot) com", "x (at) oﬃce (dot) com"),
+        ("ask jİm@example.com", "jİm@example.com"),
+    ],
+)
+def test_letters_that_fold_to_ascii(text, found):
+    assert [text[s:e] for _, s, e in disguised_spans(text, plain_spans(text))] == [found]
+
+
+def test_random_mixtures_end_no_job():
+    rng = random.Random(9)
+    pieces = ["ſ", "İ", "ı", "K", "ﬁ", "six", "nine", "double", "plus", "at", "dot", "@", ".", " ", "-", "4111", "(", ")", "x", "\u200b", "_at_", "&#46;", "com", "é", "日本", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        for kind, s, e in disguised_spans(text, plain_spans(text)):
+            assert 0 <= s < e <= len(text) and kind in ("email", "ip", "card", "phone")
