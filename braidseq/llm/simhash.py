@@ -8,9 +8,13 @@ in a table of the segments of all fingerprints; matches are verified on the
 complete distance inside the join, so that only true links leave it.
 
 Documents with one fingerprint are one node: a group of copies, however large,
-is one row of every table, and only links between different fingerprints are
-made.  Of the two directions of a probe only that from the side whose lowest
-differing bit is 0 is enumerated.
+is one row of every table.  A cloud of near copies is first joined by stars:
+each fingerprint is compared with the least one that has its segment.  After
+that only links between different stars leave the join, as pairs of stars.
+
+``near_components`` links by fingerprints alone.  ``keep_one_of_each`` takes
+fingerprints as a search only and links texts by the exact similarity of their
+word shingles.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import join_named
 from .common import append_columns, pin
 
 BITS = 64
+#: Up to so many different fingerprints three segments are used, two beyond it: longer segments, so shorter lists in the table.
+THREE_SEGMENTS_UPTO = 100_000_000
 
 
 def _fingerprinter(text_col: str, shingle: int, seed: int):
@@ -103,13 +110,37 @@ def _segments(segments: int) -> list[tuple[int, int]]:
     return out
 
 
+def _number_of_segments(nodes: int) -> int:
+    return 3 if nodes <= THREE_SEGMENTS_UPTO else 2
+
+
+def _tagged(value: Column, segment: int) -> Column:
+    """The key of a segment's value; BITS / 2 bits of value at most."""
+    return value.bitwiseOR(F.lit(segment << 56))
+
+
+def _segment_keys(fp: Column, segments: int, reaches: list[int]) -> list[Column]:
+    """The keys of all values within ``reaches[i]`` bits of segment ``i`` of ``fp``; -1: none."""
+    keys = []
+    for i, ((shift, width), reach) in enumerate(zip(_segments(segments), reaches, strict=True)):
+        value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+        for size in range(reach + 1):
+            keys += [_tagged(value.bitwiseXOR(F.lit(sum(1 << b for b in bits))), i) for bits in combinations(range(width), size)]
+    return keys
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
 def near_links(fingerprints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """``left, right``: the pairs of different values of the column ``fp`` within ``radius`` bits; a pair may repeat.
 
-    ``fp`` must hold no value twice and no null.  More segments mean shorter
-    segments, so fewer probes a fingerprint but longer lists in the table: for
-    4 bits 3 segments (25 probes) suit up to about 10^8 values, 2 (some 300)
-    more than that.
+    ``fp`` must hold no value twice and no null.  If there is a column
+    ``group``, only pairs of different groups are given, with ``left_group`` and
+    ``right_group``.  More segments mean shorter segments, so fewer probes a
+    fingerprint but longer lists in the table: for 4 bits 3 segments (25
+    probes) suit up to about 10^8 values, 2 (some 300) more than that.
     """
     if not 0 < radius < BITS or not 2 <= segments <= 16:
         raise ValueError("radius from 1 to 63, segments from 2 to 16")
@@ -119,46 +150,217 @@ def near_links(fingerprints: DataFrame, radius: int = 4, segments: int = 3) -> D
         if reach < 0:
             continue
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
-        tag = i << 56
-        stored.append(value.bitwiseOR(F.lit(tag)))
-        probes.append(F.struct(value.bitwiseOR(F.lit(tag)).alias("key"), F.lit(False).alias("moved")))
+        stored.append(_tagged(value, i))
+        probes.append(F.struct(_tagged(value, i).alias("key"), F.lit(False).alias("moved")))
         for size in range(1, reach + 1):
             for bits in combinations(range(width), size):
                 mask = sum(1 << b for b in bits)
-                moved = F.struct(value.bitwiseXOR(F.lit(mask)).bitwiseOR(F.lit(tag)).alias("key"), F.lit(True).alias("moved"))
+                moved = F.struct(_tagged(value.bitwiseXOR(F.lit(mask)), i).alias("key"), F.lit(True).alias("moved"))
+                # Of the two directions of a probe only that from the side whose lowest differing bit is 0.
                 probes.append(F.when(value.bitwiseAND(F.lit(1 << bits[0])) == 0, moved))
-    table = fingerprints.select(fp.alias("right"), F.explode(F.array(*stored)).alias("key"))
-    asked = fingerprints.select(fp.alias("left"), F.explode(F.array_compact(F.array(*probes))).alias("probe")).select("left", "probe.key", "probe.moved")
-    near = F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= radius
+    grouped = "group" in fingerprints.columns
+    more = lambda side: [F.col("group").alias(f"{side}_group")] if grouped else []
+    table = fingerprints.select(fp.alias("right"), *more("right"), F.explode(F.array(*stored)).alias("key"))
+    asked = fingerprints.select(fp.alias("left"), *more("left"), F.explode(F.array_compact(F.array(*probes))).alias("probe")).select("*", "probe.key", "probe.moved").drop("probe")
     once = (F.col("moved") & (F.col("left") != F.col("right"))) | (F.col("left") < F.col("right"))
-    return asked.join(table, (asked["key"] == table["key"]) & near & once).select("left", "right")
+    wanted = (_distance("left", "right") <= radius) & once
+    if grouped:
+        wanted = wanted & (F.col("left_group") != F.col("right_group"))
+    return asked.join(table, (asked["key"] == table["key"]) & wanted).drop("key", "moved")
+
 
+def _stars(fingerprints: DataFrame, radius: int, segments: int, total: int) -> DataFrame:
+    """``left, right``: each ``fp`` and the least one that has one of its segments, if within ``radius``.  No pairs are enumerated."""
+    table = fingerprints.select("fp", F.explode(F.array(*_segment_keys(F.col("fp"), segments, [0] * segments))).alias("key"))
+    least = table.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n"))
+    met = join_named(table, least, "key", "n", total * segments)
+    return met.where((F.col("fp") != F.col("least")) & (_distance("fp", "least") <= radius)).select(F.col("fp").alias("left"), F.col("least").alias("right")).distinct()
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, segments: int = 3, shingle: int = 4) -> DataFrame:
+
+def linked_fingerprints(fingerprints: DataFrame, radius: int, segments: int | None = None) -> DataFrame:
+    """``fp, group`` for every value of the column ``fp`` (distinct, no nulls): values that links of ``radius`` bits connect share ``group``, the least of them."""
+    total = fingerprints.count()
+    segments = segments or _number_of_segments(total)
+    starred = connected_components(_stars(fingerprints, radius, segments, total), "left", "right", pin)
+    first = pin(fingerprints.join(starred, fingerprints["fp"] == starred["node"], "left").select("fp", F.coalesce("component", "fp").alias("group")))
+    links = near_links(first, radius, segments).select(F.least("left_group", "right_group").alias("a"), F.greatest("left_group", "right_group").alias("b")).distinct()
+    joined = connected_components(links, "a", "b", pin)
+    met = first.join(joined, first["group"] == joined["node"], "left")
+    return met.select("fp", F.coalesce("component", "group").alias("group"))
+
+
+def _named_after_least(nodes: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """``fp, component_id, n`` from ``fp, first, n`` and ``fp, group``: the least ``first`` of the group."""
+    members = pin(nodes.join(groups, "fp"))
+    least = members.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("in_group"))
+    return join_named(members, least, "group", "in_group", total).select("fp", "component_id", "n")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, segments: int | None = None, shingle: int = 4) -> DataFrame:
     """``<id>, simhash, component_id`` for every row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, its own included;
     null ids count only where a component has no other.  Rows with equal ids
-    are rows of their own.  Empty tables give empty results.
+    are rows of their own.  Null, empty and blank texts have fingerprint 0,
+    which is linked like any other.  Other columns of ``docs`` are left out, so
+    none can clash.  Empty tables give empty results.
     """
     rows = pin(simhash(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle).select("id", F.col("simhash").alias("fp")))
-    nodes = pin(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    linked = connected_components(near_links(nodes.select("fp"), radius, segments), "left", "right", pin)
-    members = linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "first", "component")
-    smallest = members.groupBy("component").agg(F.min("first").alias("least"))
-    moved = members.join(smallest, "component").select(F.col("fp").alias("of"), "least")
-    named = nodes.join(moved, nodes["fp"] == moved["of"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("simhash"), "component_id")
+    nodes = pin(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    total = rows.count()
+    named = pin(_named_after_least(nodes, linked_fingerprints(nodes.select("fp"), radius, segments), total))
+    return join_named(rows, named, "fp", "n", total).select(F.col("id").alias(id_col), F.col("fp").alias("simhash"), "component_id")
+
+
+# --- groups of similar texts
+
+#: The search of ``keep_one_of_each``: fingerprints of two-word shingles within 8 bits in 3 segments, so balls of 2.
+SEARCH_WORDS, SEARCH_RADIUS, SEARCH_SEGMENTS = 2, 8, 3
+#: What links two texts: five-word shingles whose sets are at least so similar, in hundredths.
+WORDS, SIMILARITY = 5, 80
+
+
+def _searched(text_col: str):
+    """``fp`` and ``node``, which names the sequence of words."""
+    inner = _fingerprinter(text_col, SEARCH_WORDS, 42)
 
+    def start():
+        from hashlib import md5
+
+        work = inner()
+
+        def both(batch):
+            words = [(t or "").encode().lower().split() for t in batch.column(text_col).to_pylist()]
+            return [*work(batch), [md5(b" ".join(w)).digest() for w in words]]
+
+        return both
+
+    return start
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, segments: int = 3, shingle: int = 4) -> DataFrame:
-    """``docs`` without all but one document of each component: that with the smallest id (null ids last), then the smallest text hash.
 
-    Of rows with equal id and text one stays.  All columns stay as they are.
+def _shingle_sets(text_col: str):
+    def start():
+        from xxhash import xxh64_intdigest
+
+        def work(batch):
+            out = []
+            for text in batch.column(text_col).to_pylist():
+                words = (text or "").encode().lower().split()
+                grams = {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
+                out.append([h - (1 << 64) if h >> 63 else h for h in map(xxh64_intdigest, grams)])
+            return [out]
+
+        return work
+
+    return start
+
+
+def _neighbours(fingerprints: DataFrame, radius: int, segments: int) -> DataFrame:
+    """``fp, nearest, least``: of the other values within ``radius`` bits the nearest and the least.
+
+    Both sides enumerate half of each ball, so it is one table that meets
+    itself, and each value's matches become one row before they are shuffled.
+    """
+    half = [reach // 2 for reach in ball_radii(radius, segments)]
+    rest = [reach - h for reach, h in zip(ball_radii(radius, segments), half)]
+    a = fingerprints.select(F.col("fp"), F.explode(F.array(*_segment_keys(F.col("fp"), segments, half))).alias("key"))
+    b = fingerprints.select(F.col("fp").alias("other"), F.explode(F.array(*_segment_keys(F.col("fp"), segments, rest))).alias("other_key"))
+    far = _distance("fp", "other")
+    met = a.join(b, (F.col("key") == F.col("other_key")) & (F.col("fp") != F.col("other")) & (far <= radius))
+    return met.groupBy("fp").agg(F.min(F.struct(far.alias("far"), "other")).alias("m"), F.min("other").alias("least")).select("fp", F.col("m.other").alias("nearest"), "least")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``left, right`` of ``pairs`` (distinct) whose sets are similar enough."""
+    pairs = pin(pairs.select("left", "right"))
+    total = pairs.count()
+    met = pairs
+    for side in ("left", "right"):
+        many = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        named = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")).join(many, side)
+        met = join_named(met, named, side, "n", total)
+    both = F.size(F.array_intersect("left_set", "right_set"))
+    union = F.size("left_set") + F.size("right_set") - both
+    return pin(met.where(100 * both >= SIMILARITY * union).select("left", "right"))
+
+
+def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """``key, component`` for every row of ``docs``: texts that chains of similar pairs connect share ``component``, the smallest key.
+
+    A pair is similar if the sets of its five-word shingles (A-Z lower-cased,
+    ASCII white space between words) have a Jaccard similarity of 0.8 or more,
+    and is looked at if its two-word fingerprints differ in 8 bits at most.
+    Texts with one fingerprint are compared with the first of them, those that
+    differ from it with the first of those, and so on.  Then every fingerprint
+    is compared with its nearest and its least neighbour, and after that all
+    neighbours that are still in different components: so a cloud of near
+    copies never gives all its pairs.
+    """
+    c = F.col
+    rows = pin(append_columns(docs.select(c(key_col).alias("key"), c(text_col).alias("text")), "fp long, node binary", "text", _searched("text"), most_bytes=2_000_000).drop("text"))
+    nodes = pin(rows.groupBy("fp", "node").agg(F.min("key").alias("first"), F.count("*").alias("n")))
+    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
+    fps = pin(of_fp)
+    total = nodes.count()
+    met = pin(_neighbours(fps.select("fp"), SEARCH_RADIUS, SEARCH_SEGMENTS))
+
+    # The shingles of all texts that are compared: one row of documents for each.
+    near = met.select("fp").unionByName(fps.where("n > 1").select("fp"))
+    wanted = pin(join_named(nodes, near.distinct().join(fps.select("fp", "n"), "fp"), "fp", "n", total).select("node", "first"))
+    texts = docs.select(c(key_col).alias("key"), c(text_col).alias("text"))
+    if wanted.count() <= 200_000:
+        wanted = F.broadcast(wanted)
+    found = texts.join(wanted, texts["key"] == wanted["first"]).select("node", "text")
+    sets = pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text").dropDuplicates(["node"]))
+
+    # Texts with one fingerprint.
+    links, leads = None, fps.select("fp", c("lead").alias("node"))
+    left = pin(join_named(nodes.select("fp", "node"), fps.where("n > 1"), "fp", "n", total).where("node <> lead"))
+    while not left.isEmpty():
+        same = _similar(left.select(c("lead").alias("left"), c("node").alias("right")), sets)
+        links = same if links is None else links.unionByName(same)
+        rest = pin(left.join(same.select(c("right").alias("node")), "node", "left_anti").select("fp", "node"))
+        again = pin(rest.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
+        leads = leads.unionByName(again.select("fp", c("lead").alias("node")))
+        left = pin(join_named(rest, again, "fp", "n", total).where("node <> lead"))
+    leads = pin(leads)
+
+    # Nearest and least neighbours.
+    first = fps.select("fp", c("lead").alias("node"))
+    chosen = met.select("fp", F.explode(F.array_distinct(F.array("nearest", "least"))).alias("other"))
+    named = chosen.join(first, "fp").select(c("node").alias("left"), c("other").alias("fp")).join(first.withColumnRenamed("node", "right"), "fp")
+    pairs = named.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
+    same = _similar(pairs, sets)
+    links = same if links is None else links.unionByName(same)
+
+    # All other neighbours that are not together yet.
+    joined = connected_components(links, "left", "right", pin)
+    placed = pin(leads.join(joined, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("group")))
+    active = met.select("fp").join(placed.groupBy("fp").agg(F.min("group").alias("group"), F.count_distinct("group").alias("groups")), "fp")
+    # A fingerprint with texts of several groups is a group of its own here; its texts are told apart below.
+    active = pin(active.select("fp", F.when(c("groups") == 1, c("group")).otherwise(F.encode(F.hex("fp"), "UTF-8")).alias("group")))
+    apart = pin(near_links(active, SEARCH_RADIUS, SEARCH_SEGMENTS).select("left", "right").distinct())
+    sided = lambda side: placed.select(c("fp").alias(side), c("node").alias(f"{side}_node"), c("group").alias(f"{side}_of"))
+    more = apart.join(sided("left"), "left").join(sided("right"), "right").where("left_of <> right_of")
+    links = links.unionByName(_similar(more.select(F.least("left_node", "right_node").alias("left"), F.greatest("left_node", "right_node").alias("right")).distinct(), sets))
+
+    final = connected_components(links, "left", "right", pin)
+    named = pin(nodes.join(final, "node", "left").select("fp", "node", "first", "n", F.coalesce("component", "node").alias("group")))
+    least = named.groupBy("group").agg(F.min("first").alias("component"), F.count("*").alias("in_group"))
+    told = pin(join_named(named, least, "group", "in_group", total).select("node", "n", "component"))
+    return join_named(rows, told, "node", "n", rows.count()).select("key", "component")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but one document of each component of ``similar_components``: that with the smallest id (null ids last), then the smallest text hash.
+
+    Of rows with equal id and text one stays.  Null, empty and blank texts are
+    equal texts.  All columns stay as they are, whatever their names.  Empty
+    tables give empty results.
     """
     key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
-    found = near_components(docs.select(key.alias("key"), text_col), "key", text_col, radius, segments, shingle)
-    kept = pin(found.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("_rows")))
+    found = similar_components(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
+    kept = pin(found.where(F.col("key") == F.col("component")).groupBy("key").agg(F.count("*").alias("_rows")))
     named = kept.select(F.col("key.id").alias("_id"), F.col("key.hash").alias("_hash"), "_rows")
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("k._hash"))
     met = docs.alias("d").join(named.alias("k"), same)

@@ -143,6 +143,68 @@ def test_one_of_each_group_stays(spark):
     assert simhash(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_similar(texts):
+    """The number of the least similar text, by chains of pairs, for each text: five-word shingles at 0.8, two-word fingerprints within 8 bits."""
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode())) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = [brute_fingerprint(t, 2) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            close = (prints[i] ^ prints[j]).bit_count() <= 8 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            if (words[i] == words[j] or close) and group[i] != group[j]:
+                a, b = max(group[i], group[j]), min(group[i], group[j])
+                group = [b if g == a else g for g in group]
+    return group
+
+
+def clouds():
+    """Copies with edits far and near, texts with one fingerprint that differ, fillers, junk."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", "  ", "a", "A", "a a", "a a a a a a", "b c d"]
+    for n in (30, 120, 400):
+        base = [rng.choice(words) for _ in range(n)]
+        for edits in [0, 0, 1, 1, 1, 2, 2, 3, 4, 6, 8, 12, 20]:
+            copy = list(base)
+            for _ in range(min(edits, n // 8)):
+                copy[rng.randrange(n)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    filler = ["fill"] * 300
+    texts += [" ".join(filler + [rng.choice(words) for _ in range(40)]) for _ in range(5)]
+    texts += [" ".join(filler + ["end"] * k) for k in range(4)]
+    return texts
+
+
+def test_one_of_each_group_of_similar_texts_stays(spark):
+    texts = clouds()
+    ids = list(range(1000, 1000 + len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)
+    kept = sorted(r["doc_id"] for r in keep_one_of_each(docs).collect())
+    group = brute_similar(texts)
+    assert kept == sorted(1000 + g for g in set(group))
+    assert len({group[i] for i, t in enumerate(texts) if t and t.startswith("fill")}) > 1  # one fingerprint, several groups
+
+
+def test_a_cloud_of_near_fingerprints_is_one_group(spark):
+    """Half of the rows have one fingerprint, and many differ from it by a bit or two: no table holds all pairs."""
+    from braidseq.llm import simhash as module
+
+    rng = random.Random(12)
+    centre = rng.getrandbits(62)
+    cloud = {centre ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for _ in range(600)} | {centre}
+    others = {rng.getrandbits(62) for _ in range(300)}
+    values = spark.createDataFrame([(v,) for v in cloud | others], "fp long")
+    got = {r["fp"]: r["group"] for r in module.linked_fingerprints(values, 4).collect()}
+    assert len(got) == len(cloud | others) and {got[v] for v in cloud} == {min(cloud)}
+    assert all(got[v] == v for v in others)
+    named = spark.createDataFrame([(v, v % 7, 20_000 if v == centre else 1) for v in cloud], "fp long, first long, n long")
+    from braidseq.operators.skew import join_named
+
+    rows = spark.range(20_000).selectExpr("id", f"{centre}L as fp").unionByName(values.where("fp <> %d" % centre).selectExpr("0L as id", "fp"))
+    assert join_named(rows, named, "fp", "n", 20_000 + len(cloud)).where(f"fp = {centre}").count() == 20_000
+
+
 def test_token_counts_equal_the_library(spark):
     import public_tokenizers
     import sentencepiece
