@@ -1,10 +1,12 @@
 """GIF: a codec for texts as 8-bit images, and a decoder of frames with their colours.
 
-``encode_payload`` stores bytes losslessly: rows of ``WIDTH`` grey samples, in
-timed frames of at most ``FRAME_ROWS`` rows, LZW-coded.  ``decode`` reads any
-GIF of the 1989a format: global and local palettes, interlace, disposal,
-transparency and delays, and gives each frame's samples and the canvas after it
-is drawn.  Everything works on one image at a time.
+``encode_payload`` stores bytes losslessly: rows of ``WIDTH`` samples with a
+colour for each byte, in timed frames of at most ``FRAME_ROWS`` rows that are
+cleared after they are shown, LZW-coded.  ``decode`` reads any GIF of the 1989a
+format: global and local palettes, interlace, disposal, transparency and delays,
+and gives each frame's samples and the canvas after it is drawn.  What the
+queries read, payload and features, they read off these canvases.  Everything
+works on one image at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +25,13 @@ WIDTH = 192
 FRAME_ROWS = 64
 DELAY = 4  # hundredths of a second
 _MOST = 4096
-_GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: The palette: a byte is its red; green and blue spread the histograms.
+_COLOURS = bytes(v for i in range(256) for v in (i, 255 - i, i * 5 % 256))
+#: Pixels of a canvas at most; a larger one counts as damaged, as its header decides how much memory is taken.
+MOST_PIXELS = 1 << 26
+BINS = 16
+#: Disposal methods: the frame's area is cleared, or set back to what it was.
+_CLEAR, _RESTORE = 2, 3
 
 
 # Codes since a clear code: the j-th has 9 bits up to the 255th, and so on; the same for reader and writer.
@@ -145,14 +153,14 @@ def _expand(codes: np.ndarray, roots: int) -> np.ndarray:
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A GIF of grey samples; ``payload`` must fill rows of ``WIDTH``."""
+    """A GIF whose samples are ``payload``, which must fill rows of ``WIDTH``."""
     rows, rest = divmod(len(payload), WIDTH)
     if rest or not rows:
         raise ValueError(f"a payload fills one or more rows of {WIDTH} bytes")
-    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), _GREY]
+    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), _COLOURS]
     for top in range(0, rows, FRAME_ROWS):
         height = min(FRAME_ROWS, rows - top)
-        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\0")
+        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", _CLEAR << 2, DELAY, 0) + b"\0")
         parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, height, 0) + b"\x08")
         coded = lzw_encode(payload[top * WIDTH : (top + height) * WIDTH])
         parts += [bytes([len(block)]) + block for block in (coded[i : i + 255] for i in range(0, len(coded), 255))]
@@ -180,12 +188,18 @@ class Frame:
         """The frame's own area as RGB."""
         return self.palette[self.samples]
 
+    def shown(self) -> np.ndarray:
+        """The frame's own area of the canvas, RGBA."""
+        return self.canvas[self.top : self.top + self.height, self.left : self.left + self.width]
+
 
 def decode(data: bytes, canvases: bool = True):
-    """Yields the frames of a GIF.  Damaged data raise ``ValueError``."""
+    """Yields the frames of a GIF.  Damaged data raise ``ValueError``, whatever is damaged."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
-    width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("a canvas too large")
     at = 13
     shared = None
     if flags & 0x80:
@@ -196,22 +210,24 @@ def decode(data: bytes, canvases: bool = True):
         kind = data[at]
         if kind == 0x3B:
             return
-        if kind == 0x21:
-            label = data[at + 1]
+        if kind == 0x21 and at + 2 <= len(data):
+            label = data[at + 1 : at + 2]
             body, at = _blocks(data, at + 2)
-            if label == 0xF9 and len(body) >= 4:
-                packed, delay, index = struct.unpack("<BHB", body[:4])
+            if label == b"\xf9" and len(body) >= 4:
+                packed, delay, index = struct.unpack_from("<BHB", body)
                 disposal, transparent = packed >> 2 & 7, index if packed & 1 else -1
             continue
         if kind != 0x2C or at + 11 > len(data):
             raise ValueError("damaged GIF")
-        left, top, w, h, packed = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
         palette = shared
         if packed & 0x80:
             palette, at = _palette(data, at, packed)
         if palette is None:
             raise ValueError("a frame without a palette")
+        if at >= len(data) or not 2 <= data[at] <= 8 or w * h > MOST_PIXELS:
+            raise ValueError("a frame without sound data")
         size = data[at]
         body, at = _blocks(data, at + 1)
         raw = lzw_decode(body, size, w * h)
@@ -225,22 +241,29 @@ def decode(data: bytes, canvases: bool = True):
             samples = plain.ravel()
         shown = None
         if canvas is not None:
-            saved = canvas.copy() if disposal == 3 else None
+            saved = canvas.copy() if disposal == _RESTORE else None
             area = canvas[top : top + h, left : left + w]
             part = samples.reshape(h, w)[: area.shape[0], : area.shape[1]]
-            drawn = part != transparent
-            area[drawn, :3] = palette[part[drawn]]
-            area[drawn, 3] = 255
+            drawn = _opaque(palette)[part]
+            if transparent >= 0:
+                kept = part == transparent
+                drawn[kept] = area[kept]
+            area[:] = drawn
             shown = canvas.copy()
-            if disposal == 2:
+            if disposal == _CLEAR:
                 area[:] = 0
-            elif disposal == 3:
+            elif disposal == _RESTORE:
                 canvas = saved
         yield Frame(left, top, w, h, delay * 10, disposal, transparent, samples, palette, shown)
         delay, disposal, transparent = 0, 0, -1
     raise ValueError("a GIF without an end")
 
 
+def _opaque(palette: np.ndarray) -> np.ndarray:
+    """The palette as RGBA without transparency."""
+    return np.concatenate([palette, np.full((len(palette), 1), 255, dtype=np.uint8)], axis=1)
+
+
 def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     end = at + 3 * (2 << (flags & 7))
     colours = np.frombuffer(data[at:end], dtype=np.uint8)
@@ -263,9 +286,26 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + size
 
 
-def histogram(colours: np.ndarray, bins: int = 16) -> np.ndarray:
-    """``3 x bins`` counts of red, green and blue."""
-    return np.stack([np.bincount(colours[..., c].ravel() // (256 // bins), minlength=bins) for c in range(3)])
+def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """``3 x bins`` counts of red, green and blue over the pixels of an RGBA canvas that anything is drawn on."""
+    seen = canvas.reshape(-1, 4)
+    if not seen[:, 3].all():
+        seen = seen[seen[:, 3] > 0]
+    level = seen[:, :3] // (256 // bins)
+    return np.stack([np.bincount(level[:, c], minlength=bins) for c in range(3)])
+
+
+def _frame_row(frame: Frame) -> dict:
+    red, green, blue = histogram(frame.canvas).tolist()
+    return {
+        "left": frame.left, "top": frame.top, "width": frame.width, "height": frame.height, "delay_ms": frame.delay_ms,
+        "disposal": frame.disposal, "transparent": frame.transparent, "red": red, "green": green, "blue": blue,
+    }
+
+
+_FRAMES = (
+    "frames array<struct<left: int, top: int, width: int, height: int, delay_ms: int, disposal: int, transparent: int, red: array<long>, green: array<long>, blue: array<long>>>, error string"
+)
 
 
 def store_as_gif(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -289,56 +329,62 @@ def store_as_gif(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def read_frames(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with ``frames``: for each frame its place, delay, disposal and the colour histograms of its canvas.
+    """``stored`` with ``frames``, one entry a frame: place, delay, disposal, transparent index (-1: none) and the colour histograms of the canvas; and ``error``.
 
-    Null media have null frames.
+    Null media have null frames.  Damaged media have null frames and an
+    ``error``, and end no job.  Other columns pass through; columns named like
+    a result are replaced.  Repeated rows are rows of their own; empty tables
+    give empty results.
     """
 
     def start():
         def work(batch):
-            out = []
+            out, errors = [], []
             for media in batch.column(media_col).to_pylist():
-                frames = None
+                frames, error = None, None
                 if media is not None:
-                    frames = []
-                    for f in decode(media):
-                        red, green, blue = histogram(f.canvas[..., :3]).tolist()
-                        frames.append({"left": f.left, "top": f.top, "width": f.width, "height": f.height, "delay_ms": f.delay_ms, "disposal": f.disposal, "red": red, "green": green, "blue": blue})
+                    try:
+                        frames = [_frame_row(f) for f in decode(media)]
+                    except ValueError as e:
+                        error = str(e)
                 out.append(frames)
-            return [out]
+                errors.append(error)
+            return [out, errors]
 
         return work
 
-    ddl = "frames array<struct<left: int, top: int, width: int, height: int, delay_ms: int, disposal: int, red: array<long>, green: array<long>, blue: array<long>>>"
-    return append_columns(stored, ddl, media_col, start)
+    return append_columns(stored, _FRAMES, media_col, start)
 
 
 def read_payload(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with what its GIFs hold, from the stored bytes alone.
+    """``stored`` with what its GIFs by ``encode_payload`` hold, from the stored bytes alone, and with the columns of ``read_frames``.
 
-    ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (of the last 16),
-    ``media_bytes``, ``media_sha256``, ``n_frames``, ``duration_ms`` and
-    ``histogram`` (16 levels of all frames' own areas).  Null media give nulls.
+    ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (of the last 16): of
+    the red of each frame's own area on the canvas, after palette, transparency
+    and disposal.  ``media_bytes``, ``media_sha256``: of the stored bytes.
+    Null and damaged media as in ``read_frames``; the payload's columns are null
+    then.
     """
 
     def start():
         def one(media):
-            digest, size, tail, frames, time = hashlib.sha256(), 0, b"", 0, 0
-            levels = np.zeros(16, dtype=np.int64)
-            for f in decode(media, canvases=False):
-                grey = f.palette[:, 0][f.samples]
-                raw = grey.tobytes()
-                digest.update(raw)
-                size, tail = size + len(raw), (tail + raw)[-16:]
-                frames, time = frames + 1, time + f.delay_ms
-                levels += np.bincount(grey >> 4, minlength=16)
-            return size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), frames, time, levels.tolist()
+            digest, size, tail, frames = hashlib.sha256(), 0, b"", []
+            stored_form = len(media), hashlib.sha256(media).hexdigest()
+            try:
+                for f in decode(media):
+                    raw = f.shown()[..., 0].tobytes()
+                    digest.update(raw)
+                    size, tail = size + len(raw), (tail + raw)[-16:]
+                    frames.append(_frame_row(f))
+            except ValueError as e:
+                return None, None, None, *stored_form, None, str(e)
+            return size, digest.hexdigest(), zlib.crc32(tail), *stored_form, frames, None
 
         def work(batch):
-            rows = [(None,) * 8 if m is None else one(m) for m in batch.column(media_col).to_pylist()]
-            return [list(x) for x in zip(*rows)] or [[]] * 8
+            rows = [(None,) * 7 if m is None else one(m) for m in batch.column(media_col).to_pylist()]
+            return [list(x) for x in zip(*rows)] or [[]] * 7
 
         return work
 
-    ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, duration_ms int, histogram array<long>"
+    ddl = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, {_FRAMES}"
     return append_columns(stored, ddl, media_col, start)

@@ -80,7 +80,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_as_gif(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     read = read_payload(stored).drop("media")
-    feature = F.concat_ws(";", F.format_string("frames=%d", "n_frames"), F.format_string("ms=%d", "duration_ms"), F.concat(F.lit("levels="), F.array_join("histogram", ",")))
+    levels = lambda colour: f"array_join(transform(sequence(0, 15), i -> aggregate(frames, 0L, (n, f) -> n + f.{colour}[i])), ',')"
+    folded = [F.concat(F.lit(f"{c}="), F.expr(levels(c))) for c in ("red", "green", "blue")]
+    time = F.concat(F.lit("ms="), F.expr("aggregate(frames, 0, (n, f) -> n + f.delay_ms)"))
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), time, *folded)
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 

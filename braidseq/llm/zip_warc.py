@@ -24,6 +24,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_named
 from .common import fresh_dir, pin
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -31,8 +32,11 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 32_000_000
 #: Records that one range read spans at most, and bytes.
 READ_BYTES = 4_000_000
-_SALTS = 16
+#: So many groups of copies are broadcast at most (some hundred bytes each); more are joined over a shuffle.
+BROADCAST_GROUPS = 200_000
 _DATE = "2024-01-01T00:00:00Z"
+#: Record ids are name-based under this one.
+_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "record")
 
 
 def digest32(payload: bytes) -> str:
@@ -42,36 +46,36 @@ def digest32(payload: bytes) -> str:
 # --- records
 
 
-def record_bytes(row: dict) -> bytes:
-    """One WARC/1.1 record.  ``row``: page_id, url, payload, payload_bytes, payload_digest, refers_to."""
+def record_bytes(row: dict, place: str) -> bytes:
+    """One WARC/1.1 record.  ``row``: page_id, url, payload, payload_bytes, payload_digest, refers_to.
+
+    ``place`` tells the record from all others, whatever its page's id.  A
+    response's block is an HTTP response with the payload, a revisit's is empty.
+    """
     revisit = row["revisit"]
-    block = b"" if revisit else row["payload"]
+    block = b"" if revisit else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode() + row["payload"]
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_urn(row['page_id'])}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, place)}>",
+        f"X-Page: {'' if row['page_id'] is None else row['page_id']}",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
         f"WARC-Block-Digest: sha1:{digest32(block)}",
         f"X-Payload-Length: {row['payload_bytes']}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if row["url"] is not None:
         head.append(f"WARC-Target-URI: {_one_line(row['url'])}")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: {_urn(row['refers_to'])}")
+        head.append(f"X-Refers-To-Page: {row['refers_to']}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _urn(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
-
-
-def _page(urn: str) -> int | None:
-    inner = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(inner) if inner else None
+def _page(value: str) -> int | None:
+    return int(value) if value else None
 
 
 def _one_line(url: str) -> str:
@@ -236,24 +240,33 @@ def _ranged(file):
 
 
 def link_copies(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int = 0) -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, refers_to, revisit`` for every row of ``pages``.
+    """``page_id, url, payload, payload_bytes, sha1, refers_to, revisit`` for every row of ``pages``.
 
     Of equal payloads of at least ``least_bytes`` bytes the rows with the
     largest id are responses, the others revisit them.  A null id counts as the
-    smallest; where a group has no other, each row is a response.  Group
-    maxima are made before the shuffle; groups of one take no part in the join,
-    and the other keys are salted, so no group of copies meets in one task.
+    smallest; where a group has no other, each row is a response.  Rows with
+    equal ids are rows of their own.  Groups are counted on digests, before the
+    shuffle.  Up to ``BROADCAST_GROUPS`` groups of two or more are broadcast, so
+    the pages don't move; beyond that hot groups are, and the others are joined
+    by digest.  Ids are cast to long.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("sha1"),
     )
-    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    copies = groups.where((F.col("n") > 1) & F.col("last").isNotNull()).select("sha1", "last", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
-    met = salted.join(copies.hint("shuffle_hash"), ["sha1", "salt"], "left")
-    revisit = (F.col("payload_bytes") >= least_bytes) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("last")), F.lit(False)) & F.col("last").isNotNull()
+    large = F.col("payload_bytes") >= least_bytes
+    groups = rows.where(large).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    copies = pin(groups.where((F.col("n") > 1) & F.col("last").isNotNull()))
+    count = copies.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if count["groups"] <= BROADCAST_GROUPS:
+        met = rows.join(F.broadcast(copies.drop("n")), "sha1", "left")
+    else:
+        many = join_named(rows, copies, "sha1", "n", count["rows"])
+        # Rows outside the groups stay; a group's rows are those with its digest and size.
+        keys = copies.select("sha1")
+        met = many.unionByName(rows.join(keys, "sha1", "left_anti").withColumn("last", F.lit(None).cast("long")))
+    revisit = large & F.coalesce(~F.col("page_id").eqNullSafe(F.col("last")), F.lit(False)) & F.col("last").isNotNull()
     return met.select("page_id", "url", "payload", "payload_bytes", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 
@@ -288,7 +301,7 @@ def write_packages(linked: DataFrame, folder: str, package_bytes: int = PACKAGE_
                         out = PackageWriter(file, zip64)
                         out.begin(DATA)
                     row["payload_digest"] = base64.b32encode(bytes.fromhex(row.pop("sha1"))).decode()
-                    raw = gzip.compress(record_bytes(row), 3, mtime=0)
+                    raw = gzip.compress(record_bytes(row, f"{name}:{len(lines)}"), 3, mtime=0)
                     place = out.write(raw)
                     about = {"offset": str(place), "length": str(len(raw)), "digest": f"sha1:{row['payload_digest']}"}
                     lines.append(f"{row['page_id']} {_DATE} {json.dumps(about)}\n")
@@ -365,25 +378,39 @@ def _row(headers: dict[str, str], block: bytes) -> dict:
     digest = headers["warc-payload-digest"].removeprefix("sha1:")
     revisit = headers["warc-type"] == "revisit"
     size = int(headers["x-payload-length"])
-    if not revisit and (digest != digest32(block) or size != len(block)):
+    payload = block.partition(b"\r\n\r\n")[2]
+    if not revisit and (digest != digest32(payload) or size != len(payload)):
         raise ValueError("a payload does not match its digest")
     url = headers.get("warc-target-uri")
     return {
-        "page_id": _page(headers["warc-record-id"]),
+        "page_id": _page(headers["x-page"]),
         "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
         "record_type": headers["warc-type"],
         "payload_bytes": size,
         "payload_digest": digest,
-        "refers_to": _page(headers["warc-refers-to"]) if revisit else None,
-        "payload": None if revisit else block,
+        "refers_to": _page(headers["x-refers-to-page"]) if revisit else None,
+        "payload": None if revisit else payload,
     }
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", zip64: bool = False) -> DataFrame:
-    """Writes ``pages`` as packages in the shared folder and returns the pinned list of packages.  Null html is empty; an empty table writes none."""
+    """Writes ``pages`` as packages in the shared folder and returns the pinned list of packages.
+
+    Null html is empty, html of any length is one record, repeated rows are
+    records of their own, other columns are left out, and an empty table writes
+    no package.
+    """
     return write_packages(link_copies(pages, id_col, url_col, html_col), fresh_dir(spark, "warc"), zip64=zip64)
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
-    """All records of ``packages``: directories and indexes first, then the ranges, dealt out evenly."""
-    return read_records(list_ranges(packages.repartition(F.col("package"))).repartition(F.col("package"), F.col("offset")))
+def read_packages(packages: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """All records of ``packages``: directories and indexes first, then the ranges.
+
+    A package or a range is a short row and much work, so both are dealt to a
+    stated number of tasks: by the packages' count and by their bytes.
+    """
+    row = packages.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    tasks = lambda wanted: int(max(1, min(wanted, 100_000)))
+    listed = list_ranges(packages.repartition(tasks(row["n"]), "package"), read_bytes)
+    return read_records(listed.repartition(tasks(max(row["bytes"] // read_bytes, min(2 * cores, row["bytes"] // 100_000))), "package", "offset"))

@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from braidseq.llm import gif
 from braidseq.llm.zip_warc import DATA, INDEX, PackageReader, PackageWriter, archive_pages, read_packages
@@ -22,6 +23,66 @@ def test_gif_round_trip(rows, kind):
     assert b"".join(f.samples.tobytes() for f in gif.decode(gif.encode_payload(payload))) == payload
 
 
+def textbook_lzw(data, size):
+    """One code after the other, as the format's description has it."""
+    clear, end, out = 1 << size, (1 << size) + 1, []
+    table, width, before, at = {}, size + 1, None, 0
+    number = int.from_bytes(data, "little")
+    while at + width <= 8 * len(data):
+        code = number >> at & ((1 << width) - 1)
+        at += width
+        if code == clear:
+            table, width, before = {i: bytes([i]) for i in range(clear)}, size + 1, None
+            continue
+        if code == end:
+            break
+        if not table:
+            table = {i: bytes([i]) for i in range(clear)}
+        now = table[code] if code in table else before + before[:1]
+        out.append(now)
+        if before is not None and len(table) + 2 < 4096:
+            table[len(table) + 2] = before + now[:1]
+            if len(table) + 2 == 1 << width and width < 12:
+                width += 1
+        before = now
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("size", [2, 4, 8])
+@pytest.mark.parametrize("kind", ["noise", "one", "cycle", "words"])
+def test_codec_equals_the_textbook(size, kind):
+    rng, n = random.Random(size), 30_000
+    top = (1 << size) - 1
+    made = {"noise": rng.randbytes(n), "one": b"\1" * n, "cycle": bytes(range(7)) * (n // 7), "words": b"".join(rng.choice([b"some ", b"word ", b"that ", b"comes "]) for _ in range(n // 5))}
+    samples = bytes(b & top for b in made[kind])
+    coded = gif.lzw_encode(samples, size)
+    assert textbook_lzw(coded, size) == samples and gif.lzw_decode(coded, size, len(samples)) == samples
+
+
+def test_random_damage_raises_nothing_else():
+    rng = random.Random(3)
+    whole = gif.encode_payload(b"some words " * 192 * 8)
+    for _ in range(600):
+        data = bytearray(whole[: rng.randrange(len(whole))] if rng.random() < 0.3 else whole)
+        for _ in range(rng.randint(0, 4)):
+            if data:
+                data[rng.choice([rng.randrange(len(data)), rng.randrange(min(len(data), 900))])] = rng.randrange(256)
+        try:
+            list(gif.decode(bytes(data)))
+        except ValueError:
+            pass
+
+
+def test_damaged_rows_get_an_error(spark):
+    sound = gif.encode_payload(b"a" * 192)
+    rows = [(1, bytearray(sound), "x"), (2, bytearray(sound[:-30]), "y"), (3, bytearray(b"no"), None), (4, None, None), (4, None, None)]
+    media = spark.createDataFrame(rows, "doc_id long, media binary, frames string")
+    for read in (gif.read_payload, gif.read_frames):
+        got = sorted(read(media).collect(), key=lambda r: r["doc_id"])
+        assert [r["error"] is None for r in got] == [True, False, False, True, True]
+        assert [r["frames"] is None for r in got] == [False, True, True, True, True]
+
+
 def lzw_literal(samples, size):
     """Codes of fixed width: a clear code before the width would grow."""
     codes = []
@@ -75,10 +136,14 @@ def test_texts_as_gifs(spark):
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         padded = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
-        assert rows[i]["n_bytes"] == len(raw) and rows[i]["payload_sha256"] == hashlib.sha256(padded).hexdigest() and sum(rows[i]["histogram"]) == len(padded)
+        assert rows[i]["n_bytes"] == len(raw) and rows[i]["payload_sha256"] == hashlib.sha256(padded).hexdigest() and sum(map(sum, (f["red"] for f in rows[i]["frames"]))) == len(padded)
     assert rows[4]["media_sha256"] == rows[5]["media_sha256"]
     frames = gif.read_frames(gif.store_as_gif(docs)).where("doc_id = 4").first()["frames"]
     assert len(frames) == -(-45000 // (192 * 64)) and sum(frames[0]["red"]) == 192 * 64
+    grey = [0] * 16
+    for b in ("word " * 9000).encode().ljust(-(-45000 // 192) * 192)[: 192 * 64]:
+        grey[b >> 4] += 1
+    assert frames[0]["red"] == grey and frames[0]["green"] == grey[::-1] and frames[0]["delay_ms"] == 40
     assert gif.read_payload(gif.store_as_gif(docs.where("false"))).count() == 0
 
 
@@ -135,3 +200,33 @@ def test_pages_round_trip(spark, zip64):
         else:
             assert r["record_type"] == "revisit" and r["refers_to"] == first
     assert read_packages(archive_pages(spark, pages.where("false"))).count() == 0
+
+
+def test_groups_of_copies_beyond_the_broadcast_bound(spark, monkeypatch):
+    from braidseq.llm import zip_warc
+    from braidseq.operators import skew
+
+    rows = [(i, "u", f"page {i % 40 if i % 3 else 0}") for i in range(3000)] + [(None, "u", None), (5000, None, "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    plain = sorted(map(tuple, zip_warc.link_copies(pages, "page_id", "url", "html").drop("payload").collect()), key=str)
+    monkeypatch.setattr(zip_warc, "BROADCAST_GROUPS", 3)
+    monkeypatch.setattr(skew, "SMALL_TABLE", 10)
+    assert sorted(map(tuple, zip_warc.link_copies(pages, "page_id", "url", "html").drop("payload").collect()), key=str) == plain
+
+
+def test_ranges_are_read_by_several_tasks(spark):
+    pages = spark.createDataFrame([(i, "u", random.Random(i).randbytes(3000).hex()) for i in range(300)], "page_id long, url string, html string").repartition(2)
+    from braidseq.llm.zip_warc import read_packages
+
+    read = read_packages(archive_pages(spark, pages), read_bytes=100_000)
+    assert read.rdd.getNumPartitions() > 4 and read.count() == 300
+    parts = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 4
+
+
+def test_record_ids_never_repeat(spark):
+    from braidseq.llm.zip_warc import record_bytes
+
+    row = {"page_id": None, "url": "u", "payload": b"x", "payload_bytes": 1, "payload_digest": "D", "refers_to": None, "revisit": False}
+    ids = {[x for x in record_bytes(row, f"p:{i}").split(b"\r\n") if x.startswith(b"WARC-Record-ID")][0] for i in range(5)}
+    assert len(ids) == 5
