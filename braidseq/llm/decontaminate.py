@@ -188,8 +188,11 @@ def _matcher(text_col: str, block):
             hits = [list(old or []) for old in earlier["hits"]]
             items = [set(old or []) for old in earlier["items"]]
             begin, end, window, doc = spans(ids, starts, n)
-            for k in np.unique(doc).tolist():
-                mine = doc == k
+            order = np.argsort(doc, kind="stable")
+            begin, end, window, doc = begin[order], end[order], window[order], doc[order]
+            found, first = np.unique(doc, return_index=True)
+            for k, low, high in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(doc)]):
+                mine = slice(low, high)
                 edges = [(b - int(starts[k]), e - int(starts[k])) for b, e in zip(begin[mine].tolist(), end[mine].tolist())]
                 old = hits[k]
                 edges = sorted({*edges, *zip(old[::2], old[1::2])})
@@ -215,9 +218,10 @@ def find_contamination(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (start, end, start, end, ... of the words inside windows) and ``items`` (ids as strings, sorted).
 
-    Null and empty texts have no words.  Every other column passes through;
-    columns of ``docs`` named like a result are replaced.  An empty benchmark
-    hits nothing.
+    Null and empty texts have no words; texts of any length are read whole.
+    Every other column passes through; columns of ``docs`` named like a result
+    are replaced.  Repeated rows are rows of their own.  An empty benchmark hits
+    nothing, empty documents give an empty result.
     """
     spark = docs.sparkSession
     windows = item_windows(benchmark, item_col, item_text, length)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACED_WORD, pin
 
-#: Hexadecimal digits of a bucket of the sampling order; of a source's 16 ** 3 buckets one is sorted.
-BUCKET_DIGITS = 3
+#: Rows of one bucket of the sampling order about, whatever the corpus: of a source's buckets one is sorted.
+BUCKET_ROWS = 50_000
 #: Up to so many sources the plan is broadcast; more are joined over salted keys.
 BROADCAST_SOURCES = 20_000
 _SALTS = 16
@@ -62,14 +62,24 @@ def _place(id_col: Column, size: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long")
 
 
+def bucket_digits_for(rows: int) -> int:
+    """Hexadecimal digits of a bucket of the sampling order: so many that one of them holds about ``BUCKET_ROWS`` of ``rows``, three at least."""
+    digits = 3
+    while 16**digits * BUCKET_ROWS < rows and digits < _HASH_DIGITS:
+        digits += 1
+    return digits
+
+
 def _words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
 def mixing_plan(
-    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, max_epochs: float, seed: int, bucket_digits: int
-) -> DataFrame:
-    """One row a source: ``source, source_size, target, whole`` and ``cut``, the last place that is taken once more (null: none)."""
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, max_epochs: float, seed: int, bucket_digits: int | None
+) -> tuple[DataFrame, int]:
+    """One row a source: ``source, source_size, target, whole``, the bucket ``last`` in which its sample ends, and ``cut``, the last place that is taken once more (null: none); and the digits of a bucket."""
+    if bucket_digits is None:
+        bucket_digits = bucket_digits_for(docs.count())
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _words(F.col(text_col)).alias("size"))
     bucket = F.shiftright("at", 4 * (_HASH_DIGITS - bucket_digits)).cast("int")
     rows = pin(sized.withColumn("at", _place(F.col("id"), F.col("size"), seed)).withColumn("bucket", bucket))
@@ -97,10 +107,8 @@ def mixing_plan(
     middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
     taken = edge.select("e.source", "at", "id", "size", "before", "wanted").withColumn("middle", middle).where("middle < wanted")
     cuts = taken.groupBy("source").agg(F.max(F.struct("at", "id", "size")).alias("cut"))
-    return pin(
-        ends.alias("e").join(cuts.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source")), "left")
-        .select("e.source", "source_size", "target", "whole", "last", "cut")
-    )
+    met = ends.alias("e").join(cuts.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source")), "left")
+    return pin(met.select("e.source", "source_size", "target", "whole", "last", "cut")), bucket_digits
 
 
 def mix_sources(
@@ -112,31 +120,34 @@ def mix_sources(
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 17,
-    bucket_digits: int = BUCKET_DIGITS,
+    bucket_digits: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``size`` (words; null texts: 0), ``source_size``, ``target`` and ``repetitions``.
 
     Sources in order of code points, null last and a source of its own, have
     the ``weights`` in turn.  A source's taken words miss its target by one
     document at most, and repeated rows: rows with equal id and size stand in
-    one place and are taken alike.  Null ids are ids like any other.  Columns
-    of ``docs`` named like results are replaced.  Empty tables give empty
-    results.
+    one place and are taken alike, so ids should tell documents apart.  Null ids
+    are ids like any other.  Columns of ``docs`` named like results are
+    replaced, also where they are the id, text or source column.  Empty tables
+    give empty results.
     """
-    plan = mixing_plan(docs, id_col, text_col, source_col, weights, share, max_epochs, seed, bucket_digits)
+    plan, bucket_digits = mixing_plan(docs, id_col, text_col, source_col, weights, share, max_epochs, seed, bucket_digits)
     named = plan.select(F.col("source").alias("__mix_source"), F.struct("source_size", "target", "whole", "last", "cut").alias("__mix_plan"))
-    own = docs.drop("size", "source_size", "target", "repetitions").withColumn("size", _words(F.col(text_col)))
-    same = F.col(source_col).eqNullSafe(F.col("__mix_source"))
+    taken = {"size", "source_size", "target", "repetitions"}
+    kept = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in taken]
+    own = docs.select(*kept, F.col(id_col).alias("__mix_id"), F.col(source_col).alias("__mix_own"), _words(F.col(text_col)).alias("size"))
+    same = F.col("__mix_own").eqNullSafe(F.col("__mix_source"))
     if plan.count() <= BROADCAST_SOURCES:
         met = own.join(F.broadcast(named), same)
     else:
         salted = named.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        salt = F.pmod(F.xxhash64(F.col(id_col), F.col("size")), F.lit(_SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(F.col("__mix_id"), F.col("size")), F.lit(_SALTS)).cast("int")
         met = own.join(salted, same & (salt == F.col("__mix_salt"))).drop("__mix_salt")
-    at = _place(F.col(id_col), F.col("size"), seed)
-    place = F.struct(at.alias("at"), F.col(id_col).alias("id"), F.col("size").alias("size"))
+    at = _place(F.col("__mix_id"), F.col("size"), seed)
+    place = F.struct(at.alias("at"), F.col("__mix_id").alias("id"), F.col("size").alias("size"))
     bucket = F.shiftright(at, 4 * (_HASH_DIGITS - bucket_digits)).cast("int")
     more = (bucket < F.col("__mix_plan.last")) | ((bucket == F.col("__mix_plan.last")) & F.coalesce(place <= F.col("__mix_plan.cut"), F.lit(False)))
     return met.withColumns(
         {"source_size": F.col("__mix_plan.source_size"), "target": F.col("__mix_plan.target"), "repetitions": (F.col("__mix_plan.whole") + more.cast("int")).cast("int")}
-    ).drop("__mix_source", "__mix_plan")
+    ).drop("__mix_source", "__mix_plan", "__mix_id", "__mix_own")

@@ -2,6 +2,33 @@
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP4 = """
+WITH n AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, sha256(coalesce(text, '')) AS content, encode(coalesce(text, '')) AS raw FROM documents
+), bytes AS (
+  -- CRC-32 of each text: a table of the 256 bytes, then a fold over the bytes.
+  SELECT list(c ORDER BY b) AS crc FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS b)
+  )
+), hexed AS (
+  SELECT t, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                     lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)])) AS c
+  FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents), bytes
+), crcs AS (
+  SELECT sha256(t) AS content, xor(c, 4294967295)::BIGINT AS text_crc32 FROM hexed
+), placed AS (
+  SELECT doc_id, size, content, row_number() OVER w - 1 AS place, sum(size) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS total
+  FROM n WINDOW w AS (ORDER BY content, doc_id NULLS FIRST, size)
+), cuts AS (
+  SELECT k, max(place + CASE WHEN k * total - 8 * (upto - size) < 8 * upto - k * total THEN 0 ELSE 1 END) AS first_place
+  FROM placed, (SELECT unnest(range(1, 8)) AS k) WHERE 8 * (upto - size) < k * total AND k * total <= 8 * upto GROUP BY k
+), sharded AS (
+  SELECT doc_id, size, content, place, (SELECT count(*) FROM cuts WHERE first_place <= place)::INT AS shard FROM placed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM sharded JOIN crcs USING (content)
+"""
+
 OP6 = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -86,4 +113,4 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLE_SQL = {"op6_mixing": OP6, "op7_zip_warc": OP7, "op8_decontaminate": OP8, "op10_url_cascade": OP10}
+ORACLE_SQL = {"op4_sharding": OP4, "op6_mixing": OP6, "op7_zip_warc": OP7, "op8_decontaminate": OP8, "op10_url_cascade": OP10}

@@ -14,32 +14,34 @@ from pyspark.sql import functions as F
 
 from .common import pin, utf8_length
 
-#: A cut that falls into a group of equal texts moves to the group's edge if that is at most this share of a shard away.
-SNAP = 0.05
-ROWS_PER_RANGE = 250_000
+#: Rows in a range about; ranges at most, so that the table of their totals, which is broadcast, has a few MB whatever the corpus.
+ROWS_PER_RANGE, MOST_RANGES = 250_000, 100_000
 
 
 def shard_by_bytes(
-    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", snap: float = SNAP, ranges: int | None = None
+    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: ``<id>, size, text_crc32, content, shard, slot``; nothing else of ``docs`` is kept.
 
     ``size`` is the text's UTF-8 bytes plus 1 (null: 1); ``content`` is the
     text's SHA-256 (null: that of no text), by which rows are ordered, then by
     id (null first) and size.  So equal texts lie together, also null and empty
-    ones, and a group of any size may spread over ranges.  A cut goes to the
-    nearest row; inside a group of equal texts it goes to the group's nearer
-    edge if that is within ``snap`` of a shard's bytes, else the group is
-    split.  ``slot`` counts from 0 in each shard without gaps.  Rows that are
-    equal in all of this are interchangeable.  ``ranges``: partitions to sort
-    in; by default one for each ``ROWS_PER_RANGE`` rows, and the session's
-    shuffle partitions at least.  Empty tables give empty results.
+    ones, and a group of any size may spread over ranges and shards.  Cuts lie
+    at equal targets of bytes, each at the nearer edge of the row it falls into
+    (at its end where both are as near).  ``slot`` counts from 0 in each shard
+    without gaps.  Rows that are equal in all of this are interchangeable.
+    ``ranges``: partitions to sort in; by default one for each
+    ``ROWS_PER_RANGE`` rows, the session's shuffle partitions at least and
+    ``MOST_RANGES`` at most.  Columns of ``docs`` besides the two named ones
+    are left out, so none can clash.  Empty tables give empty results.
     """
+    if shards < 1:
+        raise ValueError("one shard at least")
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("id"), (utf8_length(F.col(text_col)) + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(text, 256).alias("content"))
     narrow = pin(narrow)
     if ranges is None:
-        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), narrow.count() // ROWS_PER_RANGE + 1)
+        ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), narrow.count() // ROWS_PER_RANGE + 1))
     order = ("content", F.col("id").asc_nulls_first(), "size")
     # Written before its partitions are numbered: another attempt can't deal rows otherwise.
     ranged = pin(narrow.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
@@ -50,7 +52,7 @@ def shard_by_bytes(
         "range",
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
-    )  # one row a range
+    )  # one row a range, MOST_RANGES at most
     inside = Window.partitionBy("range").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = pin(
@@ -60,42 +62,29 @@ def shard_by_bytes(
         .select("id", "size", "text_crc32", "content", (F.col("end") - F.col("size")).alias("start"), "end", "place")
     )
 
-    cuts = _cuts(placed, shards, snap)
+    cuts = _cuts(placed, shards)
     first = F.lit(0)
     shard = F.lit(0)
-    for start, place in cuts:  # shards - 1 of them
+    for place in cuts:  # shards - 1 of them
         first = F.when(F.col("place") >= place, F.lit(place)).otherwise(first)
         shard = shard + (F.col("place") >= place).cast("int")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "content", shard.cast("int").alias("shard"), (F.col("place") - first).cast("long").alias("slot"))
 
 
-def _cuts(placed: DataFrame, shards: int, snap: float) -> list[tuple[int, int]]:
-    """(bytes, rows) before each of the shards from the second on."""
-    total = placed.agg(F.max("end").alias("end"), F.max("place").alias("place")).first()
-    if total["end"] is None:
+def _cuts(placed: DataFrame, shards: int) -> list[int]:
+    """Rows before each of the shards from the second on."""
+    total = placed.agg(F.max("end").alias("end")).first()["end"]
+    if total is None:
         return []
-    whole, rows = total["end"], total["place"] + 1
-    wanted = [k * whole / shards for k in range(1, shards)]
-    met = None
+    # As whole numbers: a cut lies in the row with shards * start < k * total <= shards * end.
+    wanted = [k * total for k in range(1, shards)]
+    inside = F.lit(False)
     for at in wanted:
-        one = (F.col("start") < at) & (F.col("end") >= at)
-        met = one if met is None else met | one
-    if met is None:
-        return []
-    split = placed.where(met).collect()  # one row a cut at most
-    keys = sorted({r["content"] for r in split})
-    extent = {
-        r["content"]: r
-        for r in placed.where(F.col("content").isin(keys)).groupBy("content")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("place").alias("first"), (F.max("place") + 1).alias("next")).collect()
-    }
+        inside = inside | ((shards * F.col("start") < at) & (shards * F.col("end") >= at))
+    split = placed.where(inside).select("start", "end", "place").collect()  # one row a cut at most
     cuts = []
     for at in wanted:
-        row = next(r for r in split if r["start"] < at <= r["end"])
-        group = extent[row["content"]]
-        edges = [(group["start"], group["first"]), (group["end"], group["next"])]
-        start, place = min(edges, key=lambda e: abs(e[0] - at))
-        if abs(start - at) > snap * whole / shards:
-            start, place = min(((row["start"], row["place"]), (row["end"], row["place"] + 1)), key=lambda e: abs(e[0] - at))
-        cuts.append((start, min(place, rows)))
+        row = next(r for r in split if shards * r["start"] < at <= shards * r["end"])
+        nearer_start = at - shards * row["start"] < shards * row["end"] - at
+        cuts.append(row["place"] + (not nearer_start))
     return cuts

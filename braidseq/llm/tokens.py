@@ -26,7 +26,7 @@ from .common import append_columns
 SPACE = "▁"
 #: Words remembered in each worker.
 REMEMBERED = 400_000
-_NORMAL, _USER = 1, 4
+_NORMAL, _USER, _UNUSED = 1, 4, 5
 
 
 def _fields(data: bytes):
@@ -137,8 +137,8 @@ def load_model(path: str) -> PieceModel:
                     kind = x
             if kind == _NORMAL:
                 pieces[piece] = -score
-            elif kind == _USER:
-                raise ValueError("user-defined pieces are not handled")
+            elif kind in (_USER, _UNUSED):
+                raise ValueError("user-defined and unused pieces are not handled")
         elif number == 2:
             trainer = dict(_fields(value))
         elif number == 3:

@@ -8,8 +8,9 @@ that rejects a key decides: an odd one means "not listed", an even one "listed".
 The first level's error rate shrinks with the universe, so that about as many
 false positives are left as keys are listed: every level is as small as the
 list, whatever the corpus (times a logarithm of the universe).  Everything here
-is DataFrame functions; bit arrays are built by ``bit_or`` aggregates and used
-as literals.
+is DataFrame functions; bit arrays are built by ``bit_or`` aggregates.  Small
+ones are literals; a cascade over a long list is attached to the rows it judges
+as one broadcast row, whose size is known before.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, pin
 
-#: Listed keys that a cascade takes at most; its levels are literals in the plan.
-MAX_LISTED = 200_000
+#: 64-bit words of a level that is a literal in the plan; larger ones are a column of one broadcast row.
+LITERAL_WORDS = 50_000
+#: 64-bit words of all levels together, a gigabyte: some 50 million listed keys.  Longer lists are cut into several cascades by their keys' hashes.
+MOST_WORDS = 1 << 27
 _LIMIT_LEVELS = 64
 
 
@@ -41,8 +44,13 @@ class Level:
     def __contains__(self, key: object) -> bool:
         raise TypeError("use holds(column)")
 
-    def holds(self, key: Column) -> Column:
-        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+    @property
+    def literal(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+
+    def holds(self, key: Column, words: Column | None = None) -> Column:
+        """Whether ``key`` may be in the filter; ``words``: its bits, where they are a column."""
+        words = self.literal if words is None else words
         hit = None
         for at in _probes(key, self.bits, self.hashes, self.seed):
             one = F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(63).cast("int")) == 1
@@ -72,46 +80,90 @@ def _build(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
 @dataclass(frozen=True)
 class Cascade:
     levels: tuple[Level, ...]
+    name: str = "cascade"
+
+    def _words(self, i: int) -> Column | None:
+        return F.col(f"__{self.name}_{i}") if len(self.levels[i].words) > LITERAL_WORDS else None
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the levels that are too large for literals, each a column of one broadcast row; ``detach`` drops them."""
+        large = [i for i in range(len(self.levels)) if self._words(i) is not None]
+        if not large:
+            return rows
+        one = rows.sparkSession.range(1).select(*[self.levels[i].literal.alias(f"__{self.name}_{i}") for i in large])
+        return rows.crossJoin(F.broadcast(one))
+
+    def detach(self, rows: DataFrame) -> DataFrame:
+        return rows.drop(*[f"__{self.name}_{i}" for i in range(len(self.levels))])
 
     def holds(self, key: Column) -> Column:
-        """Whether a key of the universe is listed.  Exact there; other keys may err at the last level's rate."""
+        """Whether a key of the universe is listed, on rows of ``attach``.  Exact there; other keys may err at the last level's rate."""
         out = F.lit(len(self.levels) % 2 == 1)
         for i in range(len(self.levels), 0, -1):
-            out = F.when(~self.levels[i - 1].holds(key), F.lit(i % 2 == 0)).otherwise(out)
+            out = F.when(~self.levels[i - 1].holds(key, self._words(i - 1)), F.lit(i % 2 == 0)).otherwise(out)
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, universe_size: int | None = None) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, universe_size: int | None = None, name: str = "cascade") -> Cascade:
     """A cascade over the column ``key`` of both.
 
     ``universe`` is read once, or twice if its size isn't given; its rows may
     repeat.  Null keys are no keys.  An empty list gives a cascade that holds
-    nothing.  More than ``MAX_LISTED`` listed keys raise ``ValueError``.
+    nothing.  The levels' sizes follow from the list's; a list whose levels
+    would have more than ``MOST_WORDS`` words raises ``ValueError`` before
+    anything is built: ``listed_keys`` takes lists of any length.
     """
     listed = listed.select("key").where(F.col("key").isNotNull()).distinct()
     n = listed.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; a cascade takes {MAX_LISTED} at most")
     if not n:
-        return Cascade(())
+        return Cascade((), name)
     keys = universe.select("key").where(F.col("key").isNotNull())
     if universe_size is None:
         universe_size = keys.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
     rate = min(0.5, n / (math.sqrt(2) * max(1, universe_size)))
+    if n * (-math.log(rate) / math.log(2) ** 2 + 6) / 64 > MOST_WORDS:  # later levels shrink by halves
+        raise ValueError(f"{n} listed keys take more than {MOST_WORDS} words; use listed_keys")
     levels = [_build(listed, n, rate, 1)]
-    wrong = pin(keys.where(levels[0].holds(F.col("key"))).distinct().join(listed, "key", "left_anti"))
+
+    def let_through(rows: DataFrame, level: int) -> DataFrame:
+        one = Cascade((levels[level],), f"level{level}")
+        return one.detach(one.attach(rows).where(one.holds(F.col("key"))))
+
+    passed = let_through(keys, 0).distinct()
+    wrong = pin(passed.join(listed, "key", "left_anti"))
     inside, outside = listed, wrong
     while len(levels) < _LIMIT_LEVELS:
         turn = outside if len(levels) % 2 else inside
         left = turn.count()
         if not left:
-            return Cascade(tuple(levels))
+            return Cascade(tuple(levels), name)
         levels.append(_build(turn, left, 0.5, len(levels) + 1))
-        kept = (inside if turn is outside else outside).where(levels[-1].holds(F.col("key")))
+        kept = pin(let_through(inside if turn is outside else outside, len(levels) - 1))
         inside, outside = (kept, outside) if turn is outside else (inside, kept)
     raise RuntimeError("the cascade did not close")
 
 
+def listed_keys(rows: DataFrame, key: str, listed: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with ``listed`` (boolean): by ``parts`` cascades over hash parts of the list, one after the other, so a list of any length is judged.
+
+    ``rows`` are their own universe.  Each part's bits are one broadcast row,
+    known to fit; ``rows`` stream past every part.
+    """
+    if parts < 1:
+        raise ValueError("one part at least")
+    of = F.pmod(F.xxhash64(F.lit(-1), F.col("key")), F.lit(parts))
+    own = listed.select("key").where(F.col("key").isNotNull())
+    universe = rows.select(F.col(key).alias("key"))
+    out = rows.drop("listed").withColumn("__part", F.pmod(F.xxhash64(F.lit(-1), F.col(key)), F.lit(parts)))
+    found = F.lit(False)
+    for p in range(parts):
+        cascade = build_cascade(own.where(of == p), universe.where(of == p), name=f"part{p}")
+        out = cascade.attach(out)
+        found = F.when(F.col("__part") == p, cascade.holds(F.col(key))).otherwise(found)
+    out = out.withColumn("listed", F.coalesce(found, F.lit(False)))
+    return out.select(*[F.col(f"`{x}`") for x in rows.columns if x != "listed"], "listed")
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for null and for urls without ``://``."""
     shape = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -170,13 +222,15 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     offered = _candidates(F.col("host"), F.col("path"), rules)
     universe = parts.select(F.explode(offered).alias("key"))
     size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
-    spark = pages.sparkSession
+    one = pages.sparkSession.range(1)
     by_action = {}
     for action in ("allow", "block"):
-        listed = spark.createDataFrame([(r.key,) for r in rules if r.action == action], "key string")
-        by_action[action] = build_cascade(listed, universe, size)
+        keys = F.from_json(F.lit(json.dumps([r.key for r in rules if r.action == action])), "array<string>")
+        by_action[action] = build_cascade(one.select(F.explode(keys).alias("key")), universe, size, action)
+        parts = by_action[action].attach(parts)
     fits = lambda key: by_action["block"].holds(key) | by_action["allow"].holds(key)
-    return (
+    judged = (
         parts.withColumn("rule", F.try_element_at(F.filter(offered, fits), F.lit(1)))
         .withColumn("verdict", F.when(F.col("rule").isNull(), F.lit(default)).when(by_action["block"].holds(F.col("rule")), "block").otherwise("allow"))
     )
+    return by_action["allow"].detach(by_action["block"].detach(judged))

@@ -138,3 +138,40 @@ def test_rules_equal_brute_force(spark):
     assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
     assert {r["verdict"] for r in judge_urls(frame, []).collect()} == {"allow"}
+
+
+def test_long_lists_of_keys(spark, monkeypatch):
+    """Levels as broadcast rows, and a list cut into parts, judge as literals do."""
+    from braidseq.llm import url_cascade
+
+    listed = {f"k{i}" for i in range(0, 3000, 7)}
+    universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")).unionByName(spark.createDataFrame([(None,), ("k7",)], "key string"))
+    keys = spark.createDataFrame([(k,) for k in listed] + [(None,), ("k7",)], "key string")
+    monkeypatch.setattr(url_cascade, "LITERAL_WORDS", 0)
+    cascade = build_cascade(keys, universe)
+    rows = cascade.detach(cascade.attach(universe).withColumn("held", cascade.holds(F.col("key"))))
+    assert rows.columns == ["key", "held"]
+    assert all(r["held"] == (r["key"] in listed) for r in rows.where("key is not null").collect())
+    parts = url_cascade.listed_keys(universe.withColumn("listed", F.lit("old")), "key", keys, 3)
+    assert parts.columns == ["key", "listed"] and parts.count() == universe.count()
+    assert all(r["listed"] == (r["key"] in listed) for r in parts.collect())
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", 10)
+    with pytest.raises(ValueError):
+        build_cascade(keys, universe)
+
+
+def test_mixing_replaces_columns_named_like_results(spark):
+    rows = [(i, "word " * (i % 5 + 1), f"s{i % 3}") for i in range(200)]
+    plain = mix_sources(docs(spark, [(i, t, s, None) for i, t, s in rows]).select("doc_id", "text", "source"))
+    odd = mix_sources(spark.createDataFrame(rows, "size long, text string, target string"), "size", "text", "target")
+    assert odd.columns == ["text", "size", "source_size", "target", "repetitions"]
+    count = lambda df: sorted((r["size"], r["source_size"], round(r["target"], 6), r["repetitions"]) for r in df.collect())
+    assert count(plain) == count(odd)
+
+
+def test_buckets_of_the_sampling_order_keep_their_size():
+    from braidseq.llm.mixing import BUCKET_ROWS, bucket_digits_for
+
+    assert bucket_digits_for(10) == 3
+    for rows in (10**6, 10**9, 10**12, 10**14):
+        assert rows / 16 ** bucket_digits_for(rows) <= BUCKET_ROWS
