@@ -12,8 +12,8 @@ from braidseq.llm.decontaminate import find_contamination, with_verdict
 
 def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
-    model = tox.Model({}, np.zeros(0, dtype=np.uint32), {k: v.astype(np.float64) for k, v in tox._fresh(3, 1, rng).items()})
-    projected = rng.standard_normal((2, 5, 24))
+    model = tox.Model({}, {k: v.astype(np.float64) for k, v in tox._fresh(3, rng).items()})
+    projected = rng.standard_normal((2, 5, 3 * tox._UNITS))
     ids = np.array([[1, 2, 3, 0], [4, 1, 0, 0], [0, 0, 0, 0]])
     label, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
 
@@ -33,6 +33,33 @@ def test_gradients_equal_differences():
             assert abs((high - low) / (2 * step) - grad[name][at]) < 5e-3, (name, at)
 
 
+def test_gradients_of_the_byte_network_equal_differences():
+    rng = np.random.default_rng(2)
+    model = tox.Model({}, {k: v.astype(np.float64) for k, v in tox._fresh(3, rng).items()})
+    words = [b"abc", b"a", b"zebra", "é".encode(), b"zz"]
+    wanted = rng.standard_normal((5, 2 * tox._BYTE_UNITS))
+    keep = []
+    model.spell(words, keep)
+    grad = model.spell_back(wanted, keep)
+    for name in ("bytes", "byte_in", "byte_bias", "byte_hidden"):
+        values = model.weights[name]
+        places = [(b, 0) for b in b"abze"] if name == "bytes" else list(np.ndindex(values.shape))[:: max(1, values.size // 12)]
+        for at in places:
+            before, step = values[at], 1e-5
+            values[at] = before + step
+            high = float((model.spell(words) * wanted).sum())
+            values[at] = before - step
+            low = float((model.spell(words) * wanted).sum())
+            values[at] = before
+            assert abs((high - low) / (2 * step) - grad[name][at]) < 1e-6, (name, at)
+
+
+def test_the_order_of_characters_counts():
+    model = tox.Model({}, tox._fresh(2, np.random.default_rng(3)))
+    one, two, same = model.spell([b"abcdef", b"abdcef", b"abcdef"])
+    assert (one == same).all() and abs(one - two).max() > 1e-4
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
@@ -59,6 +86,30 @@ def test_held_out_accuracy(spark):
     assert tox.score_toxicity(docs.where("false"), model).count() == 0
 
 
+def test_held_out_figures_on_the_small_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = tox.train_toxicity(docs, labels)
+    again = tox.train_toxicity(docs, labels)
+    assert model.shift == again.shift and all((model.weights[k] == again.weights[k]).all() for k in model.weights)
+    scored = {r["doc_id"]: r["score"] for r in tox.score_toxicity(docs.select("doc_id", "text"), model).collect()}
+    held = [(scored[r["doc_id"]] >= tox.THRESHOLD, r["toxic"] == 1) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    both = sum(p and y for p, y in held)
+    assert 2 * both / (sum(p for p, _ in held) + sum(y for _, y in held)) >= 0.7
+
+
+def test_a_text_beyond_the_bytes_left_is_passed_over_whole(spark, monkeypatch):
+    monkeypatch.setattr(tox, "MOST_BYTES", 3000)
+    docs = spark.createDataFrame([(i, "w " * (5000 if i == 3 else 200)) for i in range(20)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    rows = tox.training_sample(docs, labels).collect()
+    assert len({r["id"] for r in rows}) == len(rows) and 3 not in {r["id"] for r in rows}
+    for value in (0, 1):
+        assert 0 < 400 * sum(r["label"] == value for r in rows) <= 3000
+    long = tox._cutter()("x" * 100 + " y")
+    assert b"".join(long) == b"x" * 100 + b"y" and max(map(len, long)) == tox.PIECE
+
+
 def test_training_ignores_held_out_labels(spark):
     rows = corpus(40, 4)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
