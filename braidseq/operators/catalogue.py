@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import InputError
 from ..functions.sequences import canonical, strand
+from ..session import pin
+from .skew import join_named
 
 
 def repeated_identifiers(sources: DataFrame) -> DataFrame:
@@ -55,10 +57,15 @@ def catalogue_sequences(sources: DataFrame) -> DataFrame:
 
 
 def catalogue_members(sources: DataFrame) -> DataFrame:
-    """``catalogue_id, source_id, source_sample, original_identifier, orientation, representative, group_size, length``: one row a source."""
+    """``catalogue_id, source_id, source_sample, original_identifier, orientation, representative, group_size, length``: one row a source.
+
+    A large group of copies gets its representative by broadcast, so no task
+    sees all of it.
+    """
     rows = keyed(sources).select("catalogue_id", "identifier", "source_sample", "original_identifier", "source_ordinal", "orientation", F.length("sequence").alias("length"))
     groups = rows.groupBy("catalogue_id").agg(F.min(_rank()).alias("rank"), F.count("*").alias("group_size"))
-    met = rows.join(groups.select("catalogue_id", F.col("rank.identifier").alias("first"), "group_size"), "catalogue_id")
+    groups = pin(groups.select("catalogue_id", F.col("rank.identifier").alias("first"), "group_size", F.col("group_size").alias("n")))
+    met = join_named(rows, groups, "catalogue_id", "n", groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     return met.select(
         "catalogue_id", F.col("identifier").alias("source_id"), "source_sample", "original_identifier", "orientation",
         (F.col("identifier") == F.col("first")).alias("representative"), "group_size", "length",

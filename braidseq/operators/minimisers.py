@@ -1,9 +1,10 @@
 """Canonical positional minimisers, and candidate pairs from the seeds that sequences share.
 
-A sequence is cut into tiles of k-mer starts with a halo of one window on both
-sides.  A tile's hashes, window minima and selected starts are array
-expressions on one row, so selecting minimisers moves no data and a sequence of
-any length is work for many tasks.
+A sequence is cut once into chunks, which are dealt out, and each chunk into
+tiles of k-mer starts; both have a halo of one window on either side.  A tile's
+hashes, window minima and selected starts are array expressions on one row.  So
+the work is linear in the sequence's length, and a sequence of any length is
+work for many tasks.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..config import InputError, RunConfig
 from ..functions.sequences import COMPLEMENTS, SYMBOLS
 
-#: K-mer starts in a tile.
-TILE = 512
+#: K-mer starts in a tile, and tiles in a chunk.
+TILE, CHUNK_TILES = 512, 16
 
 
 def sequence_minimisers(sequences: DataFrame, kmer: int = 21, window: int = 10, id_col: str = "catalogue_id") -> DataFrame:
@@ -25,23 +26,33 @@ def sequence_minimisers(sequences: DataFrame, kmer: int = 21, window: int = 10,
     SHA-256: in the order of unsigned integers.  A start is selected if its value
     is the least, ties too, of some window of ``min(window, starts)`` consecutive
     starts.  K-mers with a symbol other than A, C, G, T take a start but are
-    never selected.  Sequences shorter than ``kmer`` have none.
+    never selected.  Sequences shorter than ``kmer`` have none.  Sequences are
+    of ASCII symbols.
     """
-    n = f"(length(sequence) - {kmer} + 1)"
-    tiles = (
+    n, chunk = f"(length(sequence) - {kmer} + 1)", TILE * CHUNK_TILES
+    w = f"least({window}, {n})"
+    # Slices of the binary form cost their own length, wherever they begin; the cast is bound once for all of them.
+    base = f"greatest(0, i * {chunk} - ({w} - 1))"
+    cut = f"""transform(array(cast(sequence as binary)), b -> transform(sequence(0, ({n} - 1) div {chunk}), i -> named_struct(
+        'chunk', i, 'base', {base}, 'part', cast(substring(b, {base} + 1, (i + 1) * {chunk} + {w} - 1 - {base} + {kmer} - 1) as string))))[0]"""
+    # Dealt out evenly: a chunk is little data and much work, more than the size of a partition tells.
+    session = sequences.sparkSession
+    many = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    chunks = (
         sequences.select(F.col(id_col).alias("sequence_id"), "sequence").where(F.expr(f"{n} > 0"))
-        .select("sequence_id", "sequence", F.expr(f"{n}").alias("starts"), F.explode(F.expr(f"sequence(0, ({n} - 1) div {TILE})")).alias("tile"))
+        .select("sequence_id", F.expr(n).alias("starts"), F.explode(F.expr(cut)).alias("c")).select("sequence_id", "starts", "c.*")
+        .repartition(many, "sequence_id", "chunk")
+    )
+    first, last = f"chunk * {CHUNK_TILES}", f"least((chunk + 1) * {CHUNK_TILES}, (starts - 1) div {TILE} + 1) - 1"
+    tiles = (
+        chunks.select("sequence_id", "starts", "base", "part", F.explode(F.expr(f"sequence(cast({first} as int), cast({last} as int))")).alias("tile"))
         .withColumn("w", F.least(F.lit(window), F.col("starts")))
         .withColumn("low", F.greatest(F.lit(0), F.col("tile") * TILE - (F.col("w") - 1)))
         .withColumn("high", F.least(F.col("starts"), (F.col("tile") + 1) * TILE + (F.col("w") - 1)))
-        .select("sequence_id", "tile", "w", "low", (F.col("high") - F.col("low")).alias("m"), F.expr(f"substring(sequence, low + 1, high - low + {kmer} - 1)").alias("piece"))
+        .select("sequence_id", "tile", "w", "low", (F.col("high") - F.col("low")).alias("m"), F.expr(f"substring(part, low - base + 1, high - low + {kmer} - 1)").alias("piece"))
         .withColumn("turned", F.expr(f"reverse(translate(piece, '{SYMBOLS}', '{COMPLEMENTS}'))"))
         .withColumn("plain", F.expr("translate(piece, 'ACGT', '') = ''"))
     )
-    # Dealt out evenly: a tile is little data and much work, more than the size of a partition tells.
-    session = sequences.sparkSession
-    many = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    tiles = tiles.repartition(many, "sequence_id", "tile")
     kmers = f"""transform(sequence(0, m - 1), i -> named_struct(
         'position', low + i, 'forward', substring(piece, i + 1, {kmer}), 'reverse', substring(turned, m - i, {kmer})))"""
     hashed = f"""transform({kmers}, x -> named_struct('position', x.position, 'kmer', least(x.forward, x.reverse),
