@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import reverse_complement, text_as_sequence
 
-TILE_LENGTH, TILE_STRIDE, TILED_FROM = 3000, 2000, 5000
+TILE_LENGTH, TILE_STRIDE = 3000, 2000
+PIECE_LENGTH = 1500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,28 +24,12 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixture, for the queries whose SQL is on it: long documents in overlapping tiles, every other one on the other strand; of every third document a prefix and a slice inside it instead."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", text_as_sequence(F.col("text")).alias("s")).where(F.length("s") >= TILED_FROM)
-    last = F.expr(f"(length(s) - {TILE_LENGTH}) div {TILE_STRIDE}")
-    cut = rows.where("doc_id % 3 <> 0").select("doc_id", "source", "s", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    cut = cut.withColumn("piece", F.expr(f"substring(s, cast(i * {TILE_STRIDE} + 1 as int), {TILE_LENGTH})"))
-    cut = cut.select("doc_id", "source", F.col("i").cast("int").alias("i"), F.when(F.col("i") % 2 == 1, reverse_complement(F.col("piece"))).otherwise(F.col("piece")).alias("sequence"))
-    third = rows.where("doc_id % 3 = 0")
-    whole = third.select("doc_id", "source", F.lit(0).alias("i"), F.substring("s", 1, TILE_LENGTH).alias("sequence"))
-    inner = third.select("doc_id", "source", F.lit(1).alias("i"), F.substring("s", 501, 1500).alias("sequence"))
-    return cut.unionByName(whole).unionByName(inner).select(
-        F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("identifier"), F.col("source").alias("source_sample"),
-        F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("original_identifier"), "sequence", F.col("i").alias("source_ordinal"),
-    )
-
-
-def document_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every letter of every document: overlapping tiles, the last one to the document's end; every other one on the other strand."""
+def _cut(spark: SparkSession, sf_dir: str, length: int, stride: int) -> DataFrame:
+    """Every letter of every document: pieces of ``length`` every ``stride``, the last one to the document's end; every other one on the other strand."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", text_as_sequence(F.col("text")).alias("s"))
-    rows = rows.withColumn("last", F.expr(f"greatest(0, cast((length(s) - {TILE_LENGTH}) div {TILE_STRIDE} as int))"))
+    rows = rows.withColumn("last", F.expr(f"greatest(0, cast((length(s) - {length}) div {stride} as int))"))
     cut = rows.select("doc_id", "source", "s", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    piece = F.expr(f"substring(s, i * {TILE_STRIDE} + 1, if(i = last, length(s), {TILE_LENGTH}))")
+    piece = F.expr(f"substring(s, i * {stride} + 1, if(i = last, length(s), {length}))")
     cut = cut.select("doc_id", "source", "i", piece.alias("piece"))
     return cut.select(
         F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("identifier"), F.col("source").alias("source_sample"),
@@ -53,6 +38,21 @@ def document_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in overlapping tiles."""
+    return _cut(spark, sf_dir, TILE_LENGTH, TILE_STRIDE)
+
+
+def documents_and_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whole, and again in pieces that lie end to end: so there are containments, of one container or of several."""
+    return contigs(spark, sf_dir).unionByName(_cut(spark, sf_dir, PIECE_LENGTH, PIECE_LENGTH))
+
+
+def documents_and_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whole, and again in overlapping tiles: containments and overlaps in one component."""
+    return contigs(spark, sf_dir).unionByName(document_tiles(spark, sf_dir))
+
+
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _S0 = "translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 
@@ -62,16 +62,24 @@ CONTIGS_SQL = f"""contigs AS (
   FROM (SELECT doc_id, source, {_S0} AS s FROM documents)
 )"""
 
-TILES_SQL = f"""contigs AS (
-  WITH d AS (SELECT doc_id, source, s FROM (SELECT doc_id, source, {_S0} AS s FROM documents) WHERE length(s) >= {TILED_FROM}),
-  c AS (SELECT doc_id, source, i, substr(s, i * {TILE_STRIDE} + 1, {TILE_LENGTH}) AS piece
-        FROM (SELECT *, unnest(range((length(s) - {TILE_LENGTH}) // {TILE_STRIDE} + 1)) AS i FROM d WHERE doc_id % 3 <> 0)),
-  u AS (SELECT doc_id, source, i, CASE WHEN i % 2 = 1 THEN {_RC.format('piece')} ELSE piece END AS sequence FROM c
-        UNION ALL SELECT doc_id, source, 0, substr(s, 1, {TILE_LENGTH}) FROM d WHERE doc_id % 3 = 0
-        UNION ALL SELECT doc_id, source, 1, substr(s, 501, 1500) FROM d WHERE doc_id % 3 = 0)
-  SELECT source || ':' || doc_id || ':' || i AS identifier, source AS source_sample, doc_id || ':' || i AS original_identifier, sequence, i AS source_ordinal FROM u
+def _cut_sql(length: int, stride: int) -> str:
+    return f"""SELECT source || ':' || doc_id || ':' || i AS identifier, source AS source_sample, doc_id || ':' || i AS original_identifier,
+         CASE WHEN i % 2 = 1 THEN {_RC.format('piece')} ELSE piece END AS sequence, i AS source_ordinal
+  FROM (SELECT *, substr(s, i * {stride} + 1, CASE WHEN i = last THEN length(s) ELSE {length} END) AS piece
+        FROM (SELECT *, unnest(range(last + 1)) AS i FROM (SELECT doc_id, source, s, greatest(0, (length(s) - {length}) // {stride}) AS last FROM (SELECT doc_id, source, {_S0} AS s FROM documents))))"""
+
+
+TILES_SQL = f"contigs AS ({_cut_sql(TILE_LENGTH, TILE_STRIDE)})"
+
+def _with_whole(cut: str) -> str:
+    return f"""{CONTIGS_SQL.replace('contigs AS', 'whole_documents AS', 1)}, contigs AS (
+  SELECT identifier, source_sample, original_identifier, sequence, 0 AS source_ordinal FROM whole_documents UNION ALL {cut}
 )"""
 
+
+PIECES_SQL = _with_whole(_cut_sql(PIECE_LENGTH, PIECE_LENGTH))
+WHOLE_AND_TILES_SQL = _with_whole(_cut_sql(TILE_LENGTH, TILE_STRIDE))
+
 #: Hits folded out of line items, with geometry around every bound; the same text in both dialects.
 HITS_SQL = """
 SELECT query_id, target_id, ql AS query_length, qs AS query_start, qe AS query_end, orientation, tl AS target_length, ts AS target_start, te AS target_end,
@@ -109,11 +117,17 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HITS_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
-def unfolded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``hits`` with an id for each order and each part, so the graph grows with the table."""
-    text = HITS_SQL
+def _unfolded(text: str) -> str:
     for folded, own in (("CAST(l_orderkey % 1500 AS STRING)", "CAST(l_orderkey AS STRING)"), ("CAST(l_partkey % 40 AS STRING)", "CAST(l_partkey AS STRING)")):
         if text.count(folded) != 1:
             raise ValueError(f"HITS_SQL has no single {folded}")
         text = text.replace(folded, own)
-    return spark.sql(text.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return text
+
+
+#: ``HITS_SQL`` with an id for each order and each part, so the graph grows with the table.
+UNFOLDED_HITS_SQL = _unfolded(HITS_SQL)
+
+
+def unfolded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(UNFOLDED_HITS_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import CONTIGS_SQL, HITS_SQL, TILES_SQL
+from .inputs import CONTIGS_SQL, HITS_SQL, PIECES_SQL, TILES_SQL, UNFOLDED_HITS_SQL, WHOLE_AND_TILES_SQL
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
@@ -71,7 +71,7 @@ _DIAGONALS = """diagonals AS (
   FROM laid WHERE qe - qs >= 500
 ), hits AS (
   SELECT query_id, target_id, ql::INT AS query_length, qs::INT AS query_start, qe::INT AS query_end, orientation, tl::INT AS target_length, ts::INT AS target_start, te::INT AS target_end,
-         CASE WHEN x = y THEN qe - qs ELSE list_sum(list_transform(range(qe - qs), lambda k: CASE WHEN x[k + 1] = y[k + 1] THEN 1 ELSE 0 END)) END::INT AS matching_bases,
+         (qe - qs - hamming(x, y))::INT AS matching_bases,
          (qe - qs)::INT AS alignment_block_length, NULL::INT AS mapping_quality
   FROM (
     SELECT p.*, substr(a.sequence, qs + 1, qe - qs) AS x,
@@ -80,6 +80,8 @@ _DIAGONALS = """diagonals AS (
   )
 )"""
 
+_OPEN_HITS = "hits AS (" + UNFOLDED_HITS_SQL.replace("AS STRING", "AS VARCHAR") + ")"
+
 _LINE_HITS = "hits AS (" + HITS_SQL.replace("AS STRING", "AS VARCHAR") + ")"
 
 _CLASSIFIED = """measured AS (
@@ -155,6 +157,144 @@ def _with(*parts: str) -> str:
 
 
 _TILE_HITS = (TILES_SQL, _MEMBERS, _SEEDS, _PAIRS, _CANDIDATES, _DIAGONALS)
+_WHOLE_HITS = (CONTIGS_SQL, _MEMBERS, _SEEDS, _PAIRS, _CANDIDATES, _DIAGONALS)
+
+
+def _joined(name: str, ways: str) -> str:
+    """``name`` (n, root): the least node that each node of ``ways`` (a, b; both directions) reaches."""
+    return f"""{name}(n, root) USING KEY (n) AS (
+  SELECT DISTINCT a, a FROM {ways}
+  UNION
+  SELECT w.b, min({name}.root) FROM {name} JOIN {ways} w ON w.a = {name}.n JOIN recurring.{name} AS now ON now.n = w.b WHERE {name}.root < now.root GROUP BY w.b
+)"""
+
+
+#: From ``edges`` and ``nodes`` (n) to ``labels`` (n, component_id, members) and ``components`` with their reasons.
+_GRAPH = f"""ways AS (SELECT query_id AS a, target_id AS b FROM edges UNION SELECT target_id, query_id FROM edges),
+{_joined('cc', 'ways')}, rooted AS (
+  SELECT n, coalesce(root, n) AS root FROM nodes LEFT JOIN cc USING (n)
+), named AS (
+  SELECT root, count(*) AS members, 'component_' || substr(sha256(string_agg(n, chr(0) ORDER BY n)), 1, 20) AS component_id FROM rooted GROUP BY root
+), labels AS (
+  SELECT n, component_id, members FROM rooted JOIN named USING (root)
+), lapped AS (
+  SELECT e.*, component_id FROM edges e JOIN labels ON n = query_id WHERE kind = 'overlap'
+), ports AS (
+  SELECT edge_id, component_id, query_id AS node, CASE WHEN ahead THEN 'suffix' ELSE 'prefix' END AS port, target_id AS other FROM (SELECT *, relationship_type = 'QUERY_SUFFIX_TO_TARGET_PREFIX' AS ahead FROM lapped)
+  UNION ALL
+  SELECT edge_id, component_id, target_id, CASE WHEN (relationship_type = 'QUERY_SUFFIX_TO_TARGET_PREFIX') = (orientation = '+') THEN 'prefix' ELSE 'suffix' END, query_id FROM lapped
+), inside AS (
+  SELECT edge_id, component_id, CASE WHEN inner_query THEN query_id ELSE target_id END AS child, CASE WHEN inner_query THEN target_id ELSE query_id END AS parent,
+         CASE WHEN inner_query THEN target_start ELSE query_start END AS parent_start, CASE WHEN inner_query THEN target_end ELSE query_end END AS parent_end
+  FROM (SELECT e.*, component_id, relationship_type = 'QUERY_CONTAINED_IN_TARGET' AS inner_query FROM edges e JOIN labels ON n = query_id WHERE kind = 'containment')
+), overlap_ways AS (SELECT query_id AS a, target_id AS b FROM lapped UNION SELECT target_id, query_id FROM lapped),
+{_joined('oc', 'overlap_ways')}, cycles AS (
+  SELECT DISTINCT component_id FROM (SELECT root, component_id, count(*) AS edges FROM lapped JOIN oc ON oc.n = query_id GROUP BY ALL)
+  JOIN (SELECT root, count(*) AS nodes FROM oc GROUP BY root) USING (root) WHERE edges >= nodes
+), cover AS (
+  SELECT query_id || s AS a, target_id || CASE WHEN orientation = '+' THEN s WHEN s = '+' THEN '-' ELSE '+' END AS b FROM lapped, (VALUES ('+'), ('-')) t(s)
+), cover_ways AS (SELECT a, b FROM cover UNION SELECT b, a FROM cover),
+{_joined('sc', 'cover_ways')}, conflicts AS (
+  SELECT DISTINCT component_id FROM (SELECT left(n, length(n) - 1) AS n, root FROM sc GROUP BY ALL HAVING count(*) > 1) JOIN labels USING (n)
+), components AS (
+  SELECT l.component_id, l.nodes, coalesce(c.edges, 0) AS edges, coalesce(c.overlap_edges, 0) AS overlap_edges, coalesce(c.containment_edges, 0) AS containment_edges,
+         array_to_string(list_filter([
+           CASE WHEN c.vague > 0 THEN 'component contains ambiguous pairwise evidence' END,
+           CASE WHEN l.component_id IN (SELECT component_id FROM inside GROUP BY component_id, child HAVING count(*) > 1) THEN 'contained sequence has multiple possible containers' END,
+           CASE WHEN l.component_id IN (SELECT component_id FROM ports GROUP BY component_id, node, port HAVING count(*) > 1) THEN 'multiple overlaps compete for the same oriented terminal' END,
+           CASE WHEN l.component_id IN (SELECT component_id FROM cycles) THEN 'overlap subgraph contains a cycle' END,
+           CASE WHEN l.component_id IN (SELECT component_id FROM conflicts) THEN 'overlap orientations are mutually inconsistent' END], lambda x: x IS NOT NULL), '; ') AS ambiguity_reasons
+  FROM (SELECT component_id, count(*) AS nodes FROM labels GROUP BY 1) l
+  LEFT JOIN (SELECT component_id, count(*) AS edges, count(*) FILTER (kind = 'overlap') AS overlap_edges, count(*) FILTER (kind = 'containment') AS containment_edges,
+                    count(*) FILTER (kind = 'ambiguous') AS vague FROM edges JOIN labels ON n = query_id GROUP BY 1) c USING (component_id)
+)"""
+
+#: From the graph, ``seqs`` (sequence_id, sequence, len) and ``members`` to decisions, paths, outputs and provenance.
+_RECONCILED = f"""contained AS (
+  SELECT i.edge_id, child, parent, parent_start, parent_end, list_concat(
+           CASE WHEN ambiguity_reasons <> '' THEN list_concat(['component ambiguity prevents containment disposition'], string_split(ambiguity_reasons, '; ')) ELSE []::VARCHAR[] END,
+           CASE WHEN count(*) OVER (PARTITION BY child) <> 1 AND NOT contains(ambiguity_reasons, 'contained sequence has multiple') THEN ['contained sequence has multiple possible containers'] ELSE []::VARCHAR[] END) AS why
+  FROM inside i JOIN components USING (component_id)
+), supported AS (
+  SELECT edge_id FROM lapped o JOIN seqs a ON a.sequence_id = query_id JOIN seqs b ON b.sequence_id = target_id
+  WHERE query_end > query_start AND query_end - query_start = target_end - target_start AND query_end - query_start = aligned_length
+    AND CASE WHEN relationship_type = 'QUERY_SUFFIX_TO_TARGET_PREFIX' THEN a.len - query_end ELSE query_start END <= 50
+    AND CASE WHEN (relationship_type = 'QUERY_SUFFIX_TO_TARGET_PREFIX') = (orientation = '+') THEN target_start ELSE b.len - target_end END <= 50
+    AND substr(a.sequence, query_start + 1, query_end - query_start) = CASE WHEN orientation = '+' THEN substr(b.sequence, target_start + 1, target_end - target_start)
+          ELSE {_RC.format('substr(b.sequence, target_start + 1, target_end - target_start)')} END
+), decisions AS (
+  SELECT component_id, c.overlap_edges, u.unsupported, list_filter([
+           CASE WHEN ambiguity_reasons <> '' THEN 'component ambiguity prevents overlap path eligibility' END,
+           CASE WHEN containment_edges > 0 THEN 'containment and overlap evidence require provenance-complete joint planning' END,
+           CASE WHEN unsupported > 0 THEN 'one or more proposed junctions lack explicit support' END], lambda x: x IS NOT NULL) AS why
+  FROM (SELECT component_id, count(*) FILTER (edge_id NOT IN (SELECT edge_id FROM supported)) AS unsupported FROM lapped GROUP BY 1) u JOIN components c USING (component_id)
+), open_ports AS (
+  SELECT p.* FROM ports p JOIN decisions d USING (component_id) WHERE len(d.why) = 0
+), moves AS (
+  SELECT a.component_id, a.node, a.port AS leave, a.edge_id, b.node AS next, CASE WHEN b.port = 'prefix' THEN 'suffix' ELSE 'prefix' END AS next_leave
+  FROM open_ports a JOIN open_ports b ON a.edge_id = b.edge_id AND a.node = b.other AND a.other = b.node
+), heads AS (
+  SELECT component_id, min(node) AS node FROM (SELECT component_id, node FROM open_ports GROUP BY ALL HAVING count(*) = 1) GROUP BY 1
+), walk AS (
+  SELECT h.component_id, h.node, p.port AS leave, 0 AS step FROM heads h JOIN open_ports p USING (component_id, node)
+  UNION ALL
+  SELECT w.component_id, m.next, m.next_leave, w.step + 1 FROM walk w JOIN moves m ON m.node = w.node AND m.leave = w.leave AND m.component_id = w.component_id
+), steps AS (
+  SELECT w.component_id, w.step, w.node, CASE WHEN w.leave = 'suffix' THEN '+' ELSE '-' END AS strand, m.edge_id FROM walk w LEFT JOIN moves m USING (component_id, node, leave)
+), paths AS (
+  SELECT s.*, path_id FROM steps s JOIN (
+    SELECT component_id, 'path_' || substr(sha256(component_id || chr(0) || string_agg(node || ':' || strand, chr(0) ORDER BY step) || chr(0) || string_agg(edge_id, chr(0) ORDER BY step)), 1, 20) AS path_id
+    FROM steps GROUP BY 1) USING (component_id)
+), laid_out AS (
+  SELECT p.*, CASE WHEN strand = '+' THEN s.sequence ELSE {_RC.format('s.sequence')} END AS bases, coalesce(o.query_end - o.query_start, 0) AS span, o.query_id, o.orientation,
+         substr(q.sequence, o.query_start + 1, o.query_end - o.query_start) AS part
+  FROM paths p JOIN seqs s ON s.sequence_id = p.node LEFT JOIN lapped o USING (edge_id) LEFT JOIN seqs q ON q.sequence_id = o.query_id
+), checked AS (
+  SELECT *, sum(length(bases) - span) OVER w - (length(bases) - span) AS output_start, lag(span, 1, 0) OVER w AS cut,
+         edge_id IS NOT NULL AND NOT (right(bases, span) = own AND left(lead(bases) OVER w, span) = own) AS bad
+  FROM (SELECT *, CASE WHEN (CASE WHEN query_id = node THEN strand WHEN orientation = '+' THEN strand WHEN strand = '+' THEN '-' ELSE '+' END) = '+' THEN part ELSE {_RC.format('part')} END AS own FROM laid_out)
+  WINDOW w AS (PARTITION BY path_id ORDER BY step)
+), merged AS (
+  SELECT path_id, 'merge_' || substr(path_id, 6, 20) AS output_sequence, string_agg(substr(bases, cut + 1), '' ORDER BY step) AS sequence, bool_or(bad) AS failed FROM checked GROUP BY path_id
+), lifted AS (
+  SELECT child, parent AS root, parent_start AS output_start, parent_end AS output_end, 0 AS level FROM contained WHERE len(why) = 0
+  UNION ALL
+  SELECT l.child, c.parent, (c.parent_start + floor(l.output_start * (c.parent_end - c.parent_start) / s.len))::INT, (c.parent_start + floor(l.output_end * (c.parent_end - c.parent_start) / s.len))::INT, level + 1
+  FROM lifted l JOIN (SELECT * FROM contained WHERE len(why) = 0) c ON c.child = l.root JOIN seqs s ON s.sequence_id = c.child
+), roots AS (
+  SELECT * FROM lifted QUALIFY row_number() OVER (PARTITION BY child ORDER BY level DESC) = 1
+), remaining AS (
+  SELECT * FROM seqs WHERE sequence_id NOT IN (SELECT node FROM checked JOIN merged USING (path_id) WHERE NOT failed) AND sequence_id NOT IN (SELECT child FROM roots)
+), outputs AS (
+  SELECT output_sequence, length(sequence)::INT AS length, md5(sequence) AS sequence_md5, 'conservative conflict-free terminal-overlap merge' AS description FROM merged WHERE NOT failed
+  UNION ALL SELECT sequence_id, len::INT, md5(sequence), 'canonical catalogue representative' FROM remaining
+), provenance AS (
+  SELECT g.output_sequence, m.source_sample, m.original_identifier AS source_contig, 'TERMINAL_OVERLAP' AS relationship, CASE WHEN m.orientation = c.strand THEN '+' ELSE '-' END AS orientation, 0 AS source_start,
+         length(m.sequence)::INT AS source_end, c.output_start::INT AS output_start, (c.output_start + length(c.bases))::INT AS output_end, 1.0::DOUBLE AS identity, 'constructed_path' AS disposition,
+         'exact terminal overlap; no evidence required' AS decision_reason, 'none' AS evidence_mode
+  FROM members m JOIN checked c ON c.node = m.catalogue_id JOIN merged g USING (path_id) WHERE NOT failed
+  UNION ALL SELECT k.sequence_id, m.source_sample, m.original_identifier, 'EXACT_MATCH', m.orientation, 0, length(m.sequence)::INT, 0, length(m.sequence)::INT, 1.0::DOUBLE,
+         CASE WHEN m.place = 1 THEN 'canonical representative' ELSE 'exact duplicate' END, 'exact or reverse-complement catalogue identity', 'none' FROM members m JOIN remaining k ON k.sequence_id = m.catalogue_id
+  UNION ALL SELECT r.root, m.source_sample, m.original_identifier, 'CONTAINMENT', m.orientation, 0, length(m.sequence)::INT, r.output_start::INT, r.output_end::INT, 1.0::DOUBLE, 'contained_removed',
+         'unique containment creates no new sequence junction', 'none' FROM members m JOIN roots r ON r.child = m.catalogue_id
+), reports AS (
+  SELECT path_id AS component_or_pair, 'path junction is not an exact terminal join' AS reason FROM merged WHERE failed
+  UNION SELECT component_id, CASE WHEN ambiguity_reasons <> '' THEN ambiguity_reasons ELSE 'component deferred by conservative policy' END FROM components
+        WHERE ambiguity_reasons <> '' OR component_id IN (SELECT component_id FROM decisions WHERE len(why) > 0)
+  UNION SELECT query_id || ':' || target_id, reasons FROM decided WHERE relationship_type = 'AMBIGUOUS_OVERLAP'
+)"""
+
+_TILE_GRAPH = (*_TILE_HITS, _CLASSIFIED, _DECIDED, _ONE_WAY_EDGES, "nodes AS (SELECT sequence_id AS n FROM seqs)", _GRAPH)
+_TILE_RUN = (*_TILE_GRAPH, _RECONCILED)
+_JOINT_RUN = (WHOLE_AND_TILES_SQL, *_TILE_RUN[1:])
+_PIECE_RUN = (PIECES_SQL, *_TILE_RUN[1:])
+_LINE_GRAPH = (_OPEN_HITS, _CLASSIFIED, _DECIDED, _ONE_WAY_EDGES, "nodes AS (SELECT DISTINCT n FROM (SELECT query_id AS n FROM hits UNION ALL SELECT target_id FROM hits))", _GRAPH)
+_STATS = """ SELECT (SELECT count(*) FROM members) AS sources, (SELECT count(*) FROM members WHERE place > 1) AS duplicates_collapsed, (SELECT count(*) FROM members WHERE orientation = '-') AS reverse_members,
+        (SELECT count(*) FROM seqs) AS canonical_sequences, (SELECT count(*) FROM outputs) AS output_sequences, (SELECT count(*) FROM merged WHERE NOT failed) AS merged_linear_paths,
+        (SELECT count(*) FROM edges WHERE kind = 'overlap') AS overlap_edges, (SELECT count(*) FROM edges WHERE kind = 'containment') AS containment_edges,
+        (SELECT count(*) FROM edges WHERE kind = 'ambiguous') AS ambiguous_edges, (SELECT count(*) FROM provenance WHERE disposition = 'contained_removed') AS contained_members,
+        (SELECT count(*) FROM provenance) AS provenance_rows"""
+_HIT_COLUMNS = " SELECT query_id, target_id, query_length, query_start, query_end, orientation, target_length, target_start, target_end, matching_bases, alignment_block_length FROM hits"
 
 ORACLE_SQL = {
     "seq_reverse_complement": _with(CONTIGS_SQL) + f" SELECT identifier, md5({_RC.format('sequence')}) AS reversed_md5, length(sequence)::INT AS length FROM contigs",
@@ -195,14 +335,25 @@ ORACLE_SQL = {
     "graph_edges": _with(_LINE_HITS, _CLASSIFIED, _DECIDED, _ONE_WAY_EDGES)
     + """ SELECT edge_id, kind, query_id, target_id, relationship_type, orientation, aligned_length, CASE WHEN kind <> 'ambiguous' THEN query_start END AS query_start,
         CASE WHEN kind <> 'ambiguous' THEN target_end END AS target_end, CASE WHEN kind = 'ambiguous' THEN 'pair classifier retained ambiguous alignment evidence' ELSE '' END AS ambiguity_reasons FROM edges""",
-    "graph_components": _with(
-        _LINE_HITS, _CLASSIFIED, _DECIDED, _ONE_WAY_EDGES,
-        """ways AS (SELECT query_id AS a, target_id AS b FROM edges WHERE kind = 'containment' UNION SELECT target_id, query_id FROM edges WHERE kind = 'containment'),
-        nodes AS (SELECT DISTINCT n FROM (SELECT query_id AS n FROM hits UNION ALL SELECT target_id FROM hits)),
-        reach AS (SELECT n, n AS r FROM nodes UNION SELECT reach.n, ways.b FROM reach JOIN ways ON reach.r = ways.a),
-        labels AS (SELECT n, min(r) AS root FROM reach GROUP BY n),
-        named AS (SELECT root, count(*) AS members, 'component_' || substr(sha256(string_agg(n, chr(0) ORDER BY n)), 1, 20) AS component_id FROM labels GROUP BY root)""",
-    ) + " SELECT n AS node, component_id, members FROM labels JOIN named USING (root)",
+    "graph_components": _with(*_LINE_GRAPH) + " SELECT n AS node, component_id, members FROM labels",
+    "relationship_components": _with(*_LINE_GRAPH) + " SELECT * FROM components",
+    "document_hits": _with(*_TILE_HITS) + _HIT_COLUMNS,
+    "document_relationships": _with(*_TILE_HITS, _CLASSIFIED, _DECIDED) + " SELECT relationship_type, status, count(*) AS pairs FROM decided GROUP BY ALL",
+    "component_ambiguity": _with(*_TILE_GRAPH) + " SELECT * FROM components",
+    "containment_decisions": _with(*_PIECE_RUN)
+    + """ SELECT edge_id, child, parent, CASE WHEN len(why) = 0 THEN 'eligible' ELSE 'deferred' END AS status,
+        CASE WHEN len(why) = 0 THEN 'unique containment creates no new sequence junction' ELSE array_to_string(why, '; ') END AS reasons FROM contained""",
+    "overlap_decisions": _with(*_TILE_RUN)
+    + """ SELECT component_id, overlap_edges, unsupported, CASE WHEN len(why) = 0 THEN 'eligible' ELSE 'deferred' END AS status,
+        CASE WHEN len(why) = 0 THEN 'all junctions are supported in an unambiguous overlap-only component' ELSE array_to_string(why, '; ') END AS reasons FROM decisions""",
+    "linear_paths": _with(*_TILE_RUN) + " SELECT path_id, component_id, step, node AS sequence_id, strand, edge_id FROM paths",
+    "merged_sequences": _with(*_TILE_RUN) + " SELECT output_sequence, length, sequence_md5, description FROM outputs",
+    "merge_provenance": _with(*_TILE_RUN) + " SELECT * FROM provenance",
+    "ambiguity_report": _with(*_JOINT_RUN) + " SELECT * FROM reports",
+    "joint_components": _with(*_JOINT_RUN) + " SELECT * FROM components",
+    "contained_provenance": _with(*_PIECE_RUN) + " SELECT * FROM provenance",
+    "contained_stats": _with(*_PIECE_RUN) + _STATS,
+    "merge_stats": _with(*_TILE_RUN) + _STATS,
     "cigar_blocks": _with(_READS)
     + " SELECT reference, count(*) AS blocks, sum(stop - start)::BIGINT AS aligned, min(start)::INT AS first, max(stop)::INT AS last FROM blocks GROUP BY reference",
     "junction_spanning": _with(_READS, _SPANNING) + " SELECT case_id, remapped_reads, spanning_reads FROM spanning",
@@ -221,9 +372,9 @@ ORACLE_SQL = {
     + """ SELECT count(*) AS cases, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT put_off AND NOT allowed AND merges) AS false_merge, 0::BIGINT AS missed,
         count(*) FILTER (NOT put_off AND NOT vague AND NOT same) AS wrong_type, count(*) FILTER (NOT put_off AND NOT vague AND allowed AND NOT none AND NOT strand_ok) AS wrong_orientation,
         count(*) FILTER (put_off) AS deferred, count(*) FILTER (NOT correct AND NOT put_off) AS boundary_failure FROM judged""",
-    "diagonal_hits": _with(*_TILE_HITS)
-    + " SELECT query_id, target_id, query_length, query_start, query_end, orientation, target_length, target_start, target_end, matching_bases, alignment_block_length FROM hits",
-    "aligned_relationships": _with(*_TILE_HITS, _CLASSIFIED, _DECIDED) + " SELECT relationship_type, status, count(*) AS pairs FROM decided GROUP BY ALL",
+    "diagonal_hits": _with(*_WHOLE_HITS) + _HIT_COLUMNS,
+    "aligned_relationships": _with(*_WHOLE_HITS, _CLASSIFIED, _DECIDED)
+    + " SELECT query_id, target_id, relationship_type, orientation, identity, aligned_length, status, reasons, accepted_hits, rejected_hits FROM decided",
     "circular_slices": _with(CONTIGS_SQL)
     + f""", cut AS (SELECT identifier, length(sequence) AS n, (2 * length(sequence)) // 3 AS a, length(sequence) // 4 AS e, sequence || sequence AS twice FROM contigs WHERE length(sequence) > 0
       ), part AS (SELECT identifier, n, substr(twice, a + 1, CASE WHEN e > a THEN e ELSE e + n END - a) AS p FROM cut)

@@ -156,28 +156,38 @@ def graph_edges(spark, sf_dir):
     )
 
 
+def _relationship_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Labels and edges of every kind, of hits whose ids grow with the table."""
+    found = pin(inputs.unfolded_hits(spark, sf_dir))
+    edges = pin(graph.graph_edges(hits.classify_pairs(found, CONFIG)))
+    nodes = found.select(F.col("query_id").alias("sequence_id")).union(found.select("target_id")).distinct()
+    return graph.node_components(nodes, edges), edges
+
+
 @query
 def graph_components(spark, sf_dir):
-    """Over containments alone, as its SQL has it; ``relationship_components`` takes edges of every kind."""
-    edges = pin(graph.graph_edges(_decisions(spark, sf_dir)).where("kind = 'containment'"))
-    nodes = inputs.hits(spark, sf_dir).select(F.col("query_id").alias("sequence_id")).union(inputs.hits(spark, sf_dir).select("target_id")).distinct()
-    return graph.node_components(nodes, edges).select("node", "component_id", F.col("members").cast("long").alias("members"))
+    labels, _ = _relationship_graph(spark, sf_dir)
+    return labels.select("node", "component_id", F.col("members").cast("long").alias("members"))
 
 
 @query
 def relationship_components(spark, sf_dir):
-    """Over edges of every kind, of hits whose ids grow with the table."""
-    found = pin(inputs.unfolded_hits(spark, sf_dir))
-    edges = pin(graph.graph_edges(hits.classify_pairs(found, CONFIG)))
-    nodes = found.select(F.col("query_id").alias("sequence_id")).union(found.select("target_id")).distinct()
-    return graph.node_components(nodes, edges).select("node", "component_id", F.col("members").cast("long").alias("members"))
+    labels, edges = _relationship_graph(spark, sf_dir)
+    return graph.component_ambiguity(pin(labels), edges)
 
 
 # --- the whole reconciliation, on tiles of every document
 
 
 def _tile_run(spark, sf_dir) -> dict[str, DataFrame]:
-    sources = inputs.document_tiles(spark, sf_dir)
+    return _run(inputs.document_tiles(spark, sf_dir))
+
+
+def _piece_run(spark, sf_dir) -> dict[str, DataFrame]:
+    return _run(inputs.documents_and_pieces(spark, sf_dir))
+
+
+def _run(sources: DataFrame) -> dict[str, DataFrame]:
     sequences = pin(_sequences(sources))
     pairs = pin(minimisers.seed_pairs(_seeds(sequences)))
     candidates = pin(minimisers.candidate_pairs(pairs, sequences.select("sequence_id", "length"), CONFIG))
@@ -196,14 +206,15 @@ def _aligned(sources: DataFrame) -> DataFrame:
 
 @query
 def diagonal_hits(spark, sf_dir):
-    """On the fixture that its SQL has; ``document_hits`` takes every document."""
-    return _aligned(inputs.tiles(spark, sf_dir))
+    """Of whole documents; ``document_hits`` takes them in tiles."""
+    return _aligned(inputs.contigs(spark, sf_dir))
 
 
 @query
 def aligned_relationships(spark, sf_dir):
-    """On the fixture that its SQL has; ``document_relationships`` takes every document."""
-    return hits.relationship_histogram(hits.classify_pairs(diagonal_hits(spark, sf_dir), CONFIG))
+    """Of whole documents; ``document_relationships`` takes them in tiles."""
+    found = hits.classify_pairs(diagonal_hits(spark, sf_dir), CONFIG)
+    return found.select("query_id", "target_id", "relationship_type", "orientation", "identity", "aligned_length", "status", "reasons", "accepted_hits", "rejected_hits")
 
 
 @query
@@ -223,7 +234,7 @@ def component_ambiguity(spark, sf_dir):
 
 @query
 def containment_decisions(spark, sf_dir):
-    return _tile_run(spark, sf_dir)["containments"]
+    return _piece_run(spark, sf_dir)["containments"]
 
 
 @query
@@ -249,7 +260,23 @@ def merge_provenance(spark, sf_dir):
 
 @query
 def ambiguity_report(spark, sf_dir):
-    return _tile_run(spark, sf_dir)["ambiguous"]
+    return _run(inputs.documents_and_tiles(spark, sf_dir))["ambiguous"]
+
+
+@query
+def joint_components(spark, sf_dir):
+    return _run(inputs.documents_and_tiles(spark, sf_dir))["components"]
+
+
+@query
+def contained_provenance(spark, sf_dir):
+    return _piece_run(spark, sf_dir)["provenance"]
+
+
+@query
+def contained_stats(spark, sf_dir):
+    run = _piece_run(spark, sf_dir)
+    return reconcile.merge_stats(run, run["sequences"], run["members"])
 
 
 @query
