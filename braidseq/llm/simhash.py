@@ -214,8 +214,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- groups of similar texts
 
-#: The search of ``keep_one_of_each``: fingerprints of two-word shingles within 8 bits in 3 segments, so balls of 2.
-SEARCH_WORDS, SEARCH_RADIUS, SEARCH_SEGMENTS = 2, 8, 3
+#: The search of ``keep_one_of_each``: fingerprints of two-word shingles; all pairs within 4 bits, and of those within 8 bits what stars find.
+SEARCH_WORDS, SEARCH_RADIUS, STAR_RADIUS, SEARCH_SEGMENTS = 2, 4, 8, 3
 #: What links two texts: five-word shingles whose sets are at least so similar, in hundredths.
 WORDS, SIMILARITY = 5, 80
 
@@ -255,18 +255,18 @@ def _shingle_sets(text_col: str):
     return start
 
 
-def _neighbours(fingerprints: DataFrame, radius: int, segments: int) -> DataFrame:
-    """``fp, nearest, least``: of the other values within ``radius`` bits the nearest and the least.
+def _neighbours(fingerprints: DataFrame, radius: int, segments: int, total: int) -> DataFrame:
+    """``fp, nearest, least``: of the stars that each value meets within ``radius`` bits the nearest and the least.
 
-    Both sides enumerate half of each ball, so it is one table that meets
-    itself, and each value's matches become one row before they are shuffled.
+    A star is the least value that has some key; keys are all values within one
+    bit of a segment.  Each value meets one star a key, so the rows grow with
+    the values, however many of them are near each other.
     """
-    half = [reach // 2 for reach in ball_radii(radius, segments)]
-    rest = [reach - h for reach, h in zip(ball_radii(radius, segments), half)]
-    a = fingerprints.select(F.col("fp"), F.explode(F.array(*_segment_keys(F.col("fp"), segments, half))).alias("key"))
-    b = fingerprints.select(F.col("fp").alias("other"), F.explode(F.array(*_segment_keys(F.col("fp"), segments, rest))).alias("other_key"))
+    keys = _segment_keys(F.col("fp"), segments, [1] * segments)
+    table = fingerprints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    stars = table.groupBy("key").agg(F.min("fp").alias("other"), F.count("*").alias("n"))
     far = _distance("fp", "other")
-    met = a.join(b, (F.col("key") == F.col("other_key")) & (F.col("fp") != F.col("other")) & (far <= radius))
+    met = join_named(table, stars.where("n > 1"), "key", "n", total * len(keys)).where((F.col("fp") != F.col("other")) & (far <= radius))
     return met.groupBy("fp").agg(F.min(F.struct(far.alias("far"), "other")).alias("m"), F.min("other").alias("least")).select("fp", F.col("m.other").alias("nearest"), "least")
 
 
@@ -288,13 +288,13 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
     """``key, component`` for every row of ``docs``: texts that chains of similar pairs connect share ``component``, the smallest key.
 
     A pair is similar if the sets of its five-word shingles (A-Z lower-cased,
-    ASCII white space between words) have a Jaccard similarity of 0.8 or more,
-    and is looked at if its two-word fingerprints differ in 8 bits at most.
-    Texts with one fingerprint are compared with the first of them, those that
-    differ from it with the first of those, and so on.  Then every fingerprint
-    is compared with its nearest and its least neighbour, and after that all
-    neighbours that are still in different components: so a cloud of near
-    copies never gives all its pairs.
+    ASCII white space between words) have a Jaccard similarity of 0.8 or more.
+    It is looked at if its two-word fingerprints differ in 4 bits at most, or
+    in 8 and one is the other's star.  Texts with one fingerprint are compared
+    with the first of them, those that differ from it with the first of those,
+    and so on.  Stars come first; after that only fingerprints that are still in
+    different groups are compared.  Null, empty and blank texts are equal texts,
+    repeated rows are rows of their own, empty tables give empty results.
     """
     c = F.col
     rows = pin(append_columns(docs.select(c(key_col).alias("key"), c(text_col).alias("text")), "fp long, node binary", "text", _searched("text"), most_bytes=2_000_000).drop("text"))
@@ -302,16 +302,18 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
     of_fp = nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
     fps = pin(of_fp)
     total = nodes.count()
-    met = pin(_neighbours(fps.select("fp"), SEARCH_RADIUS, SEARCH_SEGMENTS))
-
-    # The shingles of all texts that are compared: one row of documents for each.
-    near = met.select("fp").unionByName(fps.where("n > 1").select("fp"))
-    wanted = pin(join_named(nodes, near.distinct().join(fps.select("fp", "n"), "fp"), "fp", "n", total).select("node", "first"))
+    met = pin(_neighbours(fps.select("fp"), STAR_RADIUS, SEARCH_SEGMENTS, fps.count()))
     texts = docs.select(c(key_col).alias("key"), c(text_col).alias("text"))
-    if wanted.count() <= 200_000:
-        wanted = F.broadcast(wanted)
-    found = texts.join(wanted, texts["key"] == wanted["first"]).select("node", "text")
-    sets = pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text").dropDuplicates(["node"]))
+
+    def shingles_of(near: DataFrame) -> DataFrame:
+        """The shingles of all texts with these fingerprints, one row of documents for each text."""
+        wanted = pin(join_named(nodes, near.distinct().join(fps.select("fp", "n"), "fp"), "fp", "n", total).select("node", "first"))
+        few = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
+        found = texts.join(few, texts["key"] == few["first"]).select("node", "text")
+        return pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text").dropDuplicates(["node"]))
+
+    near = met.select("fp").unionByName(met.select(F.explode(F.array("nearest", "least")).alias("fp"))).unionByName(fps.where("n > 1").select("fp")).distinct()
+    sets = shingles_of(near)
 
     # Texts with one fingerprint.
     links, leads = None, fps.select("fp", c("lead").alias("node"))
@@ -333,15 +335,17 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
     same = _similar(pairs, sets)
     links = same if links is None else links.unionByName(same)
 
-    # All other neighbours that are not together yet.
+    # All pairs within the search radius that are not together yet.
     joined = connected_components(links, "left", "right", pin)
     placed = pin(leads.join(joined, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("group")))
-    active = met.select("fp").join(placed.groupBy("fp").agg(F.min("group").alias("group"), F.count_distinct("group").alias("groups")), "fp")
+    active = placed.groupBy("fp").agg(F.min("group").alias("group"), F.count_distinct("group").alias("groups"))
     # A fingerprint with texts of several groups is a group of its own here; its texts are told apart below.
     active = pin(active.select("fp", F.when(c("groups") == 1, c("group")).otherwise(F.encode(F.hex("fp"), "UTF-8")).alias("group")))
-    apart = pin(near_links(active, SEARCH_RADIUS, SEARCH_SEGMENTS).select("left", "right").distinct())
+    apart = pin(near_links(active, SEARCH_RADIUS, _number_of_segments(total)).select("left", "right").distinct())
     sided = lambda side: placed.select(c("fp").alias(side), c("node").alias(f"{side}_node"), c("group").alias(f"{side}_of"))
     more = apart.join(sided("left"), "left").join(sided("right"), "right").where("left_of <> right_of")
+    new = apart.select(c("left").alias("fp")).unionByName(apart.select(c("right").alias("fp"))).distinct().join(near, "fp", "left_anti")
+    sets = sets.unionByName(shingles_of(new))
     links = links.unionByName(_similar(more.select(F.least("left_node", "right_node").alias("left"), F.greatest("left_node", "right_node").alias("right")).distinct(), sets))
 
     final = connected_components(links, "left", "right", pin)
