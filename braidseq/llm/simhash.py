@@ -214,8 +214,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- groups of similar texts
 
-#: The search of ``keep_one_of_each``: fingerprints of two-word shingles; all pairs within 4 bits, and of those within 8 bits what stars find.
-SEARCH_WORDS, SEARCH_RADIUS, STAR_RADIUS, SEARCH_SEGMENTS = 2, 4, 8, 3
+#: The search of ``keep_one_of_each``: fingerprints of two-word shingles; all pairs within 3 bits, and of those within 8 bits what stars find.
+SEARCH_WORDS, SEARCH_RADIUS, STAR_RADIUS, SEARCH_SEGMENTS = 2, 3, 8, 3
+#: Bytes of shingle sets that are broadcast at most; larger tables of them are shuffled.
+BROADCAST_BYTES = 32_000_000
 #: What links two texts: five-word shingles whose sets are at least so similar, in hundredths.
 WORDS, SIMILARITY = 5, 80
 
@@ -275,7 +277,11 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = pin(pairs.select("left", "right"))
     total = pairs.count()
     met = pairs
+    size = sets.agg(F.coalesce(F.sum(8 * F.size("shingles") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     for side in ("left", "right"):
+        if size <= BROADCAST_BYTES:
+            met = met.join(F.broadcast(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))), side)
+            continue
         many = pairs.groupBy(side).agg(F.count("*").alias("n"))
         named = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")).join(many, side)
         met = join_named(met, named, side, "n", total)
@@ -289,7 +295,7 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
 
     A pair is similar if the sets of its five-word shingles (A-Z lower-cased,
     ASCII white space between words) have a Jaccard similarity of 0.8 or more.
-    It is looked at if its two-word fingerprints differ in 4 bits at most, or
+    It is looked at if its two-word fingerprints differ in 3 bits at most, or
     in 8 and one is the other's star.  Texts with one fingerprint are compared
     with the first of them, those that differ from it with the first of those,
     and so on.  Stars come first; after that only fingerprints that are still in

@@ -177,8 +177,8 @@ def clouds():
 
 
 def check_kept(texts, kept):
-    """One text of each group of pairs within 4 bits at most stays, and of each group within 8 bits one at least."""
-    narrow, wide = brute_similar(texts, 4), brute_similar(texts, 8)
+    """One text of each group of pairs within 3 bits at most stays, and of each group within 8 bits one at least."""
+    narrow, wide = brute_similar(texts, 3), brute_similar(texts, 8)
     members = lambda group, g: {i for i, x in enumerate(group) if x == g}
     assert all(len(members(narrow, g) & kept) <= 1 for g in set(narrow))
     assert all(g in kept for g in set(wide))
