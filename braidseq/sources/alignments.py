@@ -27,7 +27,13 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
     twice = None
     for name, _ in _TAGS.values():
         twice = (F.col(f"_{name}_n") > 1) if twice is None else twice | (F.col(f"_{name}_n") > 1)
-    error = F.when(F.col("n") < 12, "fewer than twelve fields").when(missing, "a number is malformed").when(~F.col("orientation").isin("+", "-"), "orientation").when(twice, "a tag occurs twice")
+    c = F.col
+    odd = (c("query_start") < 0) | (c("query_end") < c("query_start")) | (c("query_end") > c("query_length")) | (c("target_start") < 0) | (c("target_end") < c("target_start")) | (c("target_end") > c("target_length"))
+    odd_tag = None
+    for tag, (name, kind) in _TAGS.items():
+        bad = (c(f"_{name}_n") == 1) & (c(name).isNull() if kind == "int" else c(name) == "")
+        odd_tag = bad if odd_tag is None else odd_tag | bad
+    error = F.when(F.col("n") < 12, "fewer than twelve fields").when(missing, "a number is malformed").when(~F.col("orientation").isin("+", "-"), "orientation").when(twice, "a tag occurs twice").when(odd_tag, "a tag is malformed").when(odd, "an interval is out of range").when((c("mapping_quality") < 0) | (c("mapping_quality") > 255), "mapping quality")
     return named.withColumn("error", error).select(*_PAF, *[name for name, _ in _TAGS.values()], "error")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import InputError
@@ -15,35 +15,71 @@ def read_fasta(spark: SparkSession, path: str, sample: str = "") -> DataFrame:
     """``identifier, source_sample, original_identifier, description, sequence, source_ordinal`` from FASTA, gzip by suffix.
 
     Records are split by Spark's reader, so a large plain file is read by many
-    tasks.  ``source_ordinal`` is null: files have no order across tasks.  Use
-    ``fasta_errors`` to check what was read.
+    tasks.  ``source_ordinal`` is null: files have no order across tasks.  Text
+    before a file's first header is a row without a name, described as ``data
+    before header``.  Use ``fasta_errors`` to check what was read.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("r")).where("trim(r) <> ''")
+    cut = spark.read.option("lineSep", "\n>").text(path)
+    raw = cut.select(F.regexp_replace("value", "\r", "").alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    # Every record but a file's first lost its sign to the separator.
+    firsts = raw.where("block = 0").groupBy("file").agg(F.min("row").alias("first"))
+    met = raw.join(F.broadcast(firsts), "file").where("trim(r) <> ''")
+    stray = (F.col("row") == F.col("first")) & ~F.col("r").startswith(">")
     head, body = F.regexp_extract("r", r"^>?([^\n]*)", 1), F.regexp_extract("r", r"(?s)^[^\n]*\n(.*)$", 1)
-    name = F.regexp_extract(head, r"^(\S*)", 1)
+    name = F.when(stray, "").otherwise(F.regexp_extract(head, r"^(\S*)", 1))
     prefix = f"{sample}:" if sample else ""
-    return raw.select(
+    bases = F.upper(F.regexp_replace(F.when(stray, F.col("r")).otherwise(body), r"\s", ""))
+    return met.select(
         F.concat(F.lit(prefix), name).alias("identifier"), F.lit(sample).alias("source_sample"), name.alias("original_identifier"),
-        F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence"), F.lit(None).cast("int").alias("source_ordinal"),
+        F.when(stray, STRAY).otherwise(F.trim(F.regexp_replace(head, r"^\S*", ""))).alias("description"), bases.alias("sequence"), F.lit(None).cast("int").alias("source_ordinal"),
     )
 
 
+STRAY = "data before header"
+
+
 def fasta_errors(sources: DataFrame) -> DataFrame:
     """``identifier, error``: empty names and sequences, illegal symbols, repeated names."""
-    empty = sources.where("original_identifier = ''").select("identifier", F.lit("empty header").alias("error"))
+    what = F.when(F.col("description") == STRAY, STRAY).otherwise("empty header") if "description" in sources.columns else F.lit("empty header")
+    empty = sources.where("original_identifier = ''").select("identifier", what.alias("error"))
     bare = sources.where("sequence = ''").select("identifier", F.lit("empty sequence").alias("error"))
     odd = sources.where(illegal_symbols(F.col("sequence")) != "").select("identifier", F.lit("illegal symbol").alias("error"))
     twice = sources.groupBy("identifier").count().where("count > 1").select("identifier", F.lit("duplicate identifier").alias("error"))
     return empty.union(bare).union(odd).union(twice)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line`` (from 0 in each file), ``value`` of text files of any size.
+
+    A line's number is its place in its task and the lines of the file's
+    earlier parts: one row a part, broadcast, as many as the reader's splits.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    parts = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.select("file", "block", "first", before.alias("before"))
+    return raw.join(F.broadcast(placed), ["file", "block"]).select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``name, sequence, quality, error`` (null: a sound record) from four-line FASTQ records."""
-    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\r", "").alias("r")).where("trim(r) <> ''")
-    part = lambda i: F.regexp_extract("r", r"^@?(\S*)[^\n]*\n([^\n]*)\n(\+[^\n]*)\n([^\n]*)\n?$", i)
-    rows = raw.select(part(1).alias("name"), part(2).alias("sequence"), part(3).alias("plus"), part(4).alias("quality"))
-    error = F.when((F.col("name") == "") | (F.col("plus") == ""), "malformed record").when(F.length("sequence") != F.length("quality"), "sequence and quality differ in length")
-    return rows.select("name", "sequence", "quality", error.alias("error"))
+    """``name, sequence, quality, error`` (null: a sound record) from FASTQ records of four lines each, whatever their qualities begin with.
+
+    ``file`` and ``line`` (of the header, from 1) tell where a record is.  A
+    name that occurs more than once in a file is an error of all its records.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "[\r\n]+$", ""))
+    part = lambda k: F.max(F.when(F.pmod("line", F.lit(4)) == k, F.col("value")))
+    rows = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(
+        part(0).alias("header"), part(1).alias("sequence"), part(2).alias("plus"), part(3).alias("quality")
+    )
+    name = F.when(F.col("header").startswith("@"), F.regexp_extract("header", r"^@\s*(\S*)", 1)).otherwise("")
+    error = (
+        F.when(F.col("quality").isNull(), "incomplete record").when(~F.col("header").startswith("@"), "malformed record").when(~F.col("plus").startswith("+"), "malformed record")
+        .when(name == "", "empty name").when(F.length("sequence") != F.length("quality"), "sequence and quality differ in length")
+    )
+    named = rows.select("file", (4 * F.col("record") + 1).alias("line"), name.alias("name"), "sequence", "quality", error.alias("error"))
+    twice = named.where("name <> ''").groupBy("file", "name").agg(F.count("*").alias("n")).where("n > 1").select("file", "name", F.lit("repeated name").alias("again"))
+    return named.join(twice, ["file", "name"], "left").select("name", "sequence", "quality", F.coalesce("error", "again").alias("error"), "file", "line")
 
 
 MANIFEST_REQUIRED = ("sample", "contigs")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,24 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
-def publish(results: dict[str, DataFrame], folder: str, last: str) -> None:
-    """Writes each result as Parquet under ``folder``; ``last`` after all others, so its presence means that all are there."""
+def publish(results: dict[str, DataFrame], folder: str, last: str) -> str:
+    """Writes each result as Parquet into a new folder under ``folder`` and then names that folder in ``<folder>/current``; returns its name.
+
+    A run that ends midway leaves ``current`` as it was, so readers (``published``)
+    see one run's results, all of them, or the last run's before it.  ``last``
+    is written after all others.
+    """
+    run = f"run-{uuid.uuid4().hex}"
     for name in [*sorted(set(results) - {last}), last]:
-        results[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+        results[name].write.mode("errorifexists").parquet(f"{folder}/{run}/{name}")
+    spark = results[last].sparkSession
+    # A new marker beside the old ones: the newest that is complete counts, so nothing is ever replaced in place.
+    marker = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
+    marker.coalesce(1).write.mode("append").parquet(f"{folder}/current")
+    return run
+
+
+def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``name`` as the newest complete run under ``folder`` has it."""
+    run = spark.read.parquet(f"{folder}/current").orderBy(F.col("at").desc(), F.col("run").desc()).first()["run"]
+    return spark.read.parquet(f"{folder}/{run}/{name}")

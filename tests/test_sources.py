@@ -117,3 +117,33 @@ def test_plan_errors_and_batches(spark, monkeypatch):
     sizes = planning.alignment_batches(many, 4).groupBy("target_id", "part", "batch").count().collect()
     assert sum(r["count"] for r in sizes) == 45 and max(r["count"] for r in sizes) <= 4
     assert planning.alignment_batches(many.limit(0), 4).count() == 0
+
+
+def test_fastq_qualities_may_begin_with_the_sign(spark, tmp_path):
+    path = tmp_path / "r.fq"
+    path.write_text("@a x\nAC\n+\n@I\n@b\nACG\n+b\nII\n@c\nA\n+\nI\n@c\nA\n+\nI\n@d\nA\n")
+    rows = sorted((r["line"], r["name"], r["quality"], r["error"]) for r in sequences.read_fastq(spark, str(path)).collect())
+    assert [r[:2] for r in rows] == [(1, "a"), (5, "b"), (9, "c"), (13, "c"), (17, "d")]
+    assert [r[3] for r in rows] == [None, "sequence and quality differ in length", "repeated name", "repeated name", "incomplete record"] and rows[0][2] == "@I"
+
+
+def test_fasta_data_before_the_first_header(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("ACGT\n>x one\nAC\nGT\n>y\nA\n")
+    rows = sequences.read_fasta(spark, str(tmp_path / "a.fa"))
+    assert {(r["original_identifier"], r["sequence"]) for r in rows.collect()} == {("", "ACGT"), ("x", "ACGT"), ("y", "A")}
+    assert [r["error"] for r in sequences.fasta_errors(rows).collect()] == ["data before header"]
+
+
+def test_publication_midway_leaves_the_last_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from braidseq.sources.sinks import publish, published
+
+    one = {"a": spark.range(3), "b": spark.range(5)}
+    publish(one, str(tmp_path), "b")
+    bad = {"a": spark.range(9), "b": spark.range(1).select(F.raise_error(F.lit("no")).cast("long").alias("id"))}
+    with pytest.raises(Exception):
+        publish(bad, str(tmp_path), "b")
+    assert published(spark, str(tmp_path), "a").count() == 3 and published(spark, str(tmp_path), "b").count() == 5
+    publish({"a": spark.range(7), "b": spark.range(8)}, str(tmp_path), "b")
+    assert published(spark, str(tmp_path), "a").count() == 7
