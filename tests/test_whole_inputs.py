@@ -52,7 +52,7 @@ def test_components_join_edges_of_every_kind(spark):
     for x in sorted(group):
         members.setdefault(root(x), []).append(x)
     wanted = {x: ("component_" + hashlib.sha256("\0".join(m).encode()).hexdigest()[:20], len(m)) for m in members.values() for x in m}
-    assert {r["node"]: (r["component_id"], r["members"]) for r in QUERIES["relationship_components"](spark, SF).collect()} == wanted
+    assert {r["node"]: (r["component_id"], r["members"]) for r in QUERIES["graph_components"](spark, SF).collect()} == wanted
 
 
 def test_names_of_components_and_paths_gather_no_rows(spark):
