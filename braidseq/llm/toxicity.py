@@ -17,6 +17,7 @@ network; the other quarter, which it hasn't seen, sets the decision.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pickle import dumps, loads
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,8 @@ _REMEMBERED = 150_000
 _BATCH, _RATE, _DECAY = 64, 0.01, 1e-4
 #: Passes over the sample: so many that about as many steps are made, within these bounds.
 _STEPS, _EPOCHS = 1200, (6, 40)
+#: Words that are spelled at once when a whole vocabulary is.
+_SPELLED = 20_000
 _PAD, _OTHER = 0, 1
 
 
@@ -272,7 +275,7 @@ def train(windows: list[list[bytes]], labels: list[int], counts: tuple[int, int]
         apart = np.zeros(len(label), dtype=bool)  # too few documents: all train and all decide
     learns = ~apart[owner] if len(owner) else np.zeros(0, dtype=bool)
     in_docs = np.zeros(len(everything), dtype=np.int64)
-    firsts = np.searchsorted(owner, np.arange(len(windows) + 1))
+    firsts = np.searchsorted(owner, np.arange(len(label) + 1))
     for k in np.flatnonzero(~apart).tolist():
         own = np.unique(ids[firsts[k] : firsts[k + 1]])
         in_docs[own[own > 0] - 1] += 1
@@ -291,8 +294,8 @@ def train(windows: list[list[bytes]], labels: list[int], counts: tuple[int, int]
     step = 0
 
     def logits_of(rows: np.ndarray) -> np.ndarray:
-        table = np.concatenate([model.padding(), model.inputs(wid, model.spell(everything))])
-        projected = model.project(table)
+        spelled = [model.spell(everything[a : a + _SPELLED]) for a in range(0, max(1, len(everything)), _SPELLED)]
+        projected = model.project(np.concatenate([model.padding(), model.inputs(wid, np.concatenate(spelled))]))
         return np.concatenate([model.run(projected, ids[rows[a : a + 1024]]) for a in range(0, len(rows), 1024)])
 
     def highest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,16 +415,29 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> Model:
-    """Trains on the bounded sample.  Reruns on equal tables give the same model on one machine; others may round otherwise.
+    """Trains on the bounded sample, in one task.  Reruns on equal tables give the same model on one machine; others may round otherwise.
 
     Null ids, labels and texts teach nothing, an empty text is one window of
     padding, repeated rows count once, other columns are not read.
     """
-    rows = training_sample(docs, labels, id_col, text_col, label_col).collect()  # bounded by ids and by bytes
-    rows.sort(key=lambda r: (r["label"], r["rank"], r["windows"]))
     of = labels.where((remainder(F.col(id_col)) != 2) & F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("label")).count().collect()
-    counts = {r["label"]: r["count"] for r in of}
-    return train([[bytes(w) for w in r["windows"]] for r in rows], [r["label"] for r in rows], (counts.get(0, 0), counts.get(1, 0)), seed=seed)
+    by_label = {r["label"]: r["count"] for r in of}
+    counts = (by_label.get(0, 0), by_label.get(1, 0))
+
+    def work(batches):
+        import pyarrow as pa
+
+        rows = []
+        for batch in batches:
+            rows += zip(*[batch.column(name).to_pylist() for name in ("label", "rank", "windows")], strict=True)
+        rows.sort()
+        model = train([r[2] for r in rows], [r[0] for r in rows], counts, seed=seed)
+        yield pa.RecordBatch.from_pydict({"model": [dumps(model)]})
+
+    # Bounded by ids and by bytes, so one task; what is left for the driver is the model.
+    sample = training_sample(docs, labels, id_col, text_col, label_col).select("label", "rank", "windows")
+    made = sample.repartition(1).mapInArrow(work, "model binary").collect()
+    return loads(bytes(made[0]["model"])) if made else train([], [], counts, seed=seed)
 
 
 class Scorer:
