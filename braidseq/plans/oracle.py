@@ -296,7 +296,55 @@ _STATS = """ SELECT (SELECT count(*) FROM members) AS sources, (SELECT count(*)
         (SELECT count(*) FROM provenance) AS provenance_rows"""
 _HIT_COLUMNS = " SELECT query_id, target_id, query_length, query_start, query_end, orientation, target_length, target_start, target_end, matching_bases, alignment_block_length FROM hits"
 
+_TYPES = "'EXACT_MATCH','QUERY_CONTAINED_IN_TARGET','TARGET_CONTAINED_IN_QUERY','QUERY_SUFFIX_TO_TARGET_PREFIX','TARGET_SUFFIX_TO_QUERY_PREFIX'"
+_SPARSE = """told AS (
+  SELECT query_id, target_id, CASE WHEN query_id LIKE '%1' THEN 'NO_RELATIONSHIP' ELSE relationship_type END AS expected, CASE WHEN target_id LIKE '%2' THEN '+' ELSE orientation END AS strand,
+         NOT query_id LIKE '%1' AS allowed, CASE WHEN target_id LIKE '%3' THEN 'group' || target_id ELSE '' END AS put_off FROM decided
+), truth AS (
+  SELECT * FROM told WHERE NOT target_id LIKE '%5' UNION ALL SELECT query_id, 'x' || target_id, expected, strand, allowed, put_off FROM told WHERE target_id LIKE '%6'
+)"""
+
 ORACLE_SQL = {
+    "pair_table": _with(_LINE_HITS, _CLASSIFIED, _DECIDED)
+    + """ SELECT d.query_id AS query, d.target_id AS target, d.relationship_type, d.orientation, printf('%.6f', d.identity) AS identity, d.aligned_length, d.query_start, d.query_end, d.target_start, d.target_end,
+        printf('%.6f', r.qcov) AS query_coverage, printf('%.6f', r.tcov) AS target_coverage, d.status, d.accepted_hits, d.rejected_hits,
+        array_to_string(list_sort(list_filter(list_distinct(list_concat(string_split(d.reasons, '; '), string_split(coalesce(g.rejections, ''), '; '))), lambda x: x <> '')), '; ') AS reasons
+        FROM decided d JOIN grouped g ON g.query_id = d.query_id AND g.target_id = d.target_id JOIN ranked r ON r.query_id = d.query_id AND r.target_id = d.target_id AND r.place = 1""",
+    "relationship_table": _with(_LINE_HITS, _CLASSIFIED, _DECIDED)
+    + " SELECT query_id AS query, target_id AS target, relationship_type, orientation, printf('%.6f', identity) AS identity, aligned_length, status, reasons FROM decided",
+    "join_support": _with(*_PIECE_RUN)
+    + """ SELECT 'unknown' AS component_id, edge_id, query_id AS left_contig, target_id AS right_contig, '' AS technology, 0::INT AS samples_tested, 0::INT AS selected_reads, 0::INT AS remapped_reads,
+        0::INT AS spanning_reads, 0.0::DOUBLE AS spanning_fraction, '' AS minimum_mapping_quality, '' AS minimum_flank, 'DEFERRED' AS junction_status, '' AS policy_id,
+        'no approved junction policy; imperfect overlap retained' AS decision_reason FROM lapped WHERE edge_id NOT IN (SELECT edge_id FROM supported)""",
+    "unexpected_pairs": _with(_LINE_HITS, _CLASSIFIED, _DECIDED)
+    + """ SELECT query_id, target_id, relationship_type AS observed, orientation AS observed_orientation, relationship_type = 'AMBIGUOUS_OVERLAP' AS ambiguous,
+        'ordered pair is absent from sparse truth table' AS reason FROM decided WHERE target_id LIKE '%5'""",
+    "score_counts": _with(_LINE_HITS, _CLASSIFIED, _DECIDED, _SPARSE, f"""met AS (
+        SELECT t.*, d.relationship_type AS seen, d.orientation AS seen_strand, put_off <> '' AS deferred, coalesce(d.relationship_type = expected, false) AS same, coalesce(d.relationship_type = 'AMBIGUOUS_OVERLAP', false) AS vague,
+               coalesce(d.relationship_type IN ({_TYPES}), false) AS merges
+        FROM truth t LEFT JOIN decided d USING (query_id, target_id)
+      ), judged AS (
+        SELECT *, NOT deferred AND same AND (expected = 'NO_RELATIONSHIP' OR strand = seen_strand) AS correct FROM met)""")
+    + f""" SELECT measure, NULL::VARCHAR AS relationship_type, n FROM (
+        SELECT count(*) AS truth, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT deferred AND NOT allowed AND merges) AS false_merge,
+          count(*) FILTER (expected IN ({_TYPES}) AND (seen IS NULL OR seen = 'NO_RELATIONSHIP')) AS missed, count(*) FILTER (NOT deferred AND NOT vague AND seen IS NOT NULL AND NOT same) AS wrong_type,
+          count(*) FILTER (NOT deferred AND NOT vague AND same AND expected <> 'NO_RELATIONSHIP' AND strand <> seen_strand) AS wrong_orientation, count(*) FILTER (deferred) AS deferred,
+          count(*) FILTER (NOT correct AND NOT deferred) AS boundary_failure, count(*) FILTER (seen IS NULL) AS absent, count(*) FILTER (vague AND NOT deferred) AS ambiguous,
+          count(DISTINCT CASE WHEN deferred THEN put_off END) AS ambiguity_groups, (SELECT count(*) FROM decided) AS observed, (SELECT count(*) FROM decided WHERE target_id LIKE '%5') AS unexpected
+        FROM judged) UNPIVOT (n FOR measure IN (truth, correct, false_merge, missed, wrong_type, wrong_orientation, deferred, boundary_failure, absent, ambiguous, ambiguity_groups, observed, unexpected))
+      UNION ALL SELECT 'correct_of_type', expected, count(*) FROM judged WHERE correct GROUP BY 2 UNION ALL SELECT 'observed_of_type', relationship_type, count(*) FROM decided GROUP BY 2""",
+    "pipeline_recall": _with(CONTIGS_SQL, _MEMBERS, _SEEDS, _PAIRS, _CANDIDATES, """truth AS (
+        SELECT a.catalogue_id AS q, b.catalogue_id AS t, 'case' || a.original_identifier::BIGINT % 50 AS case_id, a.original_identifier::BIGINT % 7 = 0 AS exact
+        FROM members a JOIN members b ON b.original_identifier::BIGINT = a.original_identifier::BIGINT + 1
+        UNION ALL SELECT catalogue_id, catalogue_id, 'copies', true FROM members WHERE place > 1
+      ), judged AS (
+        SELECT t.*, c.query_id IS NOT NULL AS hit FROM truth t LEFT JOIN (SELECT query_id, target_id FROM candidates WHERE terminal_topologies <> '') c ON c.query_id = least(q, t) AND c.target_id = greatest(q, t))""")
+    + """ SELECT count(*) FILTER (exact) AS exact_rows, count(*) FILTER (exact AND q = t) AS exact_recovered, count(*) FILTER (NOT exact) AS rows, count(*) FILTER (NOT exact AND hit) AS recalled_rows,
+        count(*) FILTER (NOT exact AND NOT hit) AS missed_rows, count(DISTINCT CASE WHEN NOT exact THEN case_id END) AS groups, count(DISTINCT CASE WHEN NOT exact AND hit THEN case_id END) AS recalled_groups FROM judged""",
+    "reads_near_end": _with(_READS, """lengths AS (SELECT 'ref' || i AS reference, 800 + 5 * i AS length FROM range(40) t(i)
+      ), ends AS (SELECT reads.*, pos + span AS stop, length FROM reads JOIN (VALUES (0, 120), (1, 110), (2, 110), (3, 90), (4, 300)) s(shape, span) USING (shape) JOIN lengths USING (reference))""")
+    + """ SELECT DISTINCT reference, 'left' AS side, name FROM ends WHERE pos < 100 AND stop > 0
+        UNION SELECT DISTINCT reference, 'right', name FROM ends WHERE pos < length AND stop > length - 100""",
     "seq_reverse_complement": _with(CONTIGS_SQL) + f" SELECT identifier, md5({_RC.format('sequence')}) AS reversed_md5, length(sequence)::INT AS length FROM contigs",
     "seq_canonical_digest": _with(CONTIGS_SQL, _MEMBERS) + " SELECT identifier, sha256(canon) AS digest, orientation FROM members",
     "catalogue_sequences": _with(CONTIGS_SQL, _MEMBERS)

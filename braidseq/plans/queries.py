@@ -350,6 +350,87 @@ def benchmark_summary(spark, sf_dir):
     return scoring.score_summary(scoring.score_cases(truth, decisions))
 
 
+# --- tables as they are published, and scores over sparse truth
+
+
+@query
+def pair_table(spark, sf_dir):
+    from ..sources import sinks
+
+    return sinks.pair_table(hits.classify_pairs(inputs.hits(spark, sf_dir), CONFIG))
+
+
+@query
+def relationship_table(spark, sf_dir):
+    from ..sources import sinks
+
+    return sinks.relationship_table(hits.classify_pairs(inputs.hits(spark, sf_dir), CONFIG))
+
+
+@query
+def join_support(spark, sf_dir):
+    from ..sources import sinks
+
+    run = _run(inputs.documents_and_pieces(spark, sf_dir))
+    return sinks.join_support_table(run["edges"], reconcile.safe_edges(run["edges"], run["sequences"], CONFIG.end_tolerance))
+
+
+def _sparse_truth(decisions: DataFrame) -> DataFrame:
+    """Truth for the decided pairs but those of targets that end in 5, and for pairs that nobody observes."""
+    truth = decisions.select(
+        "query_id", "target_id", F.concat(F.lit("identity_"), "query_id").alias("case_id"),
+        F.when(F.col("query_id").endswith("1"), "NO_RELATIONSHIP").otherwise(F.col("relationship_type")).alias("expected_relationship"),
+        F.when(F.col("target_id").endswith("2"), "+").otherwise(F.col("orientation")).alias("expected_orientation"), F.lit("VALID").alias("expected_status"),
+        (~F.col("query_id").endswith("1")).alias("merge_allowed"), F.when(F.col("target_id").endswith("3"), F.concat(F.lit("group"), "target_id")).otherwise("").alias("ambiguity_group"),
+    )
+    return truth.where(~F.col("target_id").endswith("5")).unionByName(truth.where(F.col("target_id").endswith("6")).withColumn("target_id", F.concat(F.lit("x"), "target_id")))
+
+
+@query
+def unexpected_pairs(spark, sf_dir):
+    from ..operators import scoring
+
+    decisions = _decisions(spark, sf_dir)
+    return scoring.unexpected_pairs(_sparse_truth(decisions), decisions)
+
+
+@query
+def score_counts(spark, sf_dir):
+    from ..operators import scoring
+
+    decisions = _decisions(spark, sf_dir)
+    return scoring.score_counts(_sparse_truth(decisions), decisions)
+
+
+@query
+def pipeline_recall(spark, sf_dir):
+    """Truth: each document and the next one, every seventh as equal; and each copy with its representative."""
+    from ..operators import scoring
+
+    sources = pin(inputs.contigs(spark, sf_dir))
+    sequences = pin(_sequences(sources))
+    candidates = minimisers.candidate_pairs(minimisers.seed_pairs(_seeds(sequences)), sequences.select("sequence_id", "length"), CONFIG)
+    members = pin(catalogue.catalogue_members(sources).select("source_id", "catalogue_id", "representative"))
+    n = F.col("original_identifier").cast("long")
+    rows = sources.select(F.col("identifier").alias("query_id"), n.alias("n"))
+    following = sources.select(F.col("identifier").alias("target_id"), (n - 1).alias("n"))
+    next_ones = rows.join(following, "n").select(
+        "query_id", "target_id", F.concat(F.lit("case"), (F.col("n") % 50).cast("string")).alias("case_id"), F.when(F.col("n") % 7 == 0, "EXACT_MATCH").otherwise("QUERY_SUFFIX_TO_TARGET_PREFIX").alias("expected_relationship")
+    )
+    lead = members.where("representative").select("catalogue_id", F.col("source_id").alias("target_id"))
+    copies = members.where("not representative").join(lead, "catalogue_id").select(F.col("source_id").alias("query_id"), "target_id", F.lit("copies").alias("case_id"), F.lit("EXACT_MATCH").alias("expected_relationship"))
+    truth = next_ones.unionByName(copies).withColumns({"expected_status": F.lit("VALID"), "merge_allowed": F.lit(True)})
+    return scoring.pipeline_recall(truth, members, candidates)
+
+
+@query
+def reads_near_end(spark, sf_dir):
+    from ..operators import evidence
+
+    lengths = spark.range(40).select(F.concat(F.lit("ref"), "id").alias("reference"), (F.col("id") * 5 + 800).cast("int").alias("length"))
+    return evidence.reads_near_end(evidence.cigar_blocks(_reads(spark, sf_dir)), lengths, 100)
+
+
 @query
 def circular_slices(spark, sf_dir):
     rows = inputs.contigs(spark, sf_dir).where(F.length("sequence") > 0)

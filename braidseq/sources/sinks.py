@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of the provenance table.
@@ -38,6 +38,44 @@ def gfa_lines(outputs: DataFrame, edges: DataFrame) -> DataFrame:
     return head.unionByName(segments).unionByName(links).orderBy("o", "k").select("value")
 
 
+#: The columns of the pair and join-support tables, and the text of a junction without a policy.
+PAIR_COLUMNS = [
+    "query", "target", "relationship_type", "orientation", "identity", "aligned_length", "query_start", "query_end", "target_start", "target_end",
+    "query_coverage", "target_coverage", "status", "accepted_hits", "rejected_hits", "reasons",
+]
+JOIN_SUPPORT_COLUMNS = [
+    "component_id", "edge_id", "left_contig", "right_contig", "technology", "samples_tested", "selected_reads", "remapped_reads", "spanning_reads", "spanning_fraction",
+    "minimum_mapping_quality", "minimum_flank", "junction_status", "policy_id", "decision_reason",
+]
+NO_POLICY = "no approved junction policy; imperfect overlap retained"
+
+
+def _six(name: str) -> Column:
+    return F.format_string("%.6f", F.bround(name, 6))
+
+
+def pair_table(decisions: DataFrame) -> DataFrame:
+    """``PAIR_COLUMNS`` of ``hits.classify_pairs``: fractions with six digits, reasons of the decision and of its rejected hits, each once and in order."""
+    both = F.concat(F.split(F.coalesce("reasons", F.lit("")), "; "), F.split(F.coalesce("rejections", F.lit("")), "; "))
+    reasons = F.array_join(F.array_sort(F.filter(F.array_distinct(both), lambda r: r != "")), "; ")
+    named = decisions.withColumns({"query": F.col("query_id"), "target": F.col("target_id"), "reasons": reasons} | {x: _six(x) for x in ("identity", "query_coverage", "target_coverage")})
+    return named.select(*PAIR_COLUMNS)
+
+
+def relationship_table(decisions: DataFrame) -> DataFrame:
+    """The narrow table of decisions: names, type, strand, identity with six digits, length, status, reasons as decided."""
+    return decisions.select(F.col("query_id").alias("query"), F.col("target_id").alias("target"), "relationship_type", "orientation", _six("identity").alias("identity"), "aligned_length", "status", "reasons")
+
+
+def join_support_table(edges: DataFrame, supported: DataFrame) -> DataFrame:
+    """``JOIN_SUPPORT_COLUMNS``: every overlap edge without support (``edge_id`` in ``supported``), deferred, as no policy authorises it."""
+    left = edges.where("kind = 'overlap'").join(supported.select("edge_id").distinct(), "edge_id", "left_anti")
+    fixed = {"component_id": "unknown", "technology": "", "spanning_fraction": 0.0, "minimum_mapping_quality": "", "minimum_flank": "", "junction_status": "DEFERRED", "policy_id": "", "decision_reason": NO_POLICY}
+    counts = dict.fromkeys(("samples_tested", "selected_reads", "remapped_reads", "spanning_reads"), 0)
+    named = left.withColumns({"left_contig": F.col("query_id"), "right_contig": F.col("target_id")} | {k: F.lit(v) for k, v in (fixed | counts).items()})
+    return named.select(*JOIN_SUPPORT_COLUMNS)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """One folder of tab-separated parts with headers; Spark's committer makes it appear whole."""
     df.write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
