@@ -24,12 +24,17 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _cut(spark: SparkSession, sf_dir: str, length: int, stride: int) -> DataFrame:
-    """Every letter of every document: pieces of ``length`` every ``stride``, the last one to the document's end; every other one on the other strand."""
+def _cut(spark: SparkSession, sf_dir: str, length: int, stride: int, altered: bool = False) -> DataFrame:
+    """Every letter of every document: pieces of ``length`` every ``stride``, the last one to the document's end; every other one on the other strand.
+
+    With ``altered`` each 60th letter of every other piece is A, so overlaps are near but not exact.
+    """
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", text_as_sequence(F.col("text")).alias("s"))
     rows = rows.withColumn("last", F.expr(f"greatest(0, cast((length(s) - {length}) div {stride} as int))"))
     cut = rows.select("doc_id", "source", "s", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     piece = F.expr(f"substring(s, i * {stride} + 1, if(i = last, length(s), {length}))")
+    if altered:
+        piece = F.when(F.col("i") % 2 == 1, F.regexp_replace(piece, "(.{59}).", "$1A")).otherwise(piece)
     cut = cut.select("doc_id", "source", "i", piece.alias("piece"))
     return cut.select(
         F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("identifier"), F.col("source").alias("source_sample"),
@@ -43,6 +48,11 @@ def document_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir, TILE_LENGTH, TILE_STRIDE)
 
 
+def altered_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in overlapping tiles of which every other one has other letters here and there."""
+    return _cut(spark, sf_dir, TILE_LENGTH, TILE_STRIDE, altered=True)
+
+
 def documents_and_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whole, and again in pieces that lie end to end: so there are containments, of one container or of several."""
     return contigs(spark, sf_dir).unionByName(_cut(spark, sf_dir, PIECE_LENGTH, PIECE_LENGTH))
@@ -62,14 +72,16 @@ CONTIGS_SQL = f"""contigs AS (
   FROM (SELECT doc_id, source, {_S0} AS s FROM documents)
 )"""
 
-def _cut_sql(length: int, stride: int) -> str:
+def _cut_sql(length: int, stride: int, altered: bool = False) -> str:
+    piece = "CASE WHEN i % 2 = 1 THEN regexp_replace(plain, '(.{59}).', '\\1A', 'g') ELSE plain END" if altered else "plain"
     return f"""SELECT source || ':' || doc_id || ':' || i AS identifier, source AS source_sample, doc_id || ':' || i AS original_identifier,
          CASE WHEN i % 2 = 1 THEN {_RC.format('piece')} ELSE piece END AS sequence, i AS source_ordinal
-  FROM (SELECT *, substr(s, i * {stride} + 1, CASE WHEN i = last THEN length(s) ELSE {length} END) AS piece
-        FROM (SELECT *, unnest(range(last + 1)) AS i FROM (SELECT doc_id, source, s, greatest(0, (length(s) - {length}) // {stride}) AS last FROM (SELECT doc_id, source, {_S0} AS s FROM documents))))"""
+  FROM (SELECT *, {piece} AS piece FROM (SELECT *, substr(s, i * {stride} + 1, CASE WHEN i = last THEN length(s) ELSE {length} END) AS plain
+        FROM (SELECT *, unnest(range(last + 1)) AS i FROM (SELECT doc_id, source, s, greatest(0, (length(s) - {length}) // {stride}) AS last FROM (SELECT doc_id, source, {_S0} AS s FROM documents)))))"""
 
 
 TILES_SQL = f"contigs AS ({_cut_sql(TILE_LENGTH, TILE_STRIDE)})"
+ALTERED_SQL = f"contigs AS ({_cut_sql(TILE_LENGTH, TILE_STRIDE, altered=True)})"
 
 def _with_whole(cut: str) -> str:
     return f"""{CONTIGS_SQL.replace('contigs AS', 'whole_documents AS', 1)}, contigs AS (

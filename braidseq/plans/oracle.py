@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import CONTIGS_SQL, HITS_SQL, PIECES_SQL, TILES_SQL, UNFOLDED_HITS_SQL, WHOLE_AND_TILES_SQL
+from .inputs import ALTERED_SQL, CONTIGS_SQL, HITS_SQL, PIECES_SQL, TILES_SQL, UNFOLDED_HITS_SQL, WHOLE_AND_TILES_SQL
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
@@ -312,7 +312,7 @@ ORACLE_SQL = {
         FROM decided d JOIN grouped g ON g.query_id = d.query_id AND g.target_id = d.target_id JOIN ranked r ON r.query_id = d.query_id AND r.target_id = d.target_id AND r.place = 1""",
     "relationship_table": _with(_LINE_HITS, _CLASSIFIED, _DECIDED)
     + " SELECT query_id AS query, target_id AS target, relationship_type, orientation, printf('%.6f', identity) AS identity, aligned_length, status, reasons FROM decided",
-    "join_support": _with(*_PIECE_RUN)
+    "join_support": _with(ALTERED_SQL, *_TILE_RUN[1:])
     + """ SELECT 'unknown' AS component_id, edge_id, query_id AS left_contig, target_id AS right_contig, '' AS technology, 0::INT AS samples_tested, 0::INT AS selected_reads, 0::INT AS remapped_reads,
         0::INT AS spanning_reads, 0.0::DOUBLE AS spanning_fraction, '' AS minimum_mapping_quality, '' AS minimum_flank, 'DEFERRED' AS junction_status, '' AS policy_id,
         'no approved junction policy; imperfect overlap retained' AS decision_reason FROM lapped WHERE edge_id NOT IN (SELECT edge_id FROM supported)""",

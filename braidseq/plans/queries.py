@@ -371,7 +371,7 @@ def relationship_table(spark, sf_dir):
 def join_support(spark, sf_dir):
     from ..sources import sinks
 
-    run = _run(inputs.documents_and_pieces(spark, sf_dir))
+    run = _run(inputs.altered_tiles(spark, sf_dir))
     return sinks.join_support_table(run["edges"], reconcile.safe_edges(run["edges"], run["sequences"], CONFIG.end_tolerance))
 
 
