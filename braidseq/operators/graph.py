@@ -166,6 +166,45 @@ def component_ambiguity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("component_id", "nodes", zero("edges"), zero("overlap_edges"), zero("containment_edges"), F.array_join(reasons, "; ").alias("ambiguity_reasons"))
 
 
+#: The types an edge of each kind may have.
+_TYPES_OF = {"containment": _CONTAINED, "overlap": ("QUERY_SUFFIX_TO_TARGET_PREFIX", "TARGET_SUFFIX_TO_QUERY_PREFIX"), "ambiguous": ("AMBIGUOUS_OVERLAP",)}
+
+
+def graph_violations(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``id, error``: what is wrong with a stored graph; empty if it is sound.
+
+    Nodes (``sequence_id``) without a name or named twice; edges whose type
+    doesn't go with their kind, whose ends are no nodes, or whose id occurs
+    twice.  With ``labels`` (``node, component_id``) also nodes without a label, and
+    components that are not those of the edges, which are worked out anew.
+    """
+    c = F.col
+    ids = nodes.select("sequence_id")
+    fits = F.lit(False)
+    for kind, types in _TYPES_OF.items():
+        fits = fits | ((c("kind") == kind) & c("relationship_type").isin(*types))
+    ends = edges.select("edge_id", F.explode(F.array("query_id", "target_id")).alias("sequence_id"))
+    found = [
+        ids.where("sequence_id is null or sequence_id = ''").select(F.coalesce("sequence_id", F.lit("")).alias("id"), F.lit("empty node identifier").alias("error")),
+        ids.groupBy("sequence_id").count().where("count > 1").select(c("sequence_id").alias("id"), F.lit("repeated node").alias("error")),
+        edges.where(~F.coalesce(fits, F.lit(False))).select(c("edge_id").alias("id"), F.lit("incompatible kind or type").alias("error")),
+        ends.join(ids, "sequence_id", "left_anti").select(c("edge_id").alias("id"), F.lit("unknown sequence identifier").alias("error")).distinct(),
+        edges.groupBy("edge_id").count().where("count > 1").select(c("edge_id").alias("id"), F.lit("repeated edge").alias("error")),
+    ]
+    if labels is not None:
+        anew = connected_components(edges, "query_id", "target_id", pin)
+        met = ids.distinct().join(labels.select(c("node").alias("sequence_id"), "component_id"), "sequence_id", "left").join(anew.select(c("node").alias("sequence_id"), "component"), "sequence_id", "left")
+        both = pin(met.select("sequence_id", "component_id", F.coalesce("component", "sequence_id").alias("root")))
+        pairs = both.where("component_id is not null").groupBy("component_id", "root").agg(F.min("sequence_id").alias("one"))
+        torn = pairs.groupBy("root").agg(F.count("*").alias("n"), F.min("one").alias("id")).where("n > 1").select("id", F.lit("component is torn apart").alias("error"))
+        mixed = pairs.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select(c("component_id").alias("id"), F.lit("component joins nodes without a path").alias("error"))
+        found += [both.where("component_id is null").select(c("sequence_id").alias("id"), F.lit("node without a component").alias("error")), torn, mixed]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def overlap_cycles(overlaps: DataFrame) -> DataFrame:
     """``node``: one node of each cyclic component of the overlap edges: it has at least as many edges as nodes."""
     found = connected_components(overlaps, "query_id", "target_id", pin)

@@ -9,11 +9,14 @@ work for many tasks.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import InputError, RunConfig
 from ..functions.sequences import COMPLEMENTS, SYMBOLS
+from ..session import pin
 
 #: K-mer starts in a tile, and tiles in a chunk.
 TILE, CHUNK_TILES = 512, 16
@@ -176,3 +179,22 @@ def guard(frequencies: DataFrame, config: RunConfig, max_seed_pairs: int | None)
     bound = seed_pair_bound(frequencies, config.max_frequency).first()["pair_bound"]
     if bound > max_seed_pairs:
         raise InputError(f"seed pairs may reach {bound}, more than {max_seed_pairs}")
+
+
+def parameter_sweep(sequences: DataFrame, kmers: list[int], windows: list[int], frequencies: list[int], config: RunConfig) -> DataFrame:
+    """``kmer, window, max_frequency, unique_minimisers, retained_observations, pair_bound, candidates``: one row a setting of a stated list.
+
+    ``sequences``: ``sequence_id, sequence, length``.  Minimisers are selected
+    once for each k and w, on the cluster; only the settings are looped over.
+    """
+    lengths, out = sequences.select("sequence_id", "length"), None
+    for k in kmers:
+        for w in windows:
+            seeds = pin(sequence_minimisers(sequences, k, w, "sequence_id"))
+            for most in frequencies:
+                own = replace(config, kmer=k, window=w, max_frequency=most)
+                found = candidate_pairs(seed_pairs(retained_seeds(seeds, most)), lengths, own).agg(F.count("*").alias("candidates"))
+                row = seed_pair_bound(minimiser_frequency(seeds), most).crossJoin(found)
+                row = row.select(F.lit(k).alias("kmer"), F.lit(w).alias("window"), F.lit(most).alias("max_frequency"), "unique_minimisers", "retained_observations", "pair_bound", "candidates")
+                out = row if out is None else out.unionByName(row)
+    return out

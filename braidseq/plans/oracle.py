@@ -304,7 +304,21 @@ _SPARSE = """told AS (
   SELECT * FROM told WHERE NOT target_id LIKE '%5' UNION ALL SELECT query_id, 'x' || target_id, expected, strand, allowed, put_off FROM told WHERE target_id LIKE '%6'
 )"""
 
+def _swept(most: int) -> str:
+    parts = [x.replace("<= 100", f"<= {most}") for x in (CONTIGS_SQL, _MEMBERS, _SEEDS, _PAIRS, _CANDIDATES)]
+    return f"""SELECT * FROM ({_with(*parts)} SELECT 21 AS kmer, 10 AS window, {most} AS max_frequency, count(*) AS unique_minimisers,
+        coalesce(sum(frequency) FILTER (frequency <= {most}), 0)::BIGINT AS retained_observations, coalesce(sum(frequency * (frequency - 1) // 2) FILTER (frequency <= {most}), 0)::BIGINT AS pair_bound,
+        (SELECT count(*) FROM candidates WHERE terminal_topologies <> '') AS candidates FROM freq)"""
+
+
 ORACLE_SQL = {
+    "parameter_sweep": f"{_swept(20)} UNION ALL {_swept(100)}",
+    "graph_violations": _with(_LINE_HITS, _CLASSIFIED, _DECIDED, _ONE_WAY_EDGES, """damaged AS (
+        SELECT edge_id, query_id, target_id, relationship_type, CASE WHEN query_id LIKE '%7' THEN 'overlap' ELSE kind END AS kind FROM edges UNION ALL
+        SELECT edge_id, query_id, target_id, relationship_type, kind FROM edges WHERE query_id LIKE '%11')""")
+    + """ SELECT edge_id AS id, 'incompatible kind or type' AS error FROM damaged WHERE NOT CASE kind WHEN 'containment' THEN relationship_type LIKE '%CONTAINED%' WHEN 'ambiguous' THEN relationship_type = 'AMBIGUOUS_OVERLAP' ELSE relationship_type LIKE '%SUFFIX_TO%' END
+        UNION ALL SELECT DISTINCT edge_id, 'unknown sequence identifier' FROM damaged WHERE query_id LIKE '%13' OR target_id LIKE '%13'
+        UNION ALL SELECT edge_id, 'repeated edge' FROM damaged GROUP BY edge_id HAVING count(*) > 1""",
     "pair_table": _with(_LINE_HITS, _CLASSIFIED, _DECIDED)
     + """ SELECT d.query_id AS query, d.target_id AS target, d.relationship_type, d.orientation, printf('%.6f', d.identity) AS identity, d.aligned_length, d.query_start, d.query_end, d.target_start, d.target_end,
         printf('%.6f', r.qcov) AS query_coverage, printf('%.6f', r.tcov) AS target_coverage, d.status, d.accepted_hits, d.rejected_hits,

@@ -103,6 +103,11 @@ def candidate_pairs(spark, sf_dir):
     return minimisers.candidate_pairs(pairs, sequences.select("sequence_id", "length"), CONFIG)
 
 
+@query
+def parameter_sweep(spark, sf_dir):
+    return minimisers.parameter_sweep(pin(_sequences(inputs.contigs(spark, sf_dir))), [CONFIG.kmer], [CONFIG.window], [20, 100], CONFIG)
+
+
 # --- hits
 
 
@@ -176,6 +181,16 @@ def relationship_components(spark, sf_dir):
     return graph.component_ambiguity(pin(labels), edges)
 
 
+@query
+def graph_violations(spark, sf_dir):
+    """Of the graph with some edges of another kind, some nodes missing, and some edges twice."""
+    decisions = _decisions(spark, sf_dir)
+    edges = pin(graph.graph_edges(decisions))
+    damaged = edges.withColumn("kind", F.when(F.col("query_id").endswith("7"), "overlap").otherwise(F.col("kind"))).unionByName(edges.where(F.col("query_id").endswith("11")))
+    nodes = decisions.select(F.col("query_id").alias("sequence_id")).union(decisions.select("target_id")).distinct().where(~F.col("sequence_id").endswith("13"))
+    return graph.graph_violations(nodes, damaged)
+
+
 # --- the whole reconciliation, on tiles of every document
 
 

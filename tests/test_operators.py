@@ -209,3 +209,13 @@ def test_settings():
     for bad in ({"identity": 2.0}, {"kmer": 0}, {"evidence": "reads"}):
         with pytest.raises(ConfigError):
             RunConfig(**bad)
+
+
+def test_graph_violations_of_labels(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("",)], "sequence_id string")
+    edges = spark.createDataFrame([("e", "overlap", "a", "b", "QUERY_SUFFIX_TO_TARGET_PREFIX")], "edge_id string, kind string, query_id string, target_id string, relationship_type string")
+    sound = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "3"), ("", "4")], "node string, component_id string")
+    assert [tuple(r) for r in graph.graph_violations(nodes, edges, sound).collect()] == [("", "empty node identifier")]
+    odd = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "2"), ("", "4")], "node string, component_id string")
+    got = {tuple(r) for r in graph.graph_violations(nodes.where("sequence_id <> ''"), edges, odd).collect()}
+    assert got == {("a", "component is torn apart"), ("2", "component joins nodes without a path"), ("d", "node without a component")}

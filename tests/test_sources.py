@@ -147,3 +147,21 @@ def test_publication_midway_leaves_the_last_run(spark, tmp_path):
     assert published(spark, str(tmp_path), "a").count() == 3 and published(spark, str(tmp_path), "b").count() == 5
     publish({"a": spark.range(7), "b": spark.range(8)}, str(tmp_path), "b")
     assert published(spark, str(tmp_path), "a").count() == 7
+
+
+def test_samples_are_discovered_by_name(spark, tmp_path):
+    from braidseq.sources import discovery
+
+    (tmp_path / "sub").mkdir()
+    for name in ("B.fa", "a.FASTA.gz", "b.gfa", "A.bam", "A.bam.bai", "sub/c.fna", "sub/c.cram", "notes.txt", ".fa"):
+        (tmp_path / name).write_text("x")
+    found = discovery.discover_samples(spark, str(tmp_path))
+    rows = {r["sample"]: r for r in found.collect()}
+    assert sorted(rows) == ["B", "a", "c"] and not any(r["error"] for r in rows.values())
+    assert rows["a"]["index"].endswith("/A.bam.bai") and rows["a"]["warning"] is None and rows["c"]["warning"] and rows["B"]["assembly_graph"].endswith("/b.gfa")
+    assert {r["sample"] for r in discovery.discover_samples(spark, str(tmp_path), recursive=False).collect()} == {"B", "a"}
+    lines = [r["value"] for r in discovery.manifest_lines(found, str(tmp_path)).collect()]
+    assert lines == ["sample\tcontigs\tbam\ttechnology\tassembly_graph", "a\ta.FASTA.gz\tA.bam\t\t", "B\tB.fa\t\t\tb.gfa", "c\tsub/c.fna\tsub/c.cram\t\t"]
+    (tmp_path / "sub" / "b.fsa").write_text("x")
+    with pytest.raises(InputError, match="multiple FASTA"):
+        discovery.manifest_lines(discovery.discover_samples(spark, str(tmp_path)), str(tmp_path))
