@@ -304,6 +304,12 @@ _SPARSE = """told AS (
   SELECT * FROM told WHERE NOT target_id LIKE '%5' UNION ALL SELECT query_id, 'x' || target_id, expected, strand, allowed, put_off FROM told WHERE target_id LIKE '%6'
 )"""
 
+_REPORTS = """judged AS (
+  SELECT case_id, 's0' AS sample, remapped_reads, spanning_reads FROM spanning UNION ALL
+  SELECT case_id, 's1', CASE WHEN case_id LIKE '%0' THEN 0 ELSE remapped_reads END, CASE WHEN case_id LIKE '%0' THEN 0 ELSE greatest(spanning_reads - 3, 0) END FROM spanning
+), truth AS (SELECT 'case' || i AS case_id, i % 3 > 0 AS ok FROM range(45) t(i))"""
+
+
 def _swept(most: int) -> str:
     parts = [x.replace("<= 100", f"<= {most}") for x in (CONTIGS_SQL, _MEMBERS, _SEEDS, _PAIRS, _CANDIDATES)]
     return f"""SELECT * FROM ({_with(*parts)} SELECT 21 AS kmer, 10 AS window, {most} AS max_frequency, count(*) AS unique_minimisers,
@@ -312,6 +318,13 @@ def _swept(most: int) -> str:
 
 
 ORACLE_SQL = {
+    "sample_summary": _with(_READS, _SPANNING, _REPORTS)
+    + """ SELECT *, testable_artificial_cases = artificial_cases AS baseline_established FROM (SELECT count(*) AS sample_cases, count(*) FILTER (ok) AS true_cases, count(*) FILTER (NOT ok) AS artificial_cases,
+        count(*) FILTER (NOT ok AND remapped_reads > 0) AS testable_artificial_cases, count(*) FILTER (NOT ok AND spanning_reads > 0) AS false_support, count(*) FILTER (ok AND spanning_reads = 0) AS missed_support
+        FROM truth JOIN judged USING (case_id))""",
+    "case_statuses": _with(_READS, _SPANNING, _REPORTS)
+    + """ SELECT case_id, status FROM (SELECT case_id, CASE WHEN ok AND most > 0 THEN 'detected_true' WHEN ok THEN 'missed_true' WHEN most > 0 THEN 'artificial_with_support' WHEN reads = 0 THEN 'untestable_artificial' END AS status
+        FROM (SELECT case_id, ok, coalesce(max(spanning_reads), 0) AS most, coalesce(max(remapped_reads), 0) AS reads FROM truth LEFT JOIN judged USING (case_id) GROUP BY ALL)) WHERE status IS NOT NULL""",
     "parameter_sweep": f"{_swept(20)} UNION ALL {_swept(100)}",
     "graph_violations": _with(_LINE_HITS, _CLASSIFIED, _DECIDED, _ONE_WAY_EDGES, """damaged AS (
         SELECT edge_id, query_id, target_id, relationship_type, CASE WHEN query_id LIKE '%7' THEN 'overlap' ELSE kind END AS kind FROM edges UNION ALL

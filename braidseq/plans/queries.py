@@ -498,3 +498,26 @@ def junction_scores(spark, sf_dir):
 
     truth = spark.range(45).select(F.concat(F.lit("case"), "id").alias("case_id"), (F.col("id") % 3 > 0).alias("junction_is_true"))
     return evidence.junction_scores(truth, junction_support(spark, sf_dir))
+
+
+def _sample_reports(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Truth for 45 cases, and the reports of two samples, the second with fewer reads."""
+    truth = spark.range(45).select(F.concat(F.lit("case"), "id").alias("case_id"), (F.col("id") % 3 > 0).alias("junction_is_true"))
+    rows = pin(junction_spanning(spark, sf_dir))
+    bare = F.col("case_id").endswith("0")
+    fewer = rows.select("case_id", F.lit("s1").alias("sample"), F.when(bare, 0).otherwise(F.col("remapped_reads")).alias("remapped_reads"), F.when(bare, 0).otherwise(F.greatest(F.col("spanning_reads") - 3, F.lit(0))).alias("spanning_reads"))
+    return truth, rows.withColumn("sample", F.lit("s0")).unionByName(fewer)
+
+
+@query
+def sample_summary(spark, sf_dir):
+    from ..operators import evidence
+
+    return evidence.sample_summary(*_sample_reports(spark, sf_dir))
+
+
+@query
+def case_statuses(spark, sf_dir):
+    from ..operators import evidence
+
+    return evidence.case_statuses(*_sample_reports(spark, sf_dir))
