@@ -76,3 +76,29 @@ def append_columns(df: DataFrame, ddl: str, column: str, start, most_bytes: int
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
     return kept.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read from there."""
+    folder = fresh_dir(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: Entries of vectors on a grid may not pass this in size: beyond it sums of them leave the exact numbers.
+MOST_GRID = 1 << 40
+
+
+def finite_vectors(df: DataFrame, column: str, scale: int, offset: int = 0) -> DataFrame:
+    """The rows of ``df`` whose vector in ``column`` is not null and holds no null, NaN or infinity, each entry c as the long floor(scale * c) + offset."""
+    v = F.col(f"`{column}`").cast("array<double>")
+    plain = F.forall(v, lambda c: F.coalesce((c > float("-inf")) & (c < float("inf")), F.lit(False)))
+    far = F.raise_error(F.lit("an entry of a vector is too large for the grid")).cast("long")
+    on_grid = F.transform(v, lambda c: F.when(F.abs(c) * scale < MOST_GRID, F.floor(c * scale).cast("long") + offset).otherwise(far))
+    return df.where(v.isNotNull() & plain).withColumn(column, on_grid)
+
+
+def of_common_width(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose vector has the commonest width, of ties the largest."""
+    widths = df.groupBy(F.size(column).alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("w")).limit(1).collect()
+    return df.where(F.size(column) == (widths[0]["w"] if widths else 0))

@@ -113,4 +113,31 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLE_SQL = {"op4_sharding": OP4, "op6_mixing": OP6, "op7_zip_warc": OP7, "op8_decontaminate": OP8, "op10_url_cascade": OP10}
+def _op13_round(k: int) -> str:
+    """Each part's nearest entry of codebook ``k``, and the next codebook."""
+    return f"""a{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, d * 1000 + e) AS e, min(d) AS d FROM (
+    SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN b{k} b ON b.p = x.p
+  ) GROUP BY r, p
+), m{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT a.p, a.e, i, floor(sum(x.x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{k} a JOIN parts x ON x.r = a.r AND x.p = a.p, (SELECT unnest(range(1, 5)) AS i) GROUP BY a.p, a.e, i
+  ) GROUP BY p, e
+), b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e)"""
+
+
+#: For vectors of 64 components.
+OP13 = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), parts AS MATERIALIZED (SELECT r, p, v[4 * p + 1 : 4 * p + 4] AS x FROM kept, (SELECT unnest(range(16)) AS p)
+), b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM parts WHERE r <= 64
+), {_op13_round(0)}, {_op13_round(1)}, {_op13_round(2)}, coded AS (
+  SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r
+), books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS s FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM kept JOIN coded USING (r), books
+"""
+
+ORACLE_SQL = {"op4_sharding": OP4, "op6_mixing": OP6, "op7_zip_warc": OP7, "op8_decontaminate": OP8, "op10_url_cascade": OP10, "op13_vector_codes": OP13}

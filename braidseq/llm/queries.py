@@ -15,6 +15,8 @@ from .simhash import hexadecimal, near_components
 from .tokens import count_tokens
 from .toxicity import THRESHOLD, remainder, score_toxicity, train_toxicity
 from .url_cascade import Rule, judge_urls
+from .vector_codes import compress_vectors
+from .whitening import whiten
 from .zip_warc import archive_pages, read_packages
 
 URL_RULES = [
@@ -92,7 +94,16 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_simhash, op3_tokens, op4_sharding, op5_toxicity, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade)
+    for f in (op1_pii, op2_simhash, op3_tokens, op4_sharding, op5_toxicity, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade, op12_whitening, op13_vector_codes)
 }
