@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import find_contamination, with_verdict
 from .gif import read_payload, store_as_gif
+from .maxent import remainder as crc_remainder
+from .maxent import score_language_model, train_language_model
 from .mixing import mix_sources
 from .pii import KINDS, find_pii
 from .sharding import shard_by_bytes
@@ -94,6 +96,14 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
+    model = train_language_model(docs.where(~held_out))
+    scored = score_language_model(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -105,5 +115,5 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_simhash, op3_tokens, op4_sharding, op5_toxicity, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade, op12_whitening, op13_vector_codes)
+    for f in (op1_pii, op2_simhash, op3_tokens, op4_sharding, op5_toxicity, op6_mixing, op7_zip_warc, op8_decontaminate, op9_gif, op10_url_cascade, op11_language_model, op12_whitening, op13_vector_codes)
 }
