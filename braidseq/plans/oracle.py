@@ -475,3 +475,7 @@ ORACLE_SQL = {
       SELECT count(*) AS cases, count(*) FILTER (ok AND status = 'supported') AS true_supported, count(*) FILTER (NOT ok AND status = 'supported') AS false_supported,
         count(*) FILTER (ok AND status = 'unsupported') AS true_missed, count(*) FILTER (NOT ok AND status = 'unsupported') AS false_rejected, count(*) FILTER (status = 'deferred') AS deferred FROM met""",
 }
+
+from .junctions import SQL as _JUNCTIONS  # noqa: E402
+
+ORACLE_SQL |= _JUNCTIONS

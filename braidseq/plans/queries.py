@@ -521,3 +521,6 @@ def case_statuses(spark, sf_dir):
     from ..operators import evidence
 
     return evidence.case_statuses(*_sample_reports(spark, sf_dir))
+
+
+from . import junctions  # noqa: E402, F401  registers its queries
