@@ -1,10 +1,10 @@
-"""Alignment without external tools: ungapped diagonals from shared seeds.
+"""Alignment without external tools: ungapped diagonals from shared seeds, and gapped paths along chains of them.
 
 Every diagonal that a seed names is laid over its whole overlap and its bases
 are compared one by one, so counts of matches are real.  Nothing picks a best
-diagonal: rivals must show up as ambiguity later.  Gapped overlaps are not
-found, which can only miss a merge, never make a false one.  Hits from another
-aligner (``sources.alignments.read_paf``) fit wherever these do.
+diagonal: rivals must show up as ambiguity later.  Where the seeds of a pair
+rise over several diagonals, ``gapped_hits`` follows them with gaps.  Hits from
+another aligner (``sources.alignments.read_paf``) fit wherever these do.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions.sequences import oriented_slice
+from .chaining import aligned, chains
 
 
 def diagonals(pairs: DataFrame, lengths: DataFrame, kmer: int) -> DataFrame:
@@ -58,3 +59,29 @@ def diagonal_hits(candidates: DataFrame, pairs: DataFrame, sequences: DataFrame,
         "query_id", "target_id", "query_length", "query_start", "query_end", "orientation", "target_length", "target_start", "target_end",
         "matching_bases", span.alias("alignment_block_length"),
     )
+
+
+def gapped_hits(candidates: DataFrame, pairs: DataFrame, sequences: DataFrame, config: RunConfig) -> DataFrame:
+    """Hits of the candidate pairs along chains that no single diagonal explains, with ``cigar``; the columns of ``diagonal_hits`` otherwise.
+
+    A chain whose seeds lie on one diagonal is left to ``diagonal_hits``, which
+    compares all its bases.  All chains of a pair have their hit, so rivals
+    stay.  Paths shorter than any relationship are left out.
+    """
+    c = F.col
+    wanted = pairs.join(candidates.select("query_id", "target_id"), ["query_id", "target_id"], "left_semi")
+    seeds = wanted.select(
+        "query_id", "target_id", c("relative").alias("orientation"),
+        F.when(c("relative") == "+", c("query_position")).otherwise(-c("query_position") - config.kmer).cast("int").alias("q"), c("target_position").cast("int").alias("t"),
+    )
+    found = aligned(chains(seeds).where("low < high"), sequences, sequences)
+    least = min(config.min_overlap, config.min_containment)
+    return found.where(c("query_end") - c("query_start") >= least).select(
+        "query_id", "target_id", "query_length", "query_start", "query_end", "orientation", "target_length", "target_start", "target_end", "matching_bases", "alignment_block_length", "cigar"
+    )
+
+
+def aligned_hits(candidates: DataFrame, pairs: DataFrame, sequences: DataFrame, config: RunConfig) -> DataFrame:
+    """Hits on diagonals and along gapped chains, with ``cigar`` (null on diagonals)."""
+    plain = diagonal_hits(candidates, pairs, sequences, config).withColumn("cigar", F.lit(None).cast("string"))
+    return plain.unionByName(gapped_hits(candidates, pairs, sequences, config))

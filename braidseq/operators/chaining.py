@@ -14,7 +14,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gapped import BLOCK_BYTES, Path, Task, align_all, cigar, joined
+from .gapped import BLOCK_BYTES, MATCH, Path, Task, align_all, cigar, joined
 
 #: Diagonals further apart than this are of two clusters; how far a path may leave the diagonals of its chain.
 BAND, MARGIN = 64, 16
@@ -49,7 +49,7 @@ def longest_rise(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if k == len(ends):
             ends.append(q)
             at.append(i)
-        else:
+        elif q < ends[k]:
             ends[k], at[k] = q, i
         before[i] = at[k - 1] if k else -1
     run, i = [], at[-1] if at else -1
@@ -59,6 +59,15 @@ def longest_rise(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return run[::-1]
 
 
+def best_chains(cluster: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The longest run of a cluster; where whole diagonals are as long, each of them, so that repeats compete instead of being mixed."""
+    run = longest_rise(cluster)
+    lines: dict[int, set[tuple[int, int]]] = {}
+    for t, q in cluster:
+        lines.setdefault(t - q, set()).add((t, q))
+    return [sorted(line) for _, line in sorted(lines.items()) if len(line) == len(run)] or [run]
+
+
 def clusters(points: list[tuple[int, int]], band: int) -> list[list[tuple[int, int]]]:
     """Points (t, q) by diagonal: a new cluster where the next diagonal is more than ``band`` away."""
     out, last = [], None
@@ -73,6 +82,7 @@ def clusters(points: list[tuple[int, int]], band: int) -> list[list[tuple[int, i
 def chains(found: DataFrame, least: int = 3, band: int = BAND, only_best: bool = False) -> DataFrame:
     """``query_id, target_id, orientation, chain, anchors, rival, low, high, q, t`` from ``anchors``: one row a chain of ``least`` anchors or more.
 
+    A cluster of diagonals gives its ``best_chains``.
     ``low`` and ``high`` bound the chain's diagonals, ``rival`` is the largest
     number of anchors in another chain of the pair, on either strand.  With
     ``only_best`` a pair has the chains with most anchors alone, ties all.  A
@@ -91,7 +101,7 @@ def chains(found: DataFrame, least: int = 3, band: int = BAND, only_best: bool =
                 made = []
                 for strand in "+-":
                     points = [(s["t"], s["q"]) for s in seeds if s["orientation"] == strand]
-                    made += [(strand, chain) for part in clusters(points, band) if len(chain := longest_rise(part)) >= least]
+                    made += [(strand, chain) for part in clusters(points, band) for chain in best_chains(part) if len(chain) >= least]
                 sizes = sorted((len(c) for _, c in made), reverse=True)
                 made.sort(key=lambda c: (-len(c[1]), c[0], c[1][0]))
                 for k, (strand, chain) in enumerate(made):
@@ -142,7 +152,7 @@ def paths_along(pairs: list[tuple[bytes, bytes, list[tuple[int, int]], int, int]
         lean = chain[0][0] - chain[0][1]
         if lean >= 0 and target[lean : lean + len(query)] == query:
             if low + MARGIN == high - MARGIN:
-                out[i] = Path(2 * len(query), 0, len(query), lean, lean + len(query), len(query), (("M", len(query)),))
+                out[i] = Path(MATCH * len(query), 0, len(query), lean, lean + len(query), len(query), (("M", len(query)),))
                 continue
         parts[i] = [None] * len(pieces := _along(query, target, chain, low, high))
         for k, (task, free_start, free_end) in enumerate(pieces):

@@ -58,6 +58,14 @@ def documents_and_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contigs(spark, sf_dir).unionByName(_cut(spark, sf_dir, PIECE_LENGTH, PIECE_LENGTH))
 
 
+def documents_and_gapped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whole, and again in pieces that lie end to end; of a piece of more than 1000 letters every other one lacks five letters, the others have seven more."""
+    pieces = _cut(spark, sf_dir, PIECE_LENGTH, PIECE_LENGTH)
+    lacking, more = F.expr("concat(left(sequence, 700), substring(sequence, 706))"), F.expr("concat(left(sequence, 800), 'ACGTTGA', substring(sequence, 801))")
+    altered = F.when(F.length("sequence") <= 1000, F.col("sequence")).when(F.col("source_ordinal") % 2 == 1, lacking).otherwise(more)
+    return contigs(spark, sf_dir).unionByName(pieces.withColumn("sequence", altered))
+
+
 def documents_and_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whole, and again in overlapping tiles: containments and overlaps in one component."""
     return contigs(spark, sf_dir).unionByName(document_tiles(spark, sf_dir))

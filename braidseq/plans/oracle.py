@@ -477,5 +477,6 @@ ORACLE_SQL = {
 }
 
 from .junctions import SQL as _JUNCTIONS  # noqa: E402
+from .pileups import SQL as _PILEUPS  # noqa: E402
 
-ORACLE_SQL |= _JUNCTIONS
+ORACLE_SQL |= {**_JUNCTIONS, **_PILEUPS}

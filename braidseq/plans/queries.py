@@ -219,6 +219,21 @@ def _aligned(sources: DataFrame) -> DataFrame:
     return aligner.diagonal_hits(candidates, pairs, sequences, CONFIG)
 
 
+def _gapped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Catalogue members of documents and of their altered pieces, and the decisions of their pairs."""
+    sources = pin(inputs.documents_and_gapped_pieces(spark, sf_dir))
+    sequences = pin(_sequences(sources))
+    pairs = pin(minimisers.seed_pairs(_seeds(sequences)))
+    candidates = pin(minimisers.candidate_pairs(pairs, sequences.select("sequence_id", "length"), CONFIG))
+    return catalogue.catalogue_members(sources), hits.classify_pairs(aligner.aligned_hits(candidates, pairs, sequences, CONFIG), CONFIG)
+
+
+@query
+def gapped_relationships(spark, sf_dir):
+    """Of whole documents and of pieces that lack letters or have more: no SQL, a test holds the paths against brute force."""
+    return _gapped(spark, sf_dir)[1].select("query_id", "target_id", "relationship_type", "orientation", "identity", "aligned_length", "status", "reasons", "accepted_hits", "rejected_hits")
+
+
 @query
 def diagonal_hits(spark, sf_dir):
     """Of whole documents; ``document_hits`` takes them in tiles."""
@@ -523,4 +538,4 @@ def case_statuses(spark, sf_dir):
     return evidence.case_statuses(*_sample_reports(spark, sf_dir))
 
 
-from . import junctions  # noqa: E402, F401  registers its queries
+from . import junctions, pileups  # noqa: E402, F401  they register their queries
