@@ -102,3 +102,14 @@ def of_common_width(df: DataFrame, column: str) -> DataFrame:
     """The rows whose vector has the commonest width, of ties the largest."""
     widths = df.groupBy(F.size(column).alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("w")).limit(1).collect()
     return df.where(F.size(column) == (widths[0]["w"] if widths else 0))
+
+
+def keeping_columns(docs: DataFrame, needed: list[str], work) -> DataFrame:
+    """``work`` over ``docs``, with the columns of ``docs`` in their order, whatever columns ``work`` makes.
+
+    ``work`` sees ``needed`` under their names and all others under names that
+    no operator uses, so none is replaced; it may drop and repeat rows.
+    """
+    others = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    made = work(docs.select(*[F.col(f"`{c}`").alias(others.get(c, c)) for c in docs.columns]))
+    return made.select(*[F.col(f"`{others.get(c, c)}`").alias(c) for c in docs.columns])

@@ -85,7 +85,7 @@ class Block:
         out = np.full(len(ids), span, dtype=np.uint64)
         for step in range(span):
             shifted = np.zeros(len(ids), dtype=np.uint64)
-            shifted[: len(ids) - step] = ids[step:]
+            shifted[: max(0, len(ids) - step)] = ids[step:]
             out = (out ^ shifted) * np.uint64(_MULTIPLIER)
             out ^= out >> np.uint64(29)
         return out
@@ -96,8 +96,9 @@ class Block:
         for span in self.spans:
             full = known.copy()
             for step in range(1, span):
-                full[: len(ids) - step] &= known[step:]
-                full[len(ids) - step :] = False
+                rest = max(0, len(ids) - step)
+                full[:rest] &= known[step:]
+                full[rest:] = False
             at = np.flatnonzero(full)
             if not len(at):
                 continue

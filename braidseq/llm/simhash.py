@@ -12,9 +12,11 @@ is one row of every table.  A cloud of near copies is first joined by stars:
 each fingerprint is compared with the least one that has its segment.  After
 that only links between different stars leave the join, as pairs of stars.
 
+A segment that many fingerprints share is split by their other bits.
+
 ``near_components`` links by fingerprints alone.  ``keep_one_of_each`` takes
-fingerprints as a search only and links texts by the exact similarity of their
-word shingles.
+fingerprints, whole and partial ones, as a search only and links texts by the
+exact similarity of their word shingles.
 """
 
 from __future__ import annotations
@@ -31,49 +33,62 @@ from .common import append_columns, pin
 BITS = 64
 #: Up to so many different fingerprints three segments are used, two beyond it: longer segments, so shorter lists in the table.
 THREE_SEGMENTS_UPTO = 100_000_000
+#: A segment's value that more fingerprints than this have is split by the other bits, in so many parts.
+HOT_KEY, OUTSIDE = 1000, 3
+
+
+def _shingle_hashes(text: bytes, shingle: int, seed: int) -> list[int]:
+    """XXH64 of each shingle of the lower-cased words, repeats included; fewer words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return []
+    plain = b" ".join(words)
+    ends, at = [], -1
+    for word in words:
+        at += len(word) + 1
+        ends.append(at)
+    starts = [0, *[e + 1 for e in ends[: max(0, len(words) - shingle)]]]
+    return [xxh64_intdigest(plain[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:])]
+
+
+def _majority():
+    """A function from hashes, and how many of them are each group's, to the groups' fingerprints: bits that more than half of them have."""
+    import numpy as np
+
+    # Eight counters of eight bits in a word, one for each bit of a byte.
+    spread = np.zeros(256, dtype=np.uint64)
+    for byte in range(256):
+        spread[byte] = sum(1 << (8 * bit) for bit in range(8) if byte >> bit & 1)
+
+    def vote(hashes, counts):
+        n = np.asarray(counts, dtype=np.int64)
+        out = np.zeros(len(n), dtype=np.int64)
+        full = np.flatnonzero(n)
+        if len(full):
+            lanes = spread[np.asarray(hashes, dtype=np.uint64).view(np.uint8)].reshape(-1, 8)
+            # Runs of 255 at most, for the counters' sake; then the runs of a group.
+            size, first = n[full], (np.cumsum(n) - n)[full]
+            runs = -(-size // 255)
+            before = np.cumsum(runs) - runs
+            at = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(before, runs))
+            sums = np.add.reduceat(lanes, at, axis=0).view(np.uint8).reshape(-1, BITS)
+            ones = np.add.reduceat(sums.astype(np.int64), before, axis=0)
+            bits = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little")
+            out[full] = np.ascontiguousarray(bits).view(np.int64).ravel()
+        return out
+
+    return vote
 
 
 def _fingerprinter(text_col: str, shingle: int, seed: int):
     def start():
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        # Eight counters of eight bits in a word, one for each bit of a byte.
-        spread = np.zeros(256, dtype=np.uint64)
-        for byte in range(256):
-            spread[byte] = sum(1 << (8 * bit) for bit in range(8) if byte >> bit & 1)
-
-        def hashes(text: bytes) -> list[int]:
-            words = text.lower().split()
-            if not words:
-                return []
-            plain = b" ".join(words)
-            ends, at = [], -1
-            for word in words:
-                at += len(word) + 1
-                ends.append(at)
-            starts = [0, *[e + 1 for e in ends[: max(0, len(words) - shingle)]]]
-            return [xxh64_intdigest(plain[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:])]
+        vote = _majority()
 
         def work(batch):
-            found, counts = [], []
-            for text in batch.column(text_col).to_pylist():
-                own = hashes((text or "").encode())
-                found += own
-                counts.append(len(own))
-            n = np.array(counts, dtype=np.int64)
-            out = np.zeros(len(n), dtype=np.int64)
-            full = np.flatnonzero(n)
-            if len(full):
-                lanes = spread[np.array(found, dtype=np.uint64).view(np.uint8)].reshape(-1, 8)
-                # Runs of 255 at most, for the counters' sake; then the runs of a document.
-                runs = [list(range(a, a + c, 255)) for a, c in zip((np.cumsum(n) - n)[full].tolist(), n[full].tolist())]
-                sums = np.add.reduceat(lanes, [x for own in runs for x in own], axis=0).view(np.uint8).reshape(-1, BITS)
-                first = np.cumsum([0, *map(len, runs[:-1])])
-                ones = np.add.reduceat(sums.astype(np.int64), first, axis=0)
-                bits = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little")
-                out[full] = np.ascontiguousarray(bits).view(np.int64).ravel()
-            return [out]
+            found = [_shingle_hashes((text or "").encode(), shingle, seed) for text in batch.column(text_col).to_pylist()]
+            return [vote([h for own in found for h in own], [len(own) for own in found])]
 
         return work
 
@@ -162,11 +177,41 @@ def near_links(fingerprints: DataFrame, radius: int = 4, segments: int = 3) -> D
     more = lambda side: [F.col("group").alias(f"{side}_group")] if grouped else []
     table = fingerprints.select(fp.alias("right"), *more("right"), F.explode(F.array(*stored)).alias("key"))
     asked = fingerprints.select(fp.alias("left"), *more("left"), F.explode(F.array_compact(F.array(*probes))).alias("probe")).select("*", "probe.key", "probe.moved").drop("probe")
+    # A key that many fingerprints have is split by the bits outside its segment, of which a pair differs in ``radius`` at most.
+    often = pin(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key"))
+    hot, split = F.broadcast(often), not often.isEmpty()
     once = (F.col("moved") & (F.col("left") != F.col("right"))) | (F.col("left") < F.col("right"))
     wanted = (_distance("left", "right") <= radius) & once
     if grouped:
         wanted = wanted & (F.col("left_group") != F.col("right_group"))
-    return asked.join(table, (asked["key"] == table["key"]) & wanted).drop("key", "moved")
+    if not split:
+        return asked.join(table, (asked["key"] == table["key"]) & wanted).drop("key", "moved")
+    cold_asked, cold_table = asked.join(hot, "key", "left_anti"), table.join(hot, "key", "left_anti")
+    cold = cold_asked.join(cold_table, (cold_asked["key"] == cold_table["key"]) & wanted).drop("key", "moved")
+    held = table.join(hot, "key").withColumn("part", F.explode(F.array(*_outside_keys("right", segments, [0] * OUTSIDE))))
+    sought = asked.join(hot, "key").withColumn("part", F.explode(F.array(*_outside_keys("left", segments, ball_radii(radius, OUTSIDE)))))
+    warm = sought.join(held, (sought["key"] == held["key"]) & (sought["part"] == held["part"]) & wanted).drop("key", "moved", "part")
+    return cold.unionByName(warm)
+
+
+def _outside_keys(fp: str, segments: int, reaches: list[int]) -> list[Column]:
+    """Keys of the values within ``reaches[i]`` bits of part ``i`` of the bits outside the segment that the column ``key`` is of."""
+    outside, places = None, _segments(segments)
+    for i, (shift, width) in enumerate(places):
+        high = F.shiftleft(F.shiftrightunsigned(F.col(fp), shift + width), shift) if shift + width < BITS else F.lit(0).cast("long")
+        rest = high.bitwiseOR(F.col(fp).bitwiseAND(F.lit((1 << shift) - 1)))
+        mine = F.shiftrightunsigned("key", 56) == i
+        outside = F.when(mine, rest) if outside is None else outside.when(mine, rest)
+    # The widths are those of the longest remainder; bits beyond a shorter one are zero on both sides.
+    bits = BITS - min(width for _, width in places)
+    keys, shift = [], 0
+    for i, reach in enumerate(reaches):
+        width = bits // OUTSIDE + (i < bits % OUTSIDE)
+        value = F.shiftrightunsigned(outside, shift).bitwiseAND(F.lit((1 << width) - 1))
+        for size in range(reach + 1):
+            keys += [_tagged(value.bitwiseXOR(F.lit(sum(1 << b for b in own))), i) for own in combinations(range(width), size)]
+        shift += width
+    return keys
 
 
 def _stars(fingerprints: DataFrame, radius: int, segments: int, total: int) -> DataFrame:
@@ -214,28 +259,71 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- groups of similar texts
 
-#: The search of ``keep_one_of_each``: fingerprints of two-word shingles; all pairs within 3 bits, and of those within 8 bits what stars find.
-SEARCH_WORDS, SEARCH_RADIUS, STAR_RADIUS, SEARCH_SEGMENTS = 2, 3, 8, 3
+#: The search of ``keep_one_of_each``: fingerprints of two-word shingles that differ in so many bits at most.
+SEARCH_WORDS, SEARCH_RADIUS = 2, 16
+#: Partial fingerprints of a text at most, shingles that a sampled text has about (a power of two), and how far the numbers of shingles of similar texts lie apart.
+PARTS, SAMPLED, APART = 32, 128, 1.12
 #: Bytes of shingle sets that are broadcast at most; larger tables of them are shuffled.
 BROADCAST_BYTES = 32_000_000
 #: What links two texts: five-word shingles whose sets are at least so similar, in hundredths.
 WORDS, SIMILARITY = 5, 80
 
 
+def _partial_fingerprints(hashes):
+    """(shingles, their number in each part, names of the parts) of a text's different shingles.
+
+    A part is a class of the shingles' hashes, of a sample of them in a long
+    text; texts of similar length have the same classes.  Where the length is
+    near the next size both divisions are given.
+    """
+    import numpy as np
+
+    n = len(hashes)
+    sizes = sorted({int(np.log2(max(n / APART, 1))), int(np.log2(n * APART))}) if n else []
+    kept, counts, names = [], [], []
+    most = SAMPLED.bit_length() - 1
+    for size in sizes:
+        own = hashes if size <= most else hashes[(hashes >> np.uint64(20)) % np.uint64(1 << (size - most)) == 0]
+        parts = min(PARTS, 1 << max(0, size - 1))
+        part = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        met, times = np.unique(part, return_counts=True)
+        kept.append(own[order])
+        counts.append(times)
+        names.append(met + np.uint64(size * PARTS))
+    return kept, counts, names
+
+
 def _searched(text_col: str):
-    """``fp`` and ``node``, which names the sequence of words."""
-    inner = _fingerprinter(text_col, SEARCH_WORDS, 42)
+    """``fp``, ``node``, which names the sequence of words, and ``parts``: the keys of the partial fingerprints."""
 
     def start():
         from hashlib import md5
 
-        work = inner()
+        import numpy as np
+        import pyarrow as pa
+
+        vote = _majority()
 
-        def both(batch):
-            words = [(t or "").encode().lower().split() for t in batch.column(text_col).to_pylist()]
-            return [*work(batch), [md5(b" ".join(w)).digest() for w in words]]
+        def work(batch):
+            texts = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
+            found = [_shingle_hashes(t, SEARCH_WORDS, 42) for t in texts]
+            whole = vote([h for own in found for h in own], [len(own) for own in found])
+            kept, counts, names, sizes = [], [], [], []
+            for own in found:
+                parts = _partial_fingerprints(np.unique(np.array(own, dtype=np.uint64)))
+                for held, more in zip((kept, counts, names), parts):
+                    held += more
+                sizes.append(sum(map(len, parts[1])))
+            if kept:
+                votes = vote(np.concatenate(kept), np.concatenate(counts)).view(np.uint64)
+                keys = ((votes ^ np.concatenate(names) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            else:
+                keys = np.zeros(0, dtype=np.int64)
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            return [whole, [md5(b" ".join(t.lower().split())).digest() for t in texts], pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))]
 
-        return both
+        return work
 
     return start
 
@@ -257,19 +345,22 @@ def _shingle_sets(text_col: str):
     return start
 
 
-def _neighbours(fingerprints: DataFrame, radius: int, segments: int, total: int) -> DataFrame:
-    """``fp, nearest, least``: of the stars that each value meets within ``radius`` bits the nearest and the least.
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``left, right, far``: pairs of different nodes, each node with two stars of each of its keys, if their fingerprints differ in ``SEARCH_RADIUS`` bits at most.
 
-    A star is the least value that has some key; keys are all values within one
-    bit of a segment.  Each value meets one star a key, so the rows grow with
-    the values, however many of them are near each other.
+    A key's stars are the nodes that come first and last in an order of its
+    own.  So the pairs grow with the nodes, however many share a key, and nodes
+    that share many keys meet many others.
     """
-    keys = _segment_keys(F.col("fp"), segments, [1] * segments)
-    table = fingerprints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    stars = table.groupBy("key").agg(F.min("fp").alias("other"), F.count("*").alias("n"))
-    far = _distance("fp", "other")
-    met = join_named(table, stars.where("n > 1"), "key", "n", total * len(keys)).where((F.col("fp") != F.col("other")) & (far <= radius))
-    return met.groupBy("fp").agg(F.min(F.struct(far.alias("far"), "other")).alias("m"), F.min("other").alias("least")).select("fp", F.col("m.other").alias("nearest"), "least")
+    c = F.col
+    table = nodes.select("node", "fp", F.explode("parts").alias("key"))
+    one = F.struct(F.xxhash64("node", "key").alias("order"), "node", "fp")
+    stars = table.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("n")).where("n > 1")
+    total = nodes.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("rows")).first()["rows"]
+    met = join_named(table, stars, "key", "n", total).select("node", "fp", F.explode(F.array("first", "last")).alias("star"))
+    far = F.bit_count(c("fp").bitwiseXOR(c("star.fp")))
+    near = met.where((c("node") != c("star.node")) & (far <= SEARCH_RADIUS))
+    return near.select(c("node").alias("left"), c("star.node").alias("right"), far.alias("far")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -290,75 +381,57 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pin(met.where(100 * both >= SIMILARITY * union).select("left", "right"))
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The ``left, right`` that ``joined`` (``node, component``) leaves in different components."""
+    for side in ("left", "right"):
+        many = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        named = many.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of")), side, "left").withColumn(f"{side}_of", F.coalesce(f"{side}_of", side))
+        pairs = join_named(pairs, named, side, "n", pairs.count())
+    return pairs.where("left_of <> right_of").select("left", "right")
+
+
 def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """``key, component`` for every row of ``docs``: texts that chains of similar pairs connect share ``component``, the smallest key.
 
     A pair is similar if the sets of its five-word shingles (A-Z lower-cased,
     ASCII white space between words) have a Jaccard similarity of 0.8 or more.
-    It is looked at if its two-word fingerprints differ in 3 bits at most, or
-    in 8 and one is the other's star.  Texts with one fingerprint are compared
-    with the first of them, those that differ from it with the first of those,
-    and so on.  Stars come first; after that only fingerprints that are still in
-    different groups are compared.  Null, empty and blank texts are equal texts,
-    repeated rows are rows of their own, empty tables give empty results.
+    Pairs are searched by SimHash in several tables: besides its fingerprint a
+    text has partial ones, each over a class of its two-word shingles, so texts
+    with few different words agree in many of them.  Each text meets two stars
+    for each partial fingerprint; first the one whose whole fingerprint is
+    nearest is compared, then those that are not in its component yet.  Null,
+    empty and blank texts are equal texts, repeated rows are rows of their own,
+    empty tables give empty results.
     """
     c = F.col
-    rows = pin(append_columns(docs.select(c(key_col).alias("key"), c(text_col).alias("text")), "fp long, node binary", "text", _searched("text"), most_bytes=2_000_000).drop("text"))
-    nodes = pin(rows.groupBy("fp", "node").agg(F.min("key").alias("first"), F.count("*").alias("n")))
-    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
-    fps = pin(of_fp)
-    total = nodes.count()
-    met = pin(_neighbours(fps.select("fp"), STAR_RADIUS, SEARCH_SEGMENTS, fps.count()))
+    rows = pin(append_columns(docs.select(c(key_col).alias("key"), c(text_col).alias("text")), "fp long, node binary, parts array<long>", "text", _searched("text"), most_bytes=2_000_000).drop("text"))
+    nodes = pin(rows.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.any_value("fp").alias("fp"), F.any_value("parts").alias("parts")))
+    total = rows.count()
     texts = docs.select(c(key_col).alias("key"), c(text_col).alias("text"))
 
-    def shingles_of(near: DataFrame) -> DataFrame:
-        """The shingles of all texts with these fingerprints, one row of documents for each text."""
-        wanted = pin(join_named(nodes, near.distinct().join(fps.select("fp", "n"), "fp"), "fp", "n", total).select("node", "first"))
-        few = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
-        found = texts.join(few, texts["key"] == few["first"]).select("node", "text")
-        return pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text").dropDuplicates(["node"]))
-
-    near = met.select("fp").unionByName(met.select(F.explode(F.array("nearest", "least")).alias("fp"))).unionByName(fps.where("n > 1").select("fp")).distinct()
-    sets = shingles_of(near)
-
-    # Texts with one fingerprint.
-    links, leads = None, fps.select("fp", c("lead").alias("node"))
-    left = pin(join_named(nodes.select("fp", "node"), fps.where("n > 1"), "fp", "n", total).where("node <> lead"))
-    while not left.isEmpty():
-        same = _similar(left.select(c("lead").alias("left"), c("node").alias("right")), sets)
-        links = same if links is None else links.unionByName(same)
-        rest = pin(left.join(same.select(c("right").alias("node")), "node", "left_anti").select("fp", "node"))
-        again = pin(rest.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
-        leads = leads.unionByName(again.select("fp", c("lead").alias("node")))
-        left = pin(join_named(rest, again, "fp", "n", total).where("node <> lead"))
-    leads = pin(leads)
-
-    # Nearest and least neighbours.
-    first = fps.select("fp", c("lead").alias("node"))
-    chosen = met.select("fp", F.explode(F.array_distinct(F.array("nearest", "least"))).alias("other"))
-    named = chosen.join(first, "fp").select(c("node").alias("left"), c("other").alias("fp")).join(first.withColumnRenamed("node", "right"), "fp")
-    pairs = named.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
-    same = _similar(pairs, sets)
-    links = same if links is None else links.unionByName(same)
-
-    # All pairs within the search radius that are not together yet.
-    joined = connected_components(links, "left", "right", pin)
-    placed = pin(leads.join(joined, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("group")))
-    active = placed.groupBy("fp").agg(F.min("group").alias("group"), F.count_distinct("group").alias("groups"))
-    # A fingerprint with texts of several groups is a group of its own here; its texts are told apart below.
-    active = pin(active.select("fp", F.when(c("groups") == 1, c("group")).otherwise(F.encode(F.hex("fp"), "UTF-8")).alias("group")))
-    apart = pin(near_links(active, SEARCH_RADIUS, _number_of_segments(total)).select("left", "right").distinct())
-    sided = lambda side: placed.select(c("fp").alias(side), c("node").alias(f"{side}_node"), c("group").alias(f"{side}_of"))
-    more = apart.join(sided("left"), "left").join(sided("right"), "right").where("left_of <> right_of")
-    new = apart.select(c("left").alias("fp")).unionByName(apart.select(c("right").alias("fp"))).distinct().join(near, "fp", "left_anti")
-    sets = sets.unionByName(shingles_of(new))
-    links = links.unionByName(_similar(more.select(F.least("left_node", "right_node").alias("left"), F.greatest("left_node", "right_node").alias("right")).distinct(), sets))
+    def shingles_of(wanted: DataFrame) -> DataFrame:
+        """The shingles of the named nodes, one row of documents for each; copies go before anything is computed."""
+        named = pin(nodes.select("node", c("first").alias("key"), "n").join(wanted.distinct(), "node"))
+        found = join_named(texts, named, "key", "n", total).select("node", "text").dropDuplicates(["node"])
+        return pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text"))
+
+    pairs = pin(_candidates(nodes))
+    nearest = _in_order(pairs.groupBy("left").agg(F.min(F.struct("far", "right")).alias("m")).select("left", c("m.right").alias("right")))
+    sides = lambda p: p.select(c("left").alias("node")).unionByName(p.select(c("right").alias("node")))
+    sets = shingles_of(sides(pairs))
+    links = _similar(nearest, sets)
+    rest = _apart(_in_order(pairs), connected_components(links, "left", "right", pin))
+    links = links.unionByName(_similar(rest, sets))
 
     final = connected_components(links, "left", "right", pin)
-    named = pin(nodes.join(final, "node", "left").select("fp", "node", "first", "n", F.coalesce("component", "node").alias("group")))
+    named = pin(nodes.select("node", "first", "n").join(final, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("group")))
     least = named.groupBy("group").agg(F.min("first").alias("component"), F.count("*").alias("in_group"))
-    told = pin(join_named(named, least, "group", "in_group", total).select("node", "n", "component"))
-    return join_named(rows, told, "node", "n", rows.count()).select("key", "component")
+    told = pin(join_named(named, least, "group", "in_group", nodes.count()).select("node", "n", "component"))
+    return join_named(rows.select("key", "node"), told, "node", "n", total).select("key", "component")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -156,3 +156,28 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "sharding":
             assert sorted(ids) == sorted(before_ids) and {r["shard"] for r in after.collect()} == set(range(8))
         docs = after
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns named like the operators' results, null and repeated ids, null, empty and long texts, ties."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(1, "same words here and there again", "a"), (2, "same words here and there again", "a"), (None, None, None), (None, None, None), (3, "", "b"), (4, "word " * 30_000, "b"), (5, None, "a"), (5, "another text of a few words", None), (5, "another text of a few words", None)]
+    clashing = ["size", "hits", "score", "target", "repetitions", "items", "n_words", "contaminated", "copy", "key", "fp", "node", "n_chars"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in clashing])
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            after = stage(spark, given, sf)
+            got = after.collect()
+            if name == "sharding":
+                assert len(got) == given.count()
+                continue
+            assert after.columns == docs.columns and after.schema["size"].dataType.simpleString() == "string"
+            assert all(r[c] == (f"{c}-{r['doc_id']}" if r["doc_id"] is not None else c) for r in got for c in clashing)
+            assert {(r["doc_id"], r["text"]) for r in got} <= {(i, t) for i, t, _ in rows}
+        if name in ("toxicity", "decontamination"):
+            assert len(stage(spark, docs, sf).collect()) == len(rows)
+        if name == "near_duplicates":
+            assert sorted((r["doc_id"], (r["text"] or "")[:5]) for r in stage(spark, docs, sf).collect()) == [(1, "same "), (3, ""), (4, "word "), (5, "anoth")]
