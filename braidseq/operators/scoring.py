@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import RunConfig
+from .hits import classify_pairs
+
 MERGE_LIKE = ("EXACT_MATCH", "QUERY_CONTAINED_IN_TARGET", "TARGET_CONTAINED_IN_QUERY", "QUERY_SUFFIX_TO_TARGET_PREFIX", "TARGET_SUFFIX_TO_QUERY_PREFIX")
 _MEASURES = ("correct", "false_merge", "missed", "wrong_type", "wrong_orientation", "deferred", "boundary_failure")
 _BOUNDARY = "^(identity_|length_|end_tolerance_|containment_coverage_)"
@@ -114,3 +117,15 @@ def stage_recall(truth: DataFrame, candidates: DataFrame) -> DataFrame:
     return met.agg(
         F.count("*").alias("rows"), F.count_distinct("case_id").alias("groups"), F.count_if(F.col("hit")).alias("recalled_rows"), F.count_distinct(F.when(F.col("hit"), F.col("case_id"))).alias("recalled_groups")
     )
+
+
+def evaluate_paf(found: DataFrame, truth: DataFrame, config: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """``score_counts`` of the hits in PAF text (``sources.alignments.read_paf``), and ``file, line, error`` of the lines that count nowhere.
+
+    Hits of a sequence with itself are left out.  A broken line takes no part
+    in any decision; whether the counts stand in spite of it is the caller's
+    to decide.
+    """
+    errors = found.where("error is not null").select("file", "line", "error")
+    sound = found.where("error is null and query_id <> target_id").drop("error", "file", "line")
+    return score_counts(truth, classify_pairs(sound, config)), errors

@@ -476,7 +476,26 @@ ORACLE_SQL = {
         count(*) FILTER (ok AND status = 'unsupported') AS true_missed, count(*) FILTER (NOT ok AND status = 'unsupported') AS false_rejected, count(*) FILTER (status = 'deferred') AS deferred FROM met""",
 }
 
+from .datasets import SQL as _DATASETS  # noqa: E402
 from .junctions import SQL as _JUNCTIONS  # noqa: E402
 from .pileups import SQL as _PILEUPS  # noqa: E402
 
-ORACLE_SQL |= {**_JUNCTIONS, **_PILEUPS}
+ORACLE_SQL |= {**_JUNCTIONS, **_PILEUPS, **_DATASETS}
+
+#: ``inputs.unfolded_hits`` that pass the checks of a PAF line.
+_PAF_HITS = f"""raw AS ({UNFOLDED_HITS_SQL.replace("AS STRING", "AS VARCHAR")}), checked AS (
+  SELECT *, CASE
+    WHEN query_start < 0 OR query_end < query_start OR query_end > query_length OR target_start < 0 OR target_end < target_start OR target_end > target_length THEN 'an interval is out of range'
+    WHEN mapping_quality < 0 OR mapping_quality > 255 THEN 'mapping quality'
+    WHEN alignment_block_length < 0 OR matching_bases < 0 OR matching_bases > alignment_block_length THEN 'matching bases and block length'
+    WHEN matching_bases > least(query_end - query_start, target_end - target_start) THEN 'more matching bases than an aligned span'
+    WHEN alignment_block_length < greatest(query_end - query_start, target_end - target_start) THEN 'a block shorter than an aligned span'
+    WHEN alignment_block_length > query_end - query_start + target_end - target_start THEN 'a block longer than both aligned spans' END AS error
+  FROM raw
+), hits AS (SELECT * EXCLUDE (error) FROM checked WHERE error IS NULL)"""
+
+ORACLE_SQL |= {
+    "paf_score_counts": ORACLE_SQL["score_counts"].replace(_LINE_HITS, _PAF_HITS),
+    "paf_errors": f"""WITH {_PAF_HITS} SELECT error, count(*) AS lines FROM (
+      SELECT error FROM checked UNION ALL SELECT error FROM checked WHERE mapping_quality = 56 UNION ALL SELECT 'fewer than twelve fields' FROM checked WHERE mapping_quality = 48) WHERE error IS NOT NULL GROUP BY error""",
+}

@@ -538,4 +538,4 @@ def case_statuses(spark, sf_dir):
     return evidence.case_statuses(*_sample_reports(spark, sf_dir))
 
 
-from . import junctions, pileups  # noqa: E402, F401  they register their queries
+from . import datasets, junctions, pileups  # noqa: E402, F401  they register their queries

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 _PAF = ["query_id", "query_length", "query_start", "query_end", "orientation", "target_id", "target_length", "target_start", "target_end", "matching_bases", "alignment_block_length", "mapping_quality"]
 _TEXT = {"query_id", "orientation", "target_id"}
 _TAGS = {"AS": ("alignment_score", "int"), "cm": ("chain_minimisers", "int"), "s1": ("chain_score", "int"), "s2": ("secondary_chain_score", "int"), "tp": ("alignment_type", "string"), "cg": ("cigar", "string")}
 
 
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
-    """Hits with their optional tags; ``error`` is null for sound lines.  Blank lines are skipped."""
-    rows = spark.read.text(path).where("trim(value) <> ''").select("value", F.split("value", "\t").alias("f"))
+    """Hits with their optional tags, ``file`` and ``line`` (from 1); ``error`` is null for sound lines.  Blank lines are skipped, but count."""
+    rows = numbered_lines(spark, path).where("trim(value) <> ''").select("file", "line", F.split("value", "\t").alias("f"))
     fields = [F.try_element_at("f", F.lit(i + 1)).alias(x) if x in _TEXT else F.expr(f"try_cast(try_element_at(f, {i + 1}) as int)").alias(x) for i, x in enumerate(_PAF)]
     tags = F.slice("f", 13, F.greatest(F.size("f") - 12, F.lit(0)))
-    named = rows.select("value", *fields, tags.alias("tags"), F.size("f").alias("n"))
+    named = rows.select("file", "line", *fields, tags.alias("tags"), F.size("f").alias("n"))
     for tag, (name, kind) in _TAGS.items():
         own = F.expr(f"filter(tags, t -> startswith(t, '{tag}:'))")
         value = F.expr(f"substring(try_element_at(filter(tags, t -> startswith(t, '{tag}:')), 1), 6)")
@@ -34,17 +36,72 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
         bad = (c(f"_{name}_n") == 1) & (c(name).isNull() if kind == "int" else c(name) == "")
         odd_tag = bad if odd_tag is None else odd_tag | bad
     error = F.when(F.col("n") < 12, "fewer than twelve fields").when(missing, "a number is malformed").when(~F.col("orientation").isin("+", "-"), "orientation").when(twice, "a tag occurs twice").when(odd_tag, "a tag is malformed").when(odd, "an interval is out of range").when((c("mapping_quality") < 0) | (c("mapping_quality") > 255), "mapping quality")
-    return named.withColumn("error", error).select(*_PAF, *[name for name, _ in _TAGS.values()], "error")
+    spans = [c("query_end") - c("query_start"), c("target_end") - c("target_start")]
+    block, equal = c("alignment_block_length"), c("matching_bases")
+    error = (
+        error.when((block < 0) | (equal < 0) | (equal > block), "matching bases and block length").when(equal > F.least(*spans), "more matching bases than an aligned span")
+        .when(block < F.greatest(*spans), "a block shorter than an aligned span").when(block > spans[0] + spans[1], "a block longer than both aligned spans")
+    )
+    return named.withColumn("error", error).select(*_PAF, *[name for name, _ in _TAGS.values()], "error", "file", "line")
+
+
+#: Flags of records that are no primary alignment (unmapped, secondary, supplementary).
+NOT_PRIMARY = 0x904
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """``name, flag, reference, position`` (0-based), ``mapping_quality, cigar`` of primary mapped records."""
-    rows = spark.read.text(path).where("not startswith(value, '@') and trim(value) <> ''").select(F.split("value", "\t").alias("f")).where(F.size("f") >= 11)
+    """``name, flag, reference, position`` (0-based), ``mapping_quality, cigar, sequence, qualities, error, file, line`` of primary mapped records.
+
+    ``error`` is null for sound records; malformed lines keep what could be
+    read.  Where a file's header names references, a record's must be one of
+    them and the alignment must lie inside it.  Unmapped, secondary and
+    supplementary records are left out, blank lines are skipped.
+    """
+    c = F.col
+    lines = numbered_lines(spark, path)
+    rows = lines.where("not startswith(value, '@') and trim(value) <> ''").select("file", "line", F.split("value", "\t", -1).alias("f"))
+    part = lambda i: F.try_element_at("f", F.lit(i))
+    number = lambda i: F.expr(f"try_cast(try_element_at(f, {i}) as int)")
     typed = rows.select(
-        F.col("f")[0].alias("name"), F.col("f")[1].cast("int").alias("flag"), F.col("f")[2].alias("reference"),
-        (F.col("f")[3].cast("int") - 1).alias("position"), F.col("f")[4].cast("int").alias("mapping_quality"), F.col("f")[5].alias("cigar"),
+        "file", "line", (F.size("f") >= 11).alias("whole"), part(1).alias("name"), number(2).alias("flag"), part(3).alias("reference"), (number(4) - 1).alias("position"),
+        number(5).alias("mapping_quality"), part(6).alias("cigar"), part(10).alias("sequence"), part(11).alias("qualities"),
     )
-    return typed.where(F.col("flag").bitwiseAND(0x904) == 0)
+    primary = typed.where(~F.coalesce(c("flag").bitwiseAND(NOT_PRIMARY) != 0, F.lit(False)) & ~F.coalesce(c("whole") & (c("reference") == "*"), F.lit(False)))
+    header = _references(lines).where("error is null").groupBy("file", "reference").agg(F.min("length").alias("_length"))
+    headed = header.groupBy("file").agg(F.lit(True).alias("_headed"))
+    met = primary.join(header, ["file", "reference"], "left").join(F.broadcast(headed), "file", "left")
+    steps = F.expr("regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1)")
+    span = F.aggregate(F.transform(steps, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    odd_cigar = ~F.coalesce(c("cigar").rlike(r"^(\*|([0-9]+[MIDNSHP=X])+)$"), F.lit(False))
+    numbers = c("flag").isNull() | c("position").isNull() | c("mapping_quality").isNull()
+    error = (
+        F.when(~c("whole"), "fewer than eleven fields").when(numbers, "a number is malformed").when((c("mapping_quality") < 0) | (c("mapping_quality") > 255), "mapping quality")
+        .when(odd_cigar, "malformed CIGAR").when(c("_headed") & c("_length").isNull(), "a reference that the header does not name")
+        .when((c("position") < 0) | (c("position") + span > c("_length")), "the alignment lies outside its reference")
+    )
+    return met.select("name", "flag", "reference", "position", "mapping_quality", "cigar", "sequence", "qualities", error.alias("error"), "file", "line")
+
+
+def _references(lines: DataFrame) -> DataFrame:
+    """``file, line, reference, length, error`` of the ``@SQ`` lines."""
+    c = F.col
+    rows = lines.where("startswith(value, '@SQ\t')")
+    own = rows.select("file", "line", F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("reference"), F.regexp_extract("value", r"\tLN:([^\t]+)", 1).alias("given"))
+    own = own.withColumn("length", F.expr("try_cast(given as int)"))
+    first = own.groupBy("file", "reference").agg(F.min("line").alias("first"))
+    met = own.join(first, ["file", "reference"])
+    error = F.when((c("reference") == "") | (c("given") == ""), "SN and LN are required").when(c("line") > c("first"), "repeated reference").when(c("length").isNull(), "a length is malformed").when(c("length") < 1, "a length is positive")
+    return met.select("file", "line", "reference", "length", error.alias("error"))
+
+
+def sam_reference_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, reference, error`` of ``@SQ`` lines that break a rule, and a row without a line for each file that has none."""
+    lines = numbered_lines(spark, path)
+    found = _references(lines)
+    none = lines.select("file").distinct().join(found.select("file").distinct(), "file", "left_anti")
+    return found.where("error is not null").select("file", "line", "reference", "error").unionByName(
+        none.select("file", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("reference"), F.lit("no reference in the header").alias("error"))
+    )
 
 
 def sam_references(spark: SparkSession, path: str) -> DataFrame:

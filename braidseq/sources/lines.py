@@ -16,9 +16,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id")
     )
-    splits = rows.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    return with_place(rows, "line").withColumn("line", F.col("line") + 1).select("file", "line", "value")
+
+
+def with_place(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of text files (``file, split, id``, ids in the order of each split) with their place in the file, from 0, in place of ``split`` and ``id``."""
+    splits = rows.groupBy("file", "split").agg(F.min("id").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
-    # A row a split: far fewer than lines, and joined by the split's name.
-    met = rows.join(splits, ["file", "split"])
-    return met.select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+    splits = splits.select("file", "split", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    # A row a split: as many as the reader's tasks, which the driver holds anyway.
+    met = rows.join(F.broadcast(splits), ["file", "split"])
+    return met.withColumn(name, F.col("id") - F.col("_first") + F.col("_before")).drop("split", "id", "_first", "_before")

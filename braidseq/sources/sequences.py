@@ -4,34 +4,41 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import InputError
 from ..functions.sequences import illegal_symbols
+from .lines import numbered_lines, with_place
 
 
-def read_fasta(spark: SparkSession, path: str, sample: str = "") -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str], sample: str = "") -> DataFrame:
     """``identifier, source_sample, original_identifier, description, sequence, source_ordinal`` from FASTA, gzip by suffix.
 
     Records are split by Spark's reader, so a large plain file is read by many
-    tasks.  ``source_ordinal`` is null: files have no order across tasks.  Text
-    before a file's first header is a row without a name, described as ``data
-    before header``.  Use ``fasta_errors`` to check what was read.
+    tasks; ``source_ordinal`` is the record's place in its file, from 0, by
+    counts of the file's splits.  Text before a file's first header is a row
+    without a name, described as ``data before header``.  Use ``fasta_errors``
+    to check what was read.
     """
+    prefix = f"{sample}:" if sample else ""
+    found = _records(spark, path)
+    return found.select(F.concat(F.lit(prefix), "original_identifier").alias("identifier"), F.lit(sample).alias("source_sample"), "original_identifier", "description", "sequence", "source_ordinal")
+
+
+def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, original_identifier, description, sequence, source_ordinal``: one scan, however many files."""
     cut = spark.read.option("lineSep", "\n>").text(path)
-    raw = cut.select(F.regexp_replace("value", "\r", "").alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = cut.select(F.regexp_replace("value", "\r", "").alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    met = with_place(raw, "place").where("trim(r) <> ''")
     # Every record but a file's first lost its sign to the separator.
-    firsts = raw.where("block = 0").groupBy("file").agg(F.min("row").alias("first"))
-    met = raw.join(F.broadcast(firsts), "file").where("trim(r) <> ''")
-    stray = (F.col("row") == F.col("first")) & ~F.col("r").startswith(">")
+    stray = (F.col("place") == 0) & ~F.col("r").startswith(">")
     head, body = F.regexp_extract("r", r"^>?([^\n]*)", 1), F.regexp_extract("r", r"(?s)^[^\n]*\n(.*)$", 1)
     name = F.when(stray, "").otherwise(F.regexp_extract(head, r"^(\S*)", 1))
-    prefix = f"{sample}:" if sample else ""
     bases = F.upper(F.regexp_replace(F.when(stray, F.col("r")).otherwise(body), r"\s", ""))
     return met.select(
-        F.concat(F.lit(prefix), name).alias("identifier"), F.lit(sample).alias("source_sample"), name.alias("original_identifier"),
-        F.when(stray, STRAY).otherwise(F.trim(F.regexp_replace(head, r"^\S*", ""))).alias("description"), bases.alias("sequence"), F.lit(None).cast("int").alias("source_ordinal"),
+        "file", name.alias("original_identifier"), F.when(stray, STRAY).otherwise(F.trim(F.regexp_replace(head, r"^\S*", ""))).alias("description"),
+        bases.alias("sequence"), F.col("place").cast("int").alias("source_ordinal"),
     )
 
 
@@ -48,26 +55,13 @@ def fasta_errors(sources: DataFrame) -> DataFrame:
     return empty.union(bare).union(odd).union(twice)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line`` (from 0 in each file), ``value`` of text files of any size.
-
-    A line's number is its place in its task and the lines of the file's
-    earlier parts: one row a part, broadcast, as many as the reader's splits.
-    """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    parts = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = parts.select("file", "block", "first", before.alias("before"))
-    return raw.join(F.broadcast(placed), ["file", "block"]).select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line"), "value")
-
-
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """``name, sequence, quality, error`` (null: a sound record) from FASTQ records of four lines each, whatever their qualities begin with.
 
     ``file`` and ``line`` (of the header, from 1) tell where a record is.  A
     name that occurs more than once in a file is an error of all its records.
     """
-    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "[\r\n]+$", ""))
+    lines = numbered_lines(spark, path).select("file", (F.col("line") - 1).alias("line"), F.regexp_replace("value", "[\r\n]+$", "").alias("value"))
     part = lambda k: F.max(F.when(F.pmod("line", F.lit(4)) == k, F.col("value")))
     rows = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(
         part(0).alias("header"), part(1).alias("sequence"), part(2).alias("plus"), part(3).alias("quality")
@@ -116,12 +110,26 @@ def read_manifest(path: str) -> list[dict]:
     return sorted(out, key=lambda r: r["sample"])
 
 
+def scan_samples(spark: SparkSession, manifest: list[dict]) -> DataFrame:
+    """All samples' sequences in one scan: the columns of ``read_fasta``, samples named by the file a record lies in.
+
+    The manifest is a control table on the driver, a row a sample; it meets the
+    records by broadcast.  A file that two samples name is read once and gives
+    its records to both.
+    """
+    if not manifest:
+        raise InputError("the manifest names no sample")
+    resolved = spark._jvm.org.apache.hadoop.fs.Path
+    plain = lambda c: F.regexp_replace(c, r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
+    named = spark.createDataFrame([(resolved(r["contigs"]).toUri().getRawPath(), r["sample"]) for r in manifest], "_path string, source_sample string")
+    found = _records(spark, sorted({r["contigs"] for r in manifest})).withColumn("_path", plain("file"))
+    met = found.join(F.broadcast(named), "_path")
+    return met.select(F.concat_ws(":", "source_sample", "original_identifier").alias("identifier"), "source_sample", "original_identifier", "description", "sequence", "source_ordinal")
+
+
 def load_samples(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     """All samples' sequences; raises on the first errors found."""
-    out = None
-    for row in manifest:
-        one = read_fasta(spark, row["contigs"], row["sample"])
-        out = one if out is None else out.unionByName(one)
+    out = scan_samples(spark, manifest)
     bad = fasta_errors(out).limit(5).collect()
     if bad:
         raise InputError("; ".join(f"{r['identifier']}: {r['error']}" for r in bad))
@@ -140,6 +148,43 @@ def scale_sequences(spark: SparkSession, n: int, length: int) -> DataFrame:
     )
 
 
+#: Hexadecimal digits that a step of the search for a rank looks at; rows that are ordered in one task at most.
+RANK_DIGITS, MOST_ORDERED = 3, 100_000
+
+
 def nested_sample(sources: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """The ``n`` sources of lowest seeded rank; a larger ``n`` holds every smaller one.  A top-k, not a full sort."""
-    return sources.withColumn("_rank", F.sha2(F.concat_ws("\0", F.lit(str(seed)), "identifier"), 256)).orderBy("_rank", "identifier").limit(n).drop("_rank")
+    """The ``n`` sources of lowest seeded rank; a larger ``n`` holds every smaller one.
+
+    The rank is the SHA-256 of the seed, NUL and the identifier.  A histogram
+    over its first digits finds the bucket in which the last chosen one lies;
+    rows of lower buckets all stay, and only that bucket, halved further while
+    it is large, is ordered.  Repeated identifiers and fewer than ``n`` sources
+    raise an InputError (``repeated_identifiers`` lists the former).
+    """
+    if n < 1:
+        raise InputError("a sample has one source at least")
+    ranked = sources.withColumn("_rank", F.sha2(F.concat_ws("\0", F.lit(str(seed)), "identifier"), 256))
+    if not repeated_identifiers(sources).isEmpty():
+        raise InputError("identifiers repeat")
+    prefix, missing = "", n
+    while True:
+        digits = len(prefix) + RANK_DIGITS
+        sizes = ranked.where(F.col("_rank").startswith(prefix)).groupBy(F.substring("_rank", 1, digits).alias("bucket")).count().collect()
+        if not prefix and sum(r["count"] for r in sizes) < n:
+            raise InputError(f"{n} sources are asked for, there are fewer")
+        for row in sorted(sizes, key=lambda r: r["bucket"]):
+            if row["count"] > missing:
+                break
+            missing -= row["count"]
+            if missing == 0:
+                return ranked.where(F.substring("_rank", 1, digits) <= row["bucket"]).drop("_rank")
+        prefix = row["bucket"]
+        if row["count"] <= MOST_ORDERED or digits >= 60:
+            below = ranked.where(F.substring("_rank", 1, digits) < prefix)
+            edge = ranked.where(F.col("_rank").startswith(prefix)).orderBy("_rank").limit(missing)
+            return below.unionByName(edge).drop("_rank")
+
+
+def repeated_identifiers(sources: DataFrame) -> DataFrame:
+    """``identifier, count`` of identifiers that occur more than once."""
+    return sources.groupBy("identifier").count().where("count > 1")
