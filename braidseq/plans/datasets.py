@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hits as hit_operators
-from ..operators import mutations, scoring, validation
+from ..operators import aligner, catalogue, minimisers, mutations, scoring, statistics, validation
 from ..session import fresh_dir, pin
 from ..sources import alignments, sequences
 from . import inputs
 from .inputs import CONTIGS_SQL, table
 from .junctions import _CASES, OVERLAP, _tiles
-from .queries import CONFIG, _sparse_truth, query
+from .queries import CONFIG, _sequences, _sparse_truth, query
 
 #: Places between edits, and what is inserted.
 STRETCH, INSERTED = 100, "GATTACA"
@@ -86,6 +86,25 @@ def validation_errors(spark, sf_dir):
     return validation.validate_dataset(tiles.select("identifier", "sequence"), contigs.unionByName(ghosts), relationships, found, expected, merged.unionByName(extra), hits, doc)
 
 
+@query
+def run_statistics(spark, sf_dir):
+    """The measures of a run over tiles, observed on the tables that it writes anyway."""
+    run = statistics.RunStatistics()
+    sources = inputs.document_tiles(spark, sf_dir)
+    own = run.pinned("catalogue", _sequences(sources), statistics.lengths("length"))
+    found = pin(minimisers.sequence_minimisers(own, CONFIG.kmer, CONFIG.window, "sequence_id"))
+    frequency = run.pinned("seeds", minimisers.minimiser_frequency(found), statistics.seed_measures(CONFIG.max_frequency))
+    statistics.guard_seed_pairs(run, "seeds", None)
+    kept = frequency.where(F.col("frequency") <= CONFIG.max_frequency).select("value", "kmer")
+    pairs = pin(minimisers.seed_pairs(found.join(kept, ["value", "kmer"])))
+    shared = {"pairs": F.count("*"), "median_shared": F.percentile("shared_minimisers", F.lit(0.5)), "most_shared": F.max("shared_minimisers")}
+    candidates = run.pinned("candidates", minimisers.candidate_pairs(pairs, own.select("sequence_id", "length"), CONFIG), shared | statistics.by_value("orientation", "+-"))
+    run.pinned("members", catalogue.catalogue_members(sources), {"sources": F.count("*"), "duplicates_collapsed": F.count_if(~F.col("representative"))} | statistics.by_value("orientation", "+-"))
+    kinds = [*validation.CLASSES]
+    run.pinned("decisions", hit_operators.classify_pairs(aligner.diagonal_hits(candidates, pairs, own, CONFIG), CONFIG), {"pairs": F.count("*")} | statistics.by_value("relationship_type", kinds))
+    return run.rows(spark)
+
+
 def _paf(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Hits as PAF text, with lines of sequences against themselves and lines cut short; and truth for their pairs."""
     found = pin(inputs.unfolded_hits(spark, sf_dir))

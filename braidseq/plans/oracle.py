@@ -499,3 +499,30 @@ ORACLE_SQL |= {
     "paf_errors": f"""WITH {_PAF_HITS} SELECT error, count(*) AS lines FROM (
       SELECT error FROM checked UNION ALL SELECT error FROM checked WHERE mapping_quality = 56 UNION ALL SELECT 'fewer than twelve fields' FROM checked WHERE mapping_quality = 48) WHERE error IS NOT NULL GROUP BY error""",
 }
+
+_KINDS = ("EXACT_MATCH", "QUERY_CONTAINED_IN_TARGET", "TARGET_CONTAINED_IN_QUERY", "QUERY_SUFFIX_TO_TARGET_PREFIX", "TARGET_SUFFIX_TO_QUERY_PREFIX", "AMBIGUOUS_OVERLAP", "NO_RELATIONSHIP")
+
+
+def _measures(stage: str, source: str, measures: dict[str, str]) -> str:
+    """A row a measure of one stage."""
+    listed = ", ".join(f"{{'measure': '{name}', 'value': coalesce(({value})::DOUBLE, 0)}}" for name, value in measures.items())
+    return f"SELECT '{stage}' AS stage, m.measure, m.value FROM (SELECT unnest([{listed}]) AS m FROM {source})"
+
+
+def _statistics() -> str:
+    lengths = {"rows": "count(*)", "bases": "sum(len)", "mean": "avg(len)", "median": "quantile_cont(len, 0.5)", "shortest": "min(len)", "longest": "max(len)", "empty": "count(*) FILTER (len = 0)"}
+    lengths |= {f"from_{1 << k}_below_{2 << k}": f"count(*) FILTER (len >= {1 << k} AND len < {2 << k})" for k in range(24)}
+    kept = "FILTER (frequency <= 100)"
+    seeds = {"unique_minimisers": "count(*)", "observations": "sum(frequency)", "discarded_minimisers": "count(*) FILTER (frequency > 100)", "retained_observations": f"sum(frequency) {kept}", "pair_bound": f"sum(frequency * (frequency - 1) // 2) {kept}", "most_frequent": "max(frequency)"}
+    strands = {f"orientation_{s}": f"count(*) FILTER (orientation = '{s}')" for s in "+-"}
+    shared = {"pairs": "count(*)", "median_shared": "quantile_cont(shared_minimisers, 0.5)", "most_shared": "max(shared_minimisers)"}
+    kinds = {f"relationship_type_{k}": f"count(*) FILTER (relationship_type = '{k}')" for k in _KINDS}
+    parts = [
+        _measures("catalogue", "seqs", lengths), _measures("seeds", "(SELECT value, kmer, count(*) AS frequency FROM obs GROUP BY value, kmer)", seeds),
+        _measures("candidates", "candidates WHERE terminal_topologies <> ''", shared | strands),
+        _measures("members", "members", {"sources": "count(*)", "duplicates_collapsed": "count(*) FILTER (place > 1)"} | strands), _measures("decisions", "decided", {"pairs": "count(*)"} | kinds),
+    ]
+    return _with(*_TILE_HITS, _CLASSIFIED, _DECIDED) + " " + " UNION ALL ".join(parts)
+
+
+ORACLE_SQL |= {"run_statistics": _statistics()}
