@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..functions.sequences import oriented_slice
-from .chaining import aligned, chains
+from ..session import pin
+from .chaining import PAIRS, TURN, aligned, chains
+from .skew import join_named
 
 
 def diagonals(pairs: DataFrame, lengths: DataFrame, kmer: int) -> DataFrame:
@@ -40,25 +41,51 @@ def diagonals(pairs: DataFrame, lengths: DataFrame, kmer: int) -> DataFrame:
 def diagonal_hits(candidates: DataFrame, pairs: DataFrame, sequences: DataFrame, config: RunConfig) -> DataFrame:
     """Hits of the candidate pairs.  Diagonals too short for any relationship are left out before bases are compared.
 
-    ``sequences``: ``sequence_id, sequence, length``.
+    ``sequences``: ``sequence_id, sequence, length``.  A pair's bases move once,
+    however many diagonals it has, and a sequence of many pairs reaches them by
+    broadcast.
     """
+    c = F.col
     wanted = pairs.join(candidates.select("query_id", "target_id"), ["query_id", "target_id"], "left_semi")
     rows = diagonals(wanted, sequences.select("sequence_id", "length"), config.kmer)
-    rows = rows.where(F.col("query_end") - F.col("query_start") >= min(config.min_overlap, config.min_containment))
-    bases = sequences.select("sequence_id", "sequence")
-    met = (
-        rows.join(bases.select(F.col("sequence_id").alias("query_id"), F.col("sequence").alias("q")), "query_id")
-        .join(bases.select(F.col("sequence_id").alias("target_id"), F.col("sequence").alias("t")), "target_id")
-        .withColumn("a", oriented_slice(F.col("q"), F.col("query_start"), F.col("query_end"), F.lit("+")))
-        .withColumn("b", oriented_slice(F.col("t"), F.col("target_start"), F.col("target_end"), F.col("orientation")))
-    )
-    span = F.col("query_end") - F.col("query_start")
-    equal = F.expr("cast(aggregate(zip_with(split(a, ''), split(b, ''), (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x) as int)")
-    matches = F.when(F.col("a") == F.col("b"), span).otherwise(equal)
-    return met.withColumn("matching_bases", matches).select(
-        "query_id", "target_id", "query_length", "query_start", "query_end", "orientation", "target_length", "target_start", "target_end",
-        "matching_bases", span.alias("alignment_block_length"),
-    )
+    rows = rows.where(c("query_end") - c("query_start") >= min(config.min_overlap, config.min_containment))
+    held = ["orientation", "query_start", "query_end", "target_start", "target_end"]
+    grouped = pin(rows.groupBy("query_id", "target_id").agg(F.collect_list(F.struct(*[c(x).cast("int").alias(x) if x != "orientation" else c(x) for x in held])).alias("lines")))
+    total, met = grouped.count(), grouped
+    for side in ("query", "target"):
+        many = grouped.groupBy(f"{side}_id").agg(F.count("*").alias("n"))
+        bases = sequences.select(c("sequence_id").alias(f"{side}_id"), c("sequence").cast("binary").alias(side), c("length").cast("int").alias(f"{side}_length"))
+        met = join_named(met, bases.join(many, f"{side}_id"), f"{side}_id", "n", total)
+    kinds = dict(grouped.dtypes)
+    names = ["query_id", "target_id", "query_length", "query_start", "query_end", "orientation", "target_length", "target_start", "target_end", "matching_bases", "alignment_block_length"]
+    schema = ", ".join(f"{x} {kinds.get(x, 'string' if x == 'orientation' else 'int')}" for x in names)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
+                places, out = [], []
+                for i, r in enumerate(batch.drop_columns(["query_id", "target_id"]).to_pylist()):
+                    query, plain = (np.frombuffer(r[x], dtype=np.uint8) for x in ("query", "target"))
+                    turned = None
+                    for line in r["lines"]:
+                        a = query[line["query_start"] : line["query_end"]]
+                        if line["orientation"] == "+":
+                            b = plain[line["target_start"] : line["target_end"]]
+                        else:
+                            turned = np.frombuffer(r["target"].translate(TURN)[::-1], dtype=np.uint8) if turned is None else turned
+                            b = turned[r["target_length"] - line["target_end"] : r["target_length"] - line["target_start"]]
+                        places.append(i)
+                        out.append((r["query_length"], line["query_start"], line["query_end"], line["orientation"], r["target_length"], line["target_start"], line["target_end"], int(np.count_nonzero(a == b)), len(a)))
+                taken = batch.select(["query_id", "target_id"]).take(pa.array(places, pa.int32()))
+                columns = list(zip(*out)) if out else [[]] * (len(names) - 2)
+                types = [pa.string() if x == "orientation" else pa.int32() for x in names[2:]]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(x, t) for x, t in zip(columns, types))], names)
+
+    return met.select("query_id", "target_id", "lines", "query", "query_length", "target", "target_length").mapInArrow(run, schema)
 
 
 def gapped_hits(candidates: DataFrame, pairs: DataFrame, sequences: DataFrame, config: RunConfig) -> DataFrame:

@@ -172,7 +172,8 @@ def paths_along(pairs: list[tuple[bytes, bytes, list[tuple[int, int]], int, int]
     return out
 
 
-_TURN = bytes.maketrans(b"ACGTRYSWKMBDHVN", b"TGCAYRSWMKVHDBN")
+#: Bases and their complements.
+TURN = bytes.maketrans(b"ACGTRYSWKMBDHVN", b"TGCAYRSWMKVHDBN")
 
 HIT_COLUMNS = (
     "query_length int, query_start int, query_end int, orientation string, target_length int, target_start int, target_end int, "
@@ -217,7 +218,7 @@ def aligned(chained: DataFrame, queries: DataFrame, targets: DataFrame) -> DataF
                 for r in rows:
                     base, n = r["first_block"] * BLOCK, r["query_length"]
                     turned = r["orientation"] == "-"
-                    query = r["query"].translate(_TURN)[::-1] if turned else r["query"]
+                    query = r["query"].translate(TURN)[::-1] if turned else r["query"]
                     chain = [(t - base, q + n * turned) for t, q in zip(r["t"], r["q"])]
                     pairs.append((query, b"".join(r["window"]), chain, r["low"] - base, r["high"] - base))
                 keep, out = [], []

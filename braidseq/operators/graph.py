@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import content_id
 from ..session import pin
 from .components import connected_components
+from .skew import join_named
 
 _CONTAINED = ("QUERY_CONTAINED_IN_TARGET", "TARGET_CONTAINED_IN_QUERY")
 _SIDES = ("query_start", "query_end", "target_start", "target_end")
@@ -96,7 +97,9 @@ def node_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = connected_components(edges, "query_id", "target_id", pin)
     labels = pin(nodes.select(F.col("sequence_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root")))
     named = digest_of_each(labels.select("root", "node", F.col("node").alias("value")), "root", ["node"], "component_")
-    return labels.join(named, "root").select("node", F.col("digest").alias("component_id"), F.col("rows").alias("members"))
+    # A large component's nodes get its name by broadcast.
+    found = join_named(labels, named.withColumn("n", F.col("rows")), "root", "n", labels.count())
+    return found.select("node", F.col("digest").alias("component_id"), F.col("rows").alias("members"))
 
 
 def digest_of_each(rows: DataFrame, key: str, order: list[str], prefix: str) -> DataFrame:
