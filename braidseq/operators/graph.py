@@ -18,6 +18,7 @@ from .skew import join_named
 
 _CONTAINED = ("QUERY_CONTAINED_IN_TARGET", "TARGET_CONTAINED_IN_QUERY")
 _SIDES = ("query_start", "query_end", "target_start", "target_end")
+#: The reasons of ambiguous edges.
 _REASONS = (
     "reciprocal decisions disagree on whether a relationship exists",
     "pair classifier retained ambiguous alignment evidence",
@@ -158,6 +159,7 @@ def component_ambiguity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     out = sizes.join(counts, "component_id", "left")
     for one in flags:
         out = out.join(one, "component_id", "left")
+    # The reasons of an ambiguous component.
     reasons = F.array_compact(F.array(
         F.when(F.col("vague_edges") > 0, "component contains ambiguous pairwise evidence"),
         F.when(F.col("many_parents"), "contained sequence has multiple possible containers"),

@@ -65,6 +65,7 @@ def classify_hits(hits: DataFrame, config: RunConfig) -> DataFrame:
     behind = (c("query_start_distance") <= tol) & (near_end <= tol)
     long_enough = c("alignment_block_length") >= config.min_containment
     none = "NO_RELATIONSHIP"
+    # The types, statuses and reasons of the rules.
     table = [
         (c("alignment_block_length") == 0, none, "rejected", "zero length"),
         (c("identity") < config.identity, none, "rejected", "below identity threshold"),
@@ -127,6 +128,7 @@ def classify_pairs(hits: DataFrame, config: RunConfig) -> DataFrame:
         F.array_sort(F.collect_set(F.when(~F.col("accepted"), F.col("reason")))).alias("rejections"),
     )
     torn = (F.col("accepted_hits") > 0) & (F.col("by_type") | F.col("by_strand") | F.col("by_place"))
+    # The reasons of an ambiguous pair.
     said = F.array_sort(F.array_compact(F.array(
         F.when(F.col("by_type"), "accepted hits imply incompatible relationship types or terminal topologies"),
         F.when(F.col("by_strand"), "accepted hits imply incompatible orientations"),

@@ -105,6 +105,26 @@ def run_statistics(spark, sf_dir):
     return run.rows(spark)
 
 
+@query
+def parameter_grid(spark, sf_dir):
+    """Two values each of k, w and the frequency bound: minimisers are selected once for each k and w."""
+    return minimisers.parameter_sweep(pin(_sequences(inputs.contigs(spark, sf_dir))), [15, 21], [5, 10], [20, 100], CONFIG)
+
+
+@query
+def hit_decisions(spark, sf_dir):
+    """A row a hit, with ids for each order and part."""
+    names = ["query_id", "target_id", "orientation", "query_start", "query_end", "target_start", "target_end", "matching_bases", "alignment_block_length", "relationship_type", "status", "reason"]
+    return hit_operators.classify_hits(inputs.unfolded_hits(spark, sf_dir), CONFIG).select(*names)
+
+
+@query
+def pair_decisions(spark, sf_dir):
+    """A row a pair, with ids for each order and part: pairs grow with the table."""
+    found = hit_operators.classify_pairs(inputs.unfolded_hits(spark, sf_dir), CONFIG)
+    return found.select("query_id", "target_id", "relationship_type", "orientation", "identity", "aligned_length", "status", "reasons", "accepted_hits", "rejected_hits")
+
+
 def _paf(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Hits as PAF text, with lines of sequences against themselves and lines cut short; and truth for their pairs."""
     found = pin(inputs.unfolded_hits(spark, sf_dir))

@@ -526,3 +526,25 @@ def _statistics() -> str:
 
 
 ORACLE_SQL |= {"run_statistics": _statistics()}
+
+
+def _gridded(kmer: int, window: int, most: int) -> str:
+    """``_swept`` with another k and w."""
+    text = _swept(most)
+    for old, new in (
+        (", 21)", f", {kmer})"), ("len - 20", f"len - {kmer - 1}"), ("len >= 21", f"len >= {kmer}"), ("least(10,", f"least({window},"), ("9 PRECEDING", f"{window - 1} PRECEDING"), ("9 FOLLOWING", f"{window - 1} FOLLOWING"),
+        ("qp + 21", f"qp + {kmer}"), ("tp + 21", f"tp + {kmer}"), ("21 AS kmer", f"{kmer} AS kmer"), ("10 AS window", f"{window} AS window"),
+    ):
+        if old not in text:
+            raise ValueError(f"the sweep has no {old}")
+        text = text.replace(old, new)
+    return f"SELECT * FROM ({text})"
+
+
+_UNFOLDED = f"hits AS ({UNFOLDED_HITS_SQL.replace('AS STRING', 'AS VARCHAR')})"
+
+ORACLE_SQL |= {
+    "parameter_grid": " UNION ALL ".join(_gridded(k, w, f) for k in (15, 21) for w in (5, 10) for f in (20, 100)),
+    "hit_decisions": _with(_UNFOLDED, _CLASSIFIED) + " SELECT query_id, target_id, orientation, query_start, query_end, target_start, target_end, matching_bases, alignment_block_length, relationship_type, status, reason FROM classified",
+    "pair_decisions": ORACLE_SQL["classify_pairs"].replace(_LINE_HITS, _UNFOLDED),
+}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,20 +19,25 @@ def local_session(name: str = "braidseq", cores: str = "*", partitions: int = 8)
     )
 
 
+_own: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a local master may leave it unset; then a folder under the machine's
-    temporary one serves, since driver and executors are one process.
+    Only a local master may leave it unset; then driver and executors are one
+    process, and a new folder of this process serves, which goes when it ends.
     """
+    global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return f"file://{_own}"
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
