@@ -236,10 +236,12 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 # --- at and dot
 
+#: White space of one character, as blanks.
+_BLANKS = dict.fromkeys(map(ord, "\t\n\v\f\r\u00a0"), " ")
 _AT_WORD, _DOT_WORD = "(?:at|arroba|arobase|ät)", "(?:dot|punkt|point|punto)"
 _OPEN, _SHUT = r"[ ]{0,3}[(\[{<][ ]{0,3}", r"[ ]{0,3}[)\]}>][ ]{0,3}"
-_AT = re.compile(rf"{_OPEN}(?:{_AT_WORD}|@){_SHUT}|[ ]{{1,3}}{_AT_WORD}[ ]{{1,3}}|_at_|[ ]{{0,3}}&#64;[ ]{{0,3}}|[ ]{{0,3}}@[ ]{{0,3}}", re.I)
-_DOT = rf"(?:\.|{_OPEN}(?:{_DOT_WORD}|\.){_SHUT}|[ ]{{1,3}}(?:{_DOT_WORD}|\.)[ ]{{1,3}}|_dot_|&#46;)"
+_AT = re.compile(rf"{_OPEN}(?:{_AT_WORD}|@){_SHUT}|[ ]{{1,3}}{_AT_WORD}[ ]{{1,3}}|[ ]{{0,3}}_at_[ ]{{0,3}}|[ ]{{0,3}}&#64;[ ]{{0,3}}|[ ]{{0,3}}@[ ]{{0,3}}", re.I)
+_DOT = rf"(?:\.|{_OPEN}(?:{_DOT_WORD}|\.){_SHUT}|[ ]{{1,3}}(?:{_DOT_WORD}|\.)[ ]{{1,3}}|[ ]{{0,3}}_dot_[ ]{{0,3}}|&#46;)"
 _DOTS = re.compile(_DOT, re.I)
 _LABEL = "[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*"
 _TOP = re.compile("[A-Za-z]{2,24}")
@@ -290,10 +292,11 @@ def _name_start(text: str, floor: int, end: int) -> int:
 
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits of addresses with a disguised sign: mail addresses, and IP addresses with disguised dots."""
+    source, text = text, text.translate(_BLANKS)  # lines may break inside a disguise
     edits: dict[int, tuple[int, int, str]] = {}
 
     def put(start: int, end: int, new: str) -> None:
-        if text[start:end] != new:
+        if source[start:end] != new:
             edits[start] = (start, end, new)
 
     floor = 0  # a name doesn't reach over a sign that has a domain, so no name is read twice

@@ -9,8 +9,10 @@ The first level's error rate shrinks with the universe, so that about as many
 false positives are left as keys are listed: every level is as small as the
 list, whatever the corpus (times a logarithm of the universe).  Everything here
 is DataFrame functions; bit arrays are built by ``bit_or`` aggregates.  Small
-ones are literals; a cascade over a long list is attached to the rows it judges
-as one broadcast row, whose size is known before.
+ones are literals; larger ones are written as a table of one row, which is
+broadcast to the rows it judges and never passes the driver.  A cascade has a
+few megabytes at most: longer lists are cut by their keys' hashes into as many
+cascades as their count asks for.
 """
 
 from __future__ import annotations
@@ -23,34 +25,36 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, pin
+from .common import LOWER, UPPER, ascii_lower, pin, stored
 
 #: 64-bit words of a level that is a literal in the plan; larger ones are a column of one broadcast row.
 LITERAL_WORDS = 50_000
-#: 64-bit words of all levels together, a gigabyte: some 50 million listed keys.  Longer lists are cut into several cascades by their keys' hashes.
-MOST_WORDS = 1 << 27
+#: 64-bit words of all levels of a cascade together, four megabytes: some millions of listed keys.  Longer lists are cut into several cascades.
+MOST_WORDS = 1 << 19
+#: Rules whose keys are a literal in the plan; longer lists are a table.
+LITERAL_RULES = 10_000
 _LIMIT_LEVELS = 64
 
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: ``bits`` bits in 64-bit words, ``hashes`` probes, hashed under ``seed``."""
+    """One Bloom filter: ``bits`` bits in 64-bit words, ``hashes`` probes, hashed under ``seed``.
+
+    Its words are ``words``, or the one row of ``table``.
+    """
 
     bits: int
     hashes: int
     seed: int
-    words: tuple[int, ...] = field(repr=False)
+    words: tuple[int, ...] = field(repr=False, default=())
+    table: DataFrame | None = field(repr=False, default=None)
 
     def __contains__(self, key: object) -> bool:
         raise TypeError("use holds(column)")
 
-    @property
-    def literal(self) -> Column:
-        return F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
-
     def holds(self, key: Column, words: Column | None = None) -> Column:
         """Whether ``key`` may be in the filter; ``words``: its bits, where they are a column."""
-        words = self.literal if words is None else words
+        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>") if words is None else words
         hit = None
         for at in _probes(key, self.bits, self.hashes, self.seed):
             one = F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(63).cast("int")) == 1
@@ -70,9 +74,13 @@ def _build(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     hashes = max(1, min(24, round(-math.log2(rate))))
     at = F.explode(F.array(*_probes(F.col("key"), bits, hashes, seed)))
     one = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("set")).collect()
-    words = [0] * (bits // 64)  # at most bits / 64 rows came back
-    for row in rows:
+    rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("set"))
+    if bits // 64 > LITERAL_WORDS:
+        every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word")).join(rows, "word", "left")
+        whole = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0)).alias("set")))).alias("pairs"))
+        return Level(bits, hashes, seed, table=stored(whole.select(F.expr("transform(pairs, x -> x.set)").alias("words")), "bloom"))
+    words = [0] * (bits // 64)  # at most so many rows come back
+    for row in rows.collect():
         words[row["word"]] = row["set"]
     return Level(bits, hashes, seed, tuple(words))
 
@@ -83,15 +91,14 @@ class Cascade:
     name: str = "cascade"
 
     def _words(self, i: int) -> Column | None:
-        return F.col(f"__{self.name}_{i}") if len(self.levels[i].words) > LITERAL_WORDS else None
+        return F.col(f"__{self.name}_{i}") if self.levels[i].table is not None else None
 
     def attach(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the levels that are too large for literals, each a column of one broadcast row; ``detach`` drops them."""
-        large = [i for i in range(len(self.levels)) if self._words(i) is not None]
-        if not large:
-            return rows
-        one = rows.sparkSession.range(1).select(*[self.levels[i].literal.alias(f"__{self.name}_{i}") for i in large])
-        return rows.crossJoin(F.broadcast(one))
+        """``rows`` with the levels that are tables, each a column of one broadcast row; ``detach`` drops them."""
+        for i, level in enumerate(self.levels):
+            if level.table is not None:
+                rows = rows.crossJoin(F.broadcast(level.table.select(F.col("words").alias(f"__{self.name}_{i}"))))
+        return rows
 
     def detach(self, rows: DataFrame) -> DataFrame:
         return rows.drop(*[f"__{self.name}_{i}" for i in range(len(self.levels))])
@@ -104,6 +111,57 @@ class Cascade:
         return out
 
 
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+@dataclass(frozen=True)
+class Cascades:
+    """One cascade for each hash part of a long list."""
+
+    parts: tuple[Cascade, ...]
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        for one in self.parts:
+            rows = one.attach(rows)
+        return rows
+
+    def detach(self, rows: DataFrame) -> DataFrame:
+        for one in self.parts:
+            rows = one.detach(rows)
+        return rows
+
+    def holds(self, key: Column) -> Column:
+        found = F.lit(False)
+        for p, one in enumerate(self.parts):
+            found = F.when(_part(key, len(self.parts)) == p, one.holds(key)).otherwise(found)
+        return F.coalesce(found, F.lit(False))
+
+
+def _rate(n: int, universe_size: int) -> float:
+    return min(0.5, n / (math.sqrt(2) * max(1, universe_size)))
+
+
+def _words_needed(n: int, rate: float) -> float:
+    return n * (-math.log(rate) / math.log(2) ** 2 + 6) / 64  # later levels shrink by halves
+
+
+def build_cascades(listed: DataFrame, universe: DataFrame, universe_size: int | None = None, name: str = "cascade") -> Cascade | Cascades:
+    """A cascade over the column ``key`` of both, or as many as keep each within ``MOST_WORDS``."""
+    listed = pin(listed.select("key").where(F.col("key").isNotNull()).distinct())
+    universe = universe.select("key").where(F.col("key").isNotNull())
+    n = listed.count()
+    if universe_size is None:
+        universe_size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
+    # Half of the bound, so that no part of a list that is cut passes it.
+    needed = _words_needed(n, _rate(n, universe_size)) if n else 0
+    if needed <= MOST_WORDS:
+        return build_cascade(listed, universe, universe_size, name)
+    parts = math.ceil(2 * needed / MOST_WORDS)
+    own = lambda df, p: df.where(_part(F.col("key"), parts) == p)
+    return Cascades(tuple(build_cascade(own(listed, p), own(universe, p), max(1, universe_size // parts), f"{name}_{p}") for p in range(parts)))
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame, universe_size: int | None = None, name: str = "cascade") -> Cascade:
     """A cascade over the column ``key`` of both.
 
@@ -111,7 +169,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, universe_size: int | N
     repeat.  Null keys are no keys.  An empty list gives a cascade that holds
     nothing.  The levels' sizes follow from the list's; a list whose levels
     would have more than ``MOST_WORDS`` words raises ``ValueError`` before
-    anything is built: ``listed_keys`` takes lists of any length.
+    anything is built: ``build_cascades`` takes lists of any length.
     """
     listed = listed.select("key").where(F.col("key").isNotNull()).distinct()
     n = listed.count()
@@ -120,9 +178,9 @@ def build_cascade(listed: DataFrame, universe: DataFrame, universe_size: int | N
     keys = universe.select("key").where(F.col("key").isNotNull())
     if universe_size is None:
         universe_size = keys.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
-    rate = min(0.5, n / (math.sqrt(2) * max(1, universe_size)))
-    if n * (-math.log(rate) / math.log(2) ** 2 + 6) / 64 > MOST_WORDS:  # later levels shrink by halves
-        raise ValueError(f"{n} listed keys take more than {MOST_WORDS} words; use listed_keys")
+    rate = _rate(n, universe_size)
+    if _words_needed(n, rate) > MOST_WORDS:
+        raise ValueError(f"{n} listed keys take more than {MOST_WORDS} words; use build_cascades")
     levels = [_build(listed, n, rate, 1)]
 
     def let_through(rows: DataFrame, level: int) -> DataFrame:
@@ -143,24 +201,15 @@ def build_cascade(listed: DataFrame, universe: DataFrame, universe_size: int | N
     raise RuntimeError("the cascade did not close")
 
 
-def listed_keys(rows: DataFrame, key: str, listed: DataFrame, parts: int) -> DataFrame:
-    """``rows`` with ``listed`` (boolean): by ``parts`` cascades over hash parts of the list, one after the other, so a list of any length is judged.
+def listed_keys(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """``rows`` with ``listed`` (boolean): whether their ``key`` is in the column ``key`` of ``listed``, a list of any length; null is in none.
 
-    ``rows`` are their own universe.  Each part's bits are one broadcast row,
-    known to fit; ``rows`` stream past every part.
+    ``rows`` are their own universe.  A column of their own named ``listed`` is
+    replaced; repeated rows stay, empty tables give empty results.
     """
-    if parts < 1:
-        raise ValueError("one part at least")
-    of = F.pmod(F.xxhash64(F.lit(-1), F.col("key")), F.lit(parts))
-    own = listed.select("key").where(F.col("key").isNotNull())
-    universe = rows.select(F.col(key).alias("key"))
-    out = rows.drop("listed").withColumn("__part", F.pmod(F.xxhash64(F.lit(-1), F.col(key)), F.lit(parts)))
-    found = F.lit(False)
-    for p in range(parts):
-        cascade = build_cascade(own.where(of == p), universe.where(of == p), name=f"part{p}")
-        out = cascade.attach(out)
-        found = F.when(F.col("__part") == p, cascade.holds(F.col(key))).otherwise(found)
-    out = out.withColumn("listed", F.coalesce(found, F.lit(False)))
+    cascade = build_cascades(listed, rows.select(F.col(key).alias("key")))
+    out = cascade.attach(rows.drop("listed"))
+    out = out.withColumn("listed", F.coalesce(F.when(F.col(key).isNotNull(), cascade.holds(F.col(key))), F.lit(False)))
     return out.select(*[F.col(f"`{x}`") for x in rows.columns if x != "listed"], "listed")
 
 
@@ -207,9 +256,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     Rules' hosts are lower case; of equal keys the first rule holds.  A url
     that no rule fits is not in the block list and gets ``default``.  Null and
     malformed urls have no host, offer no key and get ``default`` too.  Columns
-    of ``pages`` with the names of results are replaced; others stay.  The
-    urls are read three times: for the universe's size, for its keys that the
-    first levels let through, and for the verdicts.
+    of ``pages`` with the names of results are replaced; others stay, repeated
+    rows too, and empty tables give empty results.  The urls are read three
+    times: for the universe's size, for its keys that the first levels let
+    through, and for the verdicts.
     """
     if len({r.key for r in rules}) < len(rules):
         rules = list({r.key: r for r in reversed(rules)}.values())
@@ -225,8 +275,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     one = pages.sparkSession.range(1)
     by_action = {}
     for action in ("allow", "block"):
-        keys = F.from_json(F.lit(json.dumps([r.key for r in rules if r.action == action])), "array<string>")
-        by_action[action] = build_cascade(one.select(F.explode(keys).alias("key")), universe, size, action)
+        own = [r.key for r in rules if r.action == action]
+        literal = F.from_json(F.lit(json.dumps(own)), "array<string>") if len(own) <= LITERAL_RULES else None
+        keys = one.select(F.explode(literal).alias("key")) if literal is not None else stored(pages.sparkSession.createDataFrame([(k,) for k in own], "key string"), "rules")
+        by_action[action] = build_cascades(keys, universe, size, action)
         parts = by_action[action].attach(parts)
     fits = lambda key: by_action["block"].holds(key) | by_action["allow"].holds(key)
     judged = (

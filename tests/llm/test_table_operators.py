@@ -152,14 +152,41 @@ def test_long_lists_of_keys(spark, monkeypatch):
     rows = cascade.detach(cascade.attach(universe).withColumn("held", cascade.holds(F.col("key"))))
     assert rows.columns == ["key", "held"]
     assert all(r["held"] == (r["key"] in listed) for r in rows.where("key is not null").collect())
-    parts = url_cascade.listed_keys(universe.withColumn("listed", F.lit("old")), "key", keys, 3)
-    assert parts.columns == ["key", "listed"] and parts.count() == universe.count()
-    assert all(r["listed"] == (r["key"] in listed) for r in parts.collect())
-    monkeypatch.setattr(url_cascade, "MOST_WORDS", 10)
+    for most in (1 << 19, 30):
+        monkeypatch.setattr(url_cascade, "MOST_WORDS", most)
+        assert isinstance(url_cascade.build_cascades(keys, universe), url_cascade.Cascade if most > 30 else url_cascade.Cascades)
+        parts = url_cascade.listed_keys(universe.withColumn("listed", F.lit("old")), "key", keys)
+        assert parts.columns == ["key", "listed"] and parts.count() == universe.count()
+        assert all(r["listed"] == (r["key"] in listed) for r in parts.collect())
+    assert url_cascade.listed_keys(universe.limit(0), "key", keys).count() == 0 and not any(r["listed"] for r in url_cascade.listed_keys(universe, "key", keys.limit(0)).collect())
     with pytest.raises(ValueError):
         build_cascade(keys, universe)
 
 
+def test_a_long_list_passes_no_level_through_the_driver(spark, monkeypatch):
+    from braidseq.llm import url_cascade
+
+    monkeypatch.setattr(url_cascade, "LITERAL_WORDS", 500)
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", 4000)
+    universe = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    keys = universe.where("crc32(cast(key as binary)) % 3 = 0")
+    made = url_cascade.build_cascades(keys, universe)
+    assert len(made.parts) > 2 and all(len(level.words) <= 500 for one in made.parts for level in one.levels) and any(level.table is not None for one in made.parts for level in one.levels)
+    judged = url_cascade.listed_keys(universe, "key", keys)
+    assert judged.where("listed <> (crc32(cast(key as binary)) % 3 = 0)").count() == 0 and judged.count() == 200_000
+
+
+def test_many_rules_equal_brute_force(spark, monkeypatch):
+    from braidseq.llm import url_cascade
+
+    monkeypatch.setattr(url_cascade, "LITERAL_RULES", 10)
+    rules = [Rule("block" if i % 3 else "allow", f"h{i}.net", "/" if i % 2 else "/a") for i in range(400)]
+    urls = [f"http://{x}h{i}.net{path}" for i in range(0, 500, 7) for x in ("", "w.", "x") for path in ("", "/", "/a", "/b")]
+    frame = spark.createDataFrame(list(enumerate(urls)) + [(1, urls[1])], "page_id long, url string")
+    got = judge_urls(frame, rules).collect()
+    assert len(got) == len(urls) + 1 and all((r["host"], r["path"], r["rule"], r["verdict"]) == brute_verdict(r["url"], rules) for r in got)
+
+
 def test_mixing_replaces_columns_named_like_results(spark):
     rows = [(i, "word " * (i % 5 + 1), f"s{i % 3}") for i in range(200)]
     plain = mix_sources(docs(spark, [(i, t, s, None) for i, t, s in rows]).select("doc_id", "text", "source"))
