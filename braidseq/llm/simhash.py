@@ -22,6 +22,7 @@ exact similarity of their word shingles.
 from __future__ import annotations
 
 from itertools import combinations
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.skew import join_named
 from .common import append_columns, pin
+from .url_cascade import Cascade, _build
 
 BITS = 64
 #: Up to so many different fingerprints three segments are used, two beyond it: longer segments, so shorter lists in the table.
@@ -262,7 +264,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: The search of ``keep_one_of_each``: fingerprints of two-word shingles that differ in so many bits at most.
 SEARCH_WORDS, SEARCH_RADIUS = 2, 16
 #: Partial fingerprints of a text at most, shingles that a sampled text has about (a power of two), and how far the numbers of shingles of similar texts lie apart.
-PARTS, SAMPLED, APART = 32, 128, 1.12
+PARTS, SAMPLED, APART = 16, 128, 1.12
+#: Orders by which keys choose their stars: a text meets about twice so many of them, however many keys it shares.
+ORDERS = 8
+#: False positives of the filter that leaves out keys of one text, and its bits at most; it only spares shuffles.
+SPARED, FILTER_BITS = 0.03, 1 << 25
 #: Bytes of shingle sets that are broadcast at most; larger tables of them are shuffled.
 BROADCAST_BYTES = 32_000_000
 #: What links two texts: five-word shingles whose sets are at least so similar, in hundredths.
@@ -345,22 +351,38 @@ def _shingle_sets(text_col: str):
     return start
 
 
+def _shared_keys(table: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``table`` (``key`` and others) whose key has several, and some more; and at least their number.
+
+    Keys are counted alone, so only keys and counts are shuffled; a Bloom
+    filter over those that repeat sorts out the rows where they lie.
+    """
+    counts = pin(table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    row = counts.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if not row["keys"]:
+        return table.limit(0), 0
+    rate = max(SPARED, exp(-FILTER_BITS * log(2) ** 2 / row["keys"]))
+    if rate > 0.5:
+        return table, row["rows"]
+    one = Cascade((_build(counts, row["keys"], rate, 1),), "shared")
+    return one.detach(one.attach(table).where(one.holds(F.col("key")))), row["rows"]
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """``left, right, far``: pairs of different nodes, each node with two stars of each of its keys, if their fingerprints differ in ``SEARCH_RADIUS`` bits at most.
 
-    A key's stars are the nodes that come first and last in an order of its
-    own.  So the pairs grow with the nodes, however many share a key, and nodes
-    that share many keys meet many others.
+    A key's stars are the nodes that come first and last in one of ``ORDERS``
+    orders, which the key chooses.  So the pairs grow with the nodes, however
+    many share a key, and nodes that share many keys meet several others.
     """
     c = F.col
-    table = nodes.select("node", "fp", F.explode("parts").alias("key"))
-    one = F.struct(F.xxhash64("node", "key").alias("order"), "node", "fp")
+    table, total = _shared_keys(nodes.select("id", "fp", F.explode("parts").alias("key")))
+    one = F.struct(F.xxhash64("id", F.pmod("key", F.lit(ORDERS))).alias("order"), "id", "fp")
     stars = table.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("n")).where("n > 1")
-    total = nodes.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("rows")).first()["rows"]
-    met = join_named(table, stars, "key", "n", total).select("node", "fp", F.explode(F.array("first", "last")).alias("star"))
+    met = join_named(table, stars, "key", "n", total).select("id", "fp", F.explode(F.array("first", "last")).alias("star"))
     far = F.bit_count(c("fp").bitwiseXOR(c("star.fp")))
-    near = met.where((c("node") != c("star.node")) & (far <= SEARCH_RADIUS))
-    return near.select(c("node").alias("left"), c("star.node").alias("right"), far.alias("far")).distinct()
+    near = met.where((c("id") != c("star.id")) & (far <= SEARCH_RADIUS))
+    return near.select(c("id").alias("left"), c("star.id").alias("right"), far.alias("far")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,10 +393,10 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     size = sets.agg(F.coalesce(F.sum(8 * F.size("shingles") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     for side in ("left", "right"):
         if size <= BROADCAST_BYTES:
-            met = met.join(F.broadcast(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))), side)
+            met = met.join(F.broadcast(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"{side}_set"))), side)
             continue
         many = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        named = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")).join(many, side)
+        named = sets.select(F.col("id").alias(side), F.col("shingles").alias(f"{side}_set")).join(many, side)
         met = join_named(met, named, side, "n", total)
     both = F.size(F.array_intersect("left_set", "right_set"))
     union = F.size("left_set") + F.size("right_set") - both
@@ -409,26 +431,26 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
     """
     c = F.col
     rows = pin(append_columns(docs.select(c(key_col).alias("key"), c(text_col).alias("text")), "fp long, node binary, parts array<long>", "text", _searched("text"), most_bytes=2_000_000).drop("text"))
-    nodes = pin(rows.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.any_value("fp").alias("fp"), F.any_value("parts").alias("parts")))
+    nodes = rows.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.any_value("fp").alias("fp"), F.any_value("parts").alias("parts"))
+    nodes = pin(nodes.withColumn("id", F.monotonically_increasing_id()))  # short names for what follows
     total = rows.count()
     texts = docs.select(c(key_col).alias("key"), c(text_col).alias("text"))
 
     def shingles_of(wanted: DataFrame) -> DataFrame:
         """The shingles of the named nodes, one row of documents for each; copies go before anything is computed."""
-        named = pin(nodes.select("node", c("first").alias("key"), "n").join(wanted.distinct(), "node"))
-        found = join_named(texts, named, "key", "n", total).select("node", "text").dropDuplicates(["node"])
+        named = pin(nodes.select("id", c("first").alias("key"), "n").join(wanted.distinct(), "id"))
+        found = join_named(texts, named, "key", "n", total).select("id", "text").dropDuplicates(["id"])
         return pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text"))
 
     pairs = pin(_candidates(nodes))
-    nearest = _in_order(pairs.groupBy("left").agg(F.min(F.struct("far", "right")).alias("m")).select("left", c("m.right").alias("right")))
-    sides = lambda p: p.select(c("left").alias("node")).unionByName(p.select(c("right").alias("node")))
-    sets = shingles_of(sides(pairs))
+    nearest = pin(_in_order(pairs.groupBy("left").agg(F.min(F.struct("far", "right")).alias("m")).select("left", c("m.right").alias("right"))))
+    sets = shingles_of(pairs.select(c("left").alias("id")).unionByName(pairs.select(c("right").alias("id"))))
     links = _similar(nearest, sets)
-    rest = _apart(_in_order(pairs), connected_components(links, "left", "right", pin))
-    links = links.unionByName(_similar(rest, sets))
+    untried = _in_order(pairs).join(nearest, ["left", "right"], "left_anti")
+    links = links.unionByName(_similar(_apart(untried, connected_components(links, "left", "right", pin)), sets))
 
-    final = connected_components(links, "left", "right", pin)
-    named = pin(nodes.select("node", "first", "n").join(final, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("group")))
+    final = connected_components(links, "left", "right", pin).withColumnRenamed("node", "id")
+    named = pin(nodes.select("node", "id", "first", "n").join(final, "id", "left").select("node", "first", "n", F.coalesce("component", "id").alias("group")))
     least = named.groupBy("group").agg(F.min("first").alias("component"), F.count("*").alias("in_group"))
     told = pin(join_named(named, least, "group", "in_group", nodes.count()).select("node", "n", "component"))
     return join_named(rows.select("key", "node"), told, "node", "n", total).select("key", "component")
