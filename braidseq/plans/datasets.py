@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hits as hit_operators
-from ..operators import aligner, catalogue, minimisers, mutations, scoring, statistics, validation
+from ..operators import aligner, catalogue, evidence, minimisers, mutations, scoring, statistics, validation
 from ..session import fresh_dir, pin
-from ..sources import alignments, sequences
+from ..sources import alignments, sequences, sinks
 from . import inputs
 from .inputs import CONTIGS_SQL, table
 from .junctions import _CASES, OVERLAP, _tiles
@@ -105,6 +105,29 @@ def run_statistics(spark, sf_dir):
     return run.rows(spark)
 
 
+@query
+def candidate_table(spark, sf_dir):
+    own = pin(_sequences(inputs.document_tiles(spark, sf_dir)))
+    pairs = pin(minimisers.seed_pairs(minimisers.retained_seeds(pin(minimisers.sequence_minimisers(own, CONFIG.kmer, CONFIG.window, "sequence_id")), CONFIG.max_frequency)))
+    return sinks.candidate_table(minimisers.candidate_pairs(pairs, own.select("sequence_id", "length"), CONFIG), pairs)
+
+
+@query
+def observation_violations(spark, sf_dir):
+    """Events as observations of fifty cases in three samples; some name another junction or pair, a sample twice, or a case without truth."""
+    n, e = F.col("user_id") % 50, F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(n.alias("n"), F.when((n % 11 == 0) & (e % 3 == 1), 0).otherwise(e % 3).alias("k"), (e % 3).alias("own")).distinct()
+    n, k = F.col("n"), F.col("k")
+    reference = F.concat(F.lit("ref"), (n + F.when((n % 7 == 0) & (F.col("own") == 2), 1).otherwise(0)).cast("string"))
+    made = rows.select(
+        F.concat(F.lit("case"), n.cast("string")).alias("case_id"), F.concat(F.lit("s"), k.cast("string")).alias("sample"), F.concat(F.lit("l"), n.cast("string")).alias("left_contig"),
+        F.concat(F.lit("r"), n.cast("string")).alias("right_contig"), reference.alias("reference"), F.lit(1000).alias("reference_length"), F.md5(reference).alias("reference_sha256"), F.lit(450).alias("junction"),
+    )
+    i = F.col("id").cast("string")
+    truth = spark.range(45).select(F.concat(F.lit("case"), i).alias("case_id"), F.concat(F.lit("l"), i).alias("left_contig"), F.when(F.col("id") % 9 == 0, "x").otherwise(F.concat(F.lit("r"), i)).alias("right_contig"))
+    return evidence.observation_violations(truth, made)
+
+
 @query
 def parameter_grid(spark, sf_dir):
     """Two values each of k, w and the frequency bound: minimisers are selected once for each k and w."""
@@ -169,6 +192,13 @@ _KIND = f"CASE kind WHEN 0 THEN '{mutations.SUBSTITUTION}' WHEN 1 THEN '{mutatio
 _OVERLAPS, _OUTSIDE, _UNKNOWN = mutations.REASONS[5], mutations.REASONS[2], mutations.REASONS[0]
 
 SQL = {
+    "observation_violations": """WITH made AS (
+  SELECT DISTINCT user_id % 50 AS n, CASE WHEN user_id % 50 % 11 = 0 AND event_id % 3 = 1 THEN 0 ELSE event_id % 3 END AS k, event_id % 3 AS own FROM events
+), seen AS (SELECT n, count(*) AS rows, count(DISTINCT k) AS samples, count(DISTINCT CASE WHEN n % 7 = 0 AND own = 2 THEN 1 ELSE 0 END) AS junctions FROM made GROUP BY n)
+SELECT 'case' || n AS case_id, 'unknown case' AS reason FROM seen WHERE n >= 45
+UNION ALL SELECT 'case' || n, 'duplicate sample' FROM seen WHERE samples < rows
+UNION ALL SELECT 'case' || n, 'not one identical provisional junction' FROM seen WHERE junctions > 1
+UNION ALL SELECT 'case' || n, 'pair differs from the truth' FROM seen WHERE n < 45 AND n % 9 = 0""",
     "mutated_sequences": f"WITH {_EDITS} SELECT w.identifier, length(coalesce(e.sequence, '')) AS length, md5(coalesce(e.sequence, '')) AS sequence_md5 FROM whole w LEFT JOIN edited e USING (identifier)",
     "mutation_truth": f"WITH {_EDITS} SELECT identifier, position, {_KIND} AS kind, old, added AS new, position + shift AS edited_position, true AS holds FROM sound",
     "edit_errors": f"""WITH {_EDITS} SELECT identifier, position, {_KIND} AS kind, '{_OVERLAPS}' AS reason FROM (SELECT *, unnest(range(2)) FROM made WHERE doc_id % 11 = 0 AND k = 0)

@@ -548,3 +548,10 @@ ORACLE_SQL |= {
     "hit_decisions": _with(_UNFOLDED, _CLASSIFIED) + " SELECT query_id, target_id, orientation, query_start, query_end, target_start, target_end, matching_bases, alignment_block_length, relationship_type, status, reason FROM classified",
     "pair_decisions": ORACLE_SQL["classify_pairs"].replace(_LINE_HITS, _UNFOLDED),
 }
+
+ORACLE_SQL |= {
+    "candidate_table": _with(TILES_SQL, _MEMBERS, _SEEDS, _PAIRS, _CANDIDATES, """places AS (
+      SELECT query_id, target_id, string_agg(DISTINCT qp, ',' ORDER BY qp) AS query_positions, string_agg(DISTINCT tp, ',' ORDER BY tp) AS target_positions FROM pairs GROUP BY query_id, target_id)""")
+    + """ SELECT query_id AS query, target_id AS target, shared_minimisers, coalesce(orientation, '.') AS orientation, supported_orientations, query_positions, target_positions, terminal_topologies, reasons
+      FROM candidates JOIN places USING (query_id, target_id) WHERE terminal_topologies <> ''""",
+}

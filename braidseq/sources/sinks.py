@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import InputError
+
+#: The columns of the candidate table.
+CANDIDATE_COLUMNS = ["query", "target", "shared_minimisers", "orientation", "supported_orientations", "query_positions", "target_positions", "terminal_topologies", "reasons"]
 #: The columns of the provenance table.
 PROVENANCE_COLUMNS = [
     "output_sequence", "source_sample", "source_contig", "relationship", "orientation", "source_start", "source_end",
@@ -15,7 +19,10 @@ PROVENANCE_COLUMNS = [
 
 
 def fasta_lines(outputs: DataFrame, width: int = 80) -> DataFrame:
-    """``value``: a record of each of ``output_sequence, sequence``, wrapped; in order of name."""
+    """``value``: a record of each of ``output_sequence, sequence``, wrapped; in order of name.  Names that repeat raise an InputError."""
+    twice = outputs.groupBy("output_sequence").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise InputError("repeated output: " + ", ".join(sorted(r["output_sequence"] for r in twice)))
     wrapped = F.regexp_replace("sequence", f"(.{{{width}}})(?!$)", "$1\n")
     return outputs.orderBy("output_sequence").select(F.concat(F.lit(">"), "output_sequence", F.lit("\n"), wrapped).alias("value"))
 
@@ -62,6 +69,18 @@ def pair_table(decisions: DataFrame) -> DataFrame:
     return named.select(*PAIR_COLUMNS)
 
 
+def candidate_table(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``CANDIDATE_COLUMNS`` of ``minimisers.candidate_pairs``: a dot where both strands are supported, the places of the shared seeds from ``minimisers.seed_pairs``.
+
+    A pair's places are no more than its sequences have seeds.
+    """
+    wanted = pairs.join(candidates.select("query_id", "target_id"), ["query_id", "target_id"], "left_semi")
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ",").alias(f"{c}s")
+    places = wanted.groupBy("query_id", "target_id").agg(listed("query_position"), listed("target_position"))
+    met = candidates.join(places, ["query_id", "target_id"]).withColumns({"query": F.col("query_id"), "target": F.col("target_id"), "orientation": F.coalesce("orientation", F.lit("."))})
+    return met.select(*CANDIDATE_COLUMNS)
+
+
 def relationship_table(decisions: DataFrame) -> DataFrame:
     """The narrow table of decisions: names, type, strand, identity with six digits, length, status, reasons as decided."""
     return decisions.select(F.col("query_id").alias("query"), F.col("target_id").alias("target"), "relationship_type", "orientation", _six("identity").alias("identity"), "aligned_length", "status", "reasons")

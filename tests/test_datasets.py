@@ -7,8 +7,8 @@ import random
 import pytest
 
 from braidseq.config import InputError, RunConfig
-from braidseq.operators import aligner, hits, minimisers, mutations, scoring, statistics, validation
-from braidseq.sources import alignments, sequences
+from braidseq.operators import aligner, evidence, hits, minimisers, mutations, scoring, statistics, validation
+from braidseq.sources import alignments, sequences, sinks
 from braidseq.sources.synthetic import END_TOLERANCE, MIN_OVERLAP, synthetic_cases
 
 EDIT = "identifier string, position int, kind string, length int, bases string"
@@ -174,6 +174,20 @@ def test_statistics_take_no_job_of_their_own(spark):
             bad()
 
 
+def test_observations_and_names(spark, tmp_path):
+    truth = spark.createDataFrame([("a", "l", "r"), ("b", "l", "r")], "case_id string, left_contig string, right_contig string")
+    rows = [("a", "s1", "l", "r", "x", 9, "d", 4), ("a", "s1", "l", "r", "x", 9, "d", 5), ("b", "s1", "l", "q", "x", 9, "d", 4), ("c", "s1", "l", "r", "x", 9, "d", 4)]
+    seen = spark.createDataFrame(rows, "case_id string, sample string, left_contig string, right_contig string, reference string, reference_length int, reference_sha256 string, junction int")
+    got = {(r["case_id"], r["reason"]) for r in evidence.observation_violations(truth, seen).collect()}
+    assert got == {("a", "duplicate sample"), ("a", "not one identical provisional junction"), ("b", "pair differs from the truth"), ("c", "unknown case")}
+    assert {(r["testable"], r["diagnostics"]) for r in evidence.source_evidence(seen).collect()} == {(False, evidence.NOT_TESTABLE)}
+    path = tmp_path / "n.sam"
+    path.write_text("".join(f"{n}\t0\tr\t3\t60\t4M\t*\t0\t0\tACGT\tIIII\n" for n in "bab") + "cut\t0\n")
+    assert [r["name"] for r in evidence.read_names(alignments.read_sam(spark, str(path))).collect()] == ["a", "b"]
+    with pytest.raises(InputError, match="repeated output: a"):
+        sinks.fasta_lines(spark.createDataFrame([("a", "A"), ("a", "C"), ("b", "G")], "output_sequence string, sequence string"))
+
+
 def test_synthetic_cases_are_classified(spark):
     cases = synthetic_cases(spark)
     config = RunConfig(min_overlap=MIN_OVERLAP, min_containment=MIN_OVERLAP, end_tolerance=END_TOLERANCE, kmer=15, window=5, min_shared=3)
