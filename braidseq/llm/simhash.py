@@ -364,7 +364,8 @@ def _shared_keys(table: DataFrame) -> tuple[DataFrame, int]:
     rate = max(SPARED, exp(-FILTER_BITS * log(2) ** 2 / row["keys"]))
     if rate > 0.5:
         return table, row["rows"]
-    one = Cascade((_build(counts, row["keys"], rate, 1),), "shared")
+    # A table, however small: each probe in a plan would hold the literal again.
+    one = Cascade((_build(counts, row["keys"], rate, 1, literal_words=0),), "shared")
     return one.detach(one.attach(table).where(one.holds(F.col("key")))), row["rows"]
 
 

@@ -68,14 +68,14 @@ def _probes(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
     return [F.pmod(first + step * i, F.lit(bits)) for i in range(hashes)]
 
 
-def _build(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A filter over the column ``key`` of ``keys``, which has about ``n`` rows."""
+def _build(keys: DataFrame, n: int, rate: float, seed: int, literal_words: int | None = None) -> Level:
+    """A filter over the column ``key`` of ``keys``, which has about ``n`` rows; of more than ``literal_words`` words it is a table."""
     bits = max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
     hashes = max(1, min(24, round(-math.log2(rate))))
     at = F.explode(F.array(*_probes(F.col("key"), bits, hashes, seed)))
     one = F.expr("shiftleft(1L, cast(at & 63 as int))")
     rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("set"))
-    if bits // 64 > LITERAL_WORDS:
+    if bits // 64 > (LITERAL_WORDS if literal_words is None else literal_words):
         every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word")).join(rows, "word", "left")
         whole = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0)).alias("set")))).alias("pairs"))
         return Level(bits, hashes, seed, table=stored(whole.select(F.expr("transform(pairs, x -> x.set)").alias("words")), "bloom"))
