@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import pin, shared_dir  # noqa: F401
+from ..session import pin, shared_dir, stored  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between ASCII white space.
@@ -78,13 +78,6 @@ def append_columns(df: DataFrame, ddl: str, column: str, start, most_bytes: int
     return kept.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read from there."""
-    folder = fresh_dir(df.sparkSession, what)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 #: Entries of vectors on a grid may not pass this in size: beyond it sums of them leave the exact numbers.
 MOST_GRID = 1 << 40
 

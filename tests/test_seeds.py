@@ -4,7 +4,9 @@ import random
 
 import pyarrow as pa
 
+from braidseq.config import RunConfig
 from braidseq.operators import minimisers
+from braidseq.session import pin
 from test_operators import brute_minimisers, rc
 
 
@@ -35,3 +37,44 @@ def test_long_kmers_odd_symbols_and_palindromes():
         for r in rows:
             f = text[r["position"] : r["position"] + k]
             assert r["kmer"] == min(f, rc(f)) and r["orientation"] == ("+" if f <= rc(f) else "-")
+
+
+def mutated(rng, n=60):
+    """Sequences that share stretches on both strands, some of them twice."""
+    stock = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(25)]
+    out = []
+    for _ in range(n):
+        parts = [rng.choice(stock) if rng.random() < 0.8 else "".join(rng.choice("ACGT") for _ in range(30)) for _ in range(rng.randint(0, 9))]
+        out.append("".join(rc(p) if rng.random() < 0.3 else p for p in parts))
+    return sorted(set(out))
+
+
+def test_candidates_by_numbers_equal_the_joins_of_places(spark):
+    config = RunConfig(min_shared=3, min_overlap=100, min_containment=50, max_frequency=40)
+    rows = [(f"ctg_{(7 * i) % 100:02d}", s, len(s)) for i, s in enumerate(mutated(random.Random(8)))]
+    table = spark.createDataFrame(rows, "sequence_id string, sequence string, length int").repartition(5)
+    seeds = pin(minimisers.retained_seeds(minimisers.sequence_minimisers(table, config.kmer, config.window, "sequence_id"), config.max_frequency))
+    pairs = pin(minimisers.seed_pairs(seeds))
+    numbers = minimisers.numbered(table)
+    order = [r["name"] for r in numbers.sort("sequence_id").collect()]
+    assert order == sorted(r[0] for r in rows)
+    places = minimisers.seed_places(numbers, config)
+    found = pin(minimisers.candidates_of(places, config))
+    same = lambda a, b: sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+    plain = pin(minimisers.candidate_pairs(pairs, table, config))
+    assert plain.count() > 20 and same(minimisers.named(found, numbers), plain)
+    assert same(minimisers.named(minimisers.shared_seeds(places), numbers), minimisers.pair_evidence(pairs))
+    wanted = pairs.join(plain, ["query_id", "target_id"], "left_semi").drop("kmer")
+    assert same(minimisers.named(minimisers.place_pairs(places, found), numbers), wanted)
+
+
+def test_stored_seeds_take_little_disk(spark, tmp_path):
+    """A seed is numbers, not names: under 40 bytes a place, where a pinned row of names took over 150."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("ACGT") for _ in range(4000))
+    rows = [("ctg_" + f"{i:064x}", text[: 3000 + 10 * i], 3000 + 10 * i) for i in range(60)]
+    places = minimisers.seed_places(minimisers.numbered(spark.createDataFrame(rows, "sequence_id string, sequence string, length int")), RunConfig())
+    places.write.parquet(f"{tmp_path}/places")
+    size = sum(p.stat().st_size for p in (tmp_path / "places").glob("*.parquet"))
+    assert places.count() > 30_000 and size < 40 * places.count()
+    assert {k for _, k in places.dtypes} == {"bigint", "int", "boolean", "tinyint"}
