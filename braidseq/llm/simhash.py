@@ -271,6 +271,8 @@ ORDERS = 8
 SPARED, FILTER_BITS = 0.03, 1 << 25
 #: Bytes of shingle sets that are broadcast at most; larger tables of them are shuffled.
 BROADCAST_BYTES = 32_000_000
+#: Whole fingerprints within so many bits are all looked up; names of texts that are broadcast at most.
+BALL_RADIUS, FEW_NAMES = 4, 20_000
 #: What links two texts: five-word shingles whose sets are at least so similar, in hundredths.
 WORDS, SIMILARITY = 5, 80
 
@@ -374,15 +376,18 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
     A key's stars are the nodes that come first and last in one of ``ORDERS``
     orders, which the key chooses.  So the pairs grow with the nodes, however
-    many share a key, and nodes that share many keys meet several others.
+    many share a key, and nodes that share many keys meet several others.  If
+    there is a column ``group``, only pairs of different groups are given: the
+    same pairs otherwise, and none of one group is ever made.
     """
     c = F.col
-    table, total = _shared_keys(nodes.select("id", "fp", F.explode("parts").alias("key")))
-    one = F.struct(F.xxhash64("id", F.pmod("key", F.lit(ORDERS))).alias("order"), "id", "fp")
+    more = ["group"] if "group" in nodes.columns else []
+    table, total = _shared_keys(nodes.select("id", "fp", *more, F.explode("parts").alias("key")))
+    one = F.struct(F.xxhash64("id", F.pmod("key", F.lit(ORDERS))).alias("order"), "id", "fp", *more)
     stars = table.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("n")).where("n > 1")
-    met = join_named(table, stars, "key", "n", total).select("id", "fp", F.explode(F.array("first", "last")).alias("star"))
+    met = join_named(table, stars, "key", "n", total).select("id", "fp", *more, F.explode(F.array("first", "last")).alias("star"))
     far = F.bit_count(c("fp").bitwiseXOR(c("star.fp")))
-    near = met.where((c("id") != c("star.id")) & (far <= SEARCH_RADIUS))
+    near = met.where((c("group") != c("star.group") if more else c("id") != c("star.id")) & (far <= SEARCH_RADIUS))
     return near.select(c("id").alias("left"), c("star.id").alias("right"), far.alias("far")).distinct()
 
 
@@ -408,13 +413,27 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The ``left, right`` that ``joined`` (``node, component``) leaves in different components."""
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with ``group``: the least ``id`` that ``links`` connect to a node."""
+    joined = connected_components(links, "left", "right", pin).withColumnRenamed("node", "id")
+    return pin(nodes.join(joined, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"))
+
+
+def _within_balls(grouped: DataFrame) -> DataFrame:
+    """``left, right``: pairs of nodes of different groups whose whole fingerprints lie within ``BALL_RADIUS`` bits, found by multi-index hashing.
+
+    A fingerprint of several nodes stands for the least of them, and the others
+    are paired with it; so texts with one fingerprint are never all pairs.
+    """
+    c = F.col
+    one = pin(grouped.groupBy("fp").agg(F.min(F.struct("id", "group")).alias("least"), F.count("*").alias("n")).select("fp", c("least.id").alias("id"), c("least.group").alias("group"), "n"))
+    names = one.select("fp", "id")
+    near = near_links(one.select("fp", "group"), BALL_RADIUS, _number_of_segments(one.count())).select("left", "right").distinct()
     for side in ("left", "right"):
-        many = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        named = many.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of")), side, "left").withColumn(f"{side}_of", F.coalesce(f"{side}_of", side))
-        pairs = join_named(pairs, named, side, "n", pairs.count())
-    return pairs.where("left_of <> right_of").select("left", "right")
+        near = near.join(names.select(c("fp").alias(side), c("id").alias(f"{side}_id")), side)
+    shared = one.where("n > 1")
+    same = join_named(grouped.select("fp", "id", "group"), shared.select("fp", c("id").alias("star"), c("group").alias("star_group"), "n"), "fp", "n", grouped.count()).where(c("group") != c("star_group"))
+    return _in_order(near.select(c("left_id").alias("left"), c("right_id").alias("right")).unionByName(same.select(c("id").alias("left"), c("star").alias("right"))))
 
 
 def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -426,7 +445,10 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
     text has partial ones, each over a class of its two-word shingles, so texts
     with few different words agree in many of them.  Each text meets two stars
     for each partial fingerprint; first the one whose whole fingerprint is
-    nearest is compared, then those that are not in its component yet.  Null,
+    nearest is compared, then those that are not in its component yet.  What
+    is not in one component then is also looked up in the balls around the
+    segments of the whole fingerprint (``near_links``): without stars, so no
+    pair of fingerprints within ``BALL_RADIUS`` bits is passed over.  Null,
     empty and blank texts are equal texts, repeated rows are rows of their own,
     empty tables give empty results.
     """
@@ -440,16 +462,22 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
     def shingles_of(wanted: DataFrame) -> DataFrame:
         """The shingles of the named nodes, one row of documents for each; copies go before anything is computed."""
         named = pin(nodes.select("id", c("first").alias("key"), "n").join(wanted.distinct(), "id"))
-        found = join_named(texts, named, "key", "n", total).select("id", "text").dropDuplicates(["id"])
+        few = named.count() <= FEW_NAMES  # broadcast, else all texts would move for them
+        met = texts.join(F.broadcast(named.select("key", "id")), "key") if few else join_named(texts, named, "key", "n", total)
+        found = met.select("id", "text").dropDuplicates(["id"])
         return pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text"))
 
     pairs = pin(_candidates(nodes))
     nearest = pin(_in_order(pairs.groupBy("left").agg(F.min(F.struct("far", "right")).alias("m")).select("left", c("m.right").alias("right"))))
-    sets = shingles_of(pairs.select(c("left").alias("id")).unionByName(pairs.select(c("right").alias("id"))))
+    both = lambda p: p.select(c("left").alias("id")).unionByName(p.select(c("right").alias("id")))
+    sets = shingles_of(both(pairs))
     links = _similar(nearest, sets)
-    untried = _in_order(pairs).join(nearest, ["left", "right"], "left_anti")
-    links = links.unionByName(_similar(_apart(untried, connected_components(links, "left", "right", pin)), sets))
-
+    # Pairs within a group are left out where they would be made, so a cloud of near copies gives few.
+    grouped = _grouped(nodes.select("id", "fp", "parts"), links)
+    balls = pin(_within_balls(grouped))
+    untried = _in_order(_candidates(grouped).select("left", "right").unionByName(balls))
+    unseen = both(balls).join(sets.select("id"), "id", "left_anti")
+    links = links.unionByName(_similar(untried, sets.unionByName(shingles_of(unseen))))
     final = connected_components(links, "left", "right", pin).withColumnRenamed("node", "id")
     named = pin(nodes.select("node", "id", "first", "n").join(final, "id", "left").select("node", "first", "n", F.coalesce("component", "id").alias("group")))
     least = named.groupBy("group").agg(F.min("first").alias("component"), F.count("*").alias("in_group"))
