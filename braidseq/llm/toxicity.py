@@ -37,7 +37,9 @@ _BYTE_DIM, _BYTE_UNITS = 6, 6
 _INPUT = _WORD_DIM + 2 * _BYTE_UNITS
 _LEAST_DOCS = 3
 #: Words whose inputs a scorer remembers; it starts anew beyond that, with the same results.
-_REMEMBERED = 150_000
+_REMEMBERED = 80_000
+#: Windows that a scorer runs at once, which bounds the new words it spells at once, and bytes of text that it gets at once.
+_RUN, _TEXT_BYTES = 512, 1_000_000
 _BATCH, _RATE, _DECAY = 64, 0.01, 1e-4
 #: Passes over the sample: so many that about as many steps are made, within these bounds.
 _STEPS, _EPOCHS = 1200, (6, 40)
@@ -441,51 +443,50 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 class Scorer:
-    """Scores texts; what words contribute is remembered, up to a bound."""
+    """Scores texts; what words contribute is remembered, up to a bound, and memory follows a block of windows, not the texts."""
 
     def __init__(self, model: Model):
         self.model, self.cut = model, _cutter()
-        self.forget()
-
-    def forget(self) -> None:
+        self.projected = np.empty((2, 1 + _REMEMBERED + _RUN * WINDOW, 3 * _UNITS), dtype=np.float32)
+        self.projected[:, :1] = model.project(model.padding())
         self.number: dict[bytes, int] = {}
-        self.projected = self.model.project(self.model.padding())
 
-    def __call__(self, texts: list[str | None]) -> list[float]:
+    def ids(self, windows: list[list[bytes]]) -> np.ndarray:
+        """The numbers of the windows' words; new words are spelled."""
         if len(self.number) > _REMEMBERED:
-            self.forget()
+            self.number = {}
         number, new = self.number, []
-        docs = []
-        for text in texts:
-            words = self.cut(text) if text else []
+        ids = np.zeros((len(windows), WINDOW), dtype=np.int64)
+        for k, words in enumerate(windows):
             try:
-                docs.append([number[w] for w in words])
+                own = [number[w] for w in words]
             except KeyError:
                 for w in words:
                     if w not in number:
                         number[w] = len(number) + 1
                         new.append(w)
-                docs.append([number[w] for w in words])
+                own = [number[w] for w in words]
+            ids[k, : len(own)] = own
         if new:
-            more = self.model.project(self.model.inputs(self.model.numbers(new), self.model.spell(new)))
-            self.projected = np.concatenate([self.projected, more], axis=1)
+            at = len(number) + 1
+            self.projected[:, at - len(new) : at] = self.model.project(self.model.inputs(self.model.numbers(new), self.model.spell(new)))
+        return ids
+
+    def __call__(self, texts: list[str | None]) -> list[float]:
         best = np.full(len(texts), -np.inf)
         block, owner = [], []
 
         def flush():
-            ids = np.zeros((len(block), WINDOW), dtype=np.int64)
-            for k, (own, s) in enumerate(block):
-                part = own[s : s + WINDOW]
-                ids[k, : len(part)] = part
-            np.maximum.at(best, owner, self.model.run(self.projected, ids))
+            np.maximum.at(best, owner, self.model.run(self.projected, self.ids(block)))
             block.clear()
             owner.clear()
 
-        for k, own in enumerate(docs):
-            for s in _starts(len(own)):
-                block.append((own, s))
+        for k, text in enumerate(texts):
+            words = self.cut(text) if text else []
+            for s in _starts(len(words)):
+                block.append(words[s : s + WINDOW])
                 owner.append(k)
-                if len(block) == 2048:
+                if len(block) == _RUN:
                     flush()
         if block:
             flush()
@@ -512,4 +513,4 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
         return work
 
-    return append_columns(docs, "score double", text_col, start)
+    return append_columns(docs, "score double", text_col, start, _TEXT_BYTES)
