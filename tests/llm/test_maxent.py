@@ -131,3 +131,15 @@ def test_language_model_on_edges(spark):
     empty = train_language_model(docs.limit(0))
     assert score_language_model(docs.limit(0), model).count() == 0
     assert {(r["n_known"], round(r["base_score"], 9), round(r["score"], 6)) for r in score_language_model(docs, empty).collect()} == {(0, 0.0, 0.0)}
+
+
+def test_short_rows_are_added_exactly_enough_and_large_logits_are_held():
+    rng = np.random.default_rng(4)
+    e = np.exp(rng.standard_normal((5000, maxent.SLOTS)) * 6).astype(np.float32)
+    assert np.allclose(maxent._totals(e), e.sum(axis=1, dtype=np.float64), rtol=2e-6)
+    weights = rng.standard_normal((50, maxent.SLOTS)).astype(np.float32) * 40
+    rows = [rng.integers(0, 50, 300) for _ in range(3)]
+    z = np.minimum(weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + 1, 60)
+    assert np.allclose(maxent._exps(weights, rows, np.ones(maxent.SLOTS, dtype=np.float32))[1], z, atol=1e-4)
+    order, times, sums = maxent._added(rows[0], e[:300])
+    assert all(np.allclose(s, e[:300][rows[0] == r].sum(axis=0), rtol=1e-5) and t == (rows[0] == r).sum() for r, t, s in zip(order, times, sums))
