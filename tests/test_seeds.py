@@ -1,6 +1,7 @@
 """Seeds by batches, and candidate pairs without rows of places, against the plain joins."""
 
 import random
+import time
 
 import pyarrow as pa
 
@@ -78,3 +79,38 @@ def test_stored_seeds_take_little_disk(spark, tmp_path):
     size = sum(p.stat().st_size for p in (tmp_path / "places").glob("*.parquet"))
     assert places.count() > 30_000 and size < 40 * places.count()
     assert {k for _, k in places.dtypes} == {"bigint", "int", "boolean", "tinyint"}
+
+
+def written(spark):
+    """Bytes that shuffles wrote so far."""
+    time.sleep(1)
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_seeds_move_packed(spark):
+    """Most seeds occur once; as rows each took about 17 bytes of shuffle, and the letters moved twice more at 0.7 bytes."""
+    rng = random.Random(12)
+    rows = [(f"ctg_{i:03d}", "".join(rng.choice("ACGT") for _ in range(10_000)), 10_000) for i in range(200)]
+    table = spark.createDataFrame(rows, "sequence_id string, sequence string, length int")
+    before = written(spark)
+    numbers = minimisers.numbered(table)
+    after = written(spark)
+    assert after - before < 0.35 * 2_000_000
+    lists = minimisers.seed_lists(numbers, RunConfig(), counted=True)
+    seeds = lists.selectExpr("sum(keys * frequency)").first()[0]
+    assert 300_000 < seeds and written(spark) - after < 9 * seeds
+
+
+def test_listed_seeds_count_every_frequency_and_long_kmers(spark, monkeypatch):
+    """Keys above the bound are counted in full though few of their places leave a task; k-mers of more than two bits a base in a long too."""
+    rows = [(f"ctg_{i:02d}", s, len(s)) for i, s in enumerate(mutated(random.Random(13)))] + [("ctg_99", "A" * 900, 900)]
+    table = spark.createDataFrame(rows, "sequence_id string, sequence string, length int").repartition(3)
+    monkeypatch.setattr(minimisers, "FEW_CHUNKS", 0)
+    for k in (21, 6, 31, 33):
+        config = RunConfig(kmer=k, min_shared=3, min_overlap=100, min_containment=50, max_frequency=7)
+        wanted = minimisers.minimiser_frequency(minimisers.sequence_minimisers(table, k, config.window, "sequence_id")).groupBy("frequency").count()
+        lists = minimisers.seed_lists(minimisers.numbered(table), config, counted=True)
+        assert sorted(lists.groupBy("frequency").agg({"keys": "sum"}).collect()) == sorted(wanted.collect())
+        kept = lists.where("places is not null")
+        assert kept.where("size(places) <> frequency or frequency not between 2 and 7").count() == 0
