@@ -114,3 +114,19 @@ def test_listed_seeds_count_every_frequency_and_long_kmers(spark, monkeypatch):
         assert sorted(lists.groupBy("frequency").agg({"keys": "sum"}).collect()) == sorted(wanted.collect())
         kept = lists.where("places is not null")
         assert kept.where("size(places) <> frequency or frequency not between 2 and 7").count() == 0
+
+
+def test_place_pairs_of_lists_move_no_places(spark, monkeypatch):
+    """Places meet in their lists, whether candidates are broadcast or not; before, every place was shuffled for each candidate of its sequence."""
+    config = RunConfig(min_shared=3, min_overlap=100, min_containment=50, max_frequency=40)
+    rows = [(f"ctg_{i:02d}", s, len(s)) for i, s in enumerate(mutated(random.Random(14)))]
+    numbers = minimisers.numbered(spark.createDataFrame(rows, "sequence_id string, sequence string, length int").repartition(3))
+    lists = minimisers.seed_lists(numbers, config)
+    found = pin(minimisers.candidates_of(lists, config))
+    before = written(spark)
+    pairs = minimisers.place_pairs(lists, found)
+    made = sorted(map(tuple, pairs.collect()))
+    assert len(made) > 1000 and written(spark) - before < 1000
+    monkeypatch.setattr(minimisers, "MOST_BROADCAST", 3)
+    monkeypatch.setattr(minimisers, "ADDED", 50)
+    assert sorted(map(tuple, minimisers.place_pairs(minimisers.places_of(lists), found).collect())) == made
