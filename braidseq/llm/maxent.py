@@ -44,7 +44,7 @@ ROWS = sum(KINDS.values())
 #: Tokens of a gradient step, its length, and rounds of averaging.
 STEP_TOKENS, RATE, ROUNDS = 4096, 0.5, 2
 #: Tokens scored at once, and bytes of text in memory as words.
-SCORE_TOKENS, TEXT_BYTES = 8192, 2_000_000
+SCORE_TOKENS, TEXT_BYTES = 4096, 2_000_000
 #: Words a task counts before it hands its counts on.
 MOST_COUNTED = 400_000
 #: The added count; buckets of counts in a doubling.
@@ -220,24 +220,32 @@ def _added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The different ``rows``, how often each is met, and the sums of their ``values``.
 
     Neighbours of a sorted run are added in pairs, then pairs of pairs: whole
-    rows move at once, whether runs are long or short.
+    rows move at once, whether runs are long or short.  The first sums are taken
+    from ``values`` as they lie, so no row moves before it is added.
     """
     n = len(rows)
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     found = rows[order]
     first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
     times = np.diff(first, append=n)
-    x = _rows(values, order)
     place = np.arange(n) - np.repeat(first, times)
     left = np.repeat(times, times) - place
-    live, apart = np.flatnonzero((place & 1 == 0) & (left > 1)), 1
-    while len(live):
-        both = _rows(x, live)
-        both += _rows(x, live + apart)
-        x[live] = both
-        apart *= 2
+    even = place & 1 == 0
+    live, lone = np.flatnonzero(even & (left > 1)), np.flatnonzero(even & (left == 1))
+    x = _rows(values, order[np.concatenate([live, lone])])
+    x[: len(live)] += _rows(values, order[live + 1])
+    at = np.empty(n, dtype=np.intp)
+    at[live], at[lone] = np.arange(len(live)), np.arange(len(live), len(x))
+    apart = 2
+    while True:
         live = live[(place[live] & (2 * apart - 1) == 0) & (left[live] > apart)]
-    return found[first], times, _rows(x, first)
+        if not len(live):
+            break
+        both = _rows(x, at[live])
+        both += _rows(x, at[live + apart])
+        x[at[live]] = both
+        apart *= 2
+    return found[first], times, _rows(x, at[first])
 
 
 def _ascend(weights, met, spread, rows, slope):

@@ -143,3 +143,18 @@ def test_short_rows_are_added_exactly_enough_and_large_logits_are_held():
     assert np.allclose(maxent._exps(weights, rows, np.ones(maxent.SLOTS, dtype=np.float32))[1], z, atol=1e-4)
     order, times, sums = maxent._added(rows[0], e[:300])
     assert all(np.allclose(s, e[:300][rows[0] == r].sum(axis=0), rtol=1e-5) and t == (rows[0] == r).sum() for r, t, s in zip(order, times, sums))
+
+
+def test_rows_are_added_with_few_moves(monkeypatch):
+    """Rows that come in pairs move three times for two; they moved five times."""
+    import numpy as np
+
+    from braidseq.llm import maxent
+
+    moved, plain = [], maxent._rows
+    monkeypatch.setattr(maxent, "_rows", lambda table, at: moved.append(len(at)) or plain(table, at))
+    rng = np.random.default_rng(3)
+    values, rows = rng.normal(size=(600, 64)).astype(np.float32), rng.permutation(np.repeat(np.arange(300), 2)).astype(np.int32)
+    found, times, total = maxent._added(rows, values)
+    assert sum(moved) <= 900 and (found == np.arange(300)).all() and (times == 2).all()
+    assert np.allclose(total, [values[rows == i].sum(axis=0) for i in range(300)], atol=1e-5)
