@@ -269,7 +269,7 @@ PARTS, SAMPLED, APART = 16, 128, 1.12
 ORDERS = 8
 #: False positives of the filter that leaves out keys of one text, and its bits at most; it only spares shuffles.
 SPARED, FILTER_BITS = 0.03, 1 << 25
-#: Bytes of shingle sets that are broadcast at most; larger tables of them are shuffled.
+#: Bytes of packed texts that are broadcast at most; larger tables of them are shuffled.
 BROADCAST_BYTES = 32_000_000
 #: Whole fingerprints within so many bits are all looked up; names of texts that are broadcast at most.
 BALL_RADIUS, FEW_NAMES = 4, 20_000
@@ -336,23 +336,46 @@ def _searched(text_col: str):
     return start
 
 
-def _shingle_sets(text_col: str):
+def _packed_texts(text_col: str):
     def start():
-        from xxhash import xxh64_intdigest
+        import pyarrow as pa
 
         def work(batch):
-            out = []
-            for text in batch.column(text_col).to_pylist():
-                words = (text or "").encode().lower().split()
-                grams = {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
-                out.append([h - (1 << 64) if h >> 63 else h for h in map(xxh64_intdigest, grams)])
-            return [out]
+            texts = [b" ".join((text or "").encode().lower().split()) for text in batch.column(text_col).to_pylist()]
+            return [[len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in texts]]
 
         return work
 
     return start
 
 
+def _shingles(packed: bytes) -> set[bytes]:
+    """The five-word shingles of a text of ``_packed_texts``."""
+    import pyarrow as pa
+
+    words = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).split()
+    return {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
+
+
+def _alike(batches):
+    """The ``left, right`` of batches of pairs with both texts whose sets of shingles are similar enough."""
+    import pyarrow as pa
+
+    known = {"left": (None, None), "right": (None, None)}
+    for batch in batches:
+        kept = []
+        for at in range(batch.num_rows):
+            for side in known:
+                held = batch.column(f"{side}_text")[at].as_py()
+                if held != known[side][0]:  # pairs of a star often follow each other
+                    known[side] = held, _shingles(held)
+            left, right = known["left"][1], known["right"][1]
+            both = len(left & right)
+            if 100 * both >= SIMILARITY * (len(left) + len(right) - both):
+                kept.append(at)
+        yield batch.select(["left", "right"]).take(pa.array(kept, pa.int64()))
+
+
 def _shared_keys(table: DataFrame) -> tuple[DataFrame, int]:
     """The rows of ``table`` (``key`` and others) whose key has several, and some more; and at least their number.
 
@@ -391,22 +414,24 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return near.select(c("id").alias("left"), c("star.id").alias("right"), far.alias("far")).distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``left, right`` of ``pairs`` (distinct) whose sets are similar enough."""
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``left, right`` of ``pairs`` (distinct) whose sets of shingles are similar enough.
+
+    ``texts``: ``id, packed``.  Packed texts move, which take a fourth of what
+    their shingles' hashes do; the sets are made where both texts have met.
+    """
     pairs = pin(pairs.select("left", "right"))
     total = pairs.count()
     met = pairs
-    size = sets.agg(F.coalesce(F.sum(8 * F.size("shingles") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("packed") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     for side in ("left", "right"):
+        own = texts.select(F.col("id").alias(side), F.col("packed").alias(f"{side}_text"))
         if size <= BROADCAST_BYTES:
-            met = met.join(F.broadcast(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"{side}_set"))), side)
+            met = met.join(F.broadcast(own), side)
             continue
-        many = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        named = sets.select(F.col("id").alias(side), F.col("shingles").alias(f"{side}_set")).join(many, side)
-        met = join_named(met, named, side, "n", total)
-    both = F.size(F.array_intersect("left_set", "right_set"))
-    union = F.size("left_set") + F.size("right_set") - both
-    return pin(met.where(100 * both >= SIMILARITY * union).select("left", "right"))
+        met = join_named(met, own.join(pairs.groupBy(side).agg(F.count("*").alias("n")), side), side, "n", total)
+    kinds = dict(pairs.dtypes)
+    return pin(met.select("left", "right", "left_text", "right_text").mapInArrow(_alike, f"left {kinds['left']}, right {kinds['right']}"))
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -459,25 +484,25 @@ def similar_components(docs: DataFrame, key_col: str, text_col: str) -> DataFram
     total = rows.count()
     texts = docs.select(c(key_col).alias("key"), c(text_col).alias("text"))
 
-    def shingles_of(wanted: DataFrame) -> DataFrame:
-        """The shingles of the named nodes, one row of documents for each; copies go before anything is computed."""
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """The packed texts of the named nodes, one row of documents for each."""
         named = pin(nodes.select("id", c("first").alias("key"), "n").join(wanted.distinct(), "id"))
         few = named.count() <= FEW_NAMES  # broadcast, else all texts would move for them
         met = texts.join(F.broadcast(named.select("key", "id")), "key") if few else join_named(texts, named, "key", "n", total)
-        found = met.select("id", "text").dropDuplicates(["id"])
-        return pin(append_columns(found, "shingles array<long>", "text", _shingle_sets("text")).drop("text"))
+        found = append_columns(met.select("id", "text"), "packed binary", "text", _packed_texts("text")).drop("text")
+        return pin(found.dropDuplicates(["id"]))  # rows of one key and text
 
     pairs = pin(_candidates(nodes))
     nearest = pin(_in_order(pairs.groupBy("left").agg(F.min(F.struct("far", "right")).alias("m")).select("left", c("m.right").alias("right"))))
     both = lambda p: p.select(c("left").alias("id")).unionByName(p.select(c("right").alias("id")))
-    sets = shingles_of(both(pairs))
-    links = _similar(nearest, sets)
+    held = texts_of(both(pairs))
+    links = _similar(nearest, held)
     # Pairs within a group are left out where they would be made, so a cloud of near copies gives few.
     grouped = _grouped(nodes.select("id", "fp", "parts"), links)
     balls = pin(_within_balls(grouped))
     untried = _in_order(_candidates(grouped).select("left", "right").unionByName(balls))
-    unseen = both(balls).join(sets.select("id"), "id", "left_anti")
-    links = links.unionByName(_similar(untried, sets.unionByName(shingles_of(unseen))))
+    unseen = both(balls).join(held.select("id"), "id", "left_anti")
+    links = links.unionByName(_similar(untried, held.unionByName(texts_of(unseen))))
     final = connected_components(links, "left", "right", pin).withColumnRenamed("node", "id")
     named = pin(nodes.select("node", "id", "first", "n").join(final, "id", "left").select("node", "first", "n", F.coalesce("component", "id").alias("group")))
     least = named.groupBy("group").agg(F.min("first").alias("component"), F.count("*").alias("in_group"))
