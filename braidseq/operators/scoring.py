@@ -126,6 +126,14 @@ def evaluate_paf(found: DataFrame, truth: DataFrame, config: RunConfig) -> tuple
     in any decision; whether the counts stand in spite of it is the caller's
     to decide.
     """
-    errors = found.where("error is not null").select("file", "line", "error")
-    sound = found.where("error is null and query_id <> target_id").drop("error", "file", "line")
-    return score_counts(truth, classify_pairs(sound, config)), errors
+    return score_counts(truth, paf_decisions(found, config)), paf_errors(found)
+
+
+def paf_decisions(found: DataFrame, config: RunConfig) -> DataFrame:
+    """Decisions (``hits.classify_pairs``) of the sound lines of PAF text; hits of a sequence with itself are left out."""
+    return classify_pairs(found.where("error is null and query_id <> target_id").drop("error", "file", "line"), config)
+
+
+def paf_errors(found: DataFrame) -> DataFrame:
+    """``file, line, error`` of the broken lines of PAF text."""
+    return found.where("error is not null").select("file", "line", "error")

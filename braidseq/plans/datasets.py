@@ -148,28 +148,27 @@ def pair_decisions(spark, sf_dir):
     return found.select("query_id", "target_id", "relationship_type", "orientation", "identity", "aligned_length", "status", "reasons", "accepted_hits", "rejected_hits")
 
 
-def _paf(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Hits as PAF text, with lines of sequences against themselves and lines cut short; and truth for their pairs."""
-    found = pin(inputs.unfolded_hits(spark, sf_dir))
+def _paf(spark, sf_dir) -> DataFrame:
+    """Hits as PAF text, with lines of sequences against themselves and lines cut short, read again."""
+    found = inputs.unfolded_hits(spark, sf_dir)
     names = ["query_id", "query_length", "query_start", "query_end", "orientation", "target_id", "target_length", "target_start", "target_end", "matching_bases", "alignment_block_length", "mapping_quality"]
     line = lambda target: F.concat_ws("\t", *[target if x == "target_id" else F.col(x).cast("string") for x in names], F.lit("tp:A:P"))
     more = F.array_compact(F.array(line(F.col("target_id")), F.when(F.col("mapping_quality") == 56, line(F.col("query_id"))), F.when(F.col("mapping_quality") == 48, F.concat_ws("\t", "query_id", F.lit("7")))))
     folder = fresh_dir(spark, "paf")
     found.select(F.explode(more).alias("value")).write.text(folder)
-    read = pin(alignments.read_paf(spark, folder))
-    decided = pin(hit_operators.classify_pairs(read.where("error is null and query_id <> target_id").drop("error", "file", "line"), CONFIG))
-    return read, _sparse_truth(decided)
+    return alignments.read_paf(spark, folder)
 
 
 @query
 def paf_score_counts(spark, sf_dir):
-    return scoring.evaluate_paf(*_paf(spark, sf_dir), CONFIG)[0]
+    # Truth is made of the decisions that it is held against: they are worked out once.
+    decided = stored(scoring.paf_decisions(_paf(spark, sf_dir), CONFIG).select("query_id", "target_id", "relationship_type", "orientation"), "decided")
+    return scoring.score_counts(_sparse_truth(decided), decided)
 
 
 @query
 def paf_errors(spark, sf_dir):
-    errors = scoring.evaluate_paf(*_paf(spark, sf_dir), CONFIG)[1]
-    return errors.groupBy("error").agg(F.count("line").alias("lines"))
+    return scoring.paf_errors(_paf(spark, sf_dir)).groupBy("error").agg(F.count("line").alias("lines"))
 
 
 _EDITS = f"""{CONTIGS_SQL}, whole AS (SELECT identifier, sequence, original_identifier::BIGINT AS doc_id FROM contigs

@@ -42,7 +42,8 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
         error.when((block < 0) | (equal < 0) | (equal > block), "matching bases and block length").when(equal > F.least(*spans), "more matching bases than an aligned span")
         .when(block < F.greatest(*spans), "a block shorter than an aligned span").when(block > spans[0] + spans[1], "a block longer than both aligned spans")
     )
-    return named.withColumn("error", error).select(*_PAF, *[name for name, _ in _TAGS.values()], "error", "file", "line")
+    # The explode keeps a filter on the error above it; below it the filter would be written out in all that the error is made of.
+    return named.select(*_PAF, *[name for name, _ in _TAGS.values()], F.explode(F.array(error)).alias("error"), "file", "line")
 
 
 #: Flags of records that are no primary alignment (unmapped, secondary, supplementary).

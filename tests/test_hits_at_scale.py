@@ -1,11 +1,11 @@
 """Plans and work of the queries over hits, which grow with line items."""
 
-from pathlib import Path
-
-from braidseq.operators import hits
+from braidseq.config import RunConfig
+from braidseq.operators import hits, scoring
 from braidseq.plans import inputs
+from braidseq.sources import alignments
 
-DATA = str(Path("/root/testdata/sf0.001"))
+DATA = "/root/testdata/sf0.001"
 
 
 def test_rules_are_not_written_out_in_a_filter(spark):
@@ -14,3 +14,22 @@ def test_rules_are_not_written_out_in_a_filter(spark):
     plan = broken._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000
     assert "query interval" in broken.first()["violations"]
+
+
+def test_hits_of_a_pair_move_once(spark):
+    """Equal hits were dropped in one shuffle and pairs judged in another; the rules stood in the plan three times."""
+    decided = hits.classify_pairs(inputs.unfolded_hits(spark, DATA), RunConfig())
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert decided._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert plan.count("query_end_distance#") and len(plan) < 20_000
+
+
+def test_errors_of_paf_are_not_written_out_in_a_filter(spark, tmp_path):
+    """The filter on errors stood below the fields that they are made of, with all of them written out."""
+    (tmp_path / "a.paf").write_text("q\t100\t0\t100\t+\tt\t100\t0\t100\t100\t100\t60\ttp:A:P\nq\t7\nq\t100\t0\t101\t+\tt\t100\t0\t100\t100\t100\t60\n")
+    found = alignments.read_paf(spark, str(tmp_path))
+    sound = scoring.paf_decisions(found, RunConfig())
+    filters = [line for line in sound._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line]
+    assert max(map(len, filters)) < 2_000
+    assert [(r["query_id"], r["relationship_type"]) for r in sound.collect()] == [("q", "EXACT_MATCH")]
+    assert sorted((r["line"], r["error"]) for r in scoring.paf_errors(found).collect()) == [(2, "fewer than twelve fields"), (3, "an interval is out of range")]
