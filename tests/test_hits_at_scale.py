@@ -1,7 +1,9 @@
 """Plans and work of the queries over hits, which grow with line items."""
 
+from hashlib import sha256
+
 from braidseq.config import RunConfig
-from braidseq.operators import hits, scoring
+from braidseq.operators import graph, hits, scoring
 from braidseq.plans import inputs
 from braidseq.sources import alignments
 
@@ -33,3 +35,16 @@ def test_errors_of_paf_are_not_written_out_in_a_filter(spark, tmp_path):
     assert max(map(len, filters)) < 2_000
     assert [(r["query_id"], r["relationship_type"]) for r in sound.collect()] == [("q", "EXACT_MATCH")]
     assert sorted((r["line"], r["error"]) for r in scoring.paf_errors(found).collect()) == [(2, "fewer than twelve fields"), (3, "an interval is out of range")]
+
+
+def test_names_of_components_are_hashed_once(spark):
+    """The joins of names to nodes hashed all components' names again, three times in a large graph."""
+    rows = spark.range(30_000, numPartitions=1).selectExpr("cast(id div 2 as string) as root", "cast(id as string) as value")
+    found = {r["root"]: r for r in graph.digest_of_each(rows, "root", ["value"], "c_").collect()}
+    assert len(found) == 15_000 and all(r["rows"] == 2 for r in found.values())
+    assert found["7"]["digest"] == "c_" + sha256(b"14\x0015").hexdigest()[:20]
+    nodes = rows.selectExpr("concat('n', value) as sequence_id")
+    edges = spark.range(9_000).selectExpr("concat('n', 2 * id) as query_id", "concat('n', 2 * id + 1) as target_id")
+    labels = graph.node_components(nodes, edges)
+    assert "MapInArrow" not in labels._jdf.queryExecution().executedPlan().toString()
+    assert labels.groupBy("component_id").count().groupBy("count").count().sort("count").collect() == [(1, 12_000), (2, 9_000)]
