@@ -50,13 +50,13 @@ def by_value(column: str, values) -> dict[str, Column]:
     return {f"{column}_{v}": F.count_if(F.col(column) == v) for v in values}
 
 
-def seed_measures(max_frequency: int) -> dict[str, Column]:
-    """Of ``minimiser_frequency``: distinct minimisers, their places, those that the bound leaves, and the pairs that a join of them can give at most."""
-    n = F.col("frequency")
+def seed_measures(max_frequency: int, times: str | None = None) -> dict[str, Column]:
+    """Of ``minimiser_frequency``, or of frequencies with ``times`` as the number of minimisers: distinct minimisers, their places, those that the bound leaves, and the pairs that a join of them can give at most."""
+    n, w = F.col("frequency"), F.lit(1).cast("long") if times is None else F.col(times)
     kept = n <= max_frequency
     return {
-        "unique_minimisers": F.count("*"), "observations": F.sum(n), "discarded_minimisers": F.count_if(~kept), "retained_observations": F.sum(F.when(kept, n)),
-        "pair_bound": F.sum(F.when(kept, F.expr("frequency * (frequency - 1) div 2"))), "most_frequent": F.max(n),
+        "unique_minimisers": F.sum(w), "observations": F.sum(w * n), "discarded_minimisers": F.sum(F.when(~kept, w)), "retained_observations": F.sum(F.when(kept, w * n)),
+        "pair_bound": F.sum(F.when(kept, w * F.expr("frequency * (frequency - 1) div 2"))), "most_frequent": F.max(n),
     }
 
 

@@ -93,7 +93,7 @@ def run_statistics(spark, sf_dir):
     sources = inputs.document_tiles(spark, sf_dir)
     own = minimisers.numbered(run.pinned("catalogue", _packed(sources), statistics.lengths("length")))
     every = minimisers.seed_lists(own, CONFIG, counted=True)
-    run.pinned("seeds", every.select("frequency", F.explode(F.expr("array_repeat(0, cast(keys as int))"))).select("frequency"), statistics.seed_measures(CONFIG.max_frequency))
+    run.pinned("seeds", every.groupBy("frequency").agg(F.sum("keys").alias("minimisers")), statistics.seed_measures(CONFIG.max_frequency, "minimisers"))
     statistics.guard_seed_pairs(run, "seeds", None)
     lists = every.where(F.col("frequency").between(2, CONFIG.max_frequency))
     shared = {"pairs": F.count("*"), "median_shared": F.percentile("shared_minimisers", F.lit(0.5)), "most_shared": F.max("shared_minimisers")}

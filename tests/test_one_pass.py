@@ -68,3 +68,15 @@ def test_only_what_is_asked_for_is_worked_out(spark):
     none = hits.classify_pairs(spark.createDataFrame([], "query_id string, target_id string, query_length int, query_start int, query_end int, orientation string, target_length int, target_start int, target_end int, matching_bases int, alignment_block_length int"), RunConfig())
     assert set(reconcile.reconcile(sequences, None, none, RunConfig(), ("edges",))) == {"edges"}
     assert set(reconcile.reconcile(sequences, None, none, RunConfig(), ("components",))) == {"edges", "labels", "components"}
+
+
+def test_seed_measures_need_no_row_a_minimiser(spark):
+    """A run's statistics stored a row for each distinct minimiser, only to count them."""
+    from braidseq.operators import statistics
+
+    every = spark.createDataFrame([(f,) for f in (1, 1, 1, 2, 5, 5, 9)], "frequency long")
+    run = statistics.RunStatistics()
+    run.pinned("rows", every, statistics.seed_measures(5))
+    run.pinned("counts", every.groupBy("frequency").agg(F.count("*").alias("n")), statistics.seed_measures(5, "n"))
+    assert run.values("rows") == run.values("counts")
+    assert run.values("counts")["unique_minimisers"] == 7 and run.values("counts")["pair_bound"] == 21 and run.values("counts")["discarded_minimisers"] == 1
