@@ -80,3 +80,17 @@ def test_seed_measures_need_no_row_a_minimiser(spark):
     run.pinned("counts", every.groupBy("frequency").agg(F.count("*").alias("n")), statistics.seed_measures(5, "n"))
     assert run.values("rows") == run.values("counts")
     assert run.values("counts")["unique_minimisers"] == 7 and run.values("counts")["pair_bound"] == 21 and run.values("counts")["discarded_minimisers"] == 1
+
+
+def test_windows_share_the_hashes_of_their_kmers(spark):
+    """Each k-mer was hashed again for every window of a sweep."""
+    rows = [(f"ctg_{i:02d}", s, len(s)) for i, s in enumerate(mutated(random.Random(16)))] + [("ctg_98", "ACGTTGCAAC" * 3, 30), ("ctg_99", "ACGTTGCAACGTACGGATTAC", 21)]
+    numbers = minimisers.numbered(spark.createDataFrame(rows, "sequence_id string, sequence string, length int").repartition(3))
+    together = minimisers.seed_lists(numbers, RunConfig(window=10, max_frequency=7), counted=True, windows=(5, 10))
+    columns = ["key", "frequency", "keys", "places"]
+    for i, w in enumerate((5, 10)):
+        alone = minimisers.seed_lists(numbers, RunConfig(window=w, max_frequency=7), counted=True)
+        kept = [sorted(map(repr, x.where("key is not null").select(*columns).collect())) for x in (together.where(f"window = {i}"), alone)]
+        assert kept[0] == kept[1] and len(kept[0]) > 100
+        counts = [sorted(map(tuple, x.groupBy("frequency").agg(F.sum("keys")).collect())) for x in (together.where(f"window = {i}"), alone)]
+        assert counts[0] == counts[1]
